@@ -78,14 +78,19 @@ def parse_ts(c, dtype: T.DataType | None = None) -> Column:
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return c
     if isinstance(dtype, T.DateType):
-        return c.cast("timestamp")
+        return c.cast("timestamp_ntz")
     s = F.trim(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATETIME_FORMATS])
+    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATETIME_FORMATS])
+    # wall-clock timestamps without zone, like the driver tables
+    return parsed.cast("timestamp_ntz")
 
 
 def epoch_to_ts(c, unit: str) -> Column:
-    """Numeric epoch to timestamp (F12); unit in s, ms, us, ns."""
-    c = col_(c)
+    """Numeric epoch to a zone-less timestamp (F12); unit in s, ms, us, ns."""
+    return _epoch(col_(c), unit).cast("timestamp_ntz")
+
+
+def _epoch(c: Column, unit: str) -> Column:
     if unit == "s":
         return F.timestamp_seconds(c)
     if unit == "ms":

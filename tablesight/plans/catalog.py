@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "tablesight.plans.flagship",
     "tablesight.plans.q_grouped",
+    "tablesight.plans.q_profile",
 ]
 
 

@@ -204,12 +204,14 @@ def generic_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("nullif(l_returnflag, 'N')").alias("l_returnflag"),
         "l_linestatus", "l_shipdate",
         F.lit("lineitem").alias("l_source"),
+        F.when(F.col("l_quantity") >= 50, "bulk").alias("l_bulk_note"),
     )
 
 
 GENERIC_SQL = """
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
        nullif(l_discount, 0.0) AS l_discount, l_tax, nullif(l_returnflag, 'N') AS l_returnflag,
-       l_linestatus, l_shipdate, 'lineitem' AS l_source
+       l_linestatus, l_shipdate, 'lineitem' AS l_source,
+       CASE WHEN l_quantity >= 50 THEN 'bulk' END AS l_bulk_note
 FROM lineitem
 """
