@@ -64,31 +64,31 @@ def ordered_scan(df: DataFrame, order: list[str], scans: list[Scan],
         return df.select("*", *cols)
 
     n = _bucket_count(df, n_buckets)
-    ranged = df.repartitionByRange(n, *okeys).withColumn("_b", F.spark_partition_id())
-    w = W.partitionBy("_b").orderBy(*okeys)
-    local_cols = [_window_expr(s, w).alias(f"_l_{s.out}") for s in scans]
-    lag_src = [F.col(s.value).alias(f"_v_{s.out}") for s in scans if s.kind == "lag"]
+    ranged = df.repartitionByRange(n, *okeys).withColumn("__b", F.spark_partition_id())
+    w = W.partitionBy("__b").orderBy(*okeys)
+    local_cols = [_window_expr(s, w).alias(f"__l_{s.out}") for s in scans]
+    lag_src = [F.col(s.value).alias(f"__v_{s.out}") for s in scans if s.kind == "lag"]
     # Both the rows and the per-bucket carries must see the *same* range
     # partitioning; a second range exchange could sample different bounds when
     # the input order is not deterministic (e.g. after a shuffle).  Persisting
     # the windowed rows pins one exchange; a lost block is recomputed from the
     # same shuffle dependency, so bounds stay fixed.
-    local = (ranged.select("*", F.row_number().over(w).alias("_rn"), *local_cols, *lag_src)
+    local = (ranged.select("*", F.row_number().over(w).alias("__rn"), *local_cols, *lag_src)
              .persist(StorageLevel.MEMORY_AND_DISK))
 
     # One row per bucket: the in-bucket values at its last row.
-    last = F.max_by(F.struct(*[F.col(f"_l_{s.out}").alias(s.out) for s in scans],
-                             *[F.col(f"_v_{s.out}").alias(f"v_{s.out}")
+    last = F.max_by(F.struct(*[F.col(f"__l_{s.out}").alias(s.out) for s in scans],
+                             *[F.col(f"__v_{s.out}").alias(f"v_{s.out}")
                                for s in scans if s.kind == "lag"]),
-                    F.col("_rn")).alias("_last")
-    per_bucket = local.groupBy("_b").agg(last)
+                    F.col("__rn")).alias("__last")
+    per_bucket = local.groupBy("__b").agg(last)
 
     # Prefix scan over the n bucket rows (bounded by n, so one task is fine).
-    wb = W.orderBy("_b").rowsBetween(_UNB, -1)
-    wl = W.orderBy("_b")
+    wb = W.orderBy("__b").rowsBetween(_UNB, -1)
+    wl = W.orderBy("__b")
     carries = []
     for s in scans:
-        a = F.col(f"_last.{s.out}")
+        a = F.col(f"__last.{s.out}")
         if s.kind in ("sum", "row_number"):
             c = F.coalesce(F.sum(a).over(wb), F.lit(0))
         elif s.kind == "max":
@@ -98,14 +98,14 @@ def ordered_scan(df: DataFrame, order: list[str], scans: list[Scan],
         elif s.kind == "ffill":
             c = F.last(a, ignorenulls=True).over(wb)
         else:  # lag: the last value of the previous non-empty bucket
-            c = F.lag(F.col(f"_last.v_{s.out}"), 1).over(wl)
-        carries.append(c.alias(f"_c_{s.out}"))
-    carry = per_bucket.select("_b", *carries)
+            c = F.lag(F.col(f"__last.v_{s.out}"), 1).over(wl)
+        carries.append(c.alias(f"__c_{s.out}"))
+    carry = per_bucket.select("__b", *carries)
 
-    joined = local.join(F.broadcast(carry), "_b", "left")
+    joined = local.join(F.broadcast(carry), "__b", "left")
     outs = []
     for s in scans:
-        lv, cv = F.col(f"_l_{s.out}"), F.col(f"_c_{s.out}")
+        lv, cv = F.col(f"__l_{s.out}"), F.col(f"__c_{s.out}")
         if s.kind in ("sum", "row_number"):
             v = lv + cv
         elif s.kind == "max":
@@ -115,10 +115,10 @@ def ordered_scan(df: DataFrame, order: list[str], scans: list[Scan],
         elif s.kind == "ffill":
             v = F.coalesce(lv, cv)
         else:
-            v = F.when(F.col("_rn") == 1, cv).otherwise(lv)
+            v = F.when(F.col("__rn") == 1, cv).otherwise(lv)
         outs.append(v.alias(s.out))
-    drop = (["_b", "_rn"] + [f"_l_{s.out}" for s in scans] + [f"_c_{s.out}" for s in scans]
-            + [f"_v_{s.out}" for s in scans if s.kind == "lag"])
+    drop = (["__b", "__rn"] + [f"__l_{s.out}" for s in scans] + [f"__c_{s.out}" for s in scans]
+            + [f"__v_{s.out}" for s in scans if s.kind == "lag"])
     return joined.select("*", *outs).drop(*drop)
 
 
@@ -178,8 +178,8 @@ def returns(df: DataFrame, order: list[str], value: str, out: str = "ret",
 def row_position(df: DataFrame, order: list[str], out: str = "row_pos",
                  partition_by=None, n_buckets=None) -> DataFrame:
     """0-based position of each row in the order."""
-    d = ordered_scan(df, order, [Scan("row_number", None, "_rn")], partition_by, n_buckets)
-    return d.withColumn(out, F.col("_rn") - 1).drop("_rn")
+    d = ordered_scan(df, order, [Scan("row_number", None, "__pos")], partition_by, n_buckets)
+    return d.withColumn(out, F.col("__pos") - 1).drop("__pos")
 
 
 def start_end(df: DataFrame, order: list[str], value: str) -> DataFrame:

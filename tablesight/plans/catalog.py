@@ -8,6 +8,7 @@ MODULES = [
     "tablesight.plans.flagship",
     "tablesight.plans.q_grouped",
     "tablesight.plans.q_profile",
+    "tablesight.plans.q_ordered",
 ]
 
 
