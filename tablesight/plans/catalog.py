@@ -9,6 +9,7 @@ MODULES = [
     "tablesight.plans.q_grouped",
     "tablesight.plans.q_profile",
     "tablesight.plans.q_ordered",
+    "tablesight.plans.q_clean",
 ]
 
 
