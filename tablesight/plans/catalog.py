@@ -10,6 +10,7 @@ MODULES = [
     "tablesight.plans.q_profile",
     "tablesight.plans.q_ordered",
     "tablesight.plans.q_clean",
+    "tablesight.plans.q_text",
 ]
 
 
