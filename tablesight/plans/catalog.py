@@ -11,6 +11,7 @@ MODULES = [
     "tablesight.plans.q_ordered",
     "tablesight.plans.q_clean",
     "tablesight.plans.q_text",
+    "tablesight.plans.q_charts",
 ]
 
 
