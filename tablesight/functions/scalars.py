@@ -136,7 +136,7 @@ def status_class(c) -> Column:
             .otherwise(F.lit("other")))
 
 
-def currency(c, symbol: str = "$") -> Column:
+def currency(c, symbol: str = "") -> Column:
     """symbol + thousands-separated two-decimal amount, NULL -> 'N/A'."""
     return F.coalesce(F.concat(F.lit(symbol), F.format_number(col_(c), 2)), F.lit("N/A"))
 

@@ -21,13 +21,13 @@ TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
 def columns_of_type(df: DataFrame, kind: str) -> list[str]:
-    """Number / categorical (string, boolean) / datetime columns."""
+    """Number / categorical (string, like pandas object) / datetime columns."""
     out = []
     for f in df.schema.fields:
         t = f.dataType
         if kind == "numeric" and isinstance(t, NUMERIC):
             out.append(f.name)
-        elif kind == "categorical" and isinstance(t, (T.StringType, T.BooleanType)):
+        elif kind == "categorical" and isinstance(t, T.StringType):
             out.append(f.name)
         elif kind == "datetime" and isinstance(t, TIMES):
             out.append(f.name)

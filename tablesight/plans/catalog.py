@@ -12,6 +12,7 @@ MODULES = [
     "tablesight.plans.q_clean",
     "tablesight.plans.q_text",
     "tablesight.plans.q_charts",
+    "tablesight.plans.q_packs",
 ]
 
 
