@@ -13,6 +13,7 @@ MODULES = [
     "tablesight.plans.q_text",
     "tablesight.plans.q_charts",
     "tablesight.plans.q_packs",
+    "tablesight.plans.q_ml",
 ]
 
 
