@@ -14,6 +14,7 @@ MODULES = [
     "tablesight.plans.q_charts",
     "tablesight.plans.q_packs",
     "tablesight.plans.q_ml",
+    "tablesight.plans.q_sources",
 ]
 
 
