@@ -106,18 +106,19 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None,
         for i, c in enumerate(cols):
             one = one.withColumn(f"q{i}", F.array(*[F.lit(qs[(c, p)]).cast("double")
                                                      for p in (0.25, 0.5, 0.75)]))
-    parts = []
-    for i, c in enumerate(cols):
-        parts.append(one.select(
-            F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
-            F.col(f"mean{i}").alias("mean"), F.col(f"std{i}").alias("std"),
-            F.col(f"min{i}").alias("min"), F.col(f"q{i}")[0].alias("p25"),
-            F.col(f"q{i}")[1].alias("p50"), F.col(f"q{i}")[2].alias("p75"),
-            F.col(f"max{i}").alias("max")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _long(one, [F.struct(
+        F.lit(c).alias("column"), F.col(f"n{i}").cast("long").alias("count"),
+        F.col(f"mean{i}").alias("mean"), F.col(f"std{i}").alias("std"),
+        F.col(f"min{i}").alias("min"), F.col(f"q{i}")[0].alias("p25"),
+        F.col(f"q{i}")[1].alias("p50"), F.col(f"q{i}")[2].alias("p75"),
+        F.col(f"max{i}").alias("max")) for i, c in enumerate(cols)])
+
+
+def _long(one: DataFrame, rows: list) -> DataFrame:
+    """One-row aggregate -> one row per struct, in a single projection (a
+    union of per-column selects would let column pruning split the
+    aggregate into one scan per column)."""
+    return one.select(F.explode(F.array(*rows)).alias("_x")).select("_x.*")
 
 
 _DESCRIBE_SCHEMA = ("column string, count long, mean double, std double, min double, "
@@ -150,13 +151,9 @@ def datetime_range(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     for i, c in enumerate(cols):
         aggs += [F.min(_q(c)).alias(f"a{i}"), F.max(_q(c)).alias(f"b{i}"), F.count(_q(c)).alias(f"n{i}")]
     one = df.agg(*aggs)
-    parts = [one.select(F.lit(c).alias("column"), F.col(f"a{i}").alias("min"),
-                        F.col(f"b{i}").alias("max"), F.col(f"n{i}").alias("count"))
-             for i, c in enumerate(cols)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _long(one, [F.struct(F.lit(c).alias("column"), F.col(f"a{i}").cast("timestamp_ntz").alias("min"),
+                                F.col(f"b{i}").cast("timestamp_ntz").alias("max"),
+                                F.col(f"n{i}").alias("count")) for i, c in enumerate(cols)])
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -176,14 +173,9 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None,
         d = (F.approx_count_distinct(_q(c)) if approx else F.countDistinct(F.col(_q(c))))
         aggs += [d.alias(f"d{i}"), F.max(F.col(_q(c)).isNull().cast("int")).alias(f"z{i}")]
     one = df.agg(*aggs)
-    parts = [one.select(F.lit(c).alias("column"), F.col(f"d{i}").cast("long").alias("distinct"),
-                        (F.col(f"d{i}") + F.coalesce(F.col(f"z{i}"), F.lit(0))).cast("long")
-                        .alias("distinct_with_null"))
-             for i, c in enumerate(cols)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _long(one, [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").cast("long").alias("distinct"),
+                                (F.col(f"d{i}") + F.coalesce(F.col(f"z{i}"), F.lit(0))).cast("long")
+                                .alias("distinct_with_null")) for i, c in enumerate(cols)])
 
 
 def constant_columns(df: DataFrame) -> list[str]:
@@ -260,15 +252,12 @@ def skewness_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         v = nan_to_null(F.col(_q(c)).cast("double"))
         aggs += [F.skewness(v).alias(f"s{i}"), F.count(v).alias(f"n{i}")]
     one = df.agg(*aggs)
-    parts = []
+    rows = []
     for i, c in enumerate(cols):
         n = F.col(f"n{i}").cast("double")
         adj = F.when(n >= 3, F.col(f"s{i}") * F.sqrt(n * (n - 1)) / (n - 2))
-        parts.append(one.select(F.lit(c).alias("column"), adj.alias("skew")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        rows.append(F.struct(F.lit(c).alias("column"), adj.cast("double").alias("skew")))
+    return _long(one, rows)
 
 
 def top_skewed(df: DataFrame, k: int = 5, columns: list[str] | None = None) -> DataFrame:

@@ -6,11 +6,13 @@ aggregation buffer, which does not survive billions of distinct doubles.  Here:
 
 1. one aggregate gives ``count`` and an ``approx_percentile`` bracket
    ``[lo, hi]`` around each wanted rank (rank error <= n / accuracy);
-2. one aggregate counts rows below ``lo`` and, for the few values inside the
-   bracket, their multiplicities (a ``groupBy(value)``, so a value repeated by
-   a third of all rows is still one row);
-3. a running count over the bracket values (about ``8 n / accuracy`` rows per
-   quantile) finds the two order statistics to interpolate.
+2. one aggregate counts, per wanted quantile, the rows below ``lo`` and the
+   rows inside the bracket; a bracket still holding more than
+   ``max_candidates`` rows is narrowed by another ``approx_percentile`` over
+   just its rows (each round shrinks it about ``accuracy`` times);
+3. the values inside the final brackets are grouped with their
+   multiplicities (a value repeated by a third of all rows is one row) and a
+   running count finds the two order statistics to interpolate.
 
 If a bracket misses its rank (it should not), that quantile falls back to
 Spark's exact ``percentile``.
@@ -24,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 100_000
+DEFAULT_ACCURACY = 10_000
+MAX_CANDIDATES = 1_000_000
 
 
 def _c(name: str):
@@ -32,24 +35,24 @@ def _c(name: str):
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    accuracy: int = DEFAULT_ACCURACY) -> dict[tuple[str, float], float | None]:
+                    accuracy: int = DEFAULT_ACCURACY,
+                    max_candidates: int = MAX_CANDIDATES) -> dict[tuple[str, float], float | None]:
     """Return {(column, p): value}; NULLs are ignored, an empty column gives
-    None.  Two small jobs regardless of the number of columns."""
+    None.  Three small jobs in the usual case, whatever the column count."""
     if not columns or not probs:
         return {}
     margin = 4.0 / accuracy
-    los = [max(0.0, p - margin) for p in probs]
-    his = [min(1.0, p + margin) for p in probs]
     aggs = []
     for i, c in enumerate(columns):
         v = _c(c).cast("double")
         aggs.append(F.count(v).alias(f"n{i}"))
-        aggs.append(F.approx_percentile(v, F.array(*[F.lit(x) for x in los]), accuracy).alias(f"lo{i}"))
-        aggs.append(F.approx_percentile(v, F.array(*[F.lit(x) for x in his]), accuracy).alias(f"hi{i}"))
+        # one sketch per column serves both ends of every bracket
+        ends = [x for p in probs for x in (max(0.0, p - margin), min(1.0, p + margin))]
+        aggs.append(F.approx_percentile(v, F.array(*[F.lit(x) for x in ends]), accuracy).alias(f"q{i}"))
     row = df.agg(*aggs).first()
 
-    targets = []  # (col index, prob index, lower rank, frac, lo, hi)
     result: dict[tuple[str, float], float | None] = {}
+    targets = []  # [col index, prob index, lower rank k, frac, lo, hi]
     for i, c in enumerate(columns):
         n = row[f"n{i}"]
         for j, p in enumerate(probs):
@@ -58,15 +61,37 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                 continue
             pos = (n - 1) * p
             k = int(math.floor(pos))
-            targets.append((i, j, k, pos - k, row[f"lo{i}"][j], row[f"hi{i}"][j]))
+            targets.append([i, j, k, pos - k, row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1]])
     if not targets:
         return result
 
-    # Rows below each bracket, and the distinct values inside it with counts.
-    below = []
-    for t, (i, j, k, frac, lo, hi) in enumerate(targets):
-        below.append(F.count_if(_c(columns[i]).cast("double") < F.lit(lo)).alias(f"b{t}"))
-    below_row = df.agg(*below).first()
+    def counts():
+        cs = []
+        for t, (i, j, k, frac, lo, hi) in enumerate(targets):
+            v = _c(columns[i]).cast("double")
+            cs += [F.count_if(v < F.lit(lo)).alias(f"b{t}"),
+                   F.count_if((v >= F.lit(lo)) & (v <= F.lit(hi))).alias(f"m{t}")]
+        return df.agg(*cs).first()
+
+    cnt = counts()
+    for _ in range(6):   # each round narrows a wide bracket ~accuracy times
+        wide = [t for t in range(len(targets)) if cnt[f"m{t}"] > max_candidates]
+        if not wide:
+            break
+        aggs = []
+        for t in wide:
+            i, j, k, frac, lo, hi = targets[t]
+            v = _c(columns[i]).cast("double")
+            inside = F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), v)
+            m = cnt[f"m{t}"]
+            q = (k - cnt[f"b{t}"]) / max(1, m - 1)
+            aggs.append(F.approx_percentile(inside, F.array(F.lit(max(0.0, q - margin)),
+                                                            F.lit(min(1.0, q + margin))),
+                                            accuracy).alias(f"r{t}"))
+        r = df.agg(*aggs).first()
+        for t in wide:
+            targets[t][4], targets[t][5] = r[f"r{t}"][0], r[f"r{t}"][1]
+        cnt = counts()
 
     pieces = []
     for t, (i, j, k, frac, lo, hi) in enumerate(targets):
@@ -79,24 +104,19 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
               .groupBy("t", "v").agg(F.count(F.lit(1)).alias("m")))
     w = W.partitionBy("t").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     cand = cand.withColumn("cum", F.sum("m").over(w))
-    # Rank r (0-based) is the first value whose cumulative count exceeds r - below.
-    want = []
-    for t, (i, j, k, frac, lo, hi) in enumerate(targets):
-        b = below_row[f"b{t}"]
-        want.append((t, k - b, k + 1 - b))
+    # rank r (0-based) is the first value whose running count exceeds r - below
+    want = [(t, k - cnt[f"b{t}"], k + 1 - cnt[f"b{t}"]) for t, (i, j, k, frac, lo, hi) in enumerate(targets)]
     wdf = df.sparkSession.createDataFrame(want, "t int, r0 long, r1 long")
     picked = (cand.join(F.broadcast(wdf), "t")
               .groupBy("t")
               .agg(F.min_by("v", F.when(F.col("cum") > F.col("r0"), F.col("v"))).alias("v0"),
-                   F.min_by("v", F.when(F.col("cum") > F.col("r1"), F.col("v"))).alias("v1"),
-                   F.max("cum").alias("total"))
+                   F.min_by("v", F.when(F.col("cum") > F.col("r1"), F.col("v"))).alias("v1"))
               .collect())
     by_t = {r["t"]: r for r in picked}
     for t, (i, j, k, frac, lo, hi) in enumerate(targets):
         c, p = columns[i], probs[j]
         r = by_t.get(t)
-        b = below_row[f"b{t}"]
-        ok = (r is not None and b <= k and r["v0"] is not None
+        ok = (r is not None and cnt[f"b{t}"] <= k and r["v0"] is not None
               and (frac == 0 or r["v1"] is not None))
         if not ok:
             result[(c, p)] = df.agg(F.percentile(_c(c).cast("double"), p)).first()[0]

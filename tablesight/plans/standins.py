@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from tablesight.sources.readers import spread
+    path = f"{sf_dir}/{name}.parquet"
+    return spread(spark.read.parquet(path), path)
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
