@@ -154,8 +154,9 @@ def trend_label(first, last) -> Column:
 
 
 def word_count(c) -> Column:
-    """Number of ``\\w+`` runs (Unicode aware)."""
-    return F.size(F.regexp_extract_all(col_(c), F.lit(r"(?U)\w+"), 0))
+    """Number of ``\\w+`` runs as Python counts them: letters, digits of any
+    kind (Java's ``(?U)\\w`` misses e.g. superscripts) and underscore."""
+    return F.regexp_count(col_(c), F.lit(r"[\p{L}\p{N}_]+"))
 
 
 # The line boundaries of Python's str.splitlines, as a Java regex.
@@ -166,9 +167,9 @@ def line_count(c) -> Column:
     """Lines as Python's ``splitlines`` counts them: a trailing break does not
     open a new line and empty text has no lines."""
     c = col_(c)
-    pieces = F.size(F.split(c, LINE_BREAK))
+    breaks = F.regexp_count(c, F.lit(LINE_BREAK))
     trailing = c.rlike("(" + LINE_BREAK + ")$")
-    return F.when(F.length(c) == 0, 0).otherwise(pieces - F.when(trailing, 1).otherwise(0))
+    return F.when(F.length(c) == 0, 0).otherwise(breaks + F.when(trailing, 0).otherwise(1))
 
 
 def sentences(c) -> Column:

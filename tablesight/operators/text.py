@@ -46,7 +46,7 @@ def text_stats(df: DataFrame, text: str = "text", keys: list[str] | None = None)
     t = F.col(text)
     return df.select(*(keys or []),
                      F.length(t).alias("chars"),
-                     F.size(F.regexp_extract_all(t, F.lit(WORD_RE), 0)).alias("words"),
+                     F.regexp_count(t, F.lit(WORD_RE)).alias("words"),
                      line_count(t).alias("lines"))
 
 

@@ -15,6 +15,7 @@ MODULES = [
     "tablesight.plans.q_packs",
     "tablesight.plans.q_ml",
     "tablesight.plans.q_sources",
+    "tablesight.plans.q_streaming",
 ]
 
 
