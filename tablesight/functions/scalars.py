@@ -174,5 +174,7 @@ def line_count(c) -> Column:
 
 def sentences(c) -> Column:
     """F8: split after . ! ? followed by blanks; pieces trimmed, empties dropped."""
-    parts = F.split(F.trim(col_(c)), r"(?<=[.!?])\s+")
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    def strip(x):   # Python's str.strip: every kind of blank, not just spaces
+        return F.regexp_replace(x, r"^\s+|\s+$", "")
+    parts = F.split(strip(col_(c)), r"(?<=[.!?])\s+")
+    return F.filter(F.transform(parts, strip), lambda x: F.length(x) > 0)

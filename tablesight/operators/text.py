@@ -124,7 +124,8 @@ def extractive_summary(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
               .agg(F.try_divide(F.sum("w"), F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("score")))
     ranked = (sents.join(n_sent, "_d").join(score, ["_d", "sid"], "left")
                    .withColumn("score", F.coalesce("score", F.lit(0.0))))
-    best = W.partitionBy("_d").orderBy(F.desc("score"), "sid")
+    # scores compared at 1e-9, so summation order cannot reorder equal sentences
+    best = W.partitionBy("_d").orderBy(F.desc(F.round("score", 9)), "sid")
     top = ranked.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= max_sentences)
     long_docs = (top.groupBy("_d")
                     .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sid", "sentence"))),

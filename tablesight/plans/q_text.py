@@ -56,7 +56,8 @@ def m11b(spark, d):
 
 @query("f8_sentence_split", r"""
 SELECT doc_id, count(*) AS sentences FROM (
-  SELECT doc_id, trim(unnest(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))) AS s
+  SELECT doc_id, regexp_replace(unnest(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'),
+         '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))), '^\s+|\s+$', '', 'g') AS s
   FROM documents) WHERE length(s) > 0 GROUP BY doc_id""")
 def f8(spark, d):
     docs = S.table(spark, d, "documents")
@@ -64,6 +65,33 @@ def f8(spark, d):
                 .filter(F.col("sentences") > 0))
 
 
-@query("m12_extractive_summary")
+M12_SQL = rf"""
+WITH base AS (SELECT doc_id AS d, text AS t FROM documents),
+s1 AS (SELECT d, list_filter(list_transform(
+          string_split(regexp_replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
+          lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 0) AS sents FROM base),
+sents AS (SELECT d, unnest(range(len(sents))) AS sid, unnest(sents) AS sentence FROM s1),
+n_sent AS (SELECT d, count(*) AS n FROM sents GROUP BY d),
+toks AS (SELECT d, sid, list_filter(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}_]{{2,}}'),
+                                    lambda x: NOT list_contains([{_stop_sql()}], x)) AS tk FROM sents),
+terms AS (SELECT d, sid, unnest(list_concat(tk, list_transform(range(greatest(len(tk) - 1, 0)),
+                                                               lambda i: tk[i + 1] || ' ' || tk[i + 2]))) AS term FROM toks),
+tf AS (SELECT d, sid, term, count(*) AS tf FROM terms GROUP BY ALL),
+per_term AS (SELECT d, term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY ALL),
+vocab AS (SELECT d, term, df FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY total DESC, term) AS r
+                                   FROM per_term) WHERE r <= 8000),
+w AS (SELECT tf.d, tf.sid, tf.tf * (ln((1 + n) / (1 + df)) + 1) AS w
+      FROM tf JOIN vocab USING (d, term) JOIN n_sent USING (d)),
+score AS (SELECT d, sid, CASE WHEN sum(w * w) > 0 THEN sum(w) / sqrt(sum(w * w)) END AS score FROM w GROUP BY ALL),
+ranked AS (SELECT s.d, s.sid, s.sentence, coalesce(sc.score, 0.0) AS score
+           FROM sents s LEFT JOIN score sc USING (d, sid)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY round(score, 9) DESC, sid) AS r FROM ranked)
+        WHERE r <= 8),
+long_docs AS (SELECT d, string_agg(sentence, ' ' ORDER BY sid) AS summary FROM top GROUP BY d)
+SELECT b.d AS doc_id, CASE WHEN coalesce(n, 0) <= 3 THEN substring(t, 1, 800) ELSE summary END AS summary
+FROM base b LEFT JOIN long_docs USING (d) LEFT JOIN n_sent USING (d)"""
+
+
+@query("m12_extractive_summary", M12_SQL)
 def m12(spark, d):
     return X.extractive_summary(S.table(spark, d, "documents"), "text", "doc_id")

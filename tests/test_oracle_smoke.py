@@ -13,7 +13,8 @@ NAMES = ["q0_flagship_monthly_billing", "g1_sum_by_week", "g6_share_of_total", "
          "g14_trade_stats", "a2_missing_rate", "a4_describe_numeric", "a5_top_values", "a10_correlation_matrix",
          "w2_cum_sum", "w6_longest_drawdown", "w7_forward_fill", "p4_impute_median", "p10_to_number",
          "c1_histogram", "x2_keep_first", "g20_text_stats", "m11_top_keywords", "q6_clinic_general",
-         "q8_trading_equity", "i1_infer_schema"]
+         "q8_trading_equity", "i1_infer_schema", "m12_extractive_summary", "st1_stream_period_totals",
+         "s1_read_delimited", "j2_compare_runs"]
 
 
 def _norm(v):
