@@ -16,6 +16,7 @@ MODULES = [
     "tablesight.plans.q_ml",
     "tablesight.plans.q_sources",
     "tablesight.plans.q_streaming",
+    "tablesight.plans.q_misc",
 ]
 
 
