@@ -97,14 +97,17 @@ def extractive_summary(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     vocabulary of the document's ``max_features`` most frequent terms, idf over
     the document's sentences); the best ``max_sentences`` are joined in their
     original order.  Documents with three sentences or fewer give their first
-    ``short_chars`` characters."""
-    stop = list(english_stop_words())
-    base = df.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t"))
-    # sentences feed the counts and the final text: split once
-    sents = (base.select("_d", F.posexplode(sentences(F.col("_t"))).alias("sid", "sentence"))
-                 .persist(StorageLevel.MEMORY_AND_DISK))
-    n_sent = sents.groupBy("_d").agg(F.count(F.lit(1)).alias("n"))
+    ``short_chars`` characters.
 
+    Every step is keyed by document, so the documents are hash-partitioned by
+    id once; term counts, the per-term windows, the per-document vocabulary
+    rank, sentence scores and the final pick all reuse that partitioning (no
+    further shuffle).  The pick works on each document's own row with array
+    functions, so no sentence table is joined back.
+    """
+    stop = list(english_stop_words())
+    base = df.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).repartition("_d")
+    sents = base.select("_d", F.posexplode(sentences(F.col("_t"))).alias("sid", "sentence"))
     toks = F.filter(_tokens(F.col("sentence")), lambda x: ~x.isin(stop))
     with_toks = sents.select("_d", "sid", toks.alias("toks"))
     bigrams = F.transform(F.sequence(F.lit(0), F.size("toks") - 2),
@@ -112,27 +115,28 @@ def extractive_summary(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
                                              F.element_at("toks", i + 2)))
     terms = F.when(F.size("toks") >= 2, F.concat("toks", bigrams)).otherwise(F.col("toks"))
     ex = with_toks.select("_d", "sid", F.explode(terms).alias("term"))
-    tf = (ex.groupBy("_d", "sid", "term").agg(F.count(F.lit(1)).alias("tf"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    per_term = tf.groupBy("_d", "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    rank = W.partitionBy("_d").orderBy(F.desc("total"), "term")
-    vocab = per_term.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= max_features)
-    w = (tf.join(vocab.select("_d", "term", "df"), ["_d", "term"])
-           .join(n_sent, "_d")
+    tf = ex.groupBy("_d", "sid", "term").agg(F.count(F.lit(1)).alias("tf"))
+    per_term = W.partitionBy("_d", "term")
+    tf = (tf.withColumn("total", F.sum("tf").over(per_term))
+            .withColumn("df", F.count(F.lit(1)).over(per_term))
+            .withColumn("_r", F.dense_rank().over(W.partitionBy("_d").orderBy(F.desc("total"), "term")))
+            .filter(F.col("_r") <= max_features))
+    n_sent = sents.groupBy("_d").agg(F.count(F.lit(1)).alias("n"))
+    w = (tf.join(n_sent, "_d")
            .withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)))
     score = (w.groupBy("_d", "sid")
               .agg(F.try_divide(F.sum("w"), F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("score")))
-    ranked = (sents.join(n_sent, "_d").join(score, ["_d", "sid"], "left")
-                   .withColumn("score", F.coalesce("score", F.lit(0.0))))
     # scores compared at 1e-9, so summation order cannot reorder equal sentences
-    best = W.partitionBy("_d").orderBy(F.desc(F.round("score", 9)), "sid")
-    top = ranked.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= max_sentences)
-    long_docs = (top.groupBy("_d")
-                    .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sid", "sentence"))),
-                                                  lambda s: s["sentence"]), " ").alias("summary"),
-                         F.first("n").alias("n")))
-    out = (base.join(long_docs, "_d", "left")  # short documents keep their text
+    per_doc = score.groupBy("_d").agg(F.map_from_entries(F.collect_list(
+        F.struct("sid", F.round("score", 9).alias("s")))).alias("sc"))
+    arr = sentences(F.col("_t"))
+    cand = F.transform(F.sequence(F.lit(0), F.size(arr) - 1),
+                       lambda i: F.struct((-F.coalesce(F.element_at("sc", i), F.lit(0.0))).alias("k"),
+                                          i.alias("sid")))
+    best = F.array_sort(F.transform(F.slice(F.array_sort(cand), 1, max_sentences), lambda x: x["sid"]))
+    summary = F.array_join(F.transform(best, lambda i: F.element_at(arr, i + 1)), " ")
+    out = (base.join(per_doc, "_d", "left")
                .select(F.col("_d").alias(doc_id),
-                       F.when(F.coalesce(F.col("n"), F.lit(0)) <= 3, F.substring("_t", 1, short_chars))
-                        .otherwise(F.col("summary")).alias("summary")))
+                       F.when(F.size(arr) <= 3, F.substring("_t", 1, short_chars))
+                        .otherwise(summary).alias("summary")))
     return out
