@@ -93,21 +93,25 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None,
     aggs = []
     for i, c in enumerate(cols):
         v = nan_to_null(F.col(_q(c)).cast("double"))
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"mean{i}"),
+        aggs += [F.count(v).alias(f"cnt{i}"), F.avg(v).alias(f"mean{i}"),
                  F.stddev_samp(v).alias(f"std{i}"), F.min(v).alias(f"min{i}"),
                  F.max(v).alias(f"max{i}")]
-        if not exact:
-            aggs.append(F.approx_percentile(v, F.array(F.lit(.25), F.lit(.5), F.lit(.75)))
-                        .alias(f"q{i}"))
-    one = df.agg(*aggs)
+    spark = df.sparkSession
     if exact:
-        qs = exact_quantiles(df.select([nan_to_null(F.col(_q(c)).cast("double")).alias(c)
-                                        for c in cols]), cols, [0.25, 0.5, 0.75])
-        for i, c in enumerate(cols):
-            one = one.withColumn(f"q{i}", F.array(*[F.lit(qs[(c, p)]).cast("double")
-                                                     for p in (0.25, 0.5, 0.75)]))
+        # moments ride along in the quantiles' first pass: one scan fewer
+        num = df.select([nan_to_null(F.col(_q(c)).cast("double")).alias(c) for c in cols])
+        qs = exact_quantiles(num, cols, [0.25, 0.5, 0.75],
+                             extra=[a for a in aggs])
+        row = qs["extra"]
+        rows = [(c, row[f"cnt{i}"], row[f"mean{i}"], row[f"std{i}"], row[f"min{i}"],
+                 qs[(c, 0.25)], qs[(c, 0.5)], qs[(c, 0.75)], row[f"max{i}"]) for i, c in enumerate(cols)]
+        return spark.createDataFrame(rows, _DESCRIBE_SCHEMA)
+    for i, c in enumerate(cols):
+        v = nan_to_null(F.col(_q(c)).cast("double"))
+        aggs.append(F.approx_percentile(v, F.array(F.lit(.25), F.lit(.5), F.lit(.75))).alias(f"q{i}"))
+    one = df.agg(*aggs)
     return _long(one, [F.struct(
-        F.lit(c).alias("column"), F.col(f"n{i}").cast("long").alias("count"),
+        F.lit(c).alias("column"), F.col(f"cnt{i}").cast("long").alias("count"),
         F.col(f"mean{i}").alias("mean"), F.col(f"std{i}").alias("std"),
         F.col(f"min{i}").alias("min"), F.col(f"q{i}")[0].alias("p25"),
         F.col(f"q{i}")[1].alias("p50"), F.col(f"q{i}")[2].alias("p75"),

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,13 +37,27 @@ def _c(name: str):
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     accuracy: int = DEFAULT_ACCURACY,
-                    max_candidates: int = MAX_CANDIDATES) -> dict[tuple[str, float], float | None]:
+                    max_candidates: int = MAX_CANDIDATES,
+                    extra: list | None = None) -> dict[tuple[str, float], float | None]:
     """Return {(column, p): value}; NULLs are ignored, an empty column gives
-    None.  Three small jobs in the usual case, whatever the column count."""
+    None.  Three small jobs in the usual case, whatever the column count.
+    ``extra`` aggregates ride along in the first pass; their row is returned
+    under the key ``"extra"``."""
     if not columns or not probs:
         return {}
+    # three or more passes read the same columns: keep the projection for
+    # the duration of the call (spills to disk when large), then drop it
+    df = df.select(*[_c(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK) \
+        if extra is None else df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _exact_quantiles(df, columns, probs, accuracy, max_candidates, extra)
+    finally:
+        df.unpersist()
+
+
+def _exact_quantiles(df, columns, probs, accuracy, max_candidates, extra):
     margin = 4.0 / accuracy
-    aggs = []
+    aggs = list(extra or [])
     for i, c in enumerate(columns):
         v = _c(c).cast("double")
         aggs.append(F.count(v).alias(f"n{i}"))
@@ -51,7 +66,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         aggs.append(F.approx_percentile(v, F.array(*[F.lit(x) for x in ends]), accuracy).alias(f"q{i}"))
     row = df.agg(*aggs).first()
 
-    result: dict[tuple[str, float], float | None] = {}
+    result: dict = {"extra": row} if extra else {}
     targets = []  # [col index, prob index, lower rank k, frac, lo, hi]
     for i, c in enumerate(columns):
         n = row[f"n{i}"]
