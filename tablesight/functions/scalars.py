@@ -86,20 +86,24 @@ def parse_ts(c, dtype: T.DataType | None = None) -> Column:
 
 
 def epoch_to_ts(c, unit: str) -> Column:
-    """Numeric epoch to a zone-less timestamp (F12); unit in s, ms, us, ns."""
-    return _epoch(col_(c), unit).cast("timestamp_ntz")
-
-
-def _epoch(c: Column, unit: str) -> Column:
-    if unit == "s":
-        return F.timestamp_seconds(c)
-    if unit == "ms":
-        return F.timestamp_millis(c.cast("long"))
-    if unit == "us":
-        return F.timestamp_micros(c.cast("long"))
-    if unit == "ns":
-        return F.timestamp_micros((c / 1000).cast("long"))
-    raise ValueError(f"unknown epoch unit {unit!r}")
+    """Numeric epoch to a zone-less timestamp (F12); unit in s, ms, us, ns.
+    Zone-less arithmetic from 1970-01-01, so the session time zone does not
+    matter."""
+    per_unit = {"s": 1_000_000, "ms": 1_000, "us": 1, "ns": 0.001}
+    if unit not in per_unit:
+        raise ValueError(f"unknown epoch unit {unit!r}")
+    micros = F.floor(col_(c).cast("double") * F.lit(per_unit[unit])).cast("long")
+    return F.timestamp_add("MICROSECOND", micros, epoch_ntz())
+
+
+def epoch_ntz() -> Column:
+    """1970-01-01 00:00:00 as a zone-less timestamp."""
+    return F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+
+
+def epoch_seconds(c) -> Column:
+    """Zone-less timestamp to whole epoch seconds (floor)."""
+    return F.floor(F.timestamp_diff("MICROSECOND", epoch_ntz(), col_(c)) / 1_000_000).cast("long")
 
 
 def period_start(c, period: str) -> Column:

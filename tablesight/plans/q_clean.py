@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablesight.functions.scalars import to_number, yes_flag
+from tablesight.functions.scalars import epoch_ntz, epoch_seconds, to_number, yes_flag
 from tablesight.operators import clean as C
 from tablesight.operators import infer as I
 from tablesight.plans import standins as S
@@ -121,8 +121,9 @@ SELECT event_id, CAST(make_timestamp(epoch_us(date_trunc('second', ts))) AS TIME
 def p9(spark, d):
     e = S.table(spark, d, "events")
     t = e.select("event_id",
-                 F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts_s"),
-                 F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+                 epoch_seconds("ts").alias("ts_s"),
+                 F.floor(F.timestamp_diff("MICROSECOND", epoch_ntz(), F.col("ts")) / 1000).cast("long")
+                  .alias("ts_ms"))
     return C.parse_epoch(t, ["ts_s", "ts_ms"])
 
 
