@@ -216,7 +216,8 @@ def i1(spark, d):
 @query("i2_infer_column_types")
 def i2(spark, d):
     """The task engine's variant (no uniqueness id rule, wide time names)."""
-    return I.infer_schema(S.generic_table(spark, d), unique_id_rule=False,
+    g = S.generic_table(spark, d).withColumn("l_is_return", (F.col("l_returnflag") == "R").cast("double"))
+    return I.infer_schema(g, unique_id_rule=False, bool_as_categorical=True,
                           wide_time_names=True, fine_epoch=False)
 
 
