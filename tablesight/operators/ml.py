@@ -98,14 +98,19 @@ def gate(task: str, ok: bool, reason: str):
 
 def classify(df: DataFrame, target: str, numeric: list[str], categorical: list[str],
              key: list[str], model: str = "random_forest", seed: int = 42,
-             n_trees: int = 250, max_depth: int = 30) -> DataFrame:
+             n_trees: int = 250, max_depth: int = 30, max_classes: int = 1000) -> DataFrame:
     """M3: fit on the train split, predict the test split.  Returns the test
     rows with ``label`` and ``prediction`` (both as the target's values)."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     base = df.filter(F.col(target).isNotNull())
     feats = feature_pipeline(base, numeric, categorical, keep=key + [target])
     data = hash_split(feats.frame, key, 0.2, seed)
-    classes = [r[0] for r in data.select(F.col(target).cast("double")).distinct().orderBy(target).collect()]
+    # the class list reaches the driver: bounded, a continuous target is refused
+    found = (data.select(F.col(target).cast("double").alias("_c")).distinct()
+                 .orderBy("_c").limit(max_classes + 1).collect())
+    if len(found) > max_classes:
+        raise ValueError(f"target {target!r} has more than {max_classes} classes")
+    classes = [r[0] for r in found]
     lab = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
     data = data.withColumn("_y", lab[F.col(target).cast("double")])
     if model == "logreg":
