@@ -89,8 +89,10 @@ def ordered_scan(df: DataFrame, order: list[str], scans: list[Scan],
     carries = []
     for s in scans:
         a = F.col(f"__last.{s.out}")
-        if s.kind in ("sum", "row_number"):
+        if s.kind == "row_number":
             c = F.coalesce(F.sum(a).over(wb), F.lit(0))
+        elif s.kind == "sum":       # NULL while no earlier bucket had a value
+            c = F.sum(a).over(wb)
         elif s.kind == "max":
             c = F.max(a).over(wb)
         elif s.kind == "min":
@@ -106,8 +108,13 @@ def ordered_scan(df: DataFrame, order: list[str], scans: list[Scan],
     outs = []
     for s in scans:
         lv, cv = F.col(f"__l_{s.out}"), F.col(f"__c_{s.out}")
-        if s.kind in ("sum", "row_number"):
+        if s.kind == "row_number":
             v = lv + cv
+        elif s.kind == "sum":
+            # a bucket may open with NULLs: its running sum is NULL until its
+            # first value, yet the total so far is the carry
+            v = F.when(lv.isNull() & cv.isNull(), F.lit(None)).otherwise(
+                F.coalesce(lv, F.lit(0)) + F.coalesce(cv, F.lit(0)))
         elif s.kind == "max":
             v = F.greatest(lv, cv)
         elif s.kind == "min":
