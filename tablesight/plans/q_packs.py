@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablesight.plans import packs as K
 from tablesight.plans import runs as R
 from tablesight.plans import standins as S
-from tablesight.plans.q_profile import GEN, GEN_COLS, _missing_sql
+from tablesight.plans.q_profile import GEN, GEN_COLS, GEN_NUM, _missing_sql
 from tablesight.plans.registry import query, rounded
 
 V = f"({S.VISITS_SQL})"
@@ -37,9 +37,12 @@ def q1(spark, d):
     return rounded(k, {"missing_fraction_overall": 12})
 
 
-@query("q1_universal_top_skewed")
+@query("q1_universal_top_skewed", f"WITH g AS {GEN}, s AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", skewness({c}) AS skew FROM g" for c in GEN_NUM) + """)
+SELECT "column", round(skew, 9) AS skew FROM s WHERE skew IS NOT NULL AND NOT isnan(skew)
+ORDER BY abs(skew) DESC, "column" LIMIT 5""")
 def q1b(spark, d):
-    return K.universal_kpis(S.generic_table(spark, d))["top_skewed"]
+    return rounded(K.universal_kpis(S.generic_table(spark, d))["top_skewed"], {"skew": 9})
 
 
 @query("q2_clinic_lab", f"""
@@ -52,7 +55,10 @@ def q2(spark, d):
     return rounded(K.clinic_lab(lab, _map(lab))["kpis"], {"abnormal_share": 12})
 
 
-@query("q3_clinic_vitals")
+@query("q3_clinic_vitals", f"""
+SELECT ts AS datetime, event_id,
+       coalesce(last_value(value IGNORE NULLS) OVER (ORDER BY ts, event_id {RUN}), 0.0) AS heart_rate
+FROM events""")
 def q3(spark, d):
     v = S.vitals(spark, d)
     return K.clinic_vitals(v, _map(v), order=["datetime", "event_id"])["series"]
@@ -114,10 +120,34 @@ def q6b(spark, d):
     return rounded(K.clinic_general(v, _map(v))["revenue_by_doctor"], {"revenue": 2})
 
 
-@query("q7_trading_backtest")
+@query("q7_trading_backtest", f"""
+WITH b AS ({S.BACKTEST_SQL}),
+s AS (SELECT count(*) AS total_months, coalesce(sum(realized_pnl), 0.0) AS tp, coalesce(avg(realized_pnl), 0.0) AS ap,
+             coalesce(stddev_samp(realized_pnl), 0.0) AS sp, sum(trades) AS tt, avg(trades) AS at_, max(trades) AS mxt,
+             min(trades) AS mnt, sum(total_fees) AS tf, avg(total_fees) AS af, min(max_drawdown) AS mdd FROM b)
+SELECT total_months, round(tp, 4) AS total_realized_pnl, round(ap, 4) AS avg_realized_pnl_per_month,
+       round(sp, 4) AS std_realized_pnl, CAST(tt AS BIGINT) AS total_trades, round(at_, 9) AS avg_trades_per_month,
+       CAST(mxt AS BIGINT) AS max_trades_per_month, CAST(mnt AS BIGINT) AS min_trades_per_month,
+       round(tf, 4) AS total_fees_paid, round(af, 4) AS avg_fees_per_month,
+       round(CASE WHEN tp <> 0 THEN tf / abs(tp + 0.001) * 100 ELSE 0.0 END, 6) AS fees_as_pct_of_pnl,
+       (SELECT month FROM b ORDER BY realized_pnl DESC, month LIMIT 1) AS best_month_realized_pnl,
+       round((SELECT max(realized_pnl) FROM b), 4) AS best_month_realized_pnl_value,
+       (SELECT month FROM b ORDER BY realized_pnl ASC, month LIMIT 1) AS worst_month_realized_pnl,
+       round((SELECT min(realized_pnl) FROM b), 4) AS worst_month_realized_pnl_value,
+       (SELECT month FROM b ORDER BY max_drawdown ASC, month LIMIT 1) AS worst_drawdown_month,
+       round(mdd, 12) AS worst_drawdown_pct,
+       round(CASE WHEN mdd < 0 THEN abs(tp) / abs(mdd) END, 2) AS pnl_to_drawdown,
+       (SELECT CASE WHEN arg_max(end_equity, month) < arg_min(end_equity, month) THEN 'decreasing'
+                    WHEN arg_max(end_equity, month) > arg_min(end_equity, month) THEN 'increasing'
+                    ELSE 'stable' END FROM b) AS equity_trend
+FROM s""")
 def q7(spark, d):
     b = S.backtest_monthly(spark, d)
-    return K.trading_backtest(b, _map(b))["kpis"]
+    k = K.trading_backtest(b, _map(b))["kpis"]
+    return rounded(k, {"total_realized_pnl": 4, "avg_realized_pnl_per_month": 4, "std_realized_pnl": 4,
+                       "avg_trades_per_month": 9, "total_fees_paid": 4, "avg_fees_per_month": 4,
+                       "fees_as_pct_of_pnl": 6, "best_month_realized_pnl_value": 4,
+                       "worst_month_realized_pnl_value": 4, "worst_drawdown_pct": 12, "pnl_to_drawdown": 2})
 
 
 _RET = f"SELECT datetime, equity, equity / lag(equity) OVER (ORDER BY datetime) - 1 AS ret FROM {EQ} e"
@@ -227,7 +257,15 @@ def q13(spark, d):
     return K.table_profile(S.generic_table(spark, d))["kpis"]
 
 
-@query("q14_table_describe_top_values")
+_Q14_COLS = ["l_returnflag", "l_linestatus", "l_shipdate", "l_source", "l_bulk_note"]
+
+
+@query("q14_table_describe_top_values", f"WITH g AS {GEN}, c AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS count FROM g GROUP BY 2"
+    for c in _Q14_COLS) + """)
+SELECT "column", value, count FROM (
+  SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value ASC NULLS FIRST) AS r FROM c)
+WHERE r <= 10""")
 def q14(spark, d):
     return K.table_describe(S.generic_table(spark, d))["top_values"]
 

@@ -74,7 +74,13 @@ def s5(spark, d):
     return RD.read_json_table(spark, f"{path}/*/*.txt")
 
 
-@query("s6_read_jsonl")
+@query("s6_read_jsonl", """
+SELECT CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_custkey END AS o_custkey,
+       CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_orderkey END AS o_orderkey,
+       CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+       CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
+       CASE WHEN o_orderkey % 97 = 0 THEN '{"o_orderkey' END AS raw
+FROM orders WHERE NOT (o_orderkey % 89 = 0 AND o_orderkey % 97 <> 0)""")
 def s6(spark, d):
     """Orders as JSON Lines with blank and broken lines mixed in."""
     path = scratch(spark, "orders_jsonl")
