@@ -61,3 +61,16 @@ def test_bucketed_running_values_equal_plain(spark, n, buckets, seed):
 def test_duplicates_plus_distinct_is_rows(spark, rows):
     df = spark.createDataFrame(rows, "x int, y string")
     assert P.duplicate_rows(df).first()[0] + df.distinct().count() == len(rows)
+
+
+def test_hot_timestamp_is_split_across_buckets(spark):
+    """A third of the rows share one timestamp; the range partitioning on the
+    full order key (timestamp, key) still spreads them over the buckets."""
+    n = 3000
+    rows = [(0 if i % 3 == 0 else i, i, float(i % 7)) for i in range(n)]
+    df = spark.createDataFrame(rows, "ts long, k long, v double")
+    sizes = (df.repartitionByRange(8, "ts", "k").groupBy(F.spark_partition_id().alias("b"))
+               .count().collect())
+    assert max(r["count"] for r in sizes) < n / 3
+    got = W.cum_sum(df, ["ts", "k"], "v", "c", n_buckets=8).agg(F.max("c")).first()[0]
+    assert got == sum(r[2] for r in rows)
