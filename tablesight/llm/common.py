@@ -67,8 +67,9 @@ def map_texts(df: DataFrame, text_col: str, outputs: T.StructType,
     """
     names = [f.name for f in outputs]
     keep = [c for c in keep if c in passed_columns(df, names)]
-    held = "__text" if "__text" not in keep else "__text__"
-    source = df.select(*[df[c] for c in keep], df[text_col].alias(held))
+    held = text_col if text_col in keep else "__text_of_row"
+    source = df.select(*[df[c] for c in keep],
+                       *([] if held == text_col else [df[text_col].alias(held)]))
     schema = T.StructType([source.schema[c] for c in keep] + list(outputs))
 
     def run(batches):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesight.llm import byte_bpe, length_histogram, shuffle_shards
+from tablesight.llm import byte_bpe, decontaminate, length_histogram, shuffle_shards, simhash_pivots
 from tablesight.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -35,8 +35,17 @@ def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram.length_histogram(lengths)
 
 
+def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_feistel_shards, op5_byte_bpe, op7_length_histogram)
+    f.__name__: f for f in (op3_feistel_shards, op5_byte_bpe, op7_length_histogram, op8_simhash_pivots,
+                             op10_qgram_decontamination)
 }
 
 
