@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesight.llm import byte_bpe, decontaminate, length_histogram, shuffle_shards, simhash_pivots
+from tablesight.llm import (byte_bpe, byte_gru, decontaminate, length_histogram, ngram_perplexity,
+                            shuffle_shards, simhash_pivots)
 from tablesight.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -18,6 +19,10 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+def op2_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_gru.languages(table(spark, sf_dir, "documents"))
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_shards.document_shards(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -29,6 +34,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
 
 
+def op6_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_perplexity.quality(table(spark, sf_dir, "documents"))
+
+
 def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = byte_bpe.encode_documents(
         table(spark, sf_dir, "documents"), *vocabulary(), outputs=("n_tokens",), keep=[])
@@ -44,8 +53,9 @@ def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_feistel_shards, op5_byte_bpe, op7_length_histogram, op8_simhash_pivots,
-                             op10_qgram_decontamination)
+    f.__name__: f for f in (
+        op2_byte_gru, op3_feistel_shards, op5_byte_bpe, op6_ngram_perplexity, op7_length_histogram,
+        op8_simhash_pivots, op10_qgram_decontamination)
 }
 
 
