@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+from tablesight.llm.common import scratch_table
+
+BLOCK = 256
 
 
 def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:
@@ -27,9 +29,10 @@ def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFr
     ``quantile`` share of documents at or below it.  Empty input: no rows.
     """
     n = F.coalesce(F.col(length_col), F.lit(0)).cast("long")
-    hist = (lengths.groupBy(n.alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
-            .withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
-            .withColumn("block", F.floor(F.col("n_tokens") / BLOCK).cast("long")))
+    hist = scratch_table(
+        lengths.groupBy(n.alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+        .withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+        .withColumn("block", F.floor(F.col("n_tokens") / BLOCK).cast("long")), "lengths")
     above = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     blocks = blocks.select(
