@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesight.llm import (byte_bpe, byte_gru, decontaminate, length_histogram, ngram_perplexity,
-                            shuffle_shards, simhash_pivots)
+from tablesight.llm import (bootstrapped_pii, byte_bpe, byte_gru, classifier_chain, decontaminate,
+                            length_histogram, markov_secrets, ngram_perplexity, shuffle_shards, simhash_pivots)
 from tablesight.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -19,6 +19,10 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+def op1_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier_chain.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_gru.languages(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markov_secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(
         table(spark, sf_dir, "documents"), *vocabulary(),
@@ -48,15 +56,18 @@ def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrapped_pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (
-        op2_byte_gru, op3_feistel_shards, op5_byte_bpe, op6_ngram_perplexity, op7_length_histogram,
-        op8_simhash_pivots, op10_qgram_decontamination)
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_classifier_chain, op2_byte_gru, op3_feistel_shards, op4_markov_secrets, op5_byte_bpe,
+    op6_ngram_perplexity, op7_length_histogram, op8_simhash_pivots, op9_bootstrapped_pii,
+    op10_qgram_decontamination)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
