@@ -25,7 +25,7 @@ from tablesight.llm.common import map_texts
 
 FOLDS = 5
 PER_LANGUAGE, WINDOWS, BLOCK = 512, 3, 128
-HIDDEN, EPOCHS, BATCH, RATE = 12, 6, 128, 0.01
+HIDDEN, STEPS, BATCH, RATE = 12, 300, 128, 0.01
 UNDETERMINED = "und"
 #: Blocks that run side by side in one task.
 WIDE = 4096
@@ -125,7 +125,7 @@ def gradients(w: dict, data: np.ndarray, used: np.ndarray, label: np.ndarray) ->
 
 
 def train(windows: list[tuple[str, str]], seed: int = 7) -> dict | None:
-    """Adam over EPOCHS passes; None without labelled text."""
+    """STEPS Adam steps over shuffled windows; None without labelled text."""
     languages = sorted({lang for lang, _ in windows})
     if not languages:
         return None
@@ -139,17 +139,18 @@ def train(windows: list[tuple[str, str]], seed: int = 7) -> dict | None:
     rng = np.random.default_rng(seed)
     w = start_weights(len(languages), rng)
     m1, m2, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
-    batches = -(-len(raw) // BATCH)
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(raw))
-        for part in np.array_split(order, batches):
-            step += 1
-            rate = RATE * (1 - (step - 1) / (EPOCHS * batches))
-            for k, g in gradients(w, data[:, part], used[:, part], label[part]).items():
-                g = np.clip(g, -1, 1)
-                m1[k] += 0.1 * (g - m1[k])
-                m2[k] += 0.001 * (g * g - m2[k])
-                w[k] -= rate * (m1[k] / (1 - 0.9 ** step)) / (np.sqrt(m2[k] / (1 - 0.999 ** step)) + 1e-8)
+    queue = np.zeros(0, int)
+    while step < STEPS:
+        while len(queue) < min(BATCH, len(raw)):
+            queue = np.append(queue, rng.permutation(len(raw)))
+        part, queue = queue[:BATCH], queue[BATCH:]
+        step += 1
+        rate = RATE * (1 - (step - 1) / STEPS)
+        for k, g in gradients(w, data[:, part], used[:, part], label[part]).items():
+            g = np.clip(g, -1, 1)
+            m1[k] += 0.1 * (g - m1[k])
+            m2[k] += 0.001 * (g * g - m2[k])
+            w[k] -= rate * (m1[k] / (1 - 0.9 ** step)) / (np.sqrt(m2[k] / (1 - 0.999 ** step)) + 1e-8)
     return {"languages": languages, **{k: v.astype(np.float32) for k, v in w.items()}}
 
 
