@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tablesight.llm.common import map_texts
 
 #: Distinct pieces whose ids a task remembers, and the longest piece it keeps.
-CACHE_PIECES, CACHE_CHARS = 1 << 18, 64
+CACHE_PIECES, CACHE_CHARS = 1 << 17, 64
 
 OUTPUTS = {
     "ids": T.ArrayType(T.IntegerType()),

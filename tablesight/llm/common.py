@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 
 from tablesight.session import checkpoint_dir
 
-#: Text bytes handled at once inside one Python task, whatever the batch size.
-SLICE_BYTES = 4 << 20
+#: Text bytes handled at once inside one Python task, whatever the batch size:
+#: a worker's arrays are a small multiple of this.
+SLICE_BYTES = 512 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +42,8 @@ def passed_columns(df: DataFrame, outputs: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each piece holds about SLICE_BYTES of text
+def slices(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each piece holds about ``limit`` bytes of text
     (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -50,7 +51,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.Reco
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_col)), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
-            if held and held + n > SLICE_BYTES:
+            if held and held + n > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
