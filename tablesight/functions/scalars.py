@@ -11,43 +11,54 @@ from pyspark.sql import types as T
 # padded by blanks.  ``try_cast`` alone accepts "12f" and "12d" (Java suffixes).
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
-# Datetime formats tried in order when parsing text.
-DATETIME_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "M/d/yyyy H:mm:ss",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy",
-    "d.M.yyyy",
-    "yyyyMMdd",
+# The shapes of date text and how each is read.  ISO text goes
+# through Spark's own cast; a row is parsed once, by the format of its shape.
+ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?)?$"
+ZONED_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)? ?(Z|[+-]\d{2}(:?\d{2})?)$"
+DATETIME_SHAPES = [
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy/M/d H:mm:ss"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+    (r"^\d{8}$", "yyyyMMdd"),
 ]
 
+# Spellings of infinity in number text.
+INFINITY = ("inf", "+inf", "infinity", "+infinity")
+MINUS_INFINITY = ("-inf", "-infinity")
 
-def col_(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+# Units per epoch unit in microseconds and nanoseconds, and the
+# last nanosecond of a 64-bit timestamp (in the year 2262).
+EPOCH_MICROS = {"s": 1_000_000, "ms": 1_000, "us": 1}
+EPOCH_NANOS = {"s": 1_000_000_000, "ms": 1_000_000, "us": 1_000, "ns": 1}
+LAST_NANOSECOND = 2 ** 63 - 1
 
 
-def to_number(c) -> Column:
-    """Parse to double, bad values to NULL (F14 / P10).  Numeric input passes
-    through; NaN becomes NULL so that NULL is the one missing marker."""
-    c = col_(c)
-    s = c.cast("string")
-    parsed = F.when(s.rlike(NUMBER_PATTERN), F.trim(s).try_cast("double"))
-    return nan_to_null(parsed)
+def col_(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-def to_number_typed(c, dtype: T.DataType) -> Column:
-    """Like :func:`to_number` but skips the text round trip for numeric input."""
+def to_number(c, dtype: T.DataType | None = None) -> Column:
+    """Parse to double, bad values to NULL (F14 / P10).  Numbers and booleans
+    are cast, other types go through their text; NaN becomes NULL so that NULL
+    is the one missing marker.  Without a type the column is read as text."""
     c = col_(c)
     if isinstance(dtype, T.NumericType):
         return nan_to_null(c.cast("double"))
-    return to_number(c)
+    if isinstance(dtype, T.BooleanType):
+        return c.cast("int").cast("double")
+    s = F.trim(c.cast("string"))
+    word = F.lower(s)
+    return nan_to_null(F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
+                       .when(word.isin(*INFINITY), F.lit(float("inf")))
+                       .when(word.isin(*MINUS_INFINITY), F.lit(float("-inf"))))
+
+
+def number_of(df, name: str) -> Column:
+    """``to_number`` of a column of ``df``, by its type."""
+    return to_number(F.col("`" + name.replace("`", "``") + "`"), df.schema[name].dataType)
 
 
 def nan_to_null(c) -> Column:
@@ -56,11 +67,6 @@ def nan_to_null(c) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
-def inf_to_null(c) -> Column:
-    c = col_(c)
-    return F.when(F.abs(c) == float("inf"), F.lit(None).cast("double")).otherwise(c)
-
-
 def safe_ratio(num, den) -> Column:
     """num / den, NULL when den is 0 or NULL (ANSI-safe)."""
     return F.try_divide(col_(num), col_(den))
@@ -80,20 +86,37 @@ def parse_ts(c, dtype: T.DataType | None = None) -> Column:
     if isinstance(dtype, T.DateType):
         return c.cast("timestamp_ntz")
     s = F.trim(c.cast("string"))
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATETIME_FORMATS])
-    # wall-clock timestamps without zone, like the driver tables
-    return parsed.cast("timestamp_ntz")
-
-
-def epoch_to_ts(c, unit: str) -> Column:
-    """Numeric epoch to a zone-less timestamp (F12); unit in s, ms, us, ns.
-    Zone-less arithmetic from 1970-01-01, so the session time zone does not
-    matter."""
-    per_unit = {"s": 1_000_000, "ms": 1_000, "us": 1, "ns": 0.001}
-    if unit not in per_unit:
+    # wall-clock timestamps without zone, like the driver tables; text with a
+    # zone is brought to UTC
+    utc = F.timestamp_add("MICROSECOND", F.unix_micros(s.try_cast("timestamp")), epoch_ntz())
+    parsed = F.when(s.rlike(ISO_SHAPE), s.try_cast("timestamp_ntz")).when(s.rlike(ZONED_SHAPE), utc)
+    for shape, fmt in DATETIME_SHAPES:
+        parsed = parsed.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz"))
+    return parsed
+
+
+def epoch_in_range(c, unit: str) -> Column:
+    """Whether a numeric epoch lies in the years a 64-bit nanosecond timestamp
+    can say."""
+    return F.abs(col_(c)) <= LAST_NANOSECOND // EPOCH_NANOS[unit]
+
+
+def epoch_to_ts(c, unit: str, dtype: T.DataType | None = None) -> Column:
+    """Numeric epoch to a zone-less timestamp (F12); unit in s, ms, us, ns;
+    values out of range become NULL.  Zone-less arithmetic from 1970-01-01, so
+    the session time zone does not matter, and whole numbers stay whole."""
+    if unit not in EPOCH_NANOS:
         raise ValueError(f"unknown epoch unit {unit!r}")
-    micros = F.floor(col_(c).cast("double") * F.lit(per_unit[unit])).cast("long")
-    return F.timestamp_add("MICROSECOND", micros, epoch_ntz())
+    c = col_(c)
+    value = F.when(epoch_in_range(c, unit), c)
+    if isinstance(dtype, T.IntegralType):
+        value = value.cast("long")
+        micros = (value * EPOCH_MICROS[unit] if unit in EPOCH_MICROS
+                  else F.call_function("div", value - F.pmod(value, F.lit(1000).cast("long")), F.lit(1000).cast("long")))
+    else:
+        value = value.cast("double")
+        micros = F.floor(value * EPOCH_MICROS[unit] if unit in EPOCH_MICROS else value / 1000)
+    return F.timestamp_add("MICROSECOND", micros.cast("long"), epoch_ntz())
 
 
 def epoch_ntz() -> Column:
@@ -115,7 +138,7 @@ def period_start(c, period: str) -> Column:
 def yes_flag(c) -> Column:
     """Lower-cased text in {1, true, yes, y, abnormal}."""
     # Tokens that mark an abnormal lab result.
-    return F.lower(F.trim(col_(c).cast("string"))).isin("1", "true", "yes", "y", "abnormal")
+    return F.lower(col_(c).cast("string")).isin("1", "true", "yes", "y", "abnormal")
 
 
 def status_class(c) -> Column:

@@ -13,31 +13,32 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    from tablesight.sources.readers import spread
-    path = f"{sf_dir}/{name}.parquet"
-    return spread(spark.read.parquet(path), path)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clinic visits/billing: one row per order.  The procedure is the
-    customer's market segment (orders joined to customer on the key)."""
+def visits(spark: SparkSession, sf_dir: str, procedure: bool = False) -> DataFrame:
+    """Clinic visits/billing: one row per order.  The procedure, where asked
+    for, is the customer's market segment (orders joined to customer)."""
     o = table(spark, sf_dir, "orders")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return (o.join(c, o.o_custkey == c.c_custkey, "left")
-            .select(
-                F.col("o_custkey").alias("patient_id"),
-                F.col("o_orderkey").alias("visit_id"),
-                F.col("o_orderdate").alias("datetime"),
-                F.col("o_orderpriority").alias("doctor"),
-                F.col("c_mktsegment").alias("procedure"),
-                F.when(F.col("o_orderstatus") == "P", "no show")
-                 .when(F.col("o_orderstatus") == "O", "cancelled")
-                 .when(F.col("o_orderstatus") == "F", "completed")
-                 .otherwise(F.col("o_orderstatus")).alias("status"),
-                F.col("o_totalprice").alias("billed_amount"),
-                F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))
-                 .otherwise(F.lit(0.0)).alias("paid_amount"),
-            ))
+    extra = []
+    if procedure:
+        c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+        o = o.join(c, o.o_custkey == c.c_custkey, "left")
+        extra = [F.col("c_mktsegment").alias("procedure")]
+    return o.select(
+        F.col("o_custkey").alias("patient_id"),
+        F.col("o_orderkey").alias("visit_id"),
+        F.col("o_orderdate").alias("datetime"),
+        F.col("o_orderpriority").alias("doctor"),
+        *extra,
+        F.when(F.col("o_orderstatus") == "P", "no show")
+         .when(F.col("o_orderstatus") == "O", "cancelled")
+         .when(F.col("o_orderstatus") == "F", "completed")
+         .otherwise(F.col("o_orderstatus")).alias("status"),
+        F.col("o_totalprice").alias("billed_amount"),
+        F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))
+         .otherwise(F.lit(0.0)).alias("paid_amount"),
+    )
 
 
 VISITS_SQL = """
@@ -125,27 +126,37 @@ FROM (SELECT CAST(l_shipdate AS DATE) AS datetime,
 
 
 def backtest_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly backtest summary: trades, PnL, fees, end equity and the worst
-    drawdown fraction (from daily equity) per month."""
+    """Monthly backtest summary: trades, PnL, fees, end equity, the worst
+    drawdown fraction (from daily equity) and training telemetry per month
+    (quantity as steps, mean discount as epsilon, returned lines as blocked).
+    lineitem is read once: the days, which bound the ordered window, are rolled
+    up to months."""
     from pyspark.sql import Window as W
-    t = trade_log(spark, sf_dir)
-    monthly = (t.groupBy(F.date_format("datetime", "yyyy-MM").alias("month"))
-               .agg(F.count("*").alias("trades"),
-                    F.sum("realized_pnl").alias("realized_pnl"),
-                    F.sum("fees").alias("total_fees")))
-    eq = equity_curve(spark, sf_dir)
-    w = W.orderBy("datetime").rowsBetween(W.unboundedPreceding, 0)
-    eq = eq.withColumn("peak", F.max("equity").over(w))
-    m_eq = (eq.groupBy(F.date_format("datetime", "yyyy-MM").alias("month"))
-            .agg(F.max_by("equity", "datetime").alias("end_equity"),
-                 F.min((F.col("equity") - F.col("peak")) / F.col("peak")).alias("max_drawdown")))
-    return monthly.join(m_eq, "month", "inner")
+    t = table(spark, sf_dir, "lineitem")
+    pnl = F.col("l_extendedprice") * (F.col("l_discount") - F.lit(0.05))
+    daily = t.groupBy(F.to_date("l_shipdate").alias("day")).agg(
+        F.count(F.lit(1)).alias("trades"), F.sum(pnl).alias("realized_pnl"),
+        F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("total_fees"), F.sum("l_quantity").alias("steps"),
+        F.sum("l_discount").alias("epsilon"), F.count_if(F.col("l_returnflag") == "R").alias("blocked"))
+    w = W.orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+    daily = daily.withColumn("equity", F.lit(1e8) + F.sum("realized_pnl").over(w))
+    daily = daily.withColumn("peak", F.max("equity").over(w))
+    return (daily.groupBy(F.date_format("day", "yyyy-MM").alias("month"))
+            .agg(F.sum("trades").alias("trades"), F.sum("realized_pnl").alias("realized_pnl"),
+                 F.sum("total_fees").alias("total_fees"), F.max_by("equity", "day").alias("end_equity"),
+                 F.min((F.col("equity") - F.col("peak")) / F.col("peak")).alias("max_drawdown"),
+                 F.sum("steps").cast("long").alias("agent_train_steps"),
+                 (F.sum("epsilon") / F.sum("trades")).alias("avg_epsilon"),
+                 F.sum("blocked").alias("blocked_total")))
 
 
 BACKTEST_SQL = """
-WITH t AS (""" + TRADES_SQL + """),
+WITH t AS (SELECT l_shipdate AS datetime, l_extendedprice * (l_discount - 0.05) AS realized_pnl,
+                  l_extendedprice * l_tax AS fees, l_quantity, l_discount, l_returnflag FROM lineitem),
 m AS (SELECT strftime(datetime, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS trades,
-             sum(realized_pnl) AS realized_pnl, sum(fees) AS total_fees FROM t GROUP BY 1),
+             sum(realized_pnl) AS realized_pnl, sum(fees) AS total_fees,
+             CAST(sum(l_quantity) AS BIGINT) AS agent_train_steps, avg(l_discount) AS avg_epsilon,
+             CAST(count_if(l_returnflag = 'R') AS BIGINT) AS blocked_total FROM t GROUP BY 1),
 eq AS (""" + EQUITY_SQL + """),
 eqp AS (SELECT *, max(equity) OVER (ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM eq),
 me AS (SELECT strftime(datetime, '%Y-%m') AS month, arg_max(equity, datetime) AS end_equity,
@@ -154,6 +165,30 @@ SELECT m.*, me.end_equity, me.max_drawdown FROM m JOIN me USING (month)
 """
 
 
+def vitals_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vitals in which the readings of 'error' events are missing."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.col("ts").alias("datetime"),
+                    F.when(F.col("event_type") != "error", F.col("value")).alias("heart_rate"))
+
+
+VITALS_GAPS_SQL = """
+SELECT event_id, ts AS datetime, CASE WHEN event_type <> 'error' THEN value END AS heart_rate FROM events
+"""
+
+
+def billing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A billing table: a date and one amount per order, every seventh missing."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderdate").alias("datetime"),
+                    F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("amount"))
+
+
+BILLING_SQL = """
+SELECT o_orderdate AS datetime, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS amount FROM orders
+"""
+
+
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(

@@ -4,9 +4,11 @@ checkpoint folder used to cut long lineages."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -45,13 +47,26 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster sets it to a shared file system; only when it is unset (local
-    tests) do we create a scratch folder of our own.
+    The cluster sets it to a shared file system.  Where it is unset, only a
+    local session (tests) may use a scratch folder of its own: on a cluster a
+    folder of one machine would hold a part of the rows only.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder shared by driver and executors ({master})")
         path = tempfile.mkdtemp(prefix="tablesight-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def scratch_table(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back, so that
+    later passes neither recompute it nor depend on any one executor."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

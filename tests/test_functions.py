@@ -53,10 +53,30 @@ def test_sentences_match_python(spark):
 
 
 def test_parse_ts_formats(spark):
-    got = _one(spark, lambda c: S.parse_ts(c), ["2024-01-02", "1/2/2024", "2024-01-02 03:04:05",
-                                                  "bad", None])
-    assert got == [dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2, 3, 4, 5),
-                   None, None]
+    got = _one(spark, lambda c: S.parse_ts(c), [
+        "2024-01-02", "1/2/2024", "2024-01-02 03:04:05", "2024-01-02T03:04:05Z", "2024-01-02T23:30:00-02:00",
+        "2024-01-02T03:04:05.250", "2.1.2024", "20240102", "2024/01/02 03:04:05", "13/45/2024", "bad", "12345", None])
+    day = dt.datetime(2024, 1, 2)
+    time = dt.datetime(2024, 1, 2, 3, 4, 5)
+    assert got == [day, day, time, time, dt.datetime(2024, 1, 3, 1, 30), time.replace(microsecond=250000), day, day, time,
+                   None, None, None, None]
+
+
+def test_numbers_by_type(spark):
+    from pyspark.sql import types as T
+    inf = float("inf")
+    assert _one(spark, S.to_number, ["inf", " -Infinity", "nan", "+INF"]) == [inf, -inf, None, inf]
+    assert _one(spark, lambda c: S.to_number(c, T.DoubleType()), [inf, 1.5, float("nan")], "double") == [inf, 1.5, None]
+    assert _one(spark, lambda c: S.to_number(c, T.BooleanType()), [True, False, None], "boolean") == [1.0, 0.0, None]
+
+
+def test_epochs_stay_whole_and_in_range(spark):
+    from pyspark.sql import types as T
+    df = spark.createDataFrame([(1700000000123456789, 10 ** 17, -1500)], "ns long, ms long, us long")
+    r = df.select(S.epoch_to_ts("ns", "ns", T.LongType()).alias("ns"), S.epoch_to_ts("ms", "ms", T.LongType()).alias("ms"),
+                  S.epoch_to_ts("us", "us", T.LongType()).alias("us")).first()
+    assert r.ns == dt.datetime(2023, 11, 14, 22, 13, 20, 123456) and r.ms is None
+    assert r.us == dt.datetime(1969, 12, 31, 23, 59, 59, 998500)
 
 
 def test_epoch_units(spark):

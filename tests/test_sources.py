@@ -58,4 +58,65 @@ def test_documents_whole_files(spark):
 
 
 def test_repair_header():
-    assert R.repair_header(["﻿a", "a", "x\ny", "", "é!"]) == ["a", "a__2", "x y", "col", "é_"]
+    from tablesight.functions.naming import HEADER, NORMALIZED, SANITIZED, clean_names
+    assert clean_names(["\ufeffa", "a", "x\ny", "", "é!"], HEADER) == ["a", "a__2", "x y", "col", "é_"]
+    assert clean_names(["a", "a__2", "a"], HEADER) == ["a", "a__2", "a__3"]
+    assert clean_names([" Net\t Price ($) ", "É"], NORMALIZED) == ["net_price_", "col"]
+    assert clean_names([" Net\t Price ($) ", "Qty-x"], SANITIZED) == ["Net_Price_", "Qty-x"]
+
+
+def test_quotes_breaks_and_long_rows(spark):
+    _, p = _tmp("q.csv", 'a,b\n1,"two\nlines"\n2,"say ""hi"", now"\n3,x,\n4,x,y\n5\n6,"p,q"\n')
+    rows = {r.a: r.b for r in R.read_delimited(spark, p).collect()}
+    assert rows == {1: "two\nlines", 2: 'say "hi", now', 5: None, 6: "p,q"}
+
+
+def test_each_file_by_its_own_delimiter(spark):
+    d, _ = _tmp("a.csv", "x,y\n1,2\n3,4\n")
+    with open(os.path.join(d, "b.csv"), "w") as f:
+        f.write("x;y\n5;6\n7;8\n")
+    with open(os.path.join(d, "c.csv"), "w") as f:
+        f.write("y;z\n9;w\n")
+    rows = sorted((tuple(r) for r in R.read_delimited(spark, d).select("x", "y", "z").collect()), key=str)
+    assert rows == [(1, 2, None), (3, 4, None), (5, 6, None), (7, 8, None), (None, 9, "w")]
+
+
+def test_json_scalars(spark):
+    d, _ = _tmp("a.json", "42")
+    with open(os.path.join(d, "b.json"), "w") as f:
+        f.write('"text"')
+    assert sorted(r.value for r in R.read_json_table(spark, d).collect()) == ["42", "text"]
+    with open(os.path.join(d, "c.json"), "w") as f:
+        f.write('{"k": 1}')
+    assert sorted((r.k, r.value) for r in R.read_json_table(spark, d).collect() if r.k) == [(1, None)]
+
+
+def test_cap_needs_an_order(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        R.cap_rows(spark.range(5), 2)
+    assert [r.id for r in R.cap_rows(spark.range(5), 2, ["id"]).collect()] == [0, 1]
+
+
+def test_cleaned_csv_round_trip(spark, tmp_path):
+    from tablesight.sources.sinks import write_cleaned
+    rows = [(1, 'a "b" c'), (2, "x\ny"), (3, "back\\slash"), (4, None)]
+    write_cleaned(spark.createDataFrame(rows, "k int, t string"), f"{tmp_path}/out")
+    assert sorted(tuple(r) for r in R.read_delimited(spark, f"{tmp_path}/out", sep=",").collect()) == rows
+
+
+def test_no_scratch_folder_of_one_machine_on_a_cluster():
+    import pytest
+
+    from tablesight import session
+
+    class Conf(dict):
+        def get(self, k, d=None):
+            return dict.get(self, k, d)
+
+    class Spark:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Spark())
