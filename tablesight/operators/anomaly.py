@@ -4,9 +4,10 @@ MLlib has no isolation forest, so the work is split the Spark way:
 
 1. preprocessing as DataFrame expressions: winsorise to the 1 % / 99 %
    quantiles, median fill, standardise;
-2. a Bernoulli sample of about ``1.2 * n_trees * max_samples`` rows, each row
-   hashed to one (or, for small inputs, a few) trees; every tree group holds
-   a bounded number of rows (~1.2 * max_samples), whatever the data size;
+2. a hash sample of about ``1.2 * n_trees * max_samples`` rows, each row
+   hashed to one tree (for small inputs each of its replicas separately); every
+   tree group holds a bounded number of rows (~1.2 * max_samples), whatever the
+   data size;
 3. ``groupBy(tree).applyInPandas`` grows the trees in parallel;
 4. the forest (at most ``n_trees * (2 * max_samples - 1)`` nodes) is collected
    and broadcast, and ``mapInPandas`` scores every row in Arrow batches;
@@ -19,14 +20,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesight.functions.scalars import nan_to_null, to_number
+from tablesight.functions.scalars import number_of
 from tablesight.operators.profile import _q
 from tablesight.operators.quantiles import exact_quantiles
+from tablesight.session import scratch_table
 
 EULER = 0.5772156649015329
 
@@ -79,7 +80,7 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
 
 
 def _prepare(df: DataFrame, columns: list[str], clip: tuple[float, float] | None) -> DataFrame:
-    num = df.select("*", *[nan_to_null(to_number(_q(c))).alias(f"__x{i}") for i, c in enumerate(columns)])
+    num = df.select("*", *[number_of(df, c).alias(f"__x{i}") for i, c in enumerate(columns)])
     xs = [f"__x{i}" for i in range(len(columns))]
     probs = [0.5] + (list(clip) if clip else [])
     q = exact_quantiles(num.select(*xs), xs, probs)
@@ -121,11 +122,15 @@ def isolation_forest_scores(df: DataFrame, columns: list[str], key: list[str],
     target = 1.2 * n_trees * psi
     frac = min(1.0, target / max(1, n))
     reps = int(min(n_trees, max(1, math.ceil(target / max(1.0, n * frac)))))
+    # which rows are sampled, and to which trees, follows from the keys alone, so
+    # neither partitioning nor a retry changes the forest
     h = F.xxhash64(F.lit(seed), *[F.col(_q(c)) for c in key])
-    pool = (prep.sample(withReplacement=False, fraction=frac, seed=seed) if frac < 1.0 else prep)
-    pool = pool.select(*xs, F.pmod(h, F.lit(n_trees)).alias("_t0"), h.alias("_k"))
-    pool = pool.select(*xs, "_k", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_j"), "_t0")
-    pool = pool.select(*xs, "_k", F.pmod(F.col("_t0") + F.col("_j"), F.lit(n_trees)).alias("tree"))
+    pool = prep.select(*xs, h.alias("_k"))
+    if frac < 1.0:
+        pool = pool.filter(F.pmod("_k", F.lit(1 << 30)) < F.lit(int(frac * (1 << 30))))
+    pool = pool.select(*xs, "_k", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_j"))
+    pool = pool.select(*xs, F.xxhash64("_k", "_j").alias("_k"),
+                       F.pmod(F.xxhash64(F.lit(seed + 1), "_k", "_j"), F.lit(n_trees)).cast("int").alias("tree"))
 
     node_schema = T.StructType([
         T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType()),
@@ -135,7 +140,7 @@ def isolation_forest_scores(df: DataFrame, columns: list[str], key: list[str],
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values("_k", kind="stable").head(psi)
+        pdf = pdf.sort_values(["_k", *xs], kind="stable").head(psi)
         rng = np.random.default_rng(seed * 100003 + t)
         feat, split, left, right, size = _grow(pdf[xs].to_numpy(dtype=float), rng, max_depth)
         k = len(feat)
@@ -185,26 +190,45 @@ def isolation_forest_scores(df: DataFrame, columns: list[str], key: list[str],
     return prep.mapInPandas(score, out_schema)
 
 
+# Column names that identify a row in a report.
+REPORT_KEYS = ("ts", "timestamp", "time", "date", "datetime", "id", "symbol", "price", "value")
+
+
+def report_keys(columns: list[str]) -> list[str]:
+    """The columns named like identifiers, else the first three."""
+    return [c for c in columns if c.lower() in REPORT_KEYS] or columns[:3]
+
+
 def anomaly(df: DataFrame, columns: list[str], key: list[str], contamination: float = 0.02,
             top: int = 50, n_trees: int = 200, max_samples: int = 256, seed: int = 42,
-            min_rows: int = 50) -> dict[str, DataFrame]:
+            min_rows: int = 50, clip: tuple[float, float] | None = (0.01, 0.99)) -> dict[str, DataFrame]:
     """``summary`` (anomaly_fraction, anomaly_count, threshold) and
-    ``top`` (the ``top`` highest-scoring anomalies with their key columns,
-    score relative to the threshold as the reference reports it)."""
+    ``top`` (T2: the ``top`` highest-scoring anomalies with their position in
+    key order, their key and identifying columns, and their score relative to
+    the threshold, as the reference reports it)."""
     spark = df.sparkSession
     n = df.count()
     if not columns or n < min_rows:
         return {"summary": spark.createDataFrame(
             [("skipped", "Need >=1 numeric cols and >=50 rows")], "status string, reason string")}
+    shown = [c for c in report_keys(df.columns) if c not in key]
+    held = list(dict.fromkeys([*key, *columns, *shown]))
     # the scores feed the threshold, the count and the top list: score once
-    scored = (isolation_forest_scores(df.select(*key, *columns), columns, key, n_trees, max_samples, seed)
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    scored = scratch_table(isolation_forest_scores(
+        df.select(*held), columns, key, n_trees, max_samples, seed, clip), "anomaly")
     thr = exact_quantiles(scored.select("anomaly_score"), ["anomaly_score"], [1 - contamination])
     t = thr[("anomaly_score", 1 - contamination)]
     flagged = scored.filter(F.col("anomaly_score") > F.lit(t))
     summary = flagged.agg(F.count(F.lit(1)).alias("anomaly_count")).select(
         (F.col("anomaly_count") / F.lit(n)).alias("anomaly_fraction"), "anomaly_count",
         F.lit(t).alias("threshold"))
-    top_rows = (flagged.select(*key, (F.col("anomaly_score") - F.lit(t)).alias("anomaly_score"))
+    top_rows = (flagged.select(*key, *shown, (F.col("anomaly_score") - F.lit(t)).alias("anomaly_score"))
                        .orderBy(F.desc("anomaly_score"), *key).limit(top))
+    # position in key order: rows before it, counted for the few rows shown
+    found = top_rows.collect()
+    at = F.struct(*[F.col(_q(c)) for c in key])
+    before = df.agg(*[F.count_if(at < F.struct(*[F.lit(r[c]).cast(df.schema[c].dataType).alias(c) for c in key]))
+                      .alias(f"b{i}") for i, r in enumerate(found)]).first() if found else ()
+    schema = T.StructType([T.StructField("row_index", T.LongType()), *top_rows.schema.fields])
+    top_rows = spark.createDataFrame([(b, *r) for b, r in zip(before, found)], schema)
     return {"summary": summary, "top": top_rows, "scores": scored}

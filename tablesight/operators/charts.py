@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesight.functions.scalars import parse_ts, to_number
+from tablesight.functions.scalars import number_of, parse_ts
 from tablesight.operators import ordered as W
 from tablesight.operators.profile import correlation_pairs
 
@@ -15,7 +15,7 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
     """``bins`` equal-width bins over [min, max]; the last bin is closed.
     Empty bins are listed with count 0.  When min = max every value falls in
     the middle bin of [min - 0.5, max + 0.5] (as numpy does)."""
-    v = to_number(column)
+    v = number_of(df, column)
     vals = df.select(v.alias("v")).filter(F.col("v").isNotNull())
     bounds = vals.agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
     bounds = bounds.select(
@@ -38,7 +38,7 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
 
 def time_line(df: DataFrame, x: str, y: str) -> DataFrame:
     """Parsed time, numeric value, NULLs dropped, sorted by time."""
-    return (df.select(parse_ts(x, df.schema[x].dataType).alias("x"), to_number(y).alias("y"))
+    return (df.select(parse_ts(x, df.schema[x].dataType).alias("x"), number_of(df, y).alias("y"))
               .dropna().orderBy("x"))
 
 
@@ -50,22 +50,21 @@ def bar_top(df: DataFrame, key: str, y: str, k: int = 20) -> DataFrame:
 
 def corr_heatmap(df: DataFrame, columns: list[str]) -> DataFrame:
     """C4: the full correlation matrix in long form (both orders and the
-    diagonal, which is 1 for a column that varies)."""
-    c = correlation_pairs(df, columns)
-    swapped = c.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr")
-    spark = df.sparkSession
-    num = df.select([to_number(x).alias(x) for x in columns])
-    sd = num.agg(*[F.stddev_pop(x).alias(x) for x in columns]).first()
-    diag = spark.createDataFrame([(x, x, 1.0 if (sd[x] or 0) > 0 else None) for x in columns],
-                                 "col_a string, col_b string, corr double")
-    return c.unionByName(swapped).unionByName(diag)
+    diagonal, which is 1 for a column that varies).  One pass gives the pairs,
+    each mirrored, and each column with itself."""
+    pairs = correlation_pairs(df, columns, with_self=True)
+    same = F.col("col_a") == F.col("col_b")
+    cell = lambda a, b, c: F.struct(F.col(a).alias("col_a"), F.col(b).alias("col_b"), c.alias("corr"))
+    corr = F.col("corr")
+    return pairs.select(F.inline(F.when(same, F.array(cell("col_a", "col_b", F.when(corr.isNotNull(), 1.0))))
+                                 .otherwise(F.array(cell("col_a", "col_b", corr), cell("col_b", "col_a", corr)))))
 
 
 def scatter_points(df: DataFrame, x: str, y: str, fraction: float = 1.0, seed: int = 42,
                    key: list[str] | None = None) -> DataFrame:
     """Numeric pairs, NULLs dropped; a repeatable hash sample of
     ``fraction`` of the rows when below 1 (T5)."""
-    pts = df.select(*(key or []), to_number(x).alias("x"), to_number(y).alias("y")).dropna(subset=["x", "y"])
+    pts = df.select(*(key or []), number_of(df, x).alias("x"), number_of(df, y).alias("y")).dropna(subset=["x", "y"])
     if fraction >= 1.0:
         return pts
     from tablesight.operators.topk import hash_sample
@@ -74,28 +73,32 @@ def scatter_points(df: DataFrame, x: str, y: str, fraction: float = 1.0, seed: i
 
 def equity_points(df: DataFrame, order: list[str], y: str) -> DataFrame:
     """Numeric values, NULLs dropped, with their position."""
-    d = df.select(*order, to_number(y).alias("y")).filter(F.col("y").isNotNull())
+    d = df.select(*order, number_of(df, y).alias("y")).filter(F.col("y").isNotNull())
     return W.row_position(d, order, "index").select("index", "y")
 
 
 def drawdown_points(df: DataFrame, order: list[str], y: str) -> DataFrame:
     """Running total of y, its running peak, and the difference."""
-    d = df.select(*order, to_number(y).alias("y"))
+    d = df.select(*order, number_of(df, y).alias("y"))
     return W.drawdown_of_cumsum(d, order, "y")
 
 
-def candles(df: DataFrame, time: str = "datetime", k: int = 200) -> DataFrame:
-    """The first k bars by time with the up/down flag and the body."""
-    o, c = to_number("open"), to_number("close")
-    return (df.select(time, o.alias("open"), to_number("high").alias("high"),
-                      to_number("low").alias("low"), c.alias("close"))
-              .orderBy(time).limit(k)
+def candles(df: DataFrame, time: str = "datetime", k: int | None = 200) -> DataFrame:
+    """The first k bars by time (None: all) with the up/down flag and the body."""
+    o, c = number_of(df, "open"), number_of(df, "close")
+    bars = (df.select(time, o.alias("open"), number_of(df, "high").alias("high"),
+                      number_of(df, "low").alias("low"), c.alias("close"))
+              .orderBy(time))
+    return ((bars.limit(k) if k else bars)
               .withColumn("up", F.col("close") >= F.col("open"))
               .withColumn("body_bottom", F.least("open", "close"))
               .withColumn("body_height", F.abs(F.col("close") - F.col("open"))))
 
 
-def monthly_series(df: DataFrame, month: str, columns: list[str]) -> DataFrame:
-    """C11: month with each series, missing values as 0."""
-    return df.select(F.col(month).cast("string").alias("month"),
-                     *[F.coalesce(to_number(c), F.lit(0.0)).alias(c) for c in columns])
+def monthly_series(df: DataFrame, month: str, columns: list[str], fill: float | None = 0.0) -> DataFrame:
+    """C11: month with each series, missing values as ``fill`` (None: kept
+    missing, as the summary table has them)."""
+    def value(c):
+        return number_of(df, c) if fill is None else F.coalesce(number_of(df, c), F.lit(fill))
+
+    return df.select(F.col(month).cast("string").alias("month"), *[value(c).alias(c) for c in columns])

@@ -6,69 +6,31 @@ row work itself is a single projection, so cleaning is one narrow stage.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesight.functions.scalars import epoch_to_ts, nan_to_null, parse_ts, to_number
-from tablesight.operators.profile import (NUMERIC, _q, columns_of_type, constant_columns)
+from tablesight.functions.naming import NORMALIZED, SANITIZED, clean_names
+from tablesight.functions.scalars import (EPOCH_NANOS, LAST_NANOSECOND, epoch_to_ts, nan_to_null,
+                                          number_of, parse_ts)
+from tablesight.operators.profile import (NUMERIC, TS_NAME_RE, _q, columns_of_type, constant_columns)
 from tablesight.operators.quantiles import exact_quantiles
 
-# Column names that mark time columns (name test).
-TIME_NAME_RE = re.compile(r"(^|_)(ts|time|timestamp|date|datetime|dt)($|_)", re.I)
-
-
-def _dedupe(names: list[str]) -> list[str]:
-    seen: dict[str, int] = {}
-    out = []
-    for n in names:
-        if n in seen:
-            seen[n] += 1
-            k = seen[n]
-            cand = f"{n}__{k}"
-            while cand in seen:
-                k += 1
-                cand = f"{n}__{k}"
-            seen[n] = k
-            seen[cand] = 1
-            out.append(cand)
-        else:
-            seen[n] = 1
-            out.append(n)
-    return out
-
-
-def normalize_name(name: str) -> str:
-    """P1 rule: strip, lower, blanks -> '_', drop [^a-z0-9_], empty -> 'col'."""
-    s = str(name).strip().lower()
-    s = re.sub(r"\s+", "_", s)
-    s = re.sub(r"[^a-z0-9_]+", "", s)
-    return s or "col"
-
-
-def sanitize_name(name: str) -> str:
-    """P2 rule: collapse blanks, drop [^a-zA-Z0-9_- ], blank -> '_' (case kept)."""
-    s = re.sub(r"\s+", " ", str(name)).strip()
-    s = re.sub(r"[^a-zA-Z0-9_\- ]+", "", s)
-    s = s.replace(" ", "_")
-    return s or "col"
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
     """Normalised, de-duplicated names (``a``, ``a__2``)."""
-    return df.toDF(*_dedupe([normalize_name(c) for c in df.columns]))
+    return df.toDF(*clean_names(df.columns, NORMALIZED))
 
 
 def rename_log(df: DataFrame) -> list[str]:
-    new = _dedupe([normalize_name(c) for c in df.columns])
+    new = clean_names(df.columns, NORMALIZED)
     return [f"{o} -> {n}" for o, n in zip(df.columns, new)]
 
 
 def sanitize_columns(df: DataFrame) -> DataFrame:
     """Sanitised, de-duplicated names."""
-    return df.toDF(*_dedupe([sanitize_name(c) for c in df.columns]))
+    return df.toDF(*clean_names(df.columns, SANITIZED))
 
 
 def drop_constant_columns(df: DataFrame) -> DataFrame:
@@ -134,10 +96,10 @@ def clean_table(df: DataFrame) -> DataFrame:
 
 
 def model_frame(df: DataFrame, types: dict[str, list[str]], max_missing: float = 0.5,
-                max_columns: int = 200) -> DataFrame:
+                max_columns: int | None = None) -> DataFrame:
     """Numeric columns that are not id / datetime / text, at least
-    (1 - max_missing) present, with more than one distinct value; first
-    ``max_columns``.  One aggregate decides."""
+    (1 - max_missing) present, with more than one distinct value; the first
+    ``max_columns`` where a number is given.  One aggregate decides."""
     excl = set(types.get("id", [])) | set(types.get("datetime", [])) | set(types.get("text", []))
     cand = [c for c in types.get("numeric", []) if c not in excl and c in df.columns]
     if not cand:
@@ -159,7 +121,7 @@ def parse_datetimes(df: DataFrame, columns: list[str] | None = None) -> DataFram
     """String columns whose name looks like time and that parse at least
     once become timestamps (bad values NULL)."""
     strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    cand = columns if columns is not None else [c for c in strs if TIME_NAME_RE.search(c)]
+    cand = columns if columns is not None else [c for c in strs if TS_NAME_RE.search(c)]
     if not cand:
         return df
     r = df.agg(*[F.count(parse_ts(_q(c))).alias(f"p{i}") for i, c in enumerate(cand)]).first()
@@ -188,7 +150,8 @@ def epoch_unit(vmin: float | None, vmax: float | None, fine: bool = False) -> st
 
 
 def parse_epoch(df: DataFrame, columns: list[str] | None = None, fine: bool = False) -> DataFrame:
-    """Numeric columns on an epoch scale become timestamps."""
+    """Numeric columns on an epoch scale become timestamps (values out of
+    range NULL); a column without any value in range stays as it is."""
     cand = columns if columns is not None else [f.name for f in df.schema.fields
                                                  if isinstance(f.dataType, NUMERIC)]
     if not cand:
@@ -198,9 +161,10 @@ def parse_epoch(df: DataFrame, columns: list[str] | None = None, fine: bool = Fa
     unit = {}
     for i, c in enumerate(cand):
         u = epoch_unit(r[f"a{i}"], r[f"b{i}"], fine)
-        if u:
+        # the scales start above zero: if the least value is out of range, all are
+        if u and r[f"a{i}"] <= LAST_NANOSECOND // EPOCH_NANOS[u]:
             unit[c] = u
-    return df.select(*[epoch_to_ts(_q(c), unit[c]).alias(c) if c in unit else F.col(_q(c))
+    return df.select(*[epoch_to_ts(_q(c), unit[c], df.schema[c].dataType).alias(c) if c in unit else F.col(_q(c))
                        for c in df.columns])
 
 
@@ -245,14 +209,6 @@ def drop_high_cardinality(df: DataFrame, columns: list[str] | None = None,
     return df.drop(*drop) if drop else df
 
 
-def apply_mapping(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """Select mapped columns under their canonical keys; empty entries and
-    unknown columns are ignored."""
-    sel = [F.col(_q(real)).alias(key) for key, real in mapping.items()
-           if real and real in df.columns]
-    return df.select(*sel)
-
-
 def drop_nulls(df: DataFrame, subset: list[str]) -> DataFrame:
     """Rows with a NULL (or NaN) in any of ``subset`` removed."""
     return df.dropna(subset=subset)
@@ -265,4 +221,4 @@ def without(df: DataFrame, target: str) -> DataFrame:
 
 def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     """P10 applied to columns: text to double, bad values NULL."""
-    return df.select(*[to_number(_q(c)).alias(c) if c in cols else F.col(_q(c)) for c in df.columns])
+    return df.select(*[number_of(df, c).alias(c) if c in cols else F.col(_q(c)) for c in df.columns])

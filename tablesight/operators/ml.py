@@ -11,84 +11,118 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablesight.functions.scalars import nan_to_null, to_number
+from tablesight.functions.scalars import number_of
 from tablesight.operators.profile import _q
 from tablesight.operators.quantiles import exact_quantiles
+from tablesight.operators.topk import key_hash
+from tablesight.session import scratch_table
 
 
-@dataclass
-class Features:
-    frame: DataFrame          # keys + "features" vector (+ label when given)
+@dataclass(frozen=True)
+class FeatureModel:
+    """M1 fitted on some rows (the training part), applied to any."""
     numeric: list[str]
     categorical: list[str]
+    median: dict[str, float | None]
+    mean: dict[str, float]
+    std: dict[str, float]
     categories: dict[str, list[str]]
+    mode: dict[str, str | None]
+    max_categories: int
 
+    def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """``keep`` columns and the ``features`` vector."""
+        keep = keep or []
+        parts = [((F.coalesce(number_of(df, c), F.lit(self.median[c]).cast("double")) - F.lit(self.mean[c]))
+                  / F.lit(self.std[c])).alias(f"num_{i}") for i, c in enumerate(self.numeric)]
+        hot = []
+        for i, c in enumerate(self.categorical):
+            values = self.categories[c]
+            v = F.coalesce(F.col(_q(c)).cast("string"), F.lit(self.mode[c]))
+            rest = len(values) if len(values) == self.max_categories - 1 else -1
+            at = F.array_position(F.array(*[F.lit(x) for x in values]), v) - 1 if values else F.lit(-1)
+            hot.append((F.when(at >= 0, at).otherwise(F.lit(rest)).alias(f"cat_{i}"), len(values) + (rest >= 0)))
+        d = df.select(*[F.col(_q(k)) for k in keep], *parts, *[c for c, _ in hot])
+        # rarer values share one slot; values unknown to a short list have none
+        vectors = [_one_hot(F.col(f"cat_{i}"), size) for i, (_, size) in enumerate(hot) if size]
+        flat = F.concat(F.array(*[F.col(f"num_{i}") for i in range(len(parts))]).cast("array<double>"), *vectors)
+        return d.select(*[F.col(_q(k)) for k in keep], array_to_vector(flat).alias("features"))
 
-def feature_pipeline(df: DataFrame, numeric: list[str], categorical: list[str],
-                     keep: list[str] | None = None, max_categories: int = 50) -> Features:
+
+def _one_hot(at: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: (k == at).cast("double"))
+
+
+def fit_features(df: DataFrame, numeric: list[str], categorical: list[str], max_categories: int = 50) -> FeatureModel:
     """M1: numeric -> median fill -> (x - mean) / std (population std, 1 when
-    0); categorical -> most frequent fill -> one-hot of the
-    ``max_categories - 1`` most frequent values plus one 'other' slot."""
-    keep = keep or []
-    med = exact_quantiles(df.select([nan_to_null(to_number(_q(c))).alias(c) for c in numeric]),
-                          numeric, [0.5]) if numeric else {}
-    filled = [F.coalesce(nan_to_null(to_number(_q(c))), F.lit(med[(c, 0.5)]).cast("double")).alias(c)
-              for c in numeric]
-    d = df.select(*[F.col(_q(k)) for k in keep], *filled,
-                  *[F.col(_q(c)).cast("string").alias(c) for c in categorical])
-    scaled = []
-    if numeric:
-        st = d.agg(*[x for c in numeric for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
-        for c in numeric:
-            m, s = st[f"m_{c}"] or 0.0, st[f"s_{c}"] or 0.0
-            scaled.append(((F.col(c) - F.lit(m)) / F.lit(s if s > 0 else 1.0)).alias(f"num_{c}"))
-    cats: dict[str, list[str]] = {}
-    idx_cols = []
+    0); categorical -> most frequent fill -> one-hot of the ``max_categories - 1``
+    most frequent values (ties by value) plus one slot for the others."""
+    num = df.select(*[number_of(df, c).alias(c) for c in numeric])
+    med = exact_quantiles(num, numeric, [0.5]) if numeric else {}
+    median = {c: med[(c, 0.5)] for c in numeric}
+    filled = [F.coalesce(F.col(_q(c)), F.lit(median[c]).cast("double")) for c in numeric]
+    st = num.agg(*[x for i, v in enumerate(filled) for x in (F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}"))]
+                 ).first() if numeric else {}
+    mean = {c: st[f"m{i}"] or 0.0 for i, c in enumerate(numeric)}
+    std = {c: st[f"s{i}"] if (st[f"s{i}"] or 0.0) > 0 else 1.0 for i, c in enumerate(numeric)}
+    median = {c: 0.0 if m is None else m for c, m in median.items()}
+    categories: dict[str, list[str]] = {c: [] for c in categorical}
     if categorical:
-        stack = ", ".join(f"'{c}', {_q(c)}" for c in categorical)
-        counts = (d.selectExpr(f"stack({len(categorical)}, {stack}) as (column, value)")
-                   .filter(F.col("value").isNotNull())
-                   .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
-        w = W.partitionBy("column").orderBy(F.desc("n"), "value")
+        stack = F.array(*[F.struct(F.lit(i).alias("i"), F.col(_q(c)).cast("string").alias("value"))
+                          for i, c in enumerate(categorical)])
+        counts = (df.select(F.inline(stack)).filter(F.col("value").isNotNull())
+                  .groupBy("i", "value").agg(F.count(F.lit(1)).alias("n")))
+        w = W.partitionBy("i").orderBy(F.desc("n"), "value")
         # at most max_categories rows per column reach the driver
-        top = (counts.withColumn("r", F.row_number().over(w))
-                     .filter(F.col("r") <= max_categories).collect())
-        for c in categorical:
-            rows = sorted([r for r in top if r["column"] == c], key=lambda r: r["r"])
-            vals = [r["value"] for r in rows]
-            if len(vals) == max_categories:   # more may exist: last slot is 'other'
-                vals = vals[:max_categories - 1]
-            cats[c] = vals
-            mode = rows[0]["value"] if rows else None
-            v = F.coalesce(F.col(c), F.lit(mode))
-            mapping = F.create_map(*[x for i, val in enumerate(vals) for x in (F.lit(val), F.lit(float(i)))]) \
-                if vals else None
-            idx = F.coalesce(mapping[v], F.lit(float(len(vals)))) if mapping is not None else F.lit(0.0)
-            idx_cols.append(idx.alias(f"idx_{c}"))
-    d2 = d.select(*[F.col(_q(k)) for k in keep], *scaled, *idx_cols)
-    vec_inputs = [f"num_{c}" for c in numeric]
-    if categorical:
-        enc = OneHotEncoder(inputCols=[f"idx_{c}" for c in categorical],
-                            outputCols=[f"oh_{c}" for c in categorical], dropLast=False,
-                            handleInvalid="keep")
-        d2 = enc.fit(d2).transform(d2)
-        vec_inputs += [f"oh_{c}" for c in categorical]
-    out = VectorAssembler(inputCols=vec_inputs, outputCol="features").transform(d2)
-    return Features(out.select(*[F.col(_q(k)) for k in keep], "features"), numeric, categorical, cats)
+        top = counts.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max_categories).collect()
+        for r in sorted(top, key=lambda r: r["r"]):
+            categories[categorical[r["i"]]].append(r["value"])
+    mode = {c: v[0] if v else None for c, v in categories.items()}
+    categories = {c: v[:max_categories - 1] if len(v) == max_categories else v for c, v in categories.items()}
+    return FeatureModel(numeric, categorical, median, mean, std, categories, mode, max_categories)
+
+
+def feature_pipeline(df: DataFrame, numeric: list[str], categorical: list[str],
+                     keep: list[str] | None = None, max_categories: int = 50) -> DataFrame:
+    """M1 fitted on and applied to the same rows, written once for the passes
+    that follow."""
+    return scratch_table(fit_features(df, numeric, categorical, max_categories).transform(df, keep), "features")
+
 
+def hash_split(df: DataFrame, key: list[str], test_fraction: float = 0.2, seed: int = 42,
+               stratify: str | None = None) -> DataFrame:
+    """M2: ``split`` = 'test' or 'train' by the order of the key hash (see
+    ``topk.key_hash``), within each class of ``stratify`` where given.
 
-def hash_split(df: DataFrame, key: list[str], test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """M2: ``split`` = 'test' for a repeatable ``test_fraction`` of rows
-    (hash of the key), else 'train'.  Hashing spreads every class evenly, so
-    it is stratified in expectation."""
-    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in key]), F.lit(10000))
-    return df.withColumn("split", F.when(h < int(test_fraction * 10000), "test").otherwise("train"))
+    A class's rows up to its ``round(test_fraction * rows)``-th hash are test
+    rows.  Rows are counted per class and hash, so no class is sorted in one
+    task: a threshold per class and slice of hashes finds the cut."""
+    label = (F.col(_q(stratify)).cast("string") if stratify else F.lit("")).alias("__class")
+    hashed = df.withColumn("__class", label).withColumn("__hash", key_hash(key, seed))
+    slot = F.shiftright("__hash", 20)
+    counts = hashed.groupBy("__class", slot.alias("__slot")).agg(F.count(F.lit(1)).alias("__n"))
+    upto = W.partitionBy("__class").orderBy("__slot").rowsBetween(W.unboundedPreceding, 0)   # at most 4096 rows a class
+    total = W.partitionBy("__class")
+    cut = (counts.withColumn("__want", F.round(F.sum("__n").over(total) * test_fraction).cast("long"))
+           .withColumn("__before", F.sum("__n").over(upto) - F.col("__n"))
+           .filter((F.col("__before") <= F.col("__want")) & (F.col("__want") < F.col("__before") + F.col("__n")))
+           .select(F.col("__class").alias("__of"), "__slot", (F.col("__want") - F.col("__before")).alias("__more")))
+    # inside the slot of the cut (a 4096th of the class), rows by hash and key
+    here = F.struct("__hash", *[F.col(_q(k)) for k in key])
+    inside = (hashed.join(cut, F.col("__class").eqNullSafe(F.col("__of")) & (slot == F.col("__slot")))
+              .select("__class", "__more", here.alias("__at")))
+    rank = F.row_number().over(W.partitionBy("__class").orderBy("__at"))
+    edge = (inside.withColumn("__r", rank).filter(F.col("__r") == F.col("__more") + 1)
+            .select(F.col("__class").alias("__of"), F.col("__at").alias("__edge")))
+    return (hashed.join(edge, F.col("__class").eqNullSafe(F.col("__of")), "left")
+            .withColumn("split", F.when(F.col("__edge").isNull() | (here < F.col("__edge")), "test").otherwise("train"))
+            .drop("__class", "__hash", "__of", "__edge"))
 
 
 def gate(task: str, ok: bool, reason: str):
@@ -98,70 +132,76 @@ def gate(task: str, ok: bool, reason: str):
 
 def classify(df: DataFrame, target: str, numeric: list[str], categorical: list[str],
              key: list[str], model: str = "random_forest", seed: int = 42,
-             n_trees: int = 250, max_depth: int = 30, max_classes: int = 1000) -> DataFrame:
-    """M3: fit on the train split, predict the test split.  Returns the test
-    rows with ``label`` and ``prediction`` (both as the target's values)."""
+             n_trees: int = 250, max_depth: int = 30, test_fraction: float = 0.2,
+             max_categories: int = 50) -> DataFrame:
+    """M3: split (stratified), fit features and model on the train part, predict
+    the test part.  Labels are the target's values as text; returns the keys,
+    ``label`` and ``prediction``."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-    base = df.filter(F.col(target).isNotNull())
-    feats = feature_pipeline(base, numeric, categorical, keep=key + [target])
-    data = hash_split(feats.frame, key, 0.2, seed)
-    # the class list reaches the driver: bounded, a continuous target is refused
-    found = (data.select(F.col(target).cast("double").alias("_c")).distinct()
-                 .orderBy("_c").limit(max_classes + 1).collect())
-    if len(found) > max_classes:
-        raise ValueError(f"target {target!r} has more than {max_classes} classes")
-    classes = [r[0] for r in found]
-    lab = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-    data = data.withColumn("_y", lab[F.col(target).cast("double")])
+    base = df.filter(F.col(_q(target)).isNotNull())
+    split = scratch_table(hash_split(base, key, test_fraction, seed, target), "split")
+    train, test = (split.filter(F.col("split") == part) for part in ("train", "test"))
+    # class numbers come from a table of the classes, joined to the rows
+    names = split.select(F.col(_q(target)).cast("string").alias("label")).distinct()
+    classes = scratch_table(names.withColumn("__y", (F.row_number().over(W.orderBy("label")) - 1).cast("double")), "classes")
+    feats = fit_features(train, numeric, categorical, max_categories)
+
+    def labelled(part: DataFrame) -> DataFrame:
+        named = feats.transform(part.withColumn("label", F.col(_q(target)).cast("string")), [*key, "label"])
+        return named.join(classes, "label")
+
     if model == "logreg":
-        est = LogisticRegression(featuresCol="features", labelCol="_y", maxIter=2000)
+        est = LogisticRegression(featuresCol="features", labelCol="__y", maxIter=2000)
     else:
-        est = RandomForestClassifier(featuresCol="features", labelCol="_y", numTrees=n_trees,
-                                     maxDepth=max_depth, seed=seed, maxMemoryInMB=1024,
-                                     cacheNodeIds=True)
-    fitted = est.fit(data.filter(F.col("split") == "train"))
-    pred = fitted.transform(data.filter(F.col("split") == "test"))
-    back = F.array(*[F.lit(c) for c in classes])
-    return pred.select(*key, F.col(target).cast("double").alias("label"),
-                       back[F.col("prediction").cast("int")].alias("prediction"))
-
-
-def classification_metrics(pred: DataFrame, n_train: int | None = None) -> DataFrame:
-    """M4: accuracy, precision, recall, F1 (binary for the positive class 1
-    when there are two classes, else support-weighted), zero division -> 0."""
+        est = RandomForestClassifier(featuresCol="features", labelCol="__y", numTrees=n_trees,
+                                     maxDepth=max_depth, seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
+    fitted = est.fit(scratch_table(labelled(train), "train"))
+    pred = fitted.transform(labelled(test)).select(*key, "label", F.col("prediction").alias("__p"))
+    back = classes.select(F.col("label").alias("prediction"), F.col("__y").alias("__p"))
+    return pred.join(back, "__p", "left").select(*key, "label", "prediction")
+
+
+def classification_metrics(pred: DataFrame, target: DataFrame | None = None, model: str | None = None) -> DataFrame:
+    """M4: accuracy, precision, recall, F1, n_test, and the sentence that says
+    them; zero division -> 0.  ``target`` (one column: the whole target) decides
+    the averaging, adds n_train and the class list: two classes are scored for
+    the last in sort order, more are weighted by support."""
+    pred = pred.select(F.col("label").cast("string").alias("label"), F.col("prediction").cast("string").alias("prediction"))
     cm = pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
-    classes = cm.select(F.col("label").alias("c")).union(cm.select(F.col("prediction").alias("c"))).distinct()
-    per = (classes.join(cm.groupBy("label").agg(F.sum("n").alias("support")),
-                        F.col("c") == F.col("label"), "left")
-           .join(cm.groupBy("prediction").agg(F.sum("n").alias("predicted")),
-                 F.col("c") == F.col("prediction"), "left")
-           .join(cm.filter(F.col("label") == F.col("prediction")).select(F.col("label").alias("c2"),
-                                                                         F.col("n").alias("tp")),
-                 F.col("c") == F.col("c2"), "left")
-           .select("c", *[F.coalesce(F.col(x), F.lit(0)).alias(x) for x in ("support", "predicted", "tp")]))
+    sides = cm.select(F.inline(F.array(
+        F.struct(F.col("label").alias("c"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
+                 F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0).alias("tp")),
+        F.struct(F.col("prediction").alias("c"), F.lit(0).cast("long").alias("support"),
+                 F.col("n").alias("predicted"), F.lit(0).cast("long").alias("tp")))))
+    per = sides.groupBy("c").agg(*[F.sum(x).alias(x) for x in ("support", "predicted", "tp")])
     per = (per.withColumn("precision", F.coalesce(F.try_divide("tp", "predicted"), F.lit(0.0)))
               .withColumn("recall", F.coalesce(F.try_divide("tp", "support"), F.lit(0.0)))
               .withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
                                        2 * F.col("precision") * F.col("recall")
                                        / (F.col("precision") + F.col("recall"))).otherwise(0.0)))
-    n_cls = per.agg(F.count(F.lit(1)).alias("k"), F.sum("support").alias("n"), F.sum("tp").alias("tp"))
-    binary = per.filter(F.col("c") == 1.0).select(F.col("precision").alias("bp"), F.col("recall").alias("br"),
-                                                  F.col("f1").alias("bf"))
-    weighted = per.agg(*[F.try_divide(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(f"w{m}")
-                         for m in ("precision", "recall", "f1")])
-    # one row even when class 1 is absent (global aggregate of an empty frame)
-    bin_one = binary.agg(F.first("bp").alias("bp"), F.first("br").alias("br"), F.first("bf").alias("bf"))
-    out = n_cls.crossJoin(weighted).crossJoin(bin_one)
-    two = F.col("k") == 2
-    res = out.select(
-        F.try_divide(F.col("tp"), F.col("n")).alias("accuracy"),
-        F.when(two, F.coalesce("bp", F.lit(0.0))).otherwise(F.col("wprecision")).alias("precision"),
-        F.when(two, F.coalesce("br", F.lit(0.0))).otherwise(F.col("wrecall")).alias("recall"),
-        F.when(two, F.coalesce("bf", F.lit(0.0))).otherwise(F.col("wf1")).alias("f1"),
-        F.col("n").cast("long").alias("n_test"))
-    if n_train is not None:
-        res = res.withColumn("n_train", F.lit(n_train).cast("long"))
-    return res
+    three = ("precision", "recall", "f1")
+    one = per.agg(F.sum("support").alias("n_test"), F.sum("tp").alias("tp"), F.sort_array(F.collect_set("c")).alias("seen"),
+                  F.max_by(F.struct(*three), "c").alias("last"),
+                  *[F.try_divide(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(f"w_{m}") for m in three],
+                  F.map_from_entries(F.collect_list(F.struct("c", F.struct(*three)))).alias("by"))
+    if target is not None:
+        t = target.select(F.col(target.columns[0]).cast("string").alias("c")).filter(F.col("c").isNotNull())
+        whole = t.groupBy("c").agg(F.count(F.lit(1)).alias("n")).agg(
+            F.sum("n").alias("rows"), F.sort_array(F.collect_set("c")).alias("classes"))
+        one = one.crossJoin(F.broadcast(whole))   # one row
+    else:
+        one = one.withColumn("classes", F.col("seen")).withColumn("rows", F.lit(None).cast("long"))
+    binary, positive = F.size("classes") == 2, F.try_element_at("by", F.element_at("classes", -1))
+    out = one.select(
+        F.try_divide("tp", "n_test").alias("accuracy"),
+        *[F.when(binary, F.coalesce(positive[m], F.lit(0.0))).otherwise(F.col(f"w_{m}")).alias(m) for m in three],
+        (F.col("rows") - F.col("n_test")).alias("n_train"), F.col("n_test").cast("long").alias("n_test"),
+        F.array_join("classes", ",").alias("classes"), F.lit(model).alias("model"))
+    # The sentence of the classification report.
+    return out.withColumn("plain_english", F.format_string(
+        "The classifier achieved accuracy=%.3f and F1=%.3f. "
+        "Accuracy is overall correctness, while F1 balances false alarms vs missed detections.",
+        F.coalesce("accuracy", F.lit(0.0)), F.coalesce("f1", F.lit(0.0))))
 
 
 def confusion_matrix(pred: DataFrame) -> DataFrame:
@@ -172,37 +212,44 @@ def confusion_matrix(pred: DataFrame) -> DataFrame:
 
 def regress(df: DataFrame, target: str, numeric: list[str], categorical: list[str], key: list[str],
             model: str = "random_forest", alpha: float = 1.0, seed: int = 42,
-            n_trees: int = 250, max_depth: int = 30) -> DataFrame:
-    """M6: numeric target (bad values dropped after the split), random forest
-    or ridge (alpha as in ``||y - Xw||^2 + alpha ||w||^2``).  Returns the
-    test rows with ``label`` and ``prediction``."""
+            n_trees: int = 250, max_depth: int = 30, test_fraction: float = 0.2,
+            max_categories: int = 50) -> DataFrame:
+    """M6: split, fit features on the train part, drop rows without a numeric
+    target, fit a random forest or ridge (alpha as in ``||y - Xw||^2 + alpha
+    ||w||^2``), predict the test part.  Returns keys, ``label``, ``prediction``."""
     from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-    base = df.withColumn("_y", to_number(target))
-    feats = feature_pipeline(base, numeric, categorical, keep=key + ["_y"])
-    data = hash_split(feats.frame, key, 0.2, seed).filter(F.col("_y").isNotNull())
-    train = data.filter(F.col("split") == "train")
+    base = df.withColumn("__y", number_of(df, target))
+    split = scratch_table(hash_split(base, key, test_fraction, seed), "split")
+    train, test = (split.filter(F.col("split") == part) for part in ("train", "test"))
+    feats = fit_features(train, numeric, categorical, max_categories)
+    rows, asked = (feats.transform(part, [*key, "__y"]).filter(F.col("__y").isNotNull()) for part in (train, test))
+    rows = scratch_table(rows, "train")
     if model == "ridge":
-        st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_y").alias("sd")).first()
+        st = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("__y").alias("sd")).first()
         reg = alpha * (st["sd"] or 1.0) / max(1, st["n"])
-        est = LinearRegression(featuresCol="features", labelCol="_y", regParam=reg, elasticNetParam=0.0,
+        est = LinearRegression(featuresCol="features", labelCol="__y", regParam=reg, elasticNetParam=0.0,
                                standardization=False, solver="normal")
     else:
-        est = RandomForestRegressor(featuresCol="features", labelCol="_y", numTrees=n_trees,
-                                    maxDepth=max_depth, seed=seed, maxMemoryInMB=1024,
-                                    cacheNodeIds=True)
-    fitted = est.fit(train)
-    pred = fitted.transform(data.filter(F.col("split") == "test"))
-    return pred.select(*key, F.col("_y").alias("label"), F.col("prediction").cast("double"))
+        est = RandomForestRegressor(featuresCol="features", labelCol="__y", numTrees=n_trees,
+                                    maxDepth=max_depth, seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
+    pred = est.fit(rows).transform(asked)
+    return pred.select(*key, F.col("__y").alias("label"), F.col("prediction").cast("double"))
 
 
-def regression_metrics(pred: DataFrame) -> DataFrame:
-    """M7: MAE, RMSE, R^2 and the test row count."""
+def regression_metrics(pred: DataFrame, n_rows: DataFrame | None = None, model: str | None = None) -> DataFrame:
+    """M7: MAE, RMSE, R^2, the test row count and the sentence that says them;
+    ``n_rows`` (one row, one column: rows with a target) adds n_train."""
     e = F.col("label") - F.col("prediction")
-    mean = pred.agg(F.avg("label").alias("_m"))
-    return (pred.crossJoin(F.broadcast(mean))
-                .agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-                     (1 - F.try_divide(F.sum(e * e), F.sum((F.col("label") - F.col("_m")) ** 2))).alias("r2"),
-                     F.count(F.lit(1)).alias("n_test")))
+    one = pred.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
+                   (1 - F.try_divide(F.sum(e * e), F.var_pop("label") * F.count("label"))).alias("r2"),
+                   F.count(F.lit(1)).alias("n_test"))
+    if n_rows is not None:
+        one = one.crossJoin(F.broadcast(n_rows.toDF("rows"))).withColumn("n_train", F.col("rows") - F.col("n_test")).drop("rows")
+    # The sentence of the regression report.
+    return one.withColumn("model", F.lit(model)).withColumn("plain_english", F.format_string(
+        "The regression model has MAE=%.3f and RMSE=%.3f (lower is better). "
+        "R²=%.3f measures how much variance is explained (closer to 1 is better).",
+        *[F.coalesce(F.col(c), F.lit(0.0)) for c in ("mae", "rmse", "r2")]))
 
 
 def cluster(feats: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42,

@@ -1,149 +1,182 @@
 """Ordered-series operators (W1-W10) that scale past one task.
 
 A window with ``ORDER BY`` and no ``PARTITION BY`` moves every row into one
-task.  Instead, :func:`ordered_scan` range-partitions rows on the full order
-key (the key includes tie-breakers, so a hot timestamp is still split), runs
-the window inside each range bucket, and fixes up each bucket with a carry
-from the buckets before it:
-
-1. ``repartitionByRange(n, *order)``; ``spark_partition_id()`` is then a bucket
-   number that grows with the order key.
-2. One row per bucket with its total / max / last value (n rows).
-3. A prefix scan over those n rows (tiny; its size is n, not the data).
-4. Broadcast join of the n carries back to the rows, combined with the
-   in-bucket window value.
-
-When the data has a natural key (symbol, account, patient) pass
-``partition_by`` and a plain partitioned window is used instead.
+task.  Instead, :func:`ranged` deals rows out by ranges of the full order key
+(tie-breakers included, so a hot timestamp is still split), numbers the ranges
+and writes the rows to the shared folder: the one range exchange, whose outcome
+every later step then reads as data.  :func:`scan` runs windows inside the
+ranges and fixes each range up with a carry from the ranges before it:
+
+1. one row per range with its totals, maxima and last values;
+2. a prefix scan over those rows (as many as ranges, not as rows);
+3. a broadcast join of the carries back to the rows.
+
+Further scans of the same :class:`Ranged` rows reuse their partitioning.  When
+the data has a natural key (symbol, account, patient) pass ``partition_by`` and
+a plain partitioned window is used instead.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesight.functions.scalars import safe_ratio
+from tablesight.session import scratch_table
 
 _UNB = W.unboundedPreceding
 
 
 @dataclass(frozen=True)
 class Scan:
-    """One running quantity: kind in sum, max, min, ffill, lag, row_number."""
+    """One running quantity.  kind: sum, max, min, ffill, lag, row_number;
+    max_of_sum (the largest running sum so far); peak_at (struct of the largest
+    value so far and the last position that holds it)."""
     kind: str
     value: str | None
     out: str
 
 
-def _bucket_count(df: DataFrame, n: int | None) -> int:
-    if n:
-        return int(n)
-    spark = df.sparkSession
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+@dataclass(frozen=True)
+class Ranged:
+    """Rows with their range number ``__b`` and the order within ranges."""
+    frame: DataFrame
+    order: tuple[str, ...]
 
+    def rows(self) -> DataFrame:
+        return self.frame.drop("__b")
+
+
+def total_order(df: DataFrame, first: list[str]) -> list[str]:
+    """``first``, then every other orderable column as tie-breaker: rows equal in
+    all of them are alike, so their order does not matter."""
+    rest = [f.name for f in df.schema.fields
+            if f.name not in first and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return [*first, *rest]
 
-def ordered_scan(df: DataFrame, order: list[str], scans: list[Scan],
-                 partition_by: list[str] | None = None,
-                 n_buckets: int | None = None) -> DataFrame:
-    """Add running columns to ``df`` in the total order ``order``.
 
-    ``order`` must be a total order of the rows (add tie-breakers); the result
-    is the same as the plain window on every row.
-    """
+def ranged(df: DataFrame, order: list[str], n_buckets: int | None = None) -> Ranged:
+    """Deal rows out by ranges of a total order of them."""
     if not order:
         raise ValueError("an ordered operator needs an explicit order key")
-    okeys = [F.col(c).asc_nulls_first() for c in order]
-
-    if partition_by:
-        w = W.partitionBy(*partition_by).orderBy(*okeys)
-        cols = [_window_expr(s, w).alias(s.out) for s in scans]
-        return df.select("*", *cols)
-
-    n = _bucket_count(df, n_buckets)
-    ranged = df.repartitionByRange(n, *okeys).withColumn("__b", F.spark_partition_id())
-    w = W.partitionBy("__b").orderBy(*okeys)
-    local_cols = [_window_expr(s, w).alias(f"__l_{s.out}") for s in scans]
-    lag_src = [F.col(s.value).alias(f"__v_{s.out}") for s in scans if s.kind == "lag"]
-    # Both the rows and the per-bucket carries must see the *same* range
-    # partitioning; a second range exchange could sample different bounds when
-    # the input order is not deterministic (e.g. after a shuffle).  Persisting
-    # the windowed rows pins one exchange; a lost block is recomputed from the
-    # same shuffle dependency, so bounds stay fixed.
-    local = (ranged.select("*", F.row_number().over(w).alias("__rn"), *local_cols, *lag_src)
-             .persist(StorageLevel.MEMORY_AND_DISK))
-
-    # One row per bucket: the in-bucket values at its last row.
-    last = F.max_by(F.struct(*[F.col(f"__l_{s.out}").alias(s.out) for s in scans],
-                             *[F.col(f"__v_{s.out}").alias(f"v_{s.out}")
-                               for s in scans if s.kind == "lag"]),
-                    F.col("__rn")).alias("__last")
-    per_bucket = local.groupBy("__b").agg(last)
-
-    # Prefix scan over the n bucket rows (bounded by n, so one task is fine).
-    wb = W.orderBy("__b").rowsBetween(_UNB, -1)
-    wl = W.orderBy("__b")
-    carries = []
+    n = int(n_buckets or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    rows = df.repartitionByRange(max(1, n), *keys).withColumn("__b", F.spark_partition_id())
+    return Ranged(scratch_table(rows, "ranged"), tuple(order))
+
+
+def _running(kind: str, value: Column, w) -> Column:
+    run = w.rowsBetween(_UNB, 0)
+    if kind in ("sum", "max_of_sum"):
+        return F.sum(value).over(run)
+    if kind == "max":
+        return F.max(value).over(run)
+    if kind == "min":
+        return F.min(value).over(run)
+    if kind == "ffill":
+        return F.last(value, ignorenulls=True).over(run)
+    if kind == "lag":
+        return F.lag(value, 1).over(w)
+    if kind == "row_number":
+        return F.row_number().over(w)
+    raise ValueError(f"unknown scan kind {kind!r}")
+
+
+def _plus(a: Column, b: Column) -> Column:
+    """Sum of two running sums, either of which may still be NULL."""
+    return F.when(a.isNull() & b.isNull(), F.lit(None)).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+
+
+def _locals(scans: list[Scan], d: DataFrame, w) -> DataFrame:
+    """Running values inside each range: __l_<out>, and __m_<out> for the
+    scans that take a maximum of another running value."""
+    d = d.withColumns({"__rn": F.row_number().over(w), **{
+        f"__l_{s.out}": _running(s.kind, F.col(s.value) if s.value else None, w) for s in scans if s.kind != "peak_at"}})
+    second = {f"__m_{s.out}": F.max(f"__l_{s.out}").over(w.rowsBetween(_UNB, 0)) for s in scans if s.kind == "max_of_sum"}
+    second |= {f"__l_{s.out}": F.max(_peak(F.col(s.value), F.col("__rn"))).over(w.rowsBetween(_UNB, 0))
+               for s in scans if s.kind == "peak_at"}
+    return d.withColumns(second) if second else d
+
+
+def _peak(value: Column, at: Column) -> Column:
+    return F.when(value.isNotNull(), F.struct(value.alias("value"), at.cast("long").alias("at")))
+
+
+def scan(rows: Ranged, scans: list[Scan]) -> Ranged:
+    """Add running columns in the rows' total order; the same as the plain
+    window over all rows."""
+    w = W.partitionBy("__b").orderBy(*[F.col(c).asc_nulls_first() for c in rows.order])
+    local = _locals(scans, rows.frame, w)
+    lags = [s for s in scans if s.kind == "lag"]
+    held = [c for c in local.columns if c.startswith(("__l_", "__m_"))]
+    last = F.max_by(F.struct("__rn", *held, *[F.col(s.value).alias(f"__v_{s.out}") for s in lags]), "__rn")
+    per_range = local.groupBy("__b").agg(last.alias("x")).select("__b", "x.*")
+
+    before, prior = W.orderBy("__b").rowsBetween(_UNB, -1), W.orderBy("__b")   # a row per range
+    per_range = per_range.withColumn("__n", F.coalesce(F.sum("__rn").over(before), F.lit(0)))
+    carries, second = {}, {}
     for s in scans:
-        a = F.col(f"__last.{s.out}")
-        if s.kind == "row_number":
-            c = F.coalesce(F.sum(a).over(wb), F.lit(0))
-        elif s.kind == "sum":       # NULL while no earlier bucket had a value
-            c = F.sum(a).over(wb)
-        elif s.kind == "max":
-            c = F.max(a).over(wb)
-        elif s.kind == "min":
-            c = F.min(a).over(wb)
+        own, c = F.col(f"__l_{s.out}"), f"__c_{s.out}"
+        if s.kind in ("sum", "max_of_sum"):
+            carries[c] = F.sum(own).over(before)
+        elif s.kind in ("max", "min"):
+            carries[c] = getattr(F, s.kind)(own).over(before)
         elif s.kind == "ffill":
-            c = F.last(a, ignorenulls=True).over(wb)
-        else:  # lag: the last value of the previous non-empty bucket
-            c = F.lag(F.col(f"__last.v_{s.out}"), 1).over(wl)
-        carries.append(c.alias(f"__c_{s.out}"))
-    carry = per_bucket.select("__b", *carries)
+            carries[c] = F.last(own, ignorenulls=True).over(before)
+        elif s.kind == "lag":
+            carries[c] = F.lag(f"__v_{s.out}", 1).over(prior)
+        if s.kind == "max_of_sum":
+            second[f"__d_{s.out}"] = F.max(_plus(F.col(f"__m_{s.out}"), F.col(c))).over(before)
+        elif s.kind == "peak_at":
+            second[c] = F.max(F.when(own.isNotNull(), F.struct(
+                own["value"].alias("value"), (own["at"] + F.col("__n")).alias("at")))).over(before)
+    carry = per_range.withColumns(carries) if carries else per_range
+    carry = carry.withColumns(second) if second else carry
+    carry = carry.select("__b", "__n", *carries, *second)
 
     joined = local.join(F.broadcast(carry), "__b", "left")
-    outs = []
+    outs = {}
     for s in scans:
         lv, cv = F.col(f"__l_{s.out}"), F.col(f"__c_{s.out}")
         if s.kind == "row_number":
-            v = lv + cv
+            v = lv + F.col("__n")
         elif s.kind == "sum":
-            # a bucket may open with NULLs: its running sum is NULL until its
-            # first value, yet the total so far is the carry
-            v = F.when(lv.isNull() & cv.isNull(), F.lit(None)).otherwise(
-                F.coalesce(lv, F.lit(0)) + F.coalesce(cv, F.lit(0)))
+            v = _plus(lv, cv)
         elif s.kind == "max":
             v = F.greatest(lv, cv)
         elif s.kind == "min":
             v = F.least(lv, cv)
         elif s.kind == "ffill":
             v = F.coalesce(lv, cv)
-        else:
+        elif s.kind == "lag":
             v = F.when(F.col("__rn") == 1, cv).otherwise(lv)
-        outs.append(v.alias(s.out))
-    drop = (["__b", "__rn"] + [f"__l_{s.out}" for s in scans] + [f"__c_{s.out}" for s in scans]
-            + [f"__v_{s.out}" for s in scans if s.kind == "lag"])
-    return joined.select("*", *outs).drop(*drop)
+        elif s.kind == "max_of_sum":
+            v = F.greatest(_plus(F.col(f"__m_{s.out}"), cv), F.col(f"__d_{s.out}"))
+        else:
+            v = F.greatest(F.when(lv.isNotNull(), F.struct(
+                lv["value"].alias("value"), (lv["at"] + F.col("__n")).alias("at"))), cv)
+        outs[s.out] = v
+    spent = [c for c in joined.columns if c.startswith(("__l_", "__m_", "__c_", "__d_"))] + ["__rn", "__n"]
+    return Ranged(joined.withColumns(outs).drop(*spent), rows.order)
 
 
-def _window_expr(s: Scan, w) -> Column:
-    run = w.rowsBetween(_UNB, 0)
-    if s.kind == "sum":
-        return F.sum(s.value).over(run)
-    if s.kind == "max":
-        return F.max(s.value).over(run)
-    if s.kind == "min":
-        return F.min(s.value).over(run)
-    if s.kind == "ffill":
-        return F.last(s.value, ignorenulls=True).over(run)
-    if s.kind == "lag":
-        return F.lag(s.value, 1).over(w)
-    if s.kind == "row_number":
-        return F.row_number().over(w)
-    raise ValueError(f"unknown scan kind {s.kind!r}")
+def ordered_scan(df: DataFrame, order: list[str], scans: list[Scan],
+                 partition_by: list[str] | None = None, n_buckets: int | None = None) -> DataFrame:
+    """Add running columns to ``df`` in the total order ``order``, within each
+    key of ``partition_by`` where given."""
+    if not order:
+        raise ValueError("an ordered operator needs an explicit order key")
+    if not partition_by:
+        return scan(ranged(df, order, n_buckets), scans).rows()
+    w = W.partitionBy(*partition_by).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    local = _locals(scans, df, w)
+    outs = {s.out: F.col(f"__m_{s.out}" if s.kind == "max_of_sum" else f"__l_{s.out}") for s in scans}
+    spent = [c for c in local.columns if c.startswith(("__l_", "__m_"))] + ["__rn"]
+    return local.withColumns(outs).drop(*spent)
 
 
 # --------------------------------------------------------------------------
@@ -215,25 +248,32 @@ def volatility(returns_df: DataFrame, ret: str = "ret") -> DataFrame:
     )
 
 
+def longest_run(peaks: DataFrame, value: str, peak: str, position: str,
+                partition_by: list[str] | None = None) -> DataFrame:
+    """Longest run of consecutive rows below the running peak, from each row's
+    position and the last position that held the peak."""
+    run = F.when(F.col(value) < F.col(f"{peak}.value"), F.col(position) - F.col(f"{peak}.at"))
+    return peaks.groupBy(*(partition_by or [])).agg(
+        F.coalesce(F.max(run), F.lit(0)).cast("long").alias("longest_drawdown_rows"))
+
+
 def longest_drawdown(df: DataFrame, order: list[str], value: str,
                      partition_by=None, n_buckets=None) -> DataFrame:
-    """Longest run of consecutive rows strictly below the running peak
-    (gaps and islands: an island starts at every row that is at its peak)."""
-    d = ordered_scan(df, order, [Scan("max", value, "_peak")], partition_by, n_buckets)
-    d = d.withColumn("_below", (F.col(value) < F.col("_peak")).cast("int"))
-    d = d.withColumn("_at_peak", 1 - F.col("_below"))
-    d = ordered_scan(d, order, [Scan("sum", "_at_peak", "_island")], partition_by, n_buckets)
-    keys = (partition_by or []) + ["_island"]
-    runs = d.groupBy(*keys).agg(F.sum("_below").alias("_run"))
-    if partition_by:
-        return runs.groupBy(*partition_by).agg(
-            F.coalesce(F.max("_run"), F.lit(0)).cast("long").alias("longest_drawdown_rows"))
-    return runs.agg(F.coalesce(F.max("_run"), F.lit(0)).cast("long").alias("longest_drawdown_rows"))
+    """Longest run of consecutive rows strictly below the running peak.
+    Rows without a value are left out.  One range exchange of the order key and
+    the value."""
+    d = df.select(*dict.fromkeys([*(partition_by or []), *order, value])).filter(F.col(value).isNotNull())
+    d = ordered_scan(d, order, [Scan("peak_at", value, "_peak"), Scan("row_number", None, "_pos")],
+                     partition_by, n_buckets)
+    return longest_run(d, value, "_peak", "_pos", partition_by)
 
 
 def drawdown_of_cumsum(df: DataFrame, order: list[str], value: str,
                        partition_by=None, n_buckets=None) -> DataFrame:
-    """Running total, its running peak, and total - peak."""
-    d = cum_sum(df, order, value, "cum_value", partition_by, n_buckets)
-    d = ordered_scan(d, order, [Scan("max", "cum_value", "cum_peak")], partition_by, n_buckets)
+    """Running total (NULL as 0), its running peak, and total - peak, from
+    one range exchange: the peak carried into a range is the largest carried
+    total plus largest total inside an earlier range."""
+    d = df.withColumn("_v", F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
+    d = ordered_scan(d, order, [Scan("sum", "_v", "cum_value"), Scan("max_of_sum", "_v", "cum_peak")],
+                     partition_by, n_buckets).drop("_v")
     return d.withColumn("cum_drawdown", F.col("cum_value") - F.col("cum_peak"))

@@ -7,6 +7,9 @@ the one-row result.
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +23,12 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
+# Column names that mark time columns (name test), and the task
+# engine's variant, which also knows created_at.
+TS_NAME_RE = re.compile(r"(^|_)(ts|time|timestamp|date|datetime|dt)($|_)", re.I)
+TS_NAME_RE_WIDE = re.compile(r"(^|_)(ts|time|timestamp|date|datetime|dt|created_at)($|_)", re.I)
+
+
 def columns_of_type(df: DataFrame, kind: str) -> list[str]:
     """Number / categorical (string, like pandas object) / datetime columns."""
     out = []
@@ -130,7 +139,7 @@ _DESCRIBE_SCHEMA = ("column string, count long, mean double, std double, min dou
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 10,
-               max_columns: int | None = 20) -> DataFrame:
+               max_columns: int | None = None) -> DataFrame:
     """A5: the k most frequent values per categorical column, as strings, with
     NULL counted as its own value.  One unpivot and one grouped count for all
     columns (partial aggregation absorbs a hot value)."""
@@ -160,46 +169,102 @@ def datetime_range(df: DataFrame, columns: list[str] | None = None) -> DataFrame
                                 F.col(f"n{i}").alias("count")) for i, c in enumerate(cols)])
 
 
+def row_hashes(df: DataFrame) -> list:
+    """Three independent 64-bit hashes of a whole row (NULLs told apart from
+    missing parts by a flag per column)."""
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(_q(f.name))
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = c + F.lit(0.0)   # -0.0 equals 0.0
+        parts += [F.to_json(c) if isinstance(f.dataType, T.MapType) else c, c.isNull()]
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (1, 2, 3)]
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows equal to an earlier row (NULLs equal), i.e. rows minus distinct
-    rows.  A grouped count over all columns; map-side combine keeps a heavily
-    repeated row from landing whole in one task."""
-    g = df.groupBy(*[F.col(_q(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
+    rows.  Rows are counted by 128 bits of hash, not by their columns; a third
+    hash that differs inside a group would show a collision, and the query
+    raises rather than miscount.  Map-side combine keeps a heavily repeated row
+    from landing whole in one task."""
+    a, b, check = (h.alias(n) for h, n in zip(row_hashes(df), ("a", "b", "c")))
+    g = df.select(a, b, check).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    extra = F.when(F.col("lo") == F.col("hi"), F.col("n") - 1).otherwise(
+        F.raise_error(F.lit("row hash collision")).cast("long"))
+    return g.agg(F.coalesce(F.sum(extra), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None,
                     approx: bool = False) -> DataFrame:
-    """Distinct values per column without and with NULL."""
+    """Distinct values per column without and with NULL.
+
+    Exact counts unpivot the rows to (column, hash, value) and group twice, so
+    the first group's partial aggregation, not an expanded copy of each row, is
+    what is shuffled."""
     cols = columns if columns is not None else df.columns
-    aggs = []
-    for i, c in enumerate(cols):
-        d = (F.approx_count_distinct(_q(c)) if approx else F.countDistinct(F.col(_q(c))))
-        aggs += [d.alias(f"d{i}"), F.max(F.col(_q(c)).isNull().cast("int")).alias(f"z{i}")]
-    one = df.agg(*aggs)
-    return _long(one, [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").cast("long").alias("distinct"),
-                                (F.col(f"d{i}") + F.coalesce(F.col(f"z{i}"), F.lit(0))).cast("long")
-                                .alias("distinct_with_null")) for i, c in enumerate(cols)])
+    fields = {f.name: f.dataType for f in df.schema.fields}
+
+    def text(c):
+        x = F.col(_q(c))
+        if isinstance(fields[c], T.BinaryType):
+            return F.hex(x)
+        return F.to_json(x) if isinstance(fields[c], (T.ArrayType, T.MapType, T.StructType)) else x.cast("string")
+
+    if approx:
+        one = df.agg(*[x for i, c in enumerate(cols) for x in (
+            F.approx_count_distinct(_q(c)).alias(f"d{i}"), F.max(F.col(_q(c)).isNull().cast("int")).alias(f"z{i}"))])
+        return _long(one, [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").cast("long").alias("distinct"),
+                                    (F.col(f"d{i}") + F.coalesce(F.col(f"z{i}"), F.lit(0))).cast("long")
+                                    .alias("distinct_with_null")) for i, c in enumerate(cols)])
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), text(c).alias("v"))
+                                         for i, c in enumerate(cols)])).alias("x")).select("x.i", "x.v")
+    per = (long.groupBy("i", "v").agg(F.lit(1).alias("one"))
+           .groupBy("i").agg(F.count("v").alias("distinct"), F.sum("one").alias("distinct_with_null")))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "i int, column string")
+    none = F.lit(0).cast("long")
+    return (names.join(per, "i", "left").select(
+        "column", F.coalesce("distinct", none).alias("distinct"),
+        F.coalesce("distinct_with_null", none).alias("distinct_with_null")))
+
+
+def _comparable(f: T.StructField):
+    """A column as something min and max can order."""
+    c = F.col(_q(f.name))
+    if isinstance(f.dataType, T.BinaryType):
+        return F.hex(c)
+    return F.to_json(c) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else c
+
+
+def _is_constant(i: int):
+    """All NULL, or no NULL and min = max, over the aggregates n, a, b of column i."""
+    return (F.col(f"n{i}") == 0) | ((F.col(f"n{i}") == F.col("rows")) & (F.col(f"a{i}") == F.col(f"b{i}")))
+
+
+def _extremes(fields: list[T.StructField]) -> list:
+    return [x for i, f in enumerate(fields) for x in (
+        F.count(_comparable(f)).alias(f"n{i}"), F.min(_comparable(f)).alias(f"a{i}"), F.max(_comparable(f)).alias(f"b{i}"))]
 
 
 def constant_columns(df: DataFrame) -> list[str]:
     """A9 / P3 decision: a column is constant when it has at most one distinct
-    value counting NULL: all NULL, or no NULL and min = max.  One aggregate, no
-    distinct."""
-    aggs = []
+    value counting NULL.  One aggregate, no distinct."""
     fields = df.schema.fields
-    for i, f in enumerate(fields):
-        c = F.col(_q(f.name))
-        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
-            c = F.to_json(c) if not isinstance(f.dataType, T.BinaryType) else F.hex(c)
-        aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")]
-    row = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs).first()
-    out = []
-    for i, f in enumerate(fields):
-        n, a, b = row[f"n{i}"], row[f"a{i}"], row[f"b{i}"]
-        if n == 0 or (n == row["_rows"] and a == b):
-            out.append(f.name)
-    return out
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *_extremes(fields))
+    row = one.select(*[F.coalesce(_is_constant(i), F.lit(False)) for i in range(len(fields))]).first()
+    return [f.name for f, constant in zip(fields, row) if constant]
+
+
+def overview(df: DataFrame) -> DataFrame:
+    """A1, A3 and the number of A9 together, from one aggregate."""
+    fields = df.schema.fields
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *_extremes(fields),
+                 *[F.avg(_missing(f.name, f.dataType).cast("double")).alias(f"m{i}") for i, f in enumerate(fields)])
+    total = lambda parts: functools.reduce(lambda a, b: a + b, parts, F.lit(0))
+    return one.select(
+        "rows", F.lit(len(fields)).alias("cols"),
+        (total([F.col(f"m{i}") for i in range(len(fields))]) / max(1, len(fields))).alias("missing_fraction_overall"),
+        total([F.coalesce(_is_constant(i), F.lit(False)).cast("int") for i in range(len(fields))]).alias("constant_columns"))
 
 
 def constant_columns_df(df: DataFrame) -> DataFrame:
@@ -207,34 +272,41 @@ def constant_columns_df(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(n,) for n in names], "column string")
 
 
+#: Pairs whose moments are columns of one aggregate; wider tables add a record
+#: per pair to a grouped aggregate instead.  Both read the table once.
+WIDE_PAIRS = 512
+
+
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
-                      batch: int = 64) -> DataFrame:
+                      with_self: bool = False) -> DataFrame:
     """A10: pairwise-complete Pearson correlation for each pair i < j, long
-    form (col_a, col_b, corr).  ``corr`` raises on a constant column under ANSI,
-    so it is covar_pop / (stddev_pop * stddev_pop) over the complete pairs with
-    ``try_divide``: a constant column gives NULL."""
+    form (col_a, col_b, corr), in one pass.  ``corr`` raises on a constant
+    column under ANSI, so it is covar_pop / (stddev_pop * stddev_pop) over the
+    complete pairs with ``try_divide``: a constant column gives NULL."""
     cols = columns if columns is not None else columns_of_type(df, "numeric")
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    pairs = [(a, b) for a in range(len(cols)) for b in range(a + (not with_self), len(cols))]
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    num = df.select([nan_to_null(F.col(_q(c)).cast("double")).alias(c) for c in cols])
-    parts = []
-    for s in range(0, len(pairs), batch):
-        chunk = pairs[s:s + batch]
-        aggs = []
-        for k, (a, b) in enumerate(chunk):
-            x, y = F.col(_q(a)), F.col(_q(b))
-            both = x.isNotNull() & y.isNotNull()
-            xm, ym = F.when(both, x), F.when(both, y)
-            aggs.append(F.try_divide(F.covar_pop(xm, ym),
-                                     F.stddev_pop(xm) * F.stddev_pop(ym)).alias(f"c{k}"))
-        one = num.agg(*aggs)
-        stack = ", ".join(f"'{a}', '{b}', c{k}" for k, (a, b) in enumerate(chunk))
-        parts.append(one.selectExpr(f"stack({len(chunk)}, {stack}) as (col_a, col_b, corr)"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    numbers = [nan_to_null(F.col(_q(c)).cast("double")) for c in cols]
+
+    def correlation(x, y):
+        both = x.isNotNull() & y.isNotNull()
+        x, y = F.when(both, x), F.when(both, y)
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("corr")
+
+    if len(pairs) <= WIDE_PAIRS:
+        num = df.select(*[v.alias(f"v{i}") for i, v in enumerate(numbers)])
+        one = num.agg(*[correlation(F.col(f"v{a}"), F.col(f"v{b}")).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
+        return _long(one, [F.struct(F.lit(cols[a]).alias("col_a"), F.lit(cols[b]).alias("col_b"),
+                                    F.col(f"c{k}").alias("corr")) for k, (a, b) in enumerate(pairs)])
+    n = len(cols)
+    firsts = F.sequence(F.lit(0), F.lit(n - 1 if with_self else n - 2))
+    rows = (df.select(F.array(*numbers).alias("v")).select("v", F.explode(firsts).alias("a"))
+            .select("v", "a", F.explode(F.sequence(F.col("a") + int(not with_self), F.lit(n - 1))).alias("b"))
+            .select("a", "b", F.get("v", F.col("a")).alias("x"), F.get("v", F.col("b")).alias("y")))
+    names = F.array(*[F.lit(c) for c in cols])
+    return (rows.groupBy("a", "b").agg(correlation(F.col("x"), F.col("y")))
+            .select(F.get(names, F.col("a")).alias("col_a"), F.get(names, F.col("b")).alias("col_b"), "corr"))
 
 
 def top_correlations(df: DataFrame, k: int = 5, columns: list[str] | None = None) -> DataFrame:
@@ -272,9 +344,9 @@ def top_skewed(df: DataFrame, k: int = 5, columns: list[str] | None = None) -> D
 
 def quality_checks(df: DataFrame) -> DataFrame:
     """Warnings (code, column, detail).  Fewer than 10 rows; duplicate
-    column names; columns more than 95 % NULL (first 10); a single column
-    whose first 100 rows contain a comma in more than 5 rows (wrong
-    delimiter); error when there are no rows."""
+    column names; columns more than 95 % NULL; a single column with a comma in
+    more than 5 % of its rows, and in more than 5 (wrong delimiter); error when
+    there are no rows."""
     spark = df.sparkSession
     rows = df.count()
     out = []
@@ -292,14 +364,13 @@ def quality_checks(df: DataFrame) -> DataFrame:
     if rows:
         mr = missing_rate(df).filter(F.col("missing_rate") > 0.95).collect()
         order = {c: i for i, c in enumerate(df.columns)}
-        for r in sorted(mr, key=lambda r: order[r["column"]])[:10]:
+        for r in sorted(mr, key=lambda r: order[r["column"]]):
             out.append(("mostly_null", r["column"], f"{r['missing_rate']:.3f} missing"))
     if len(df.columns) == 1 and rows:
         c = df.columns[0]
-        commas = (df.limit(100).agg(F.count_if(F.col(_q(c)).cast("string").contains(",")))
-                  .first()[0])
-        if commas > 5:
-            out.append(("possible_wrong_delimiter", c, f"{commas} of the first 100 rows hold a comma"))
+        commas = df.agg(F.count_if(F.col(_q(c)).cast("string").contains(","))).first()[0]
+        if commas > max(5, 0.05 * rows):
+            out.append(("possible_wrong_delimiter", c, f"{commas} of {rows} rows hold a comma"))
     return spark.createDataFrame(out, "code string, column string, detail string")
 
 

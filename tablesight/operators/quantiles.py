@@ -1,34 +1,35 @@
-"""Exact quantiles (linear interpolation, as pandas / ``quantile_cont``) that
-scale with the data.
-
-Spark's ``percentile`` keeps a map of every distinct value of a group in one
-aggregation buffer, which does not survive billions of distinct doubles.  Here:
-
-1. one aggregate gives ``count`` and an ``approx_percentile`` bracket
-   ``[lo, hi]`` around each wanted rank (rank error <= n / accuracy);
-2. one aggregate counts, per wanted quantile, the rows below ``lo`` and the
-   rows inside the bracket; a bracket still holding more than
-   ``max_candidates`` rows is narrowed by another ``approx_percentile`` over
-   just its rows (each round shrinks it about ``accuracy`` times);
-3. the values inside the final brackets are grouped with their
-   multiplicities (a value repeated by a third of all rows is one row) and a
-   running count finds the two order statistics to interpolate.
-
-If a bracket misses its rank (it should not), that quantile falls back to
-Spark's exact ``percentile``.
+"""Exact quantiles (linear interpolation, as pandas / ``quantile_cont``) in two
+passes over the data, whatever its size or its repeated values.
+
+1. Sketch: one aggregate gives, per column, the row count and an
+   ``approx_percentile`` bracket around each wanted rank (rank error at most
+   rows / accuracy; the bracket is four times as wide).
+2. Count: the brackets cut a column's range into segments.  One grouped pass
+   over (column, segment, value) counts every row; the value is kept only
+   inside a bracket, so rows outside add to one group per segment and a value
+   repeated by a third of all rows is one group.  Partial aggregation runs
+   before the shuffle.
+
+The counted table is written to the shared folder and read twice: once for row
+counts per segment and slice (SLICES equal cuts of each bracket; the only rows
+the driver sees), once for the running count inside the slices that hold a
+wanted rank.  Should a bracket miss its rank, the call is repeated with wider
+ones.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablesight.session import scratch_table
+
 DEFAULT_ACCURACY = 10_000
-MAX_CANDIDATES = 1_000_000
+MARGIN = 4.0
+SLICES = 256
 
 
 def _c(name: str):
@@ -36,107 +37,94 @@ def _c(name: str):
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    accuracy: int = DEFAULT_ACCURACY,
-                    max_candidates: int = MAX_CANDIDATES,
-                    extra: list | None = None) -> dict[tuple[str, float], float | None]:
+                    accuracy: int = DEFAULT_ACCURACY, extra: list | None = None,
+                    margin: float = MARGIN) -> dict[tuple[str, float], float | None]:
     """Return {(column, p): value}; NULLs are ignored, an empty column gives
-    None.  Three small jobs in the usual case, whatever the column count.
-    ``extra`` aggregates ride along in the first pass; their row is returned
-    under the key ``"extra"``."""
+    None.  ``extra`` aggregates ride along in the first pass; their row is
+    returned under the key ``"extra"``."""
     if not columns or not probs:
         return {}
-    # three or more passes read the same columns: keep the projection for
-    # the duration of the call (spills to disk when large), then drop it
-    df = df.select(*[_c(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK) \
-        if extra is None else df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _exact_quantiles(df, columns, probs, accuracy, max_candidates, extra)
-    finally:
-        df.unpersist()
-
-
-def _exact_quantiles(df, columns, probs, accuracy, max_candidates, extra):
-    margin = 4.0 / accuracy
+    half = margin / accuracy
     aggs = list(extra or [])
     for i, c in enumerate(columns):
         v = _c(c).cast("double")
-        aggs.append(F.count(v).alias(f"n{i}"))
-        # one sketch per column serves both ends of every bracket
-        ends = [x for p in probs for x in (max(0.0, p - margin), min(1.0, p + margin))]
-        aggs.append(F.approx_percentile(v, F.array(*[F.lit(x) for x in ends]), accuracy).alias(f"q{i}"))
+        ends = [x for p in probs for x in (max(0.0, p - half), min(1.0, p + half))]
+        aggs += [F.count(v).alias(f"n{i}"),
+                 F.approx_percentile(v, F.array(*[F.lit(x) for x in ends]), accuracy).alias(f"q{i}")]
     row = df.agg(*aggs).first()
-
     result: dict = {"extra": row} if extra else {}
-    targets = []  # [col index, prob index, lower rank k, frac, lo, hi]
+    ranks, segments = {}, {}
     for i, c in enumerate(columns):
-        n = row[f"n{i}"]
-        for j, p in enumerate(probs):
-            if not n:
-                result[(c, p)] = None
-                continue
-            pos = (n - 1) * p
+        if not row[f"n{i}"]:
+            result.update({(c, p): None for p in probs})
+            continue
+        segments[i] = _merged([(row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1]) for j in range(len(probs))])
+        for p in probs:
+            pos = (row[f"n{i}"] - 1) * p
             k = int(math.floor(pos))
-            targets.append([i, j, k, pos - k, row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1]])
-    if not targets:
+            ranks[i, p] = (k, pos - k, min(k + 1, row[f"n{i}"] - 1))
+    if not ranks:
         return result
+    values = _values_at(df, columns, segments, {(i, r) for (i, _), (k, _, k1) in ranks.items() for r in (k, k1)})
+    for (i, p), (k, frac, k1) in ranks.items():
+        v0, v1 = values.get((i, k)), values.get((i, k1))
+        if v0 is None or v1 is None:
+            return exact_quantiles(df, columns, probs, accuracy, extra, margin * 10)
+        result[(columns[i], p)] = v0 + (v1 - v0) * frac if frac else v0
+    return result
 
-    def counts():
-        cs = []
-        for t, (i, j, k, frac, lo, hi) in enumerate(targets):
-            v = _c(columns[i]).cast("double")
-            cs += [F.count_if(v < F.lit(lo)).alias(f"b{t}"),
-                   F.count_if((v >= F.lit(lo)) & (v <= F.lit(hi))).alias(f"m{t}")]
-        return df.agg(*cs).first()
-
-    cnt = counts()
-    for _ in range(6):   # each round narrows a wide bracket ~accuracy times
-        wide = [t for t in range(len(targets)) if cnt[f"m{t}"] > max_candidates]
-        if not wide:
-            break
-        aggs = []
-        for t in wide:
-            i, j, k, frac, lo, hi = targets[t]
-            v = _c(columns[i]).cast("double")
-            inside = F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), v)
-            m = cnt[f"m{t}"]
-            q = (k - cnt[f"b{t}"]) / max(1, m - 1)
-            aggs.append(F.approx_percentile(inside, F.array(F.lit(max(0.0, q - margin)),
-                                                            F.lit(min(1.0, q + margin))),
-                                            accuracy).alias(f"r{t}"))
-        r = df.agg(*aggs).first()
-        for t in wide:
-            targets[t][4], targets[t][5] = r[f"r{t}"][0], r[f"r{t}"][1]
-        cnt = counts()
-
-    pieces = []
-    for t, (i, j, k, frac, lo, hi) in enumerate(targets):
+
+def _merged(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Sorted brackets with overlapping ones joined."""
+    out: list[list[float]] = []
+    for lo, hi in sorted(brackets):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return [(lo, hi) for lo, hi in out]
+
+
+def _place(v, brackets):
+    """(segment, slice, value kept) of a value: odd segments are brackets, even
+    ones the gaps before, between and after them."""
+    out = F.struct(F.lit(2 * len(brackets)).alias("s"), F.lit(0).alias("b"), F.lit(None).cast("double").alias("v"))
+    for j in reversed(range(len(brackets))):
+        lo, hi = brackets[j]
+        wide = math.isfinite(hi - lo) and hi > lo
+        cut = F.least(F.floor((v - F.lit(lo)) / F.lit((hi - lo) / SLICES)).cast("int"), F.lit(SLICES - 1)) \
+            if wide and (hi - lo) / SLICES > 0 else F.lit(0)
+        out = F.when(v < F.lit(lo), F.struct(F.lit(2 * j).alias("s"), F.lit(0).alias("b"),
+                                             F.lit(None).cast("double").alias("v"))) \
+            .when(v <= F.lit(hi), F.struct(F.lit(2 * j + 1).alias("s"), cut.alias("b"), v.alias("v"))).otherwise(out)
+    return out
+
+
+def _values_at(df: DataFrame, columns, segments: dict, wanted: set) -> dict:
+    """{(column index, rank): value} for the ranks that fall inside brackets."""
+    placed = []
+    for i, brackets in segments.items():
         v = _c(columns[i]).cast("double")
-        pieces.append(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)),
-                             F.array(F.struct(F.lit(t).alias("t"), v.alias("v")))))
-    cand = (df.select(F.explode(F.flatten(F.filter(F.array(*pieces), lambda a: a.isNotNull())))
-                      .alias("x"))
-              .select("x.t", "x.v")
-              .groupBy("t", "v").agg(F.count(F.lit(1)).alias("m")))
-    w = W.partitionBy("t").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    cand = cand.withColumn("cum", F.sum("m").over(w))
-    # rank r (0-based) is the first value whose running count exceeds r - below
-    want = [(t, k - cnt[f"b{t}"], k + 1 - cnt[f"b{t}"]) for t, (i, j, k, frac, lo, hi) in enumerate(targets)]
-    wdf = df.sparkSession.createDataFrame(want, "t int, r0 long, r1 long")
-    picked = (cand.join(F.broadcast(wdf), "t")
-              .groupBy("t")
-              .agg(F.min_by("v", F.when(F.col("cum") > F.col("r0"), F.col("v"))).alias("v0"),
-                   F.min_by("v", F.when(F.col("cum") > F.col("r1"), F.col("v"))).alias("v1"))
-              .collect())
-    by_t = {r["t"]: r for r in picked}
-    for t, (i, j, k, frac, lo, hi) in enumerate(targets):
-        c, p = columns[i], probs[j]
-        r = by_t.get(t)
-        ok = (r is not None and cnt[f"b{t}"] <= k and r["v0"] is not None
-              and (frac == 0 or r["v1"] is not None))
-        if not ok:
-            result[(c, p)] = df.agg(F.percentile(_c(c).cast("double"), p)).first()[0]
-            continue
-        v0 = r["v0"]
-        v1 = r["v1"] if r["v1"] is not None else v0
-        result[(c, p)] = v0 + (v1 - v0) * frac if frac else v0
-    return result
+        placed.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("i"), _place(v, brackets).alias("at"))))
+    rows = df.select(F.explode(F.array(*placed)).alias("x")).filter(F.col("x").isNotNull())
+    counted = scratch_table(
+        rows.select("x.i", "x.at.s", "x.at.b", "x.at.v")
+        .groupBy("i", "s", "b", "v").agg(F.count(F.lit(1)).alias("m")), "quantiles")
+    before: dict = {}
+    spots = []       # (column, segment, slice, rank, rank inside the slice)
+    sums = counted.groupBy("i", "s", "b").agg(F.sum("m").alias("m")).collect()   # at most SLICES a bracket
+    for r in sorted(sums, key=lambda r: (r["i"], r["s"], r["b"])):
+        start = before.get(r["i"], 0)
+        before[r["i"]] = start + r["m"]
+        if r["s"] % 2:
+            spots += [(r["i"], r["s"], r["b"], k, k - start) for i, k in wanted
+                      if i == r["i"] and start <= k < start + r["m"]]
+    if not spots:
+        return {}
+    want = df.sparkSession.createDataFrame(spots, "i int, s int, b int, k long, r long")
+    part = W.partitionBy("i", "s", "b")
+    held = counted.join(F.broadcast(want.select("i", "s", "b").distinct()), ["i", "s", "b"])
+    held = held.withColumn("upto", F.sum("m").over(part.orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+    picked = (held.join(F.broadcast(want), ["i", "s", "b"])
+              .filter((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("m"))))
+    return {(r["i"], r["k"]): r["v"] for r in picked.select("i", "k", "v").collect()}

@@ -1,44 +1,31 @@
 """Text statistics, keywords and extractive summaries.
 
-All three run on whole documents as DataFrame plans: tokens are exploded,
-counted with grouped aggregates (partial aggregation absorbs hot terms) and
-re-joined; only the fixed-size vocabulary (``max_features`` terms) is
-broadcast.
+A document is one row and one unit of work: what concerns a single document
+(its sentences, its own term weights) is computed inside its row in Arrow
+batches, without a shuffle; only corpus counts are grouped.
 """
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
+import math
+import re
+from collections import Counter
 
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablesight.functions.scalars import line_count, sentences
+from tablesight.functions.scalars import line_count
+from tablesight.functions.stop_words import ENGLISH
 
 # A token is a run of two or more word characters (letters,
 # digits, underscore), lower-cased first.
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 WORD_RE = r"[\p{L}\p{N}_]+"
-
-
-@functools.lru_cache(maxsize=1)
-def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's default English stop-word list (StopWordsRemover), read from
-    the MLlib jar so that no JVM is needed (the SQL twin uses it too)."""
-    import pyspark
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    for path in sorted(glob.glob(os.path.join(jars, "spark-mllib_*.jar"))):
-        with zipfile.ZipFile(path) as z:
-            name = "org/apache/spark/ml/feature/stopwords/english.txt"
-            if name in z.namelist():
-                return tuple(z.read(name).decode("utf-8").split())
-    from pyspark.ml.feature import StopWordsRemover
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+#: The same token for Python, whose word characters are these.
+PY_TOKEN = r"\w{2,}"
 
 
 def text_stats(df: DataFrame, text: str = "text", keys: list[str] | None = None) -> DataFrame:
@@ -54,89 +41,121 @@ def _tokens(col):
     return F.regexp_extract_all(F.lower(col), F.lit(TOKEN_RE), 0)
 
 
-def top_keywords(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                 max_features: int = 100, k: int = 25) -> DataFrame:
+def _idf(n: int, df: int) -> float:
+    return math.log((1 + n) / (1 + df)) + 1
+
+
+def _terms(df: DataFrame, text: str) -> DataFrame:
+    """(row, term, tf) of non-stop-word terms; rows with empty text left out."""
+    stop = list(ENGLISH)
+    docs = df.select(F.col(text).alias("_t")).filter(F.length("_t") > 0).select(
+        F.monotonically_increasing_id().alias("row"), _tokens(F.col("_t")).alias("toks"))
+    return (docs.select("row", F.explode("toks").alias("term")).filter(~F.col("term").isin(stop))
+            .groupBy("row", "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def top_keywords(df: DataFrame, text: str = "text", max_features: int | None = None, k: int = 25) -> DataFrame:
     """The k terms with the largest summed TF-IDF over all rows.
 
-    Vocabulary: the ``max_features`` most frequent non-stop-word terms (ties
-    by term).  Weight: raw count x (ln((1+N)/(1+df)) + 1), each row L2
-    normalised over the vocabulary; summed per term.  Rows with empty text do
-    not count.
+    Weight: raw count x (ln((1+N)/(1+df)) + 1), each row L2 normalised; summed
+    per term.  Stop words and rows with empty text do not count.  By default
+    every term is scored: (row, term) counts meet the terms' document counts in
+    one exchange and their rows' norms in another.  With ``max_features`` the
+    vocabulary is that many terms of largest total count (ties by term): only
+    term totals are shuffled, and rows are weighed where they lie.
     """
-    stop = list(english_stop_words())
-    docs = df.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).filter(F.length("_t") > 0)
-    # explode_outer + NULL for stop words keeps at least one row per document,
-    # so the document count comes from the counts below, not a second scan.
-    toks = docs.select("_d", F.explode_outer(_tokens(F.col("_t"))).alias("_tok"))
-    toks = toks.select("_d", F.when(~F.col("_tok").isin(stop), F.col("_tok")).alias("term"))
-    # (document, term) counts feed three branches; persist so the text is
-    # tokenised once.
-    tf = (toks.groupBy("_d", "term").agg(F.count("term").alias("tf"))
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    n_docs = tf.agg(F.countDistinct("_d").alias("n"))
-    real = tf.filter(F.col("term").isNotNull())
-    totals = real.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    vocab = totals.orderBy(F.desc("total"), "term").limit(max_features)
-    # the vocabulary has at most max_features rows and n_docs one row: both
-    # are safe to broadcast
-    weighted = (real.join(F.broadcast(vocab), "term")
-                    .crossJoin(F.broadcast(n_docs))
-                    .withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)))
-    # at most max_features rows per document in this window
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("_d")))
-    scored = (weighted.withColumn("wn", F.col("w") / norm)
-                      .groupBy("term").agg(F.sum("wn").alias("score")))
+    if max_features is not None:
+        return _bounded_keywords(df, text, max_features, k)
+    n_docs = df.filter(F.length(text) > 0).agg(F.count(F.lit(1)).alias("n"))
+    tf = _terms(df, text)
+    counted = tf.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("term")))
+    # the number of documents is one row
+    w = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
+    weighed = counted.crossJoin(F.broadcast(n_docs)).select("row", "term", w.alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("row")))
+    scored = (weighed.select("term", (F.col("w") / norm).alias("wn"))
+              .groupBy("term").agg(F.sum("wn").alias("score")))
     return scored.orderBy(F.desc("score"), "term").limit(k)
 
 
-def extractive_summary(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                       max_sentences: int = 8, max_features: int = 8000,
-                       short_chars: int = 800) -> DataFrame:
-    """M12 for many documents: per document, sentences are scored by the sum
-    of their L2-normalised TF-IDF (unigrams and bigrams after stop words,
-    vocabulary of the document's ``max_features`` most frequent terms, idf over
-    the document's sentences); the best ``max_sentences`` are joined in their
-    original order.  Documents with three sentences or fewer give their first
-    ``short_chars`` characters.
-
-    Every step is keyed by document, so the documents are hash-partitioned by
-    id once; term counts, the per-term windows, the per-document vocabulary
-    rank, sentence scores and the final pick all reuse that partitioning (no
-    further shuffle).  The pick works on each document's own row with array
-    functions, so no sentence table is joined back.
+def _bounded_keywords(df: DataFrame, text: str, max_features: int, k: int) -> DataFrame:
+    totals = _terms(df, text).groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    vocab = totals.orderBy(F.desc("total"), "term").limit(max_features).collect()
+    n = df.filter(F.length(text) > 0).count()
+    weight = {r["term"]: _idf(n, r["df"]) for r in vocab}
+
+    def run(batches):
+        find = re.compile(PY_TOKEN).findall
+        for batch in batches:
+            sums: Counter = Counter()
+            for t in batch.column(0).to_pylist():
+                w = {term: c * weight[term] for term, c in Counter(find((t or "").lower())).items() if term in weight}
+                norm = math.sqrt(sum(x * x for x in w.values()))
+                for term, x in w.items():
+                    sums[term] += x / norm
+            yield pa.RecordBatch.from_pydict({"term": pa.array(list(sums), pa.string()),
+                                              "wn": pa.array(list(sums.values()), pa.float64())})
+
+    parts = df.select(F.col(text)).mapInArrow(run, "term string, wn double")
+    return parts.groupBy("term").agg(F.sum("wn").alias("score")).orderBy(F.desc("score"), "term").limit(k)
+
+
+def split_sentences(text: str) -> list[str]:
+    """Pieces after . ! ? and blanks, trimmed, empties dropped (F8)."""
+    return [p for p in (x.strip() for x in re.split(r"(?<=[.!?])\s+", text.strip())) if p]
+
+
+def summarize(text: str, stop: frozenset, max_sentences: int = 8, max_features: int | None = None,
+              short_chars: int | None = None) -> str:
+    """The best sentences of one text in their order (see extractive_summary)."""
+    parts = split_sentences(text)
+    if len(parts) <= 3:
+        return text if short_chars is None else text[:short_chars]
+    counts = []
+    for p in parts:
+        toks = [t for t in re.findall(PY_TOKEN, p.lower()) if t not in stop]
+        counts.append(Counter(toks + [f"{a} {b}" for a, b in zip(toks, toks[1:])]))
+    df = Counter(t for c in counts for t in c)
+    if max_features is not None:
+        total: Counter = Counter()
+        for c in counts:
+            total.update(c)
+        kept = set(sorted(total, key=lambda t: (-total[t], t))[:max_features])
+        counts = [Counter({t: n for t, n in c.items() if t in kept}) for c in counts]
+    idf = {t: _idf(len(parts), n) for t, n in df.items()}
+    scores = []
+    for c in counts:
+        w = [n * idf[t] for t, n in c.items()]
+        square = math.sqrt(math.fsum(x * x for x in w))
+        # compared at 1e-9, so summation order cannot reorder equal sentences
+        scores.append(round(math.fsum(w) / square, 9) if square else 0.0)
+    best = sorted(sorted(range(len(parts)), key=lambda i: (-scores[i], i))[:max_sentences])
+    return " ".join(parts[i] for i in best)
+
+
+def extractive_summary(df: DataFrame, text: str = "text", keys: list[str] | None = None,
+                       max_sentences: int = 8, max_features: int | None = None,
+                       short_chars: int | None = None) -> DataFrame:
+    """Per document, sentences are scored by the sum of their
+    L2-normalised TF-IDF (unigrams and bigrams after stop words, idf over the
+    document's sentences); the best ``max_sentences`` are joined in their
+    original order.  Documents with three sentences or fewer come back whole.
+    ``max_features`` keeps only that many of a document's most frequent terms,
+    ``short_chars`` cuts short documents; neither does by default.
+
+    Each document is summarised inside its own row, so there is no shuffle and
+    the rows' ``keys`` need not be unique.  Null text gives null.
     """
-    stop = list(english_stop_words())
-    base = df.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).repartition("_d")
-    sents = base.select("_d", F.posexplode(sentences(F.col("_t"))).alias("sid", "sentence"))
-    toks = F.filter(_tokens(F.col("sentence")), lambda x: ~x.isin(stop))
-    with_toks = sents.select("_d", "sid", toks.alias("toks"))
-    bigrams = F.transform(F.sequence(F.lit(0), F.size("toks") - 2),
-                          lambda i: F.concat(F.element_at("toks", i + 1), F.lit(" "),
-                                             F.element_at("toks", i + 2)))
-    terms = F.when(F.size("toks") >= 2, F.concat("toks", bigrams)).otherwise(F.col("toks"))
-    ex = with_toks.select("_d", "sid", F.explode(terms).alias("term"))
-    tf = ex.groupBy("_d", "sid", "term").agg(F.count(F.lit(1)).alias("tf"))
-    per_term = W.partitionBy("_d", "term")
-    tf = (tf.withColumn("total", F.sum("tf").over(per_term))
-            .withColumn("df", F.count(F.lit(1)).over(per_term))
-            .withColumn("_r", F.dense_rank().over(W.partitionBy("_d").orderBy(F.desc("total"), "term")))
-            .filter(F.col("_r") <= max_features))
-    n_sent = sents.groupBy("_d").agg(F.count(F.lit(1)).alias("n"))
-    w = (tf.join(n_sent, "_d")
-           .withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)))
-    score = (w.groupBy("_d", "sid")
-              .agg(F.try_divide(F.sum("w"), F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("score")))
-    # scores compared at 1e-9, so summation order cannot reorder equal sentences
-    per_doc = score.groupBy("_d").agg(F.map_from_entries(F.collect_list(
-        F.struct("sid", F.round("score", 9).alias("s")))).alias("sc"))
-    arr = sentences(F.col("_t"))
-    cand = F.transform(F.sequence(F.lit(0), F.size(arr) - 1),
-                       lambda i: F.struct((-F.coalesce(F.element_at("sc", i), F.lit(0.0))).alias("k"),
-                                          i.alias("sid")))
-    best = F.array_sort(F.transform(F.slice(F.array_sort(cand), 1, max_sentences), lambda x: x["sid"]))
-    summary = F.array_join(F.transform(best, lambda i: F.element_at(arr, i + 1)), " ")
-    out = (base.join(per_doc, "_d", "left")
-               .select(F.col("_d").alias(doc_id),
-                       F.when(F.size(arr) <= 3, F.substring("_t", 1, short_chars))
-                        .otherwise(summary).alias("summary")))
-    return out
+    keys = keys or []
+    stop = frozenset(ENGLISH)
+    source = df.select(*keys, F.col(text).alias("__text"))
+    schema = T.StructType([*[source.schema[c] for c in keys], T.StructField("summary", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            out = [None if t is None else summarize(t, stop, max_sentences, max_features, short_chars)
+                   for t in batch.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], pa.array(out, pa.string())],
+                                             names=[*keys, "summary"])
+
+    return source.mapInArrow(run, schema)

@@ -22,22 +22,23 @@ def sort_by_time(df: DataFrame, order: list[str]) -> DataFrame:
     return df.orderBy(*order)
 
 
-def _bucket(key: list[str], seed: int) -> Column:
-    # xxhash64 over the key columns and a seed: the same rows are chosen on any
-    # partitioning and after any retry.
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in key])
+def key_hash(key: list[str], seed: int = 42) -> Column:
+    """32-bit hash of the key columns: the first eight hexadecimal digits of the
+    MD5 of seed and keys as text, joined by ':'.  The same on any partitioning,
+    after any retry and in any engine with MD5.  NULL keys count as empty."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def hash_sample(df: DataFrame, fraction: float, key: list[str], seed: int = 42) -> DataFrame:
     """T5: a repeatable sample of about ``fraction`` of the rows."""
-    scale = 1 << 20
-    return df.filter(F.pmod(_bucket(key, seed), F.lit(scale)) < F.lit(int(fraction * scale)))
+    return df.filter(key_hash(key, seed) < F.lit(int(fraction * (1 << 32))))
 
 
 def sample_n(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
     """Exactly min(n, rows) rows, chosen by hash order (a top-k, no full
     sort)."""
-    return (df.withColumn("_h", _bucket(key, seed)).orderBy("_h", *key).limit(n).drop("_h"))
+    return df.withColumn("__h", key_hash(key, seed)).orderBy("__h", *key).limit(n).drop("__h")
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesight.functions.scalars import period_start, to_number
+from tablesight.functions.scalars import number_of, period_start
 
 
 def period_totals_stream(spark: SparkSession, path: str, schema: T.StructType, ts: str, amount: str,
@@ -26,7 +26,7 @@ def period_totals_stream(spark: SparkSession, path: str, schema: T.StructType, t
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.load(path)
     return (src.select(period_start(F.col(ts), period).alias("period"),
-                       F.coalesce(to_number(amount), F.lit(0.0)).alias("_a"))
+                       F.coalesce(number_of(src, amount), F.lit(0.0)).alias("_a"))
                .filter(F.col("period").isNotNull())
                .groupBy("period")
                .agg(F.sum("_a").alias("amount"), F.count(F.lit(1)).alias("rows")))
@@ -34,7 +34,8 @@ def period_totals_stream(spark: SparkSession, path: str, schema: T.StructType, t
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
     """Process all available input (restartable from ``checkpoint``) into an
-    in-memory table and return it as a DataFrame."""
+    in-memory table and return it as a DataFrame.  The table holds the query's
+    groups only: one row per period, however many rows arrive."""
     q = (stream.writeStream.outputMode("complete").format("memory").queryName(name)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
