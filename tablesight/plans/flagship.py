@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesight.functions.scalars import period_start, to_number_typed
+from tablesight.functions.scalars import number_of, period_start
 from tablesight.operators.clean import clean_table
 from tablesight.plans.registry import query, rounded
 
@@ -20,7 +20,7 @@ FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1
 def monthly_billing(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/orders.parquet")
     clean = clean_table(raw)
-    amount = to_number_typed("o_totalprice", clean.schema["o_totalprice"].dataType)
+    amount = number_of(clean, "o_totalprice")
     out = (clean.select(period_start("o_orderdate", "month").alias("month"), amount.alias("_a"))
                 .filter(F.col("month").isNotNull())
                 .groupBy("month")

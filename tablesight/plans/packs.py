@@ -10,13 +10,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablesight.functions.scalars import currency, to_number
+from tablesight.functions.scalars import currency, drawdown_label, number_of, ratio_max1, yes_flag
 from tablesight.operators import grouped as G
 from tablesight.operators import ordered as W
 from tablesight.operators import profile as P
+from tablesight.operators.charts import monthly_series
 from tablesight.operators.infer import infer_dataset_type, infer_roles
 from tablesight.plans.registry import get_pack, register_pack
+from tablesight.session import scratch_table
 
 
 def resolve_mapping(columns: list[str], overrides: dict[str, str] | None = None,
@@ -35,6 +38,11 @@ def resolve_mapping(columns: list[str], overrides: dict[str, str] | None = None,
     return out
 
 
+def first_containing(columns: list[str], word: str) -> str | None:
+    """The first column whose lower-cased name contains ``word``."""
+    return next((c for c in columns if word in c.lower()), None)
+
+
 def _sentence(*parts) -> F.Column:
     """join the non-NULL sentence parts with a space."""
     return F.concat_ws(" ", *parts)
@@ -44,25 +52,24 @@ def _sentence(*parts) -> F.Column:
 # Q1 universal
 # ---------------------------------------------------------------------------
 
+# The sentences of the packs (F20) and the words around numbers.
+UNIVERSAL_SENTENCE = "Dataset: %d rows × %d cols. %d constant columns dropped. %d numeric columns."
+LAB_SENTENCE = "Lab results table with top tests and abnormal rates where available."
+VITALS_SENTENCE = "Vitals table with trend lines for detected vital signs."
+VISITS_SENTENCE = "Visits/appointments table: trends by day/week/month."
+BILLING_SENTENCE = "Billing table: revenue totals and daily breakdowns where available."
+
+
 @register_pack("universal")
 def universal_kpis(df: DataFrame, mapping: dict | None = None) -> dict[str, DataFrame]:
     """Q1: shape, type counts, missing share, duplicates, constant columns,
-    top correlations and skews, summary."""
-    n_num = len(P.columns_of_type(df, "numeric"))
-    n_cat = len(P.columns_of_type(df, "categorical"))
-    n_dt = len(P.columns_of_type(df, "datetime"))
-    const = P.constant_columns(df)
-    shape = P.shape(df)
-    miss = P.missing_overall(df)
-    dup = P.duplicate_rows(df)
-    k = (shape.crossJoin(miss).crossJoin(dup)
-         .withColumn("numeric_columns", F.lit(n_num))
-         .withColumn("categorical_columns", F.lit(n_cat))
-         .withColumn("datetime_columns", F.lit(n_dt))
-         .withColumn("constant_columns", F.lit(len(const))))
-    k = k.withColumn("summary", F.format_string(
-        "Dataset: %d rows × %d cols. %d constant columns dropped. %d numeric columns.",
-        F.col("rows"), F.col("cols"), F.col("constant_columns"), F.col("numeric_columns")))
+    top correlations and skews, summary.  The table is read twice for the
+    measures: one aggregate, and one pass that counts row hashes."""
+    k = P.overview(df).crossJoin(P.duplicate_rows(df))   # one row each
+    k = k.select("rows", "cols", "missing_fraction_overall", "duplicate_rows",
+                 *[F.lit(len(P.columns_of_type(df, t))).alias(f"{t}_columns") for t in ("numeric", "categorical", "datetime")],
+                 "constant_columns")
+    k = k.withColumn("summary", F.format_string(UNIVERSAL_SENTENCE, "rows", "cols", "constant_columns", "numeric_columns"))
     out = {"kpis": k}
     nums = P.columns_of_type(df, "numeric")
     if len(nums) >= 2:
@@ -78,67 +85,69 @@ def universal_kpis(df: DataFrame, mapping: dict | None = None) -> dict[str, Data
 
 @register_pack("clinic_lab")
 def clinic_lab(df: DataFrame, mapping: dict) -> dict[str, DataFrame]:
-    """Q2: total tests, unique patients, top tests, abnormal share."""
-    k = df.agg(F.count(F.lit(1)).alias("total_tests"))
+    """Q2: total tests, unique patients, abnormal share in one aggregate; top tests."""
+    measures = [F.count(F.lit(1)).alias("total_tests")]
     if mapping.get("patient_id"):
-        k = k.crossJoin(G.unique_count(df, mapping["patient_id"]))
+        measures.append(F.countDistinct(mapping["patient_id"]).alias("unique_patients"))
     if mapping.get("abnormal_flag"):
-        k = k.crossJoin(G.flag_rate(df, mapping["abnormal_flag"]))
-    out = {"kpis": k}
+        measures.append(ratio_max1(F.count_if(yes_flag(mapping["abnormal_flag"])), F.count(F.lit(1))).alias("abnormal_percent"))
+    out = {"kpis": df.agg(*measures).withColumn("summary", F.lit(LAB_SENTENCE))}
     if mapping.get("test_name"):
-        out["top_tests"] = G.top_keys_by_count(df, mapping["test_name"], 20)
+        out["top_lab_tests"] = G.top_keys_by_count(df, mapping["test_name"], 20).select(F.col("key").alias("test"), "count")
     return out
 
 
 @register_pack("clinic_vitals")
 def clinic_vitals(df: DataFrame, mapping: dict, order: list[str] | None = None) -> dict[str, DataFrame]:
-    """Q3: vital columns found, described, and forward-filled series."""
+    """Q3: vital columns found, described, and forward-filled series (leading
+    gaps stay missing)."""
     cols = [c for c in df.columns if any(v in c.lower() for v in P.VITAL_KEYS)]
-    spark = df.sparkSession
-    out = {"kpis": spark.createDataFrame([(len(cols), ", ".join(cols))],
-                                         "vital_columns int, columns string"),
-           "describe": P.describe_numeric(df, cols)}
+    one = df.agg(F.count(F.lit(1)).alias("rows"))
+    out = {"kpis": one.select(F.lit(len(cols)).alias("vitals_columns_detected"), F.lit(VITALS_SENTENCE).alias("summary")),
+           "vitals_trends": P.describe_numeric(df, cols)}
+    order = order or ([mapping["datetime"]] if mapping.get("datetime") else None)
     if order and cols:
-        d = df
-        for c in cols:
-            d = W.forward_fill(d.withColumn(c, to_number(c)), order, c, c, 0.0)
-        out["series"] = d.select(*order, *cols)
+        keyed = df.select(*dict.fromkeys(order), *[number_of(df, c).alias(c) for c in cols if c not in order])
+        cols = [c for c in cols if c not in order]
+        rows = W.scan(W.ranged(keyed, W.total_order(keyed, order)), [W.Scan("ffill", c, f"__f_{c}") for c in cols])
+        out["series"] = rows.rows().select(*order, *[F.col(f"__f_{c}").alias(c) for c in cols])
     return out
 
 
 @register_pack("clinic_visits")
 def clinic_visits(df: DataFrame, mapping: dict) -> dict[str, DataFrame]:
     """Q4: visits and visits per day."""
-    out = {"kpis": df.agg(F.count(F.lit(1)).alias("total_visits"))}
+    out = {"kpis": df.agg(F.count(F.lit(1)).alias("total_visits")).withColumn("summary", F.lit(VISITS_SENTENCE))}
     if mapping.get("datetime"):
-        out["visits_by_day"] = G.count_by_day(df, mapping["datetime"])
+        out["visits_per_day"] = G.count_by_day(df, mapping["datetime"])
     return out
 
 
 @register_pack("clinic_billing")
 def clinic_billing(df: DataFrame, mapping: dict) -> dict[str, DataFrame]:
-    """Q5: collected and billed totals and daily revenue.  With role
-    inference both names resolve to the one billing column."""
-    amt = mapping.get("paid_amount") or mapping.get("billing_amount")
-    billed = mapping.get("billed_amount") or mapping.get("billing_amount")
-    out = {"kpis": G.revenue_totals(df, amt, billed)}
-    if mapping.get("datetime") and amt:
-        out["revenue_by_day"] = G.sum_by_period(df, mapping["datetime"], amt, "day")
+    """Q5: collected and billed totals and daily revenue.  The billing amount,
+    where there is one, is both what was collected and what was billed."""
+    paid = mapping.get("billing_amount") or mapping.get("paid_amount") or mapping.get("paid")
+    billed = mapping.get("billing_amount") or mapping.get("billed_amount") or mapping.get("billed")
+    sums = {"total_revenue_collected": paid, "total_revenue_billed": billed}
+    measures = [F.coalesce(F.sum(G.coerced0(df, c)), F.lit(0.0)).alias(name) for name, c in sums.items() if c]
+    k = df.agg(*(measures or [F.count(F.lit(1)).alias("total_visits")])).withColumn("summary", F.lit(BILLING_SENTENCE))
+    out = {"kpis": k}
+    if mapping.get("datetime") and paid:
+        out["revenue_by_day"] = G.sum_by_period(df, mapping["datetime"], paid, "day")
     return out
 
 
-@register_pack("clinic")
+@register_pack("clinic_general")
 def clinic_general(df: DataFrame, mapping: dict, currency_symbol: str = "") -> dict[str, DataFrame]:
     """Q6: visits, revenue, trends, doctors, procedures, status, outstanding,
-    repeat patients and the summary sentence."""
+    repeat patients and the summary sentence.  All single measures come from one
+    pass; each published table is one more."""
     paid, billed = mapping.get("paid_amount"), mapping.get("billed_amount")
-    k = G.revenue_totals(df, paid, billed)
+    k = G.visit_measures(df, paid, billed, mapping.get("status"), mapping.get("patient_id"))
     out: dict[str, DataFrame] = {}
     if mapping.get("status"):
-        k = k.crossJoin(G.status_rates(df, mapping["status"]))
         out["status_counts"] = G.status_counts(df, mapping["status"])
-    if mapping.get("patient_id"):
-        k = k.crossJoin(G.repeat_rate(df, mapping["patient_id"]))
     parts = [F.format_string("This dataset contains %d visits.", F.col("total_visits"))]
     if paid:
         parts.append(F.when(F.col("total_revenue_collected") != 0,
@@ -168,74 +177,104 @@ def clinic_general(df: DataFrame, mapping: dict, currency_symbol: str = "") -> d
     return out
 
 
+CLINIC_ROUTES = {
+    "lab_results_table": clinic_lab,
+    "vitals_table": clinic_vitals,
+    "appointments_or_visits_table": clinic_visits,
+    "billing_or_revenue_table": clinic_billing,
+}
+
+
+@register_pack("clinic")
+def clinic(df: DataFrame, mapping: dict, dataset_type: str | None = None) -> dict[str, DataFrame]:
+    """Route to the clinic pack for the detected dataset type."""
+    return CLINIC_ROUTES.get(dataset_type or infer_dataset_type(df), clinic_general)(df, mapping)
+
+
 # ---------------------------------------------------------------------------
 # Q7-Q12 trading
 # ---------------------------------------------------------------------------
 
+def _money(c: str, symbol: str, before: str, after: str = ".") -> F.Column:
+    return F.when(F.col(c).isNotNull(), F.concat(F.lit(before), currency(c, symbol), F.lit(after)))
+
+
 @register_pack("trading_backtest")
-def trading_backtest(df: DataFrame, mapping: dict) -> dict[str, DataFrame]:
-    """Q7: monthly statistics, best/worst months, trend and ratios."""
-    month = mapping.get("month") or next((c for c in df.columns if "month" in c.lower()), None)
+def trading_backtest(df: DataFrame, mapping: dict, currency_symbol: str = "") -> dict[str, DataFrame]:
+    """Q7: every measure of the monthly table in one aggregate, the narrative,
+    the monthly table (missing values kept) and the chart series (as 0)."""
+    month = mapping.get("month") or first_containing(df.columns, "month")
     if month is None:
         return {"kpis": df.agg(F.count(F.lit(1)).alias("total_months"))}
-    pnl = mapping.get("realized_pnl")
-    k = G.monthly_stats(df, pnl=pnl, trades=mapping.get("trades"), fees=mapping.get("fees"),
-                        steps=mapping.get("agent_train_steps"), epsilon=mapping.get("avg_epsilon"),
-                        blocked=mapping.get("blocked_total"))
-    out = {}
-    if pnl:
-        bw = G.best_worst(df, month, pnl, [month]).select(
-            F.col("best_label").alias("best_month_realized_pnl"),
-            F.col("best_value").alias("best_month_realized_pnl_value"),
-            F.col("worst_label").alias("worst_month_realized_pnl"),
-            F.col("worst_value").alias("worst_month_realized_pnl_value"))
-        k = k.crossJoin(bw)
-    dd = mapping.get("drawdown_pct")
-    if dd:
-        worst = G.best_worst(df, month, dd, [month]).select(
-            F.col("worst_label").alias("worst_drawdown_month"),
-            F.col("worst_value").alias("worst_drawdown_pct"))
-        k = k.crossJoin(worst)
-        if pnl:
-            ratio = df.agg(F.sum(to_number(pnl)).alias("_p"), F.min(to_number(dd)).alias("_d")).select(
-                F.when(F.col("_d") < 0, F.abs("_p") / F.abs("_d")).alias("pnl_to_drawdown"))
-            k = k.crossJoin(ratio)
-    eq = mapping.get("end_equity")
-    if eq:
-        k = k.crossJoin(G.first_last_trend(df, eq, [month]).select(
-            F.col("trend").alias("equity_trend")))
-    out["kpis"] = k
-    series = [c for c in (pnl, eq, dd, mapping.get("trades")) if c]
-    if series:
-        from tablesight.operators.charts import monthly_series
-        out["monthly"] = monthly_series(df, month, series)
-    return out
+    used = {"pnl": "realized_pnl", "trades": "trades", "fees": "fees", "steps": "agent_train_steps",
+            "epsilon": "avg_epsilon", "blocked": "blocked_total", "equity": "end_equity", "drawdown": "drawdown_pct"}
+    cols = {k: mapping.get(role) for k, role in used.items()}
+    k = G.monthly_stats(df, month=month, **cols)
+    # The sentences of the narrative.
+    parts = [F.format_string("This is a backtest monthly summary covering %d months.", "total_months")]
+    if cols["pnl"]:
+        parts += [_money("total_realized_pnl", currency_symbol, "Total realized PnL: "),
+                  _money("avg_realized_pnl_per_month", currency_symbol, "Average monthly PnL: ")]
+        for side in ("best", "worst"):
+            name = f"{side}_month_realized_pnl"
+            parts.append(F.when(F.col(name).isNotNull(), F.concat(
+                F.lit(f"{side.title()} month: "), F.col(name), F.lit(" ("), currency(f"{name}_value", currency_symbol), F.lit(").")))
+            )
+    if cols["drawdown"]:
+        parts.append(F.when(F.col("worst_drawdown_pct").isNotNull(), F.concat(
+            F.format_string("Worst drawdown: %.2f%% in %s (", F.col("worst_drawdown_pct") * 100, F.col("worst_drawdown_month")),
+            drawdown_label("worst_drawdown_pct"), F.lit(")."))))
+    if cols["fees"]:
+        parts.append(_money("total_fees_paid", currency_symbol, "Total fees paid: "))
+    if cols["epsilon"]:
+        parts.append(F.concat(F.lit("Epsilon trend: "), F.col("epsilon_trend"), F.lit(".")))
+    if cols["blocked"]:
+        parts.append(F.when(F.col("total_blocked_trades") > 0,
+                            F.format_string("Total blocked trades: %d.", F.col("total_blocked_trades"))))
+    series = {"realized_pnl": cols["pnl"], "end_equity": cols["equity"], "max_drawdown_pct": cols["drawdown"],
+              "trades": cols["trades"], "steps": cols["steps"], "epsilon": cols["epsilon"]}
+    held = {name: c for name, c in series.items() if c}
+    renamed = df.select(F.col(month).alias("month"), *[F.col(c).alias(name) for name, c in held.items()])
+    table = [c for c in ("realized_pnl", "end_equity", "max_drawdown_pct", "trades") if c in held]
+    return {"kpis": k.withColumn("summary", _sentence(*parts)),
+            "monthly_summary": monthly_series(renamed, "month", table, fill=None),
+            "monthly_series": monthly_series(renamed, "month", list(held))}
 
 
 @register_pack("trading_equity")
-def trading_equity(df: DataFrame, mapping: dict) -> dict[str, DataFrame]:
+def trading_equity(df: DataFrame, mapping: dict, order: list[str] | None = None) -> dict[str, DataFrame]:
     """Q8: return, drawdown, volatility, Sharpe proxy and longest drawdown of
-    an equity curve ordered by its datetime column."""
+    an equity curve ordered by its datetime column (other columns break ties).
+    The curve is dealt out by range once; the fill, the peak, the previous value
+    and the longest run all scan those rows."""
     ts, eq = mapping["datetime"], mapping["equity"]
-    d = df.select(F.col(ts).alias("_ts"), to_number(eq).alias("_v"))
-    d = W.forward_fill(d, ["_ts"], "_v", "_eq", fill_rest=0.0)
-    se = W.start_end(d, ["_ts"], "_eq")
-    dd = W.drawdown(d, ["_ts"], "_eq").agg(F.min("drawdown").alias("max_drawdown_amount"))
-    ret = W.returns(d, ["_ts"], "_eq", "ret")
-    vol = W.volatility(ret, "ret").drop("n_returns")
-    longest = W.longest_drawdown(d, ["_ts"], "_eq").select(
-        F.col("longest_drawdown_rows").alias("longest_drawdown_duration_days"))
-    rows = df.agg(F.count(F.lit(1)).alias("data_points"))
-    k = (rows.crossJoin(se).crossJoin(dd).crossJoin(vol).crossJoin(longest)
-         .select("data_points",
-                 F.col("start_value").alias("start_equity"), F.col("end_value").alias("end_equity"),
-                 F.col("change").alias("total_return_amount"),
-                 F.col("change_pct").alias("total_return_pct"),
-                 "max_drawdown_amount",
-                 F.when(F.col("start_value") != 0,
-                        F.col("max_drawdown_amount") / F.abs("start_value") * 100).alias("max_drawdown_pct"),
-                 "daily_return_volatility", "annualized_volatility", "sharpe_ratio_proxy",
-                 "longest_drawdown_duration_days"))
+    rest = [f.name for f in df.schema.fields if f.name not in (ts, eq) and not isinstance(f.dataType, T.MapType)]
+    ties = rest if order is None else [c for c in order if c not in (ts, eq)]
+    d = df.select(F.col(ts).alias("_ts"), number_of(df, eq).alias("_v"), *ties)
+    rows = W.scan(W.ranged(d, ["_ts", *ties, "_v"]), [W.Scan("ffill", "_v", "_f")])
+    rows = W.Ranged(rows.frame.withColumn("_eq", F.coalesce("_f", F.lit(0.0))), rows.order)
+    rows = W.scan(rows, [W.Scan("peak_at", "_eq", "_peak"), W.Scan("lag", "_eq", "_prev"), W.Scan("row_number", None, "_pos")])
+    curve = scratch_table(rows.rows().select(
+        "_ts", "_eq", "_pos", "_peak", (F.col("_eq") - F.col("_peak.value")).alias("drawdown"),
+        (F.try_divide("_eq", "_prev") - 1).alias("ret")), "equity")
+    run = F.when(F.col("drawdown") < 0, F.col("_pos") - F.col("_peak.at"))
+    r, n_ret = F.col("ret"), F.count("ret")
+    one = curve.agg(
+        F.count(F.lit(1)).alias("data_points"), F.min_by("_eq", "_pos").alias("start_equity"),
+        F.max_by("_eq", "_pos").alias("end_equity"), F.min("drawdown").alias("max_drawdown_amount"),
+        n_ret.alias("n"), F.avg(r).alias("m"), F.stddev_samp(r).alias("s"),
+        F.coalesce(F.max(run), F.lit(0)).cast("long").alias("longest_drawdown_duration_days"))
+    start, year = F.col("start_equity"), F.sqrt(F.lit(252.0))
+    k = one.select(
+        "data_points", "start_equity", "end_equity",
+        (F.col("end_equity") - start).alias("total_return_amount"),
+        F.when(start != 0, (F.col("end_equity") - start) / F.abs(start) * 100).alias("total_return_pct"),
+        "max_drawdown_amount",
+        F.when(start != 0, F.col("max_drawdown_amount") / F.abs(start) * 100).alias("max_drawdown_pct"),
+        F.when(F.col("n") > 1, F.col("s") * 100).alias("daily_return_volatility"),
+        F.when(F.col("n") > 1, F.col("s") * year * 100).alias("annualized_volatility"),
+        F.when((F.col("n") > 30) & (F.col("s") > 0), F.col("m") / F.col("s") * year).alias("sharpe_ratio_proxy"),
+        "longest_drawdown_duration_days")
     k = k.withColumn("summary", _sentence(
         F.format_string("Equity curve analysis with %d data points.", F.col("data_points")),
         F.when(F.col("total_return_pct").isNotNull(),
@@ -244,8 +283,7 @@ def trading_equity(df: DataFrame, mapping: dict) -> dict[str, DataFrame]:
                F.format_string("Maximum drawdown: %.2f%%.", F.col("max_drawdown_pct"))),
         F.when(F.col("sharpe_ratio_proxy").isNotNull(),
                F.format_string("Sharpe ratio (proxy): %.2f.", F.col("sharpe_ratio_proxy")))))
-    return {"kpis": k, "drawdown_curve": W.drawdown(d, ["_ts"], "_eq")
-            .select(F.col("_ts").alias(ts), F.col("_eq").alias(eq), "drawdown")}
+    return {"kpis": k, "drawdown_curve": curve.select(F.col("_ts").alias(ts), F.col("_eq").alias(eq), "drawdown")}
 
 
 @register_pack("trading_trades")
@@ -269,7 +307,8 @@ def trading_trades(df: DataFrame, mapping: dict, order: list[str] | None = None,
     if mapping.get("side"):
         out["pnl_by_side"] = G.sum_by_side(df, mapping["side"], pnl)
     if mapping.get("datetime"):
-        out["cumulative_pnl"] = W.cum_sum(df, order or [mapping["datetime"]], pnl, "cumulative_pnl")
+        out["cumulative_pnl"] = W.cum_sum(
+            df, order or W.total_order(df, [mapping["datetime"]]), pnl, "cumulative_pnl")
     return out
 
 
@@ -318,23 +357,23 @@ def trading(df: DataFrame, mapping: dict, dataset_type: str | None = None) -> di
 # ---------------------------------------------------------------------------
 
 def table_profile(df: DataFrame) -> dict[str, DataFrame]:
-    """Q13: shape, missing (top 20), describe, top values of the first 20
-    string columns, datetime ranges, duplicate rows."""
+    """Q13: shape, missing (top 20), describe, top values of the string columns,
+    datetime ranges, duplicate rows."""
     return {"kpis": P.shape(df).crossJoin(P.duplicate_rows(df)),
             "missing": P.missing_rate(df, top=20),
             "describe": P.describe_numeric(df),
-            "top_values": P.top_values(df, k=10, max_columns=20),
+            "top_values": P.top_values(df, k=10),
             "datetime_ranges": P.datetime_range(df)}
 
 
 def table_describe(df: DataFrame) -> dict[str, DataFrame]:
-    """Q14: shape, missing (top 25), describe, top values of the first 10
-    non-numeric columns."""
-    nonnum = [c for c in df.columns if c not in P.columns_of_type(df, "numeric")][:10]
+    """Q14: shape, missing (top 25), describe, top values of the non-numeric
+    columns."""
+    nonnum = [c for c in df.columns if c not in P.columns_of_type(df, "numeric")]
     return {"kpis": P.shape(df),
             "missing": P.missing_rate(df, top=25),
             "describe": P.describe_numeric(df),
-            "top_values": P.top_values(df, nonnum, k=10, max_columns=None)}
+            "top_values": P.top_values(df, nonnum, k=10)}
 
 
 def run_pack(df: DataFrame, mode: str | None = None, overrides: dict | None = None) -> dict[str, DataFrame]:

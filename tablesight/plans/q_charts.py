@@ -62,11 +62,22 @@ def c4(spark, d):
     return rounded(C.corr_heatmap(S.generic_table(spark, d), CORR_COLS), {"corr": 9})
 
 
-@query("c5_scatter_points")
+def _hash_sql(key: list[str], seed: int = 42) -> str:
+    """The sample hash of ``topk.key_hash``."""
+    parts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in key)
+    return f"('0x' || substr(md5(concat_ws(':', '{seed}', {parts})), 1, 8))::BIGINT"
+
+
+_LI_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("c5_scatter_points", f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS x, l_extendedprice AS y FROM lineitem
+WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND {_hash_sql(_LI_KEY)} < {int(0.1 * 2 ** 32)}""")
 def c5(spark, d):
     li = S.table(spark, d, "lineitem")
     return C.scatter_points(li, "l_quantity", "l_extendedprice", fraction=0.1,
-                            key=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+                            key=_LI_KEY)
 
 
 @query("c6_equity_points", f"""
@@ -91,20 +102,34 @@ def c7(spark, d):
 @query("c8_candles", f"""
 SELECT datetime, open, high, low, close, close >= open AS up, least(open, close) AS body_bottom,
        round(abs(close - open), 9) AS body_height
-FROM ({S.OHLCV_SQL}) o ORDER BY datetime LIMIT 200""")
+FROM ({S.OHLCV_SQL}) o""")
 def c8(spark, d):
-    return rounded(C.candles(S.ohlcv(spark, d)), {"body_height": 9})
+    return rounded(C.candles(S.ohlcv(spark, d), k=None), {"body_height": 9})
+
+
+_SERIES = {"realized_pnl": 4, "end_equity": 4, "max_drawdown": 12, "trades": 0, "agent_train_steps": 0, "avg_epsilon": 12}
 
 
-@query("c11_monthly_series", f"""
-SELECT CAST(month AS VARCHAR) AS month, round(coalesce(realized_pnl, 0.0), 4) AS realized_pnl,
-       round(coalesce(end_equity, 0.0), 4) AS end_equity, round(coalesce(max_drawdown, 0.0), 12) AS max_drawdown,
-       CAST(coalesce(trades, 0) AS DOUBLE) AS trades
-FROM ({S.BACKTEST_SQL}) b""")
+def _series_sql(fill: str) -> str:
+    cols = ", ".join(f"CAST(round(coalesce({c}, {fill}), {n}) AS DOUBLE) AS {c}" for c, n in _SERIES.items())
+    # months with few trades lose their values, so that the fill shows
+    gaps = ", ".join(f"CASE WHEN blocked_total % 3 <> 0 THEN {c} END AS {c}" for c in _SERIES)
+    return f"SELECT CAST(month AS VARCHAR) AS month, {cols} FROM (SELECT month, {gaps} FROM ({S.BACKTEST_SQL}) b)"
+
+
+def _gaps(spark, d):
+    b = S.backtest_monthly(spark, d)
+    return b.select("month", *[F.when(F.col("blocked_total") % 3 != 0, F.col(c)).alias(c) for c in _SERIES])
+
+
+@query("c11_monthly_series", _series_sql("0"))
 def c11(spark, d):
-    out = C.monthly_series(S.backtest_monthly(spark, d), "month",
-                           ["realized_pnl", "end_equity", "max_drawdown", "trades"])
-    return rounded(out, {"realized_pnl": 4, "end_equity": 4, "max_drawdown": 12})
+    return rounded(C.monthly_series(_gaps(spark, d), "month", list(_SERIES)), _SERIES)
+
+
+@query("c11_monthly_table", _series_sql("NULL"))
+def c11b(spark, d):
+    return rounded(C.monthly_series(_gaps(spark, d), "month", list(_SERIES), fill=None), _SERIES)
 
 
 @query("t1_top_k", """
@@ -126,18 +151,20 @@ def t3(spark, d):
 SELECT datetime, l_orderkey, l_linenumber, l_partkey, symbol, round(realized_pnl, 6) AS realized_pnl
 FROM ({S.TRADES_SQL}) t ORDER BY datetime, l_orderkey, l_linenumber, l_partkey, symbol""")
 def t4(spark, d):
+    """The order itself is checked by w10_row_position and in the tests."""
     t = S.trade_log(spark, d).select(*S.TRADE_ORDER, "realized_pnl")
     return rounded(T.sort_by_time(t, S.TRADE_ORDER), {"realized_pnl": 6})
 
 
-@query("t5_hash_sample")
+@query("t5_hash_sample", f"SELECT * FROM orders WHERE {_hash_sql(['o_orderkey'])} < {int(0.1 * 2 ** 32)}")
 def t5(spark, d):
     return T.hash_sample(S.table(spark, d, "orders"), 0.1, ["o_orderkey"])
 
 
-@query("t6_sample_n")
+@query("t6_sample_n", f"""
+SELECT o_orderkey, o_orderstatus FROM orders ORDER BY {_hash_sql(['o_orderkey'])}, o_orderkey LIMIT 100""")
 def t6(spark, d):
-    return T.sample_n(S.table(spark, d, "documents").select("doc_id", "lang", "n_chars"), 2000, ["doc_id"])
+    return T.sample_n(S.table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), 100, ["o_orderkey"])
 
 
 @query("x1_union_all", """

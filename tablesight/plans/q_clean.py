@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablesight.functions.scalars import epoch_ntz, epoch_seconds, to_number, yes_flag
+from tablesight.functions.scalars import epoch_ntz, epoch_seconds, number_of, yes_flag
 from tablesight.operators import clean as C
 from tablesight.operators import infer as I
 from tablesight.plans import standins as S
@@ -86,58 +86,72 @@ def p6(spark, d):
 
 
 @query("p7_model_frame", """
-SELECT p_size, p_retailprice FROM part JOIN customer ON p_partkey = c_custkey""")
+SELECT l_quantity, l_extendedprice, nullif(l_discount, 0.0) AS l_discount, l_tax FROM lineitem""")
 def p7(spark, d):
-    """Model frame of a part x customer table: keys and the account balance are
-    ids by uniqueness (> 90 % distinct), names are categorical; the numeric
-    columns that vary are kept."""
-    t = (S.table(spark, d, "part").join(S.table(spark, d, "customer"),
-                                        F.col("p_partkey") == F.col("c_custkey")))
-    types = I.types_dict(I.infer_schema(t))
+    """Model frame of lineitem with an id, a date, a constant and a mostly
+    missing number beside the numbers that vary."""
+    li = S.table(spark, d, "lineitem")
+    t = li.select(F.col("l_orderkey").alias("order_id"), "l_quantity", "l_extendedprice",
+                  F.expr("nullif(l_discount, 0.0)").alias("l_discount"), "l_tax", "l_shipdate", "l_returnflag",
+                  F.lit(1.0).alias("unit"), F.when(F.col("l_quantity") >= 40, F.col("l_tax")).alias("sparse"))
+    # numbers of few values count as numbers here: a model frame keeps them
+    types = I.types_dict(I.infer_schema(t, unique_id_rule=False, max_onehot_categories=0))
     return C.model_frame(t, types)
 
 
-_DATES = """SELECT o_orderkey,
-       CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%-m/%-d/%Y')
-                           WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'unknown' END AS order_date
+_DATES = """SELECT o_orderkey, o_orderdate,
+       CASE o_orderkey % 7 WHEN 0 THEN strftime(o_orderdate, '%-m/%-d/%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d')
+         WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%dT03:04:05Z') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d 23:30:00-02:00')
+         WHEN 4 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 5 THEN strftime(o_orderdate, '%Y/%m/%d 01:02:03')
+         ELSE 'unknown' END AS order_date
 FROM orders"""
 
 
-@query("p8_parse_datetimes", f"""
-SELECT o_orderkey, coalesce(try_strptime(order_date, '%Y-%m-%d'), try_strptime(order_date, '%m/%d/%Y')) AS order_date
-FROM ({_DATES}) x""")
+@query("p8_parse_datetimes", """
+SELECT o_orderkey, CASE o_orderkey % 7 WHEN 2 THEN day + INTERVAL '3 hours 4 minutes 5 seconds'
+         WHEN 3 THEN day + INTERVAL '25 hours 30 minutes' WHEN 5 THEN day + INTERVAL '1 hours 2 minutes 3 seconds'
+         WHEN 6 THEN NULL ELSE day END AS order_date
+FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS day FROM orders)""")
 def p8(spark, d):
     o = S.table(spark, d, "orders")
-    t = o.select("o_orderkey",
-                 F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "M/d/yyyy"))
-                  .when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd"))
-                  .otherwise(F.lit("unknown")).alias("order_date"))
-    return C.parse_datetimes(t)
+    forms = ["M/d/yyyy", "yyyy-MM-dd", "yyyy-MM-dd'T03:04:05Z'", "yyyy-MM-dd' 23:30:00-02:00'", "dd.MM.yyyy",
+             "yyyy/MM/dd' 01:02:03'"]
+    text = F.lit("unknown")
+    for i, form in enumerate(forms):
+        text = F.when(F.col("o_orderkey") % 7 == i, F.date_format("o_orderdate", form)).otherwise(text)
+    return C.parse_datetimes(o.select("o_orderkey", text.alias("order_date")))
 
 
 @query("p9_parse_epoch", """
 SELECT event_id, CAST(make_timestamp(epoch_us(date_trunc('second', ts))) AS TIMESTAMP) AS ts_s,
-       CAST(make_timestamp((epoch_us(ts) // 1000) * 1000) AS TIMESTAMP) AS ts_ms FROM events""")
+       CAST(make_timestamp((epoch_us(ts) // 1000) * 1000) AS TIMESTAMP) AS ts_ms,
+       CASE WHEN event_id % 3 <> 0 THEN CAST(make_timestamp((epoch_us(ts) // 1000) * 1000) AS TIMESTAMP) END AS ts_some,
+       event_id + 1000000000000000000 AS key FROM events""")
 def p9(spark, d):
+    """Seconds, milliseconds, milliseconds with values out of range, and keys
+    near 1e18, which are no times."""
     e = S.table(spark, d, "events")
-    t = e.select("event_id",
-                 epoch_seconds("ts").alias("ts_s"),
-                 F.floor(F.timestamp_diff("MICROSECOND", epoch_ntz(), F.col("ts")) / 1000).cast("long")
-                  .alias("ts_ms"))
-    return C.parse_epoch(t, ["ts_s", "ts_ms"])
+    ms = F.floor(F.timestamp_diff("MICROSECOND", epoch_ntz(), F.col("ts")) / 1000).cast("long")
+    t = e.select("event_id", epoch_seconds("ts").alias("ts_s"), ms.alias("ts_ms"),
+                 F.when(F.col("event_id") % 3 == 0, F.lit(10 ** 17)).otherwise(ms).alias("ts_some"),
+                 (F.col("event_id") + F.lit(10 ** 18)).alias("key"))
+    return C.parse_epoch(t)
 
 
 _NUMTXT = """SELECT l_orderkey, l_linenumber, l_partkey,
        CASE l_linenumber WHEN 7 THEN CAST(l_quantity AS VARCHAR) || 'f'
                          WHEN 6 THEN ' ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || 'e0 '
-                         WHEN 5 THEN 'n/a' WHEN 4 THEN '' ELSE CAST(l_quantity AS VARCHAR) END AS qty_text
+                         WHEN 5 THEN 'n/a' WHEN 4 THEN '' WHEN 3 THEN '-Inf' WHEN 2 THEN 'infinity'
+                         ELSE CAST(l_quantity AS VARCHAR) END AS qty_text, l_quantity > 25 AS big
 FROM lineitem"""
 
 
 @query("p10_to_number", f"""
 SELECT l_orderkey, l_linenumber, l_partkey,
        CASE WHEN regexp_full_match(qty_text, '\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*')
-            THEN TRY_CAST(trim(qty_text) AS DOUBLE) END AS qty
+            THEN TRY_CAST(trim(qty_text) AS DOUBLE)
+            WHEN qty_text = '-Inf' THEN CAST('-inf' AS DOUBLE) WHEN qty_text = 'infinity' THEN CAST('inf' AS DOUBLE) END AS qty,
+       CAST(big AS DOUBLE) AS big
 FROM ({_NUMTXT}) x""")
 def p10(spark, d):
     li = S.table(spark, d, "lineitem")
@@ -147,8 +161,9 @@ def p10(spark, d):
                    .when(F.col("l_linenumber") == 6, F.concat(F.lit(" "), q.cast("long").cast("string"), F.lit("e0 ")))
                    .when(F.col("l_linenumber") == 5, F.lit("n/a"))
                    .when(F.col("l_linenumber") == 4, F.lit(""))
-                   .otherwise(q.cast("string")).alias("qty_text"))
-    return t.select("l_orderkey", "l_linenumber", "l_partkey", to_number("qty_text").alias("qty"))
+                   .when(F.col("l_linenumber") == 3, F.lit("-Inf")).when(F.col("l_linenumber") == 2, F.lit("infinity"))
+                   .otherwise(q.cast("string")).alias("qty"), (q > 25).alias("big"))
+    return C.coerce_numeric(t, ["qty", "big"])
 
 
 @query("p11_clip_quantiles", """
@@ -182,14 +197,14 @@ SELECT l_orderkey, l_linenumber, l_partkey, symbol, round(realized_pnl, 6) AS re
 FROM ({S.TRADES_SQL}) t WHERE coalesce(realized_pnl, 0.0) <= 0""")
 def p15(spark, d):
     t = S.trade_log(spark, d)
-    p = F.coalesce(to_number("realized_pnl"), F.lit(0.0))
+    p = F.coalesce(number_of(t, "realized_pnl"), F.lit(0.0))
     return rounded(t.filter(p <= 0).select("l_orderkey", "l_linenumber", "l_partkey", "symbol",
                                            "realized_pnl"), {"realized_pnl": 6})
 
 
 @query("p16_membership_filter", f"""
 SELECT event_id, patient_id, test_name FROM ({S.LAB_SQL}) l
-WHERE lower(trim(CAST(abnormal_flag AS VARCHAR))) IN ('1','true','yes','y','abnormal')""")
+WHERE lower(CAST(abnormal_flag AS VARCHAR)) IN ('1','true','yes','y','abnormal')""")
 def p16(spark, d):
     return S.lab_results(spark, d).filter(yes_flag("abnormal_flag")).select("event_id", "patient_id", "test_name")
 
@@ -209,16 +224,27 @@ def p18(spark, d):
     return C.without(sup, "quality")
 
 
-@query("q15_clean_table", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders""")
+@query("q15_clean_table", f"""
+WITH g AS {GEN}
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+       coalesce(l_discount, (SELECT quantile_cont(l_discount, 0.5) FROM g)) AS discount_pct,
+       l_tax, coalesce(l_returnflag, 'missing') AS return_flag, l_linestatus, l_shipdate,
+       coalesce(l_bulk_note, 'missing') AS bulk_note FROM g""")
 def q15(spark, d):
-    """Q15 on orders: names already normal, nothing constant or missing."""
-    return C.clean_table(S.table(spark, d, "orders"))
+    """Display names to normal ones, a constant column dropped, medians and
+    'missing' filled in."""
+    g = S.generic_table(spark, d).withColumnsRenamed(
+        {"l_discount": " Discount (pct)", "l_returnflag": "Return Flag", "l_bulk_note": "Bulk Note!"})
+    return C.clean_table(g)
 
 
 @query("q15_clean_visits", f"""
-WITH v AS ({S.VISITS_SQL})
-SELECT patient_id, visit_id, datetime, doctor, procedure, status, billed_amount, paid_amount FROM v""")
+WITH v AS ({S.VISITS_SQL}), w AS (SELECT * REPLACE (CASE WHEN visit_id % 5 <> 0 THEN billed_amount END AS billed_amount,
+  CASE WHEN visit_id % 4 <> 0 THEN status END AS status) FROM v)
+SELECT patient_id, visit_id, datetime, doctor, procedure, coalesce(status, 'missing') AS status,
+       round(coalesce(billed_amount, (SELECT quantile_cont(billed_amount, 0.5) FROM w)), 6) AS billed_amount, paid_amount FROM w""")
 def q15b(spark, d):
-    return C.clean_table(S.visits(spark, d))
-
+    v = S.visits(spark, d, True)
+    v = v.withColumns({"billed_amount": F.when(F.col("visit_id") % 5 != 0, F.col("billed_amount")),
+                       "status": F.when(F.col("visit_id") % 4 != 0, F.col("status"))})
+    return rounded(C.clean_table(v), {"billed_amount": 6})

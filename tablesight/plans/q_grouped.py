@@ -18,7 +18,7 @@ B = f"({S.BACKTEST_SQL})"
 def _period_sql(unit: str) -> str:
     return f"""
 SELECT CAST(date_trunc('{unit}', datetime) AS DATE) AS period, round(sum(coalesce(paid_amount, 0.0)), 2) AS amount
-FROM {V} v WHERE datetime IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 200"""
+FROM {V} v WHERE datetime IS NOT NULL GROUP BY 1"""
 
 
 @query("g1_sum_by_day", _period_sql("day"))
@@ -38,7 +38,7 @@ def g1_month(spark, d):
 
 @query("g2_count_by_day", f"""
 SELECT CAST(datetime AS DATE) AS day, count(*) AS visits FROM {V} v
-WHERE datetime IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 200""")
+WHERE datetime IS NOT NULL GROUP BY 1""")
 def g2(spark, d):
     return G.count_by_day(S.visits(spark, d), "datetime")
 
@@ -62,7 +62,7 @@ def g4(spark, d):
 SELECT procedure AS key, round(sum(coalesce(paid_amount, 0.0)), 2) AS revenue
 FROM {V} v WHERE procedure IS NOT NULL GROUP BY 1 ORDER BY sum(coalesce(paid_amount, 0.0)) DESC, key LIMIT 50""")
 def g4b(spark, d):
-    return rounded(G.top_keys_by_sum(S.visits(spark, d), "procedure", "paid_amount", 50, "revenue"),
+    return rounded(G.top_keys_by_sum(S.visits(spark, d, True), "procedure", "paid_amount", 50, "revenue"),
                    {"revenue": 2})
 
 
@@ -71,7 +71,7 @@ WITH c AS (SELECT procedure AS key, count(*) AS count FROM {V} v WHERE procedure
 SELECT key, count, round(count / (SELECT sum(count) FROM c), 12) AS share FROM c
 ORDER BY count DESC, key LIMIT 50""")
 def g5(spark, d):
-    return rounded(G.top_keys_by_count(S.visits(spark, d), "procedure", 50), {"share": 12})
+    return rounded(G.top_keys_by_count(S.visits(spark, d, True), "procedure", 50), {"share": 12})
 
 
 @query("g5_top_lab_tests", f"""
@@ -124,10 +124,10 @@ def g8b(spark, d):
 
 
 @query("g9_flag_rate", f"""
-SELECT round(count_if(lower(trim(CAST(abnormal_flag AS VARCHAR))) IN ('1','true','yes','y','abnormal'))
-             / greatest(1, count(*)), 12) AS abnormal_share FROM {L} l""")
+SELECT round(count_if(lower(CAST(abnormal_flag AS VARCHAR)) IN ('1','true','yes','y','abnormal'))
+             / greatest(1, count(*)), 12) AS abnormal_percent FROM {L} l""")
 def g9(spark, d):
-    return rounded(G.flag_rate(S.lab_results(spark, d), "abnormal_flag"), {"abnormal_share": 12})
+    return rounded(G.flag_rate(S.lab_results(spark, d), "abnormal_flag"), {"abnormal_percent": 12})
 
 
 @query("g10_order_rates", f"""
@@ -188,15 +188,20 @@ SELECT count(*) AS total_months,
        CAST(sum(trades) AS BIGINT) AS total_trades, round(avg(trades), 9) AS avg_trades_per_month,
        CAST(max(trades) AS BIGINT) AS max_trades_per_month, CAST(min(trades) AS BIGINT) AS min_trades_per_month,
        round(sum(total_fees), 4) AS total_fees_paid, round(avg(total_fees), 4) AS avg_fees_per_month,
+       CAST(sum(agent_train_steps) AS BIGINT) AS total_training_steps,
+       round(avg(agent_train_steps), 6) AS avg_training_steps_per_month, round(avg(avg_epsilon), 12) AS avg_epsilon,
+       CAST(sum(blocked_total) AS BIGINT) AS total_blocked_trades, round(avg(blocked_total), 6) AS avg_blocked_per_month,
        round(CASE WHEN sum(realized_pnl) <> 0 THEN sum(total_fees) / abs(sum(realized_pnl) + 0.001) * 100 ELSE 0.0 END, 6)
          AS fees_as_pct_of_pnl
 FROM {B} b""")
 def g15(spark, d):
     m = S.backtest_monthly(spark, d)
-    out = G.monthly_stats(m, pnl="realized_pnl", trades="trades", fees="total_fees")
+    out = G.monthly_stats(m, pnl="realized_pnl", trades="trades", fees="total_fees", steps="agent_train_steps",
+                          epsilon="avg_epsilon", blocked="blocked_total")
     return rounded(out, {"total_realized_pnl": 4, "avg_realized_pnl_per_month": 4,
                          "std_realized_pnl": 4, "avg_trades_per_month": 9, "total_fees_paid": 4,
-                         "avg_fees_per_month": 4, "fees_as_pct_of_pnl": 6})
+                         "avg_fees_per_month": 4, "fees_as_pct_of_pnl": 6, "avg_training_steps_per_month": 6,
+                         "avg_epsilon": 12, "avg_blocked_per_month": 6})
 
 
 @query("g16_best_worst", f"""
@@ -213,24 +218,23 @@ def g16(spark, d):
 
 @query("g18_pnl_to_drawdown", f"""
 SELECT round(CASE WHEN min(max_drawdown) < 0 THEN abs(sum(realized_pnl)) / abs(min(max_drawdown)) END, 2)
-       AS pnl_to_drawdown
+       AS pnl_to_max_drawdown_ratio
 FROM {B} b""")
 def g18(spark, d):
-    m = S.backtest_monthly(spark, d)
-    one = m.agg(F.sum("realized_pnl").alias("p"), F.min("max_drawdown").alias("dd"))
-    out = one.select(F.when(F.col("dd") < 0, F.abs("p") / F.abs("dd")).alias("pnl_to_drawdown"))
-    return rounded(out, {"pnl_to_drawdown": 2})
+    out = G.monthly_stats(S.backtest_monthly(spark, d), pnl="realized_pnl", drawdown="max_drawdown")
+    return rounded(out.select("pnl_to_max_drawdown_ratio"), {"pnl_to_max_drawdown_ratio": 2})
+
+
+_TREND = """CASE WHEN arg_max(avg_epsilon, month) < arg_min(avg_epsilon, month) THEN 'decreasing'
+            WHEN arg_max(avg_epsilon, month) > arg_min(avg_epsilon, month) THEN 'increasing' ELSE 'stable' END"""
 
 
 @query("g19_first_last_trend", f"""
-SELECT round(arg_min(end_equity, month), 4) AS first_value, round(arg_max(end_equity, month), 4) AS last_value,
-       CASE WHEN arg_max(end_equity, month) < arg_min(end_equity, month) THEN 'decreasing'
-            WHEN arg_max(end_equity, month) > arg_min(end_equity, month) THEN 'increasing' ELSE 'stable' END AS trend
-FROM {B} b""")
+SELECT round(arg_min(avg_epsilon, month), 9) AS first_value, round(arg_max(avg_epsilon, month), 9) AS last_value,
+       {_TREND} AS trend FROM {B} b""")
 def g19(spark, d):
     m = S.backtest_monthly(spark, d)
-    return rounded(G.first_last_trend(m, "end_equity", ["month"]),
-                   {"first_value": 4, "last_value": 4})
+    return rounded(G.first_last_trend(m, "avg_epsilon", ["month"]), {"first_value": 9, "last_value": 9})
 
 
 @query("j1_align_grouped", f"""

@@ -13,8 +13,10 @@ from tablesight.operators import anomaly as A
 from tablesight.operators import ml as M
 from tablesight.operators import text as X
 from tablesight.plans import standins as S
-from tablesight.plans.registry import query
+from tablesight.plans.q_charts import _hash_sql
+from tablesight.plans.registry import query, rounded
 from tablesight.plans.tasks import Tunables, run_tasks
+from tablesight.session import scratch_table
 
 LI_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -31,18 +33,26 @@ def supervised(spark, d):
 @query("m1_feature_pipeline")
 def m1(spark, d):
     p = S.table(spark, d, "part")
-    f = M.feature_pipeline(p, ["p_size", "p_retailprice"], ["p_brand", "p_type", "p_name"], keep=["p_partkey"])
-    return f.frame.select("p_partkey", vector_to_array("features").alias("features"))
+    f = M.feature_pipeline(p, ["p_size", "p_retailprice"], ["p_brand", "p_type"], keep=["p_partkey"])
+    return f.select("p_partkey", vector_to_array("features").alias("features"))
 
 
-@query("m2_split")
+@query("m2_split", f"""
+WITH h AS (SELECT doc_id, quality, {_hash_sql(['doc_id'])} AS h FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY h, doc_id) AS r, count(*) OVER (PARTITION BY quality) AS n FROM h)
+SELECT doc_id, quality, CASE WHEN r <= round(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM r""")
 def m2(spark, d):
-    return M.hash_split(supervised(spark, d), ["doc_id"]).select("doc_id", "quality", "split")
+    return M.hash_split(supervised(spark, d), ["doc_id"], stratify="quality").select("doc_id", "quality", "split")
 
 
-def _classify(spark, d, model):
-    return M.classify(supervised(spark, d), "quality", ["n_chars", "words", "lines"], ["lang"],
-                      ["doc_id"], model=model)
+def _labelled(spark, d):
+    """The labelled documents with their quality as text."""
+    return supervised(spark, d).withColumn("grade", F.when(F.col("quality") == 1, "good").otherwise("poor"))
+
+
+def _classify(spark, d, model, n_trees=250):
+    return M.classify(_labelled(spark, d), "grade", ["n_chars", "words", "lines"], ["lang"], ["doc_id"],
+                      model=model, n_trees=n_trees)
 
 
 @query("m3_classify")
@@ -55,14 +65,67 @@ def m3b(spark, d):
     return _classify(spark, d, "logreg")
 
 
-@query("m4_classification_metrics")
+# A rule's predictions, so that the metrics can be checked without a model.
+_RULE_SQL = """SELECT o_orderstatus AS label, CASE WHEN o_totalprice > 200000 THEN 'F' WHEN o_orderkey % 3 = 0 THEN 'O'
+  ELSE 'P' END AS prediction FROM orders"""
+
+
+def _rule(spark, d):
+    o = S.table(spark, d, "orders")
+    p = F.when(F.col("o_totalprice") > 200000, "F").when(F.col("o_orderkey") % 3 == 0, "O").otherwise("P")
+    return o.select(F.col("o_orderstatus").alias("label"), p.alias("prediction"))
+
+
+def _metrics_sql(rule: str, target: str, binary: bool) -> str:
+    """The metrics' formulas: the last class of two, or all weighted by support."""
+    pick = "(SELECT %s FROM s WHERE c = (SELECT max(label) FROM t))" if binary else "(SELECT sum(%s * support) / sum(support) FROM s)"
+    return f"""
+WITH p AS ({rule}), t AS ({target}), c AS (SELECT label AS c FROM p UNION SELECT prediction FROM p),
+k AS (SELECT c, (SELECT count(*) FROM p WHERE label = c) AS support, (SELECT count(*) FROM p WHERE prediction = c) AS predicted,
+             (SELECT count(*) FROM p WHERE label = c AND prediction = c) AS tp FROM c),
+q AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS pr, CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS re FROM k),
+s AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END AS f FROM q),
+m AS (SELECT (SELECT count(*) FROM p WHERE label = prediction) / (SELECT count(*) FROM p) AS accuracy,
+             {pick % 'pr'} AS precision, {pick % 're'} AS recall, {pick % 'f'} AS f1)
+SELECT round(accuracy, 9) AS accuracy, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1,
+       CAST((SELECT count(*) FROM t) - (SELECT count(*) FROM p) AS BIGINT) AS n_train,
+       CAST((SELECT count(*) FROM p) AS BIGINT) AS n_test, (SELECT string_agg(label, ',' ORDER BY label) FROM (SELECT DISTINCT label FROM t)) AS classes,
+       'rule' AS model, printf('The classifier achieved accuracy=%.3f and F1=%.3f. Accuracy is overall correctness, while F1 balances false alarms vs missed detections.', accuracy, f1) AS plain_english
+FROM m"""
+
+
+_M4_ROUND = {"accuracy": 9, "precision": 9, "recall": 9, "f1": 9}
+
+
+@query("m4_classification_metrics", _metrics_sql(_RULE_SQL + " WHERE o_orderkey % 2 = 0", "SELECT o_orderstatus AS label FROM orders", False))
 def m4(spark, d):
-    return M.classification_metrics(_classify(spark, d, "random_forest"))
+    o = S.table(spark, d, "orders")
+    p = F.when(F.col("o_totalprice") > 200000, "F").when(F.col("o_orderkey") % 3 == 0, "O").otherwise("P")
+    half = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderstatus").alias("label"), p.alias("prediction"))
+    return rounded(M.classification_metrics(half, o.select("o_orderstatus"), "rule"), _M4_ROUND)
 
 
-@query("m5_confusion_matrix")
+_TWO_SQL = """SELECT CASE WHEN l_returnflag = 'R' THEN 'yes' ELSE 'no' END AS label,
+  CASE WHEN l_discount > 0.07 THEN 'yes' ELSE 'no' END AS prediction FROM lineitem"""
+
+
+@query("m4_classification_metrics_two_classes", _metrics_sql(_TWO_SQL + " WHERE l_orderkey % 4 = 0", f"SELECT label FROM ({_TWO_SQL})", True))
+def m4b(spark, d):
+    li = S.table(spark, d, "lineitem")
+    yes = lambda c: F.when(c, "yes").otherwise("no")
+    both = li.select("l_orderkey", yes(F.col("l_returnflag") == "R").alias("label"), yes(F.col("l_discount") > 0.07).alias("prediction"))
+    return rounded(M.classification_metrics(both.filter("l_orderkey % 4 = 0"), both.select("label"), "rule"), _M4_ROUND)
+
+
+@query("m4_classification_metrics_forest")
+def m4c(spark, d):
+    docs = _labelled(spark, d)
+    return M.classification_metrics(_classify(spark, d, "random_forest", 50), docs.select("grade"), "random_forest")
+
+
+@query("m5_confusion_matrix", f"SELECT label, prediction, count(*) AS count FROM ({_RULE_SQL}) p GROUP BY 1, 2")
 def m5(spark, d):
-    return M.confusion_matrix(_classify(spark, d, "random_forest"))
+    return M.confusion_matrix(_rule(spark, d))
 
 
 def _regress(spark, d, model):
@@ -80,9 +143,25 @@ def m6b(spark, d):
     return _regress(spark, d, "random_forest")
 
 
-@query("m7_regression_metrics")
+@query("m7_regression_metrics", """
+WITH p AS (SELECT p_retailprice AS y, 903.21 + p_size * 9.73 AS yhat FROM part WHERE p_partkey % 5 = 0),
+m AS (SELECT avg(abs(y - yhat)) AS mae, sqrt(avg((y - yhat) ** 2)) AS rmse,
+             1 - sum((y - yhat) ** 2) / (SELECT sum((y - (SELECT avg(y) FROM p)) ** 2) FROM p) AS r2, count(*) AS n_test FROM p)
+SELECT round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(r2, 6) AS r2, n_test,
+       (SELECT count(*) FROM part) - n_test AS n_train, 'rule' AS model,
+       printf('The regression model has MAE=%.3f and RMSE=%.3f (lower is better). R²=%.3f measures how much variance is explained (closer to 1 is better).', mae, rmse, r2) AS plain_english
+FROM m""")
 def m7(spark, d):
-    return M.regression_metrics(_regress(spark, d, "ridge"))
+    """The metrics of a price rule, so that they can be checked without a model."""
+    p = S.table(spark, d, "part")
+    pred = p.filter("p_partkey % 5 = 0").select(F.col("p_retailprice").alias("label"),
+                                                F.lit(903.21) + F.col("p_size") * 9.73.alias("prediction"))
+    return rounded(M.regression_metrics(pred, p.agg(F.count("p_retailprice")), "rule"), {"mae": 6, "rmse": 6, "r2": 6})
+
+
+@query("m7_regression_metrics_ridge")
+def m7b(spark, d):
+    return M.regression_metrics(_regress(spark, d, "ridge"), S.table(spark, d, "part").agg(F.count("p_retailprice")), "ridge")
 
 
 @query("c10_actual_vs_predicted")
@@ -91,7 +170,7 @@ def c10(spark, d):
 
 
 def _embeddings(spark, d):
-    return M.vectors_from_array(S.table(spark, d, "embeddings"), "embedding")
+    return scratch_table(M.vectors_from_array(S.table(spark, d, "embeddings"), "embedding"), "embeddings")
 
 
 @query("m8_cluster")
@@ -105,7 +184,7 @@ def m8b(spark, d):
     """k-means on the M1 features of the customer table."""
     c = S.table(spark, d, "customer")
     f = M.feature_pipeline(c, ["c_acctbal", "c_nationkey"], ["c_mktsegment"], keep=["c_custkey"])
-    assigned, _ = M.cluster(f.frame, k=5, n_init=10)
+    assigned, _ = M.cluster(f, k=5, n_init=10)
     return M.cluster_sizes(assigned)
 
 
@@ -129,10 +208,19 @@ def t2(spark, d):
     return _anomaly(spark, d)["top"]
 
 
-@query("m13_task_gating")
+@query("m13_task_gating", """
+WITH sup AS (SELECT quality FROM documents JOIN labels USING (doc_id))
+SELECT 'descriptive' AS task, 'ok' AS status, NULL AS reason
+UNION ALL SELECT 'clustering', 'skipped', 'Need feature columns and at least k rows'
+UNION ALL SELECT 'classification', CASE WHEN count(DISTINCT quality) >= 2 THEN 'ok' ELSE 'skipped' END,
+       CASE WHEN count(DISTINCT quality) < 2 THEN 'Target has <2 classes' END FROM sup
+UNION ALL SELECT 'regression', 'skipped', 'Target column not found: price'
+UNION ALL SELECT 'text', 'skipped', 'No text column'""")
 def m13(spark, d):
-    """Task status for the labelled documents: every task's precondition."""
+    """Task status for the labelled documents: every task's precondition, with
+    more clusters asked for than there are rows."""
     sup = supervised(spark, d).drop("source")
-    res = run_tasks(sup.withColumn("text", F.lit(None).cast("string")), ["doc_id"], target="quality",
-                    text_col=None, tasks=["descriptive", "text"], knobs=Tunables())
+    res = run_tasks(sup, ["doc_id"], classification_target="quality", regression_target="price",
+                    tasks=["descriptive", "clustering", "classification", "regression", "text"],
+                    knobs=Tunables(kmeans_k=10 ** 9, classification_model="logreg"))
     return res["status"]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tablesight.plans import packs as K
 from tablesight.plans import runs as R
 from tablesight.plans import standins as S
-from tablesight.plans.q_profile import GEN, GEN_COLS, GEN_NUM, _missing_sql
+from tablesight.plans.q_profile import (_DESC_ROUND, GEN, GEN_COLS, GEN_NUM, _describe_sql, _missing_sql,
+                                        _top_values_sql)
 from tablesight.plans.registry import query, rounded
 
 V = f"({S.VISITS_SQL})"
@@ -47,39 +48,74 @@ def q1b(spark, d):
 
 @query("q2_clinic_lab", f"""
 SELECT count(*) AS total_tests, count(DISTINCT patient_id) AS unique_patients,
-       round(count_if(lower(trim(abnormal_flag)) IN ('1','true','yes','y','abnormal')) / greatest(1, count(*)), 12)
-         AS abnormal_share
+       round(count_if(lower(abnormal_flag) IN ('1','true','yes','y','abnormal')) / greatest(1, count(*)), 12)
+         AS abnormal_percent, '{K.LAB_SENTENCE}' AS summary
 FROM ({S.LAB_SQL}) l""")
 def q2(spark, d):
     lab = S.lab_results(spark, d)
-    return rounded(K.clinic_lab(lab, _map(lab))["kpis"], {"abnormal_share": 12})
+    return rounded(K.run_pack(lab, "Clinic")["kpis"], {"abnormal_percent": 12})
+
+
+@query("q2_clinic_lab_top_tests", f"""
+SELECT test_name AS test, count(*) AS count FROM ({S.LAB_SQL}) l WHERE test_name IS NOT NULL
+GROUP BY 1 ORDER BY count DESC, test LIMIT 20""")
+def q2b(spark, d):
+    return K.run_pack(S.lab_results(spark, d), "clinic")["top_lab_tests"]
 
 
 @query("q3_clinic_vitals", f"""
-SELECT ts AS datetime, event_id,
-       coalesce(last_value(value IGNORE NULLS) OVER (ORDER BY ts, event_id {RUN}), 0.0) AS heart_rate
-FROM events""")
+SELECT datetime, event_id, last_value(heart_rate IGNORE NULLS) OVER (ORDER BY datetime, event_id {RUN}) AS heart_rate
+FROM ({S.VITALS_GAPS_SQL}) v""")
 def q3(spark, d):
-    v = S.vitals(spark, d)
+    v = S.vitals_gaps(spark, d)
     return K.clinic_vitals(v, _map(v), order=["datetime", "event_id"])["series"]
 
 
-@query("q4_clinic_visits", f"SELECT count(*) AS total_visits FROM {V} v")
+@query("q3_clinic_vitals_kpis", f"SELECT 1 AS vitals_columns_detected, '{K.VITALS_SENTENCE}' AS summary")
+def q3b(spark, d):
+    return K.run_pack(S.vitals_gaps(spark, d), "clinic")["kpis"]
+
+
+@query("q3_clinic_vitals_trends", _describe_sql(f"({S.VITALS_GAPS_SQL})", ["heart_rate"]))
+def q3c(spark, d):
+    return rounded(K.run_pack(S.vitals_gaps(spark, d), "clinic")["vitals_trends"], _DESC_ROUND)
+
+
+@query("q4_clinic_visits", f"SELECT count(*) AS total_visits, '{K.VISITS_SENTENCE}' AS summary FROM {V} v")
 def q4(spark, d):
-    v = S.visits(spark, d)
-    return K.clinic_visits(v, _map(v))["kpis"]
+    return K.run_pack(S.visits(spark, d), "CLINIC")["kpis"]
+
+
+@query("q4_clinic_visits_per_day", f"""
+SELECT CAST(datetime AS DATE) AS day, count(*) AS visits FROM {V} v WHERE datetime IS NOT NULL GROUP BY 1""")
+def q4b(spark, d):
+    return K.run_pack(S.visits(spark, d), "clinic")["visits_per_day"]
 
 
 @query("q5_clinic_billing", f"""
-SELECT count(*) AS total_visits, round(sum(paid_amount), 2) AS total_revenue_collected,
-       round(sum(billed_amount), 2) AS total_revenue_billed,
-       round(sum(billed_amount) - sum(paid_amount), 2) AS outstanding_amount,
-       round(sum(paid_amount) / greatest(1, count(*)), 4) AS avg_revenue_per_visit FROM {V} v""")
+SELECT round(sum(coalesce(amount, 0.0)), 2) AS total_revenue_collected,
+       round(sum(coalesce(amount, 0.0)), 2) AS total_revenue_billed, '{K.BILLING_SENTENCE}' AS summary
+FROM ({S.BILLING_SQL}) b""")
 def q5(spark, d):
+    return rounded(K.run_pack(S.billing(spark, d), "clinic")["kpis"],
+                   {"total_revenue_collected": 2, "total_revenue_billed": 2})
+
+
+@query("q5_clinic_billing_both_amounts", f"""
+SELECT round(sum(billed_amount), 2) AS total_revenue_collected, round(sum(billed_amount), 2) AS total_revenue_billed,
+       '{K.BILLING_SENTENCE}' AS summary FROM {V} v""")
+def q5b(spark, d):
+    """Where a table has both, the inferred billing amount (the first column
+    named so) comes first for either sum."""
     v = S.visits(spark, d)
-    return rounded(K.clinic_billing(v, _map(v))["kpis"],
-                   {"total_revenue_collected": 2, "total_revenue_billed": 2, "outstanding_amount": 2,
-                    "avg_revenue_per_visit": 4})
+    return rounded(K.clinic_billing(v, _map(v))["kpis"], {"total_revenue_collected": 2, "total_revenue_billed": 2})
+
+
+@query("q5_clinic_billing_by_day", f"""
+SELECT CAST(datetime AS DATE) AS period, round(sum(coalesce(amount, 0.0)), 2) AS amount
+FROM ({S.BILLING_SQL}) b WHERE datetime IS NOT NULL GROUP BY 1""")
+def q5c(spark, d):
+    return rounded(K.run_pack(S.billing(spark, d), "clinic")["revenue_by_day"], {"amount": 2})
 
 
 _STATUS = """CASE WHEN s LIKE '%no show%' OR s LIKE '%no-show%' OR s LIKE '%noshow%' OR s LIKE '%no\\_show%' ESCAPE '\\' THEN 'no_show'
@@ -112,42 +148,139 @@ def q6(spark, d):
                     "repeat_patient_rate": 12})
 
 
+def _general(spark, d, frame, procedure=False):
+    v = S.visits(spark, d, procedure)
+    return K.clinic_general(v, _map(v))[frame]
+
+
 @query("q6_clinic_revenue_by_doctor", f"""
 SELECT doctor AS key, round(sum(paid_amount), 2) AS revenue, count(*) AS visits FROM {V} v
 GROUP BY 1 ORDER BY sum(paid_amount) DESC, key LIMIT 50""")
 def q6b(spark, d):
-    v = S.visits(spark, d)
-    return rounded(K.clinic_general(v, _map(v))["revenue_by_doctor"], {"revenue": 2})
+    return rounded(_general(spark, d, "revenue_by_doctor"), {"revenue": 2})
+
+
+@query("q6_clinic_status_counts", f"""
+SELECT {_STATUS} AS status, count(*) AS count
+FROM (SELECT trim(regexp_replace(lower(status), '[^a-z0-9_-]', ' ', 'g')) AS s FROM {V} v) GROUP BY 1""")
+def q6c(spark, d):
+    return _general(spark, d, "status_counts")
+
+
+def _by_period(unit):
+    sql = f"""SELECT CAST(date_trunc('{unit}', datetime) AS DATE) AS period, round(sum(paid_amount), 2) AS amount
+FROM {V} v WHERE datetime IS NOT NULL GROUP BY 1"""
+
+    @query(f"q6_clinic_revenue_by_{unit}", sql)
+    def q6_period(spark, d):
+        return rounded(_general(spark, d, f"revenue_by_{unit}"), {"amount": 2})
+
+
+for _unit in ("day", "week", "month"):
+    _by_period(_unit)
+
+
+@query("q6_clinic_procedures_by_revenue", f"""
+SELECT procedure AS key, round(sum(paid_amount), 2) AS revenue FROM {V} v WHERE procedure IS NOT NULL
+GROUP BY 1 ORDER BY sum(paid_amount) DESC, key LIMIT 50""")
+def q6d(spark, d):
+    return rounded(_general(spark, d, "top_procedures_by_revenue", True), {"revenue": 2})
+
+
+_PROCEDURES = f"""WITH c AS (SELECT procedure AS key, count(*) AS count FROM {V} v WHERE procedure IS NOT NULL GROUP BY 1)"""
+
+
+@query("q6_clinic_procedures_by_count", _PROCEDURES + """
+SELECT key, count, round(count / (SELECT sum(count) FROM c), 12) AS share FROM c ORDER BY count DESC, key LIMIT 50""")
+def q6e(spark, d):
+    return rounded(_general(spark, d, "top_procedures_by_count", True), {"share": 12})
+
+
+@query("q6_clinic_procedure_mix", _PROCEDURES + """
+SELECT key, round(count / (SELECT sum(count) FROM c), 12) AS share FROM c ORDER BY count DESC, key LIMIT 20""")
+def q6f(spark, d):
+    return rounded(_general(spark, d, "procedure_mix", True), {"share": 12})
+
+
+_EPSILON = """CASE WHEN arg_max(avg_epsilon, month) < arg_min(avg_epsilon, month) THEN 'decreasing (exploration reduced)'
+  WHEN arg_max(avg_epsilon, month) > arg_min(avg_epsilon, month) THEN 'increasing (exploration increased)' ELSE 'stable' END"""
+
+_MONEY = "format('{:,.2f}', %s)"
 
 
 @query("q7_trading_backtest", f"""
 WITH b AS ({S.BACKTEST_SQL}),
 s AS (SELECT count(*) AS total_months, coalesce(sum(realized_pnl), 0.0) AS tp, coalesce(avg(realized_pnl), 0.0) AS ap,
              coalesce(stddev_samp(realized_pnl), 0.0) AS sp, sum(trades) AS tt, avg(trades) AS at_, max(trades) AS mxt,
-             min(trades) AS mnt, sum(total_fees) AS tf, avg(total_fees) AS af, min(max_drawdown) AS mdd FROM b)
-SELECT total_months, round(tp, 4) AS total_realized_pnl, round(ap, 4) AS avg_realized_pnl_per_month,
-       round(sp, 4) AS std_realized_pnl, CAST(tt AS BIGINT) AS total_trades, round(at_, 9) AS avg_trades_per_month,
+             min(trades) AS mnt, sum(total_fees) AS tf, avg(total_fees) AS af, min(max_drawdown) AS mdd,
+             sum(agent_train_steps) AS st, avg(agent_train_steps) AS ast, avg(avg_epsilon) AS ep, {_EPSILON} AS et,
+             sum(blocked_total) AS bl, avg(blocked_total) AS abl FROM b),
+k AS (SELECT total_months, tp AS total_realized_pnl, ap AS avg_realized_pnl_per_month,
+       sp AS std_realized_pnl, CAST(tt AS BIGINT) AS total_trades, at_ AS avg_trades_per_month,
        CAST(mxt AS BIGINT) AS max_trades_per_month, CAST(mnt AS BIGINT) AS min_trades_per_month,
-       round(tf, 4) AS total_fees_paid, round(af, 4) AS avg_fees_per_month,
-       round(CASE WHEN tp <> 0 THEN tf / abs(tp + 0.001) * 100 ELSE 0.0 END, 6) AS fees_as_pct_of_pnl,
+       tf AS total_fees_paid, af AS avg_fees_per_month,
+       CASE WHEN tp <> 0 THEN tf / abs(tp + 0.001) * 100 ELSE 0.0 END AS fees_as_pct_of_pnl,
        (SELECT month FROM b ORDER BY realized_pnl DESC, month LIMIT 1) AS best_month_realized_pnl,
-       round((SELECT max(realized_pnl) FROM b), 4) AS best_month_realized_pnl_value,
+       (SELECT max(realized_pnl) FROM b) AS best_month_realized_pnl_value,
        (SELECT month FROM b ORDER BY realized_pnl ASC, month LIMIT 1) AS worst_month_realized_pnl,
-       round((SELECT min(realized_pnl) FROM b), 4) AS worst_month_realized_pnl_value,
+       (SELECT min(realized_pnl) FROM b) AS worst_month_realized_pnl_value,
+       (SELECT month FROM b ORDER BY end_equity DESC, month LIMIT 1) AS best_month_end_equity,
+       (SELECT max(end_equity) FROM b) AS best_month_end_equity_value,
+       (SELECT month FROM b ORDER BY end_equity ASC, month LIMIT 1) AS worst_month_end_equity,
        (SELECT month FROM b ORDER BY max_drawdown ASC, month LIMIT 1) AS worst_drawdown_month,
-       round(mdd, 12) AS worst_drawdown_pct,
-       round(CASE WHEN mdd < 0 THEN abs(tp) / abs(mdd) END, 2) AS pnl_to_drawdown,
-       (SELECT CASE WHEN arg_max(end_equity, month) < arg_min(end_equity, month) THEN 'decreasing'
-                    WHEN arg_max(end_equity, month) > arg_min(end_equity, month) THEN 'increasing'
-                    ELSE 'stable' END FROM b) AS equity_trend
-FROM s""")
+       mdd AS worst_drawdown_pct, mdd AS max_drawdown_pct,
+       CAST(st AS BIGINT) AS total_training_steps, ast AS avg_training_steps_per_month, ep AS avg_epsilon,
+       et AS epsilon_trend, CAST(bl AS BIGINT) AS total_blocked_trades, abl AS avg_blocked_per_month,
+       CASE WHEN mdd < 0 THEN abs(tp) / abs(mdd) END AS pnl_to_max_drawdown_ratio FROM s)
+SELECT total_months, round(total_realized_pnl, 4) AS total_realized_pnl,
+       round(avg_realized_pnl_per_month, 4) AS avg_realized_pnl_per_month, round(std_realized_pnl, 4) AS std_realized_pnl,
+       total_trades, round(avg_trades_per_month, 9) AS avg_trades_per_month, max_trades_per_month, min_trades_per_month,
+       round(total_fees_paid, 4) AS total_fees_paid, round(avg_fees_per_month, 4) AS avg_fees_per_month,
+       round(fees_as_pct_of_pnl, 6) AS fees_as_pct_of_pnl, best_month_realized_pnl,
+       round(best_month_realized_pnl_value, 4) AS best_month_realized_pnl_value, worst_month_realized_pnl,
+       round(worst_month_realized_pnl_value, 4) AS worst_month_realized_pnl_value, best_month_end_equity,
+       round(best_month_end_equity_value, 4) AS best_month_end_equity_value, worst_month_end_equity,
+       worst_drawdown_month, round(worst_drawdown_pct, 12) AS worst_drawdown_pct,
+       round(max_drawdown_pct, 12) AS max_drawdown_pct, total_training_steps,
+       round(avg_training_steps_per_month, 6) AS avg_training_steps_per_month, round(avg_epsilon, 12) AS avg_epsilon,
+       epsilon_trend, total_blocked_trades, round(avg_blocked_per_month, 6) AS avg_blocked_per_month,
+       round(pnl_to_max_drawdown_ratio, 2) AS pnl_to_max_drawdown_ratio,
+       concat_ws(' ', printf('This is a backtest monthly summary covering %d months.', total_months),
+         'Total realized PnL: ' || {_MONEY % 'total_realized_pnl'} || '.',
+         'Average monthly PnL: ' || {_MONEY % 'avg_realized_pnl_per_month'} || '.',
+         'Best month: ' || best_month_realized_pnl || ' (' || {_MONEY % 'best_month_realized_pnl_value'} || ').',
+         'Worst month: ' || worst_month_realized_pnl || ' (' || {_MONEY % 'worst_month_realized_pnl_value'} || ').',
+         printf('Worst drawdown: %.2f%% in %s (', worst_drawdown_pct * 100, worst_drawdown_month)
+           || CASE WHEN worst_drawdown_pct < -0.20 THEN 'severe' WHEN worst_drawdown_pct < -0.10 THEN 'significant'
+                   ELSE 'moderate' END || ').',
+         'Total fees paid: ' || {_MONEY % 'total_fees_paid'} || '.', 'Epsilon trend: ' || epsilon_trend || '.',
+         CASE WHEN total_blocked_trades > 0 THEN printf('Total blocked trades: %d.', total_blocked_trades) END) AS summary
+FROM k""")
 def q7(spark, d):
-    b = S.backtest_monthly(spark, d)
-    k = K.trading_backtest(b, _map(b))["kpis"]
+    k = K.run_pack(S.backtest_monthly(spark, d), "trading")["kpis"]
     return rounded(k, {"total_realized_pnl": 4, "avg_realized_pnl_per_month": 4, "std_realized_pnl": 4,
                        "avg_trades_per_month": 9, "total_fees_paid": 4, "avg_fees_per_month": 4,
                        "fees_as_pct_of_pnl": 6, "best_month_realized_pnl_value": 4,
-                       "worst_month_realized_pnl_value": 4, "worst_drawdown_pct": 12, "pnl_to_drawdown": 2})
+                       "worst_month_realized_pnl_value": 4, "best_month_end_equity_value": 4,
+                       "worst_drawdown_pct": 12, "max_drawdown_pct": 12, "avg_training_steps_per_month": 6,
+                       "avg_epsilon": 12, "avg_blocked_per_month": 6, "pnl_to_max_drawdown_ratio": 2})
+
+
+@query("q7_trading_monthly_summary", f"""
+SELECT month, round(realized_pnl, 4) AS realized_pnl, round(end_equity, 4) AS end_equity,
+       round(max_drawdown, 12) AS max_drawdown_pct, CAST(trades AS DOUBLE) AS trades FROM ({S.BACKTEST_SQL}) b""")
+def q7b(spark, d):
+    t = K.run_pack(S.backtest_monthly(spark, d), "trading")["monthly_summary"]
+    return rounded(t, {"realized_pnl": 4, "end_equity": 4, "max_drawdown_pct": 12})
+
+
+@query("q7_trading_monthly_series", f"""
+SELECT month, round(realized_pnl, 4) AS realized_pnl, round(end_equity, 4) AS end_equity,
+       round(max_drawdown, 12) AS max_drawdown_pct, CAST(trades AS DOUBLE) AS trades,
+       CAST(agent_train_steps AS DOUBLE) AS steps, round(avg_epsilon, 12) AS epsilon FROM ({S.BACKTEST_SQL}) b""")
+def q7c(spark, d):
+    t = K.run_pack(S.backtest_monthly(spark, d), "trading")["monthly_series"]
+    return rounded(t, {"realized_pnl": 4, "end_equity": 4, "max_drawdown_pct": 12, "epsilon": 12})
 
 
 _RET = f"SELECT datetime, equity, equity / lag(equity) OVER (ORDER BY datetime) - 1 AS ret FROM {EQ} e"
@@ -190,6 +323,29 @@ def q8(spark, d):
                        "annualized_volatility": 9, "sharpe_ratio_proxy": 9})
 
 
+@query("q8_trading_drawdown_curve", f"""
+SELECT datetime, round(equity, 4) AS equity, round(equity - max(equity) OVER (ORDER BY datetime {RUN}), 4) + 0.0 AS drawdown
+FROM {EQ} e""")
+def q8b(spark, d):
+    e = S.equity_curve(spark, d)
+    return rounded(K.trading_equity(e, _map(e))["drawdown_curve"], {"equity": 4, "drawdown": 4})
+
+
+@query("q9_trading_pnl_by_symbol", f"""
+SELECT symbol AS key, round(sum(realized_pnl), 4) AS pnl FROM ({S.TRADES_SQL}) t
+GROUP BY 1 ORDER BY sum(realized_pnl) DESC, key LIMIT 10""")
+def q9c(spark, d):
+    t = S.trade_log(spark, d)
+    return rounded(K.trading_trades(t, _map(t), order=S.TRADE_ORDER)["pnl_by_symbol"], {"pnl": 4})
+
+
+@query("q9_trading_pnl_by_side", f"""
+SELECT CAST(side AS VARCHAR) AS side, round(sum(realized_pnl), 4) AS pnl FROM ({S.TRADES_SQL}) t GROUP BY 1""")
+def q9d(spark, d):
+    t = S.trade_log(spark, d)
+    return rounded(K.trading_trades(t, _map(t), order=S.TRADE_ORDER)["pnl_by_side"], {"pnl": 4})
+
+
 @query("q9_trading_trades", f"""
 WITH p AS (SELECT coalesce(realized_pnl, 0.0) AS p FROM ({S.TRADES_SQL}) t),
 k AS (SELECT count(*) AS total_trades, sum(p) AS total_pnl, count_if(p > 0) / greatest(1, count(*)) AS win_rate,
@@ -257,6 +413,44 @@ def q13(spark, d):
     return K.table_profile(S.generic_table(spark, d))["kpis"]
 
 
+@query("q13_table_profile_missing", _missing_sql() + """
+SELECT "column", round(missing_rate, 12) AS missing_rate FROM m ORDER BY missing_rate DESC, pos LIMIT 20""")
+def q13b(spark, d):
+    return rounded(K.table_profile(S.generic_table(spark, d))["missing"], {"missing_rate": 12})
+
+
+@query("q13_table_profile_describe", _describe_sql(GEN, GEN_NUM))
+def q13c(spark, d):
+    return rounded(K.table_profile(S.generic_table(spark, d))["describe"], _DESC_ROUND)
+
+
+@query("q13_table_profile_top_values", _top_values_sql())
+def q13d(spark, d):
+    return K.table_profile(S.generic_table(spark, d))["top_values"]
+
+
+@query("q13_table_profile_datetime_ranges", f"""
+SELECT 'l_shipdate' AS "column", min(l_shipdate) AS min, max(l_shipdate) AS max, count(l_shipdate) AS count FROM {GEN} g""")
+def q13e(spark, d):
+    return K.table_profile(S.generic_table(spark, d))["datetime_ranges"]
+
+
+@query("q14_table_describe", f"SELECT count(*) AS rows, {len(GEN_COLS)} AS cols FROM {GEN} g")
+def q14k(spark, d):
+    return K.table_describe(S.generic_table(spark, d))["kpis"]
+
+
+@query("q14_table_describe_missing", _missing_sql() + """
+SELECT "column", round(missing_rate, 12) AS missing_rate FROM m ORDER BY missing_rate DESC, pos LIMIT 25""")
+def q14b(spark, d):
+    return rounded(K.table_describe(S.generic_table(spark, d))["missing"], {"missing_rate": 12})
+
+
+@query("q14_table_describe_numeric", _describe_sql(GEN, GEN_NUM))
+def q14c(spark, d):
+    return rounded(K.table_describe(S.generic_table(spark, d))["describe"], _DESC_ROUND)
+
+
 _Q14_COLS = ["l_returnflag", "l_linestatus", "l_shipdate", "l_source", "l_bulk_note"]
 
 

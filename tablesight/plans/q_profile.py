@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tablesight.operators import infer as I
@@ -130,22 +132,32 @@ def a12(spark, d):
     return rounded(P.top_skewed(S.generic_table(spark, d), 5), {"skew": 9})
 
 
-@query("a13_type_counts", f"""
-SELECT {len(GEN_NUM)} AS numeric_columns, {len(GEN_CAT)} AS categorical_columns, 1 AS datetime_columns
-FROM (SELECT 1 FROM {GEN} g LIMIT 1)""")
-def a13(spark, d):
-    return P.type_counts(S.generic_table(spark, d))
-
-
-@query("a14_quality_checks", _missing_sql() + """
-SELECT code, "column", detail FROM (
-  SELECT 'empty_table' AS code, NULL AS "column", 'table has no rows' AS detail, 0 AS pos
-  FROM (SELECT count(*) AS n FROM g) WHERE n = 0
-  UNION ALL
-  SELECT 'mostly_null', "column", printf('%.3f missing', missing_rate), pos FROM m WHERE missing_rate > 0.95
-) ORDER BY pos LIMIT 10""")
+@query("a14_quality_checks", """
+WITH c AS (SELECT count(*) AS n, avg(CASE WHEN event_type = 'error' AND user_id % 50 = 0 THEN 0.0 ELSE 1.0 END) AS r FROM events),
+one AS (SELECT count(*) AS n, count_if(contains(p_name || ',' || p_brand, ',')) AS k FROM part),
+few AS (SELECT count(*) AS n FROM region)
+SELECT 'events' AS dataset, 'mostly_null' AS code, 'note' AS "column", printf('%.3f missing', r) AS detail FROM c WHERE r > 0.95
+UNION ALL SELECT 'one_column', 'possible_wrong_delimiter', 'line', printf('%d of %d rows hold a comma', k, n) FROM one
+WHERE k > greatest(5, 0.05 * n)
+UNION ALL SELECT 'region', 'few_rows', NULL, printf('only %d rows', n) FROM few WHERE n > 0 AND n < 10
+UNION ALL SELECT 'none', 'empty_table', NULL, 'table has no rows'
+UNION ALL SELECT 'twice', 'duplicate_column', 'n_name', 'column name appears more than once'""")
 def a14(spark, d):
-    return P.quality_checks(S.generic_table(spark, d))
+    """Five tables, each with one fault."""
+    events = S.table(spark, d, "events")
+    note = F.when((F.col("event_type") == "error") & (F.col("user_id") % 50 == 0), "seen")
+    region, nation = S.table(spark, d, "region"), S.table(spark, d, "nation")
+    line = F.concat_ws(",", "p_name", "p_brand").alias("line")
+    tables = {
+        "events": events.select("event_id", "value", note.alias("note")),
+        "one_column": S.table(spark, d, "part").select(line),
+        "region": region, "none": region.filter("r_regionkey < 0"),
+        "twice": nation.select("n_name", F.col("n_name"), "n_nationkey")}
+    parts = [P.quality_checks(t).select(F.lit(name).alias("dataset"), "code", "column", "detail") for name, t in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query("a15_vitals_summary", _describe_sql(f"({S.VITALS_SQL})", ["heart_rate"]))
@@ -174,19 +186,13 @@ def _infer_sql() -> str:
         is_str = c in GEN_CAT
         parse = (f"count(try_strptime(CAST({c} AS VARCHAR), '%Y-%m-%d'))" if name_ts else "0")
         minmax = (f"CAST(min({c}) AS DOUBLE)", f"CAST(max({c}) AS DOUBLE)") if is_num else ("NULL", "NULL")
+        length = f"avg(length({c}))" if is_str else "NULL"
         rows.append(f"""SELECT {i} AS pos, '{c}' AS "column", {str(name_id).upper()} AS name_id,
   {str(name_ts).upper()} AS name_ts, {str(is_num).upper()} AS is_num, {str(is_str).upper()} AS is_str,
   count(*) AS rows, count({c}) AS nn, count(DISTINCT {c}) AS nu,
   coalesce(bool_and(lower(CAST({c} AS VARCHAR)) IN ('0','1','true','false')), FALSE) AS isbool,
-  {parse} AS parsed, {minmax[0]} AS lo, {minmax[1]} AS hi FROM g""")
-    samples = []
-    for c in GEN_CAT:
-        samples.append(f"""SELECT '{c}' AS "column", avg(length(v)) AS avg_len,
-  count(DISTINCT v) / greatest(1, count(*)) AS ratio
-  FROM (SELECT CAST({c} AS VARCHAR) AS v FROM (SELECT {c}, row_number() OVER () AS rn FROM g)
-        WHERE {c} IS NOT NULL ORDER BY rn LIMIT 200)""")
-    return (f"WITH g AS {GEN}, st AS (" + " UNION ALL ".join(rows) + "), sm AS ("
-            + " UNION ALL ".join(samples) + """)
+  {length} AS avg_len, {parse} AS parsed, {minmax[0]} AS lo, {minmax[1]} AS hi FROM g""")
+    return (f"WITH g AS {GEN}, st AS (" + " UNION ALL ".join(rows) + """)
 SELECT st."column", CASE
   WHEN name_id OR (nn > 0 AND nu > 0.9 * greatest(1, nn)) THEN 'id'
   WHEN nn > 0 AND isbool THEN 'boolean'
@@ -197,7 +203,7 @@ SELECT st."column", CASE
   WHEN is_num AND lo > 1e18 THEN 'datetime'
   WHEN is_num AND nu > 0 AND nu < 0.05 * greatest(1, rows) AND nu < 50 THEN 'categorical'
   WHEN is_num THEN 'numeric'
-  WHEN is_str AND (coalesce(avg_len, 0) > 50 OR coalesce(ratio, 0) > 0.7) THEN 'text'
+  WHEN is_str AND (coalesce(avg_len, 0) > 50 OR nu > 0.7 * greatest(1, nn)) THEN 'text'
   ELSE 'categorical' END AS kind,
   CASE
   WHEN name_id OR (nn > 0 AND nu > 0.9 * greatest(1, nn)) OR (nn > 0 AND isbool) OR (name_ts AND parsed > 0) THEN NULL
@@ -205,7 +211,7 @@ SELECT st."column", CASE
   WHEN is_num AND lo > 1e12 AND hi < 1e15 THEN 'unix_milliseconds'
   WHEN is_num AND lo > 1e15 AND hi < 1e18 THEN 'unix_microseconds'
   WHEN is_num AND lo > 1e18 THEN 'unix_nanoseconds' END AS unit_tag
-FROM st LEFT JOIN sm ON st."column" = sm."column" """)
+FROM st """)
 
 
 @query("i1_infer_schema", _infer_sql())
@@ -213,41 +219,66 @@ def i1(spark, d):
     return I.infer_schema(S.generic_table(spark, d))
 
 
-@query("i2_infer_column_types")
+def _types_sql(src: str, columns: dict[str, str]) -> str:
+    """The I2 rules over columns named here with how they are stored: number,
+    text, date or flag."""
+    parts = []
+    for c, stored in columns.items():
+        one = f"""SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS nn, count(DISTINCT {c}) AS nu,
+  coalesce(bool_and(lower(CAST({c} AS VARCHAR)) IN ('0','1','true','false','0.0','1.0')), FALSE) AS isbool,
+  avg(length(CAST({c} AS VARCHAR))) AS len, {f'CAST(min({c}) AS DOUBLE)' if stored == 'number' else 'NULL'} AS lo,
+  {f'CAST(max({c}) AS DOUBLE)' if stored == 'number' else 'NULL'} AS hi,
+  '{stored}' AS stored, {str(bool(re.search('(^|_)(id|uid)($|_)', c))).upper()} AS named_id,
+  {str(bool(re.search('(^|_)(ts|time|date|created_at)($|_)', c))).upper()} AS named_time FROM s"""
+        parts.append(one)
+    return f"WITH s AS ({src}), st AS (" + " UNION ALL ".join(parts) + """),
+k AS (SELECT *, CASE WHEN named_id THEN 'id' WHEN nn > 0 AND isbool THEN 'boolean'
+  WHEN named_time AND nn > 0 THEN 'datetime'
+  WHEN stored = 'number' AND lo > 1e9 AND hi < 1e11 THEN 'seconds'
+  WHEN stored = 'number' AND lo > 1e12 AND hi < 1e15 THEN 'milliseconds'
+  WHEN stored = 'number' AND nu > 0 AND nu < 0.05 * greatest(1, rows) AND nu < 50 THEN 'categorical'
+  WHEN stored = 'number' THEN 'numeric'
+  WHEN stored = 'text' AND (len > 50 OR nu > 0.7 * greatest(1, nn)) THEN 'text' ELSE 'categorical' END AS k FROM st)
+SELECT "column", CASE WHEN k IN ('seconds', 'milliseconds') THEN 'datetime' ELSE k END AS kind,
+       CASE WHEN k IN ('seconds', 'milliseconds') THEN 'unix_' || k END AS unit_tag FROM k
+UNION ALL SELECT "column", 'categorical', NULL FROM k WHERE k = 'boolean'"""
+
+
+_TYPED = {"event_id": "number", "event_time": "number", "event_type": "text", "value": "number", "props": "text",
+          "big": "number", "flag": "number", "note": "text", "created_at": "date", "stamp": "number"}
+
+
+@query("i2_infer_column_types", _types_sql("""
+SELECT event_id, event_id % 100 AS event_time, event_type, value, props, CAST(value > 50 AS DOUBLE) AS flag,
+       event_id + 1000000000000000000 AS big, repeat(props, 9) AS note, ts AS created_at,
+       1700000000 + event_id AS stamp FROM events""", _TYPED))
 def i2(spark, d):
-    """The task engine's variant (no uniqueness id rule, wide time names)."""
-    g = S.generic_table(spark, d).withColumn("l_is_return", (F.col("l_returnflag") == "R").cast("double"))
-    return I.infer_schema(g, unique_id_rule=False, bool_as_categorical=True,
-                          wide_time_names=True, fine_epoch=False)
-
-
-_STANDINS = [("visits", S.visits), ("lab_results", S.lab_results), ("vitals", S.vitals),
-             ("trade_log", S.trade_log), ("equity_curve", S.equity_curve),
-             ("backtest_monthly", S.backtest_monthly), ("order_log", S.order_log),
-             ("ohlcv", S.ohlcv), ("generic_table", S.generic_table)]
-
-
-@query("i3_infer_roles")
-def i3(spark, d):
-    rows = []
-    for name, fn in _STANDINS:
-        for role, col in sorted(I.infer_roles(fn(spark, d).columns).items()):
-            rows.append((name, role, col))
-    return spark.createDataFrame(rows, "dataset string, role string, column string")
-
-
-@query("i4_infer_dataset_type")
+    """The task engine's variant: no uniqueness rule for ids, booleans listed as
+    categorical too, time names on numbers, no microsecond scale."""
+    e = S.table(spark, d, "events")
+    g = e.select("event_id", (F.col("event_id") % 100).alias("event_time"), "event_type", "value", "props",
+                 (F.col("value") > 50).cast("double").alias("flag"),
+                 (F.col("event_id") + F.lit(10 ** 18)).alias("big"), F.repeat("props", 9).alias("note"),
+                 F.col("ts").alias("created_at"), (F.col("event_id") + 1700000000).alias("stamp"))
+    return I.infer_schema(g, unique_id_rule=False, bool_as_categorical=True, wide_time_names=True, fine_epoch=False)
+
+
+_STANDINS = {"visits": S.visits, "lab_results": S.lab_results, "vitals": S.vitals, "trade_log": S.trade_log,
+             "equity_curve": S.equity_curve, "backtest_monthly": S.backtest_monthly, "order_log": S.order_log,
+             "ohlcv": S.ohlcv, "billing": S.billing, "generic_table": S.generic_table}
+
+
+@query("i4_infer_dataset_type", f"""
+WITH n AS (SELECT (SELECT count(*) FROM ({S.TRADES_SQL})) AS trades, (SELECT count(*) FROM ({S.EQUITY_SQL})) AS days,
+                  (SELECT count(*) FROM ({S.ORDERS_SQL})) AS orders, (SELECT count(*) FROM ({S.OHLCV_SQL})) AS bars)
+SELECT 'visits' AS dataset, 'appointments_or_visits_table' AS dataset_type
+UNION ALL SELECT 'lab_results', 'lab_results_table' UNION ALL SELECT 'vitals', 'vitals_table'
+UNION ALL SELECT 'trade_log', CASE WHEN trades > 10 THEN 'trade_log' ELSE 'billing_or_revenue_table' END FROM n
+UNION ALL SELECT 'equity_curve', CASE WHEN days > 50 THEN 'equity_curve' ELSE 'generic_table' END FROM n
+UNION ALL SELECT 'backtest_monthly', 'backtest_monthly_summary'
+UNION ALL SELECT 'order_log', CASE WHEN orders > 10 THEN 'order_log' ELSE 'generic_table' END FROM n
+UNION ALL SELECT 'ohlcv', CASE WHEN bars > 10 THEN 'ohlcv_candles' ELSE 'generic_table' END FROM n
+UNION ALL SELECT 'billing', 'billing_or_revenue_table' UNION ALL SELECT 'generic_table', 'generic_table'""")
 def i4(spark, d):
-    rows = []
-    for name, fn in _STANDINS:
-        df = fn(spark, d)
-        rows.append((name, I.infer_dataset_type(df)))
+    rows = [(name, I.infer_dataset_type(fn(spark, d))) for name, fn in _STANDINS.items()]
     return spark.createDataFrame(rows, "dataset string, dataset_type string")
-
-
-@query("i5_suggest_targets")
-def i5(spark, d):
-    sup = S.table(spark, d, "documents").join(S.table(spark, d, "labels"), "doc_id")
-    part = S.table(spark, d, "part").withColumnRenamed("p_retailprice", "price")
-    rows = [(c,) for c in I.suggest_targets(sup.columns + part.columns)]
-    return spark.createDataFrame(rows, "column string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablesight.functions.scalars import sentences
+from tablesight.functions.stop_words import ENGLISH
 from tablesight.operators import text as X
 from tablesight.plans import standins as S
 from tablesight.plans.registry import query, rounded
@@ -26,17 +27,17 @@ def g20(spark, d):
 
 
 def _stop_sql() -> str:
-    return ", ".join("'" + w.replace("'", "''") + "'" for w in X.english_stop_words())
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
 
 
-def _keywords_sql(table: str, id_col: str, text_col: str) -> str:
+def _keywords_sql(table: str, id_col: str, text_col: str, limit: str = "") -> str:
     return rf"""
 WITH docs AS (SELECT {id_col} AS d, {text_col} AS text FROM {table} WHERE length({text_col}) > 0),
 n AS (SELECT count(*) AS n FROM docs),
 toks AS (SELECT d, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM docs),
 tf AS (SELECT d, term, count(*) AS tf FROM toks WHERE term NOT IN ({_stop_sql()}) GROUP BY d, term),
 tot AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term),
-vocab AS (SELECT * FROM tot ORDER BY total DESC, term LIMIT 100),
+vocab AS (SELECT * FROM tot ORDER BY total DESC, term {limit}),
 w AS (SELECT tf.d, tf.term, tf.tf * (ln((1 + n.n) / (1 + vocab.df)) + 1) AS w FROM tf JOIN vocab USING (term), n),
 norms AS (SELECT d, sqrt(sum(w * w)) AS norm FROM w GROUP BY d)
 SELECT term, round(sum(w / norm), 9) AS score FROM w JOIN norms USING (d)
@@ -45,13 +46,18 @@ GROUP BY term ORDER BY sum(w / norm) DESC, term LIMIT 25"""
 
 @query("m11_top_keywords", _keywords_sql("documents", "doc_id", "text"))
 def m11(spark, d):
-    return rounded(X.top_keywords(S.table(spark, d, "documents"), "text", "doc_id"), {"score": 9})
+    return rounded(X.top_keywords(S.table(spark, d, "documents"), "text"), {"score": 9})
+
+
+@query("m11_top_keywords_vocabulary", _keywords_sql("documents", "doc_id", "text", "LIMIT 100"))
+def m11v(spark, d):
+    """The 100 most frequent terms only: rows are weighed where they lie."""
+    return rounded(X.top_keywords(S.table(spark, d, "documents"), "text", max_features=100), {"score": 9})
 
 
 @query("m11_top_keywords_conversations", _keywords_sql("conversations", "conv_id * 1000 + turn", "text"))
 def m11b(spark, d):
-    c = S.table(spark, d, "conversations").withColumn("_id", F.col("conv_id") * 1000 + F.col("turn"))
-    return rounded(X.top_keywords(c, "text", "_id"), {"score": 9})
+    return rounded(X.top_keywords(S.table(spark, d, "conversations"), "text"), {"score": 9})
 
 
 @query("f8_sentence_split", r"""
@@ -78,8 +84,7 @@ terms AS (SELECT d, sid, unnest(list_concat(tk, list_transform(range(greatest(le
                                                                lambda i: tk[i + 1] || ' ' || tk[i + 2]))) AS term FROM toks),
 tf AS (SELECT d, sid, term, count(*) AS tf FROM terms GROUP BY ALL),
 per_term AS (SELECT d, term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY ALL),
-vocab AS (SELECT d, term, df FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY total DESC, term) AS r
-                                   FROM per_term) WHERE r <= 8000),
+vocab AS (SELECT d, term, df FROM per_term),
 w AS (SELECT tf.d, tf.sid, tf.tf * (ln((1 + n) / (1 + df)) + 1) AS w
       FROM tf JOIN vocab USING (d, term) JOIN n_sent USING (d)),
 score AS (SELECT d, sid, CASE WHEN sum(w * w) > 0 THEN sum(w) / sqrt(sum(w * w)) END AS score FROM w GROUP BY ALL),
@@ -88,10 +93,10 @@ ranked AS (SELECT s.d, s.sid, s.sentence, coalesce(sc.score, 0.0) AS score
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY round(score, 9) DESC, sid) AS r FROM ranked)
         WHERE r <= 8),
 long_docs AS (SELECT d, string_agg(sentence, ' ' ORDER BY sid) AS summary FROM top GROUP BY d)
-SELECT b.d AS doc_id, CASE WHEN coalesce(n, 0) <= 3 THEN substring(t, 1, 800) ELSE summary END AS summary
+SELECT b.d AS doc_id, CASE WHEN coalesce(n, 0) <= 3 THEN t ELSE summary END AS summary
 FROM base b LEFT JOIN long_docs USING (d) LEFT JOIN n_sent USING (d)"""
 
 
 @query("m12_extractive_summary", M12_SQL)
 def m12(spark, d):
-    return X.extractive_summary(S.table(spark, d, "documents"), "text", "doc_id")
+    return X.extractive_summary(S.table(spark, d, "documents"), "text", ["doc_id"])

@@ -47,5 +47,5 @@ def register_pack(name: str):
 
 
 def get_pack(name: str | None):
-    """Pack by name; unknown or missing names fall back to 'universal'."""
-    return PACKS.get(name or "universal", PACKS.get("universal"))
+    """Pack by name in any case; unknown or missing names give 'universal'."""
+    return PACKS.get((name or "").lower()) or PACKS["universal"]

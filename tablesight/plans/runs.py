@@ -50,24 +50,48 @@ def write_report(metrics: DataFrame, tables: dict[str, DataFrame], base: str, ru
                  meta: dict | None = None) -> str:
     """K3: metrics as JSON under ``base/metrics`` partitioned by run_id, each
     table as parquet under ``base/tables/<name>/run_id=<id>``, and one meta
-    row (run id, created_at, input, mode, rows, cols, summary) under
-    ``base/runs``."""
+    row (run id, created_at, input, mode, rows, cols, summary, the inferred
+    column mapping and the warnings) under ``base/runs``."""
     spark = metrics.sparkSession
     metrics.write.mode("append").partitionBy("run_id").json(f"{base}/metrics")
     for name, t in tables.items():
         t.write.mode("overwrite").parquet(f"{base}/tables/{name}/run_id={run_id}")
     m = dict(meta or {})
     row = (run_id, m.get("created_at") or _dt.datetime.now(_dt.timezone.utc).isoformat(),
-           m.get("input"), m.get("mode"), m.get("rows"), m.get("cols"), m.get("summary"))
-    spark.createDataFrame([row], "run_id string, created_at string, input string, mode string, "
-                                 "rows long, cols int, summary string") \
+           m.get("input"), m.get("mode"), m.get("rows"), m.get("cols"), m.get("summary"),
+           m.get("mapping") or {}, m.get("warnings") or [])
+    spark.createDataFrame([row], "run_id string, created_at string, input string, mode string, rows long, cols int, "
+                                 "summary string, mapping map<string,string>, warnings array<string>") \
          .write.mode("append").json(f"{base}/runs")
     return run_id
 
 
+RUN_SCHEMA = ("run_id string, created_at string, input string, mode string, rows long, cols int, "
+              "summary string, mapping map<string,string>, warnings array<string>")
+
+
+def report(df: DataFrame, mode: str, base: str, source: str, run_id: str | None = None,
+           created_at: str | None = None, overrides: dict | None = None) -> str:
+    """One run over a table: its pack's measures and tables, its profile, the
+    mapping in use and the quality warnings, written as K3."""
+    from tablesight.operators import profile as P
+    from tablesight.plans import packs as K
+    run_id = run_id or new_run_id()
+    mapping = K.resolve_mapping(df.columns, overrides)
+    res = K.get_pack(mode)(df, mapping)
+    kpis = res["kpis"]
+    profile = K.table_profile(df)
+    warnings = [f"{r['code']}: {r['detail']}" for r in P.quality_checks(df).collect()]   # a row per finding
+    first = kpis.select("summary").first() if "summary" in kpis.columns else None
+    return write_report(
+        metrics_long(kpis, run_id, mode), {**res, **{f"profile_{k}": t for k, t in profile.items()}}, base, run_id,
+        {"input": source, "mode": mode, "rows": df.count(), "cols": len(df.columns), "created_at": created_at,
+         "summary": first[0] if first else None, "mapping": mapping, "warnings": warnings})
+
+
 def list_runs(spark: SparkSession, base: str) -> DataFrame:
     """One row per run, newest first."""
-    return spark.read.json(f"{base}/runs").orderBy(F.desc("created_at"), F.desc("run_id"))
+    return spark.read.schema(RUN_SCHEMA).json(f"{base}/runs").orderBy(F.desc("created_at"), F.desc("run_id"))
 
 
 def read_metrics(spark: SparkSession, base: str) -> DataFrame:

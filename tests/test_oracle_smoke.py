@@ -14,7 +14,10 @@ NAMES = ["q0_flagship_monthly_billing", "g1_sum_by_week", "g6_share_of_total", "
          "w2_cum_sum", "w6_longest_drawdown", "w7_forward_fill", "p4_impute_median", "p10_to_number",
          "c1_histogram", "x2_keep_first", "g20_text_stats", "m11_top_keywords", "q6_clinic_general",
          "q8_trading_equity", "i1_infer_schema", "m12_extractive_summary", "st1_stream_period_totals",
-         "s1_read_delimited", "j2_compare_runs"]
+         "s1_read_delimited", "j2_compare_runs", "s5_read_json_scalars", "k1_write_cleaned", "k4_list_runs", "p8_parse_datetimes",
+         "p9_parse_epoch", "q5_clinic_billing", "q7_trading_backtest", "q9_trading_cumulative_pnl", "m2_split",
+         "m4_classification_metrics", "m11_top_keywords_vocabulary", "i2_infer_column_types", "i4_infer_dataset_type",
+         "a8_distinct_counts", "c4_corr_heatmap", "t6_sample_n", "w9_drawdown_of_cumsum", "q15_clean_table"]
 
 
 def _norm(v):

@@ -1,3 +1,5 @@
+import uuid
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -32,16 +34,50 @@ def test_describe_matches_pandas(table):
             assert abs(got.loc[c, k] - d[pk]) < 1e-9, (c, k)
 
 
-@pytest.mark.parametrize("max_candidates", [1_000_000, 5])
-def test_exact_quantiles_hot_value_and_refinement(spark, max_candidates):
-    rng = np.random.default_rng(3)
-    vals = np.concatenate([np.full(400, 7.0), rng.normal(size=800), [np.nan] * 10])
+def _check_quantiles(spark, vals, accuracy=100):
     df = spark.createDataFrame([(float(v),) for v in vals], "v double").selectExpr("nanvl(v, null) as v")
     probs = [0.0, 0.01, 0.25, 0.5, 0.66, 0.999, 1.0]
-    q = exact_quantiles(df, ["v"], probs, accuracy=100, max_candidates=max_candidates)
+    q = exact_quantiles(df, ["v"], probs, accuracy=accuracy)
     s = pd.Series(vals).dropna()
     for p in probs:
-        assert abs(q[("v", p)] - s.quantile(p)) < 1e-12, p
+        assert q[("v", p)] == pytest.approx(s.quantile(p), rel=1e-9, abs=1e-12), p
+
+
+def test_exact_quantiles_hot_value(spark):
+    rng = np.random.default_rng(3)
+    _check_quantiles(spark, np.concatenate([np.full(400, 7.0), rng.normal(size=800), [np.nan] * 10]))
+    _check_quantiles(spark, np.full(50, 2.5))
+    _check_quantiles(spark, rng.integers(0, 5, 900))
+    _check_quantiles(spark, rng.normal(size=1000) * 1e300)
+
+
+def test_quantiles_keep_infinities_and_empty_columns(spark):
+    df = spark.createDataFrame([(1.0, None), (float("inf"), None), (2.0, None)], "a double, b double")
+    q = exact_quantiles(df, ["a", "b"], [0.5, 1.0])
+    assert q == {("a", 0.5): 2.0, ("a", 1.0): float("inf"), ("b", 0.5): None, ("b", 1.0): None}
+
+
+def test_quantiles_take_a_fixed_number_of_passes(spark):
+    """Five distinct values or a million: two scans of the data."""
+    def jobs(df):
+        group = uuid.uuid4().hex
+        spark.sparkContext.setJobGroup(group, "quantiles")
+        exact_quantiles(df, ["v"], [0.25, 0.5, 0.75])
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few = spark.range(200_000).selectExpr("cast(id % 5 as double) v")
+    many = spark.range(200_000).selectExpr("cast(id as double) v")
+    assert abs(jobs(few) - jobs(many)) <= 2 and 0 < jobs(few) <= 12
+
+
+def test_schema_does_not_depend_on_files_or_order(spark, tmp_path):
+    from tablesight.operators.infer import infer_schema
+    rows = [(i, "x" * (200 if i < 100 else 3), f"c{i % 7}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "n long, s string, c string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/one")
+    df.repartition(50).orderBy("c", "n").write.parquet(f"{tmp_path}/many")
+    a, b = (infer_schema(spark.read.parquet(f"{tmp_path}/{x}")).collect() for x in ("one", "many"))
+    assert a == b and {r["column"]: r.kind for r in a}["s"] == "categorical"
 
 
 def test_even_count_interpolates(spark):
@@ -87,3 +123,24 @@ def test_skew_matches_pandas(table):
     got = {r["column"]: r["skew"] for r in P.skewness_table(df, ["a", "b"]).collect()}
     for c in ["a", "b"]:
         assert abs(got[c] - pdf[c].skew()) < 1e-9
+
+
+def test_wide_correlation_equals_the_narrow_plan(table, monkeypatch):
+    df, _ = table
+    narrow = {(r.col_a, r.col_b): r.corr for r in P.correlation_pairs(df, ["a", "b", "c"], with_self=True).collect()}
+    monkeypatch.setattr(P, "WIDE_PAIRS", 0)
+    wide = {(r.col_a, r.col_b): r.corr for r in P.correlation_pairs(df, ["a", "b", "c"], with_self=True).collect()}
+    assert narrow.keys() == wide.keys()
+    for k in narrow:
+        assert (narrow[k] is None) == (wide[k] is None) and abs((narrow[k] or 0) - (wide[k] or 0)) < 1e-9
+
+
+def test_duplicates_tell_null_positions_apart(spark):
+    df = spark.createDataFrame([(None, "a"), ("a", None), (None, "a"), ("", None), (None, "")], "x string, y string")
+    assert P.duplicate_rows(df).first()[0] == 1
+
+
+def test_distinct_counts(spark):
+    df = spark.createDataFrame([(1, None, [1]), (1, "a", [2]), (None, "b", [2])], "x int, y string, z array<int>")
+    got = {r["column"]: (r["distinct"], r["distinct_with_null"]) for r in P.distinct_counts(df).collect()}
+    assert got == {"x": (1, 2), "y": (2, 3), "z": (2, 2)}

@@ -7,6 +7,7 @@ import pytest
 
 from tablesight.operators import anomaly as A
 from tablesight.operators import ml as M
+from tablesight.functions.stop_words import ENGLISH
 from tablesight.operators import text as X
 
 DOCS = [
@@ -19,7 +20,7 @@ DOCS = [
 
 
 def _brute_keywords(docs, max_features, k):
-    stop = set(X.english_stop_words())
+    stop = set(ENGLISH)
     toks = [[t for t in re.findall(r"\b\w\w+\b", d.lower()) if t not in stop] for d in docs if d]
     n = len(toks)
     total = Counter(t for ts in toks for t in ts)
@@ -35,19 +36,26 @@ def _brute_keywords(docs, max_features, k):
     return sorted(score.items(), key=lambda kv: (-kv[1], kv[0]))[:k]
 
 
-def test_keywords_match_brute_force(spark):
-    df = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
-    got = [(r.term, r.score) for r in X.top_keywords(df, max_features=6, k=4).collect()]
-    want = _brute_keywords(DOCS, 6, 4)
+def test_stop_words_are_spark_mls(spark):
+    from pyspark.ml.feature import StopWordsRemover
+    assert list(ENGLISH) == StopWordsRemover.loadDefaultStopWords("english")
+
+
+@pytest.mark.parametrize("limit", [6, None])
+def test_keywords_match_brute_force(spark, limit):
+    df = spark.createDataFrame([(i, d) for i, d in enumerate([*DOCS, None])], "doc_id long, text string")
+    got = [(r.term, r.score) for r in X.top_keywords(df, max_features=limit, k=4).collect()]
+    want = _brute_keywords(DOCS, limit, 4)
     assert [t for t, _ in got] == [t for t, _ in want]
     for (_, a), (_, b) in zip(got, want):
         assert abs(a - b) < 1e-9
 
 
 def test_short_documents_keep_their_text(spark):
-    df = spark.createDataFrame([(1, "One. Two. Three."), (2, "x" * 900)], "doc_id long, text string")
-    got = {r.doc_id: r.summary for r in X.extractive_summary(df).collect()}
-    assert got[1] == "One. Two. Three." and got[2] == "x" * 800
+    df = spark.createDataFrame([(1, "One. Two. Three."), (2, "x" * 900), (3, None), (3, "")], "doc_id long, text string")
+    got = [(r.doc_id, r.summary) for r in X.extractive_summary(df, keys=["doc_id"]).collect()]
+    assert sorted(got, key=str) == sorted([(1, "One. Two. Three."), (2, "x" * 900), (3, None), (3, "")], key=str)
+    assert X.summarize("x" * 900, frozenset(), short_chars=800) == "x" * 800
 
 
 def test_summary_keeps_original_order(spark):
@@ -88,7 +96,7 @@ def test_kmeans_finds_planted_clusters(spark, k):
     pts = np.concatenate([c + rng.normal(size=(100, 2)) for c in centres])
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "id long, a double, b double")
     f = M.feature_pipeline(df, ["a", "b"], [], keep=["id"])
-    assigned, _ = M.cluster(f.frame, k=k, n_init=3)
+    assigned, _ = M.cluster(f, k=k, n_init=3)
     sizes = sorted(r["size"] for r in M.cluster_sizes(assigned).collect())
     assert sizes == [100, 100, 100]
 
@@ -99,3 +107,75 @@ def test_classification_metrics_binary(spark):
     r = M.classification_metrics(pred).first()
     assert abs(r.accuracy - 0.6) < 1e-12 and abs(r.precision - 2 / 3) < 1e-12
     assert abs(r.recall - 2 / 3) < 1e-12 and r.n_test == 5
+
+
+def test_classification_learns_text_labels(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(x), "yes" if x > 0.3 else "no", "a" if i % 2 else "b") for i, x in enumerate(rng.normal(size=400))]
+    rows += [(1000 + i, 0.0, None, "a") for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, x double, y string, c string")
+    pred = M.classify(df, "y", ["x"], ["c"], ["id"], n_trees=20)
+    m = M.classification_metrics(pred, df.select("y"), "random_forest").first()
+    assert m.accuracy > 0.95 and m.classes == "no,yes" and m.n_train + m.n_test == 400
+
+
+def test_split_is_stratified_and_repeatable(spark):
+    rows = [(i, "rare" if i % 40 == 0 else "common" if i % 3 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, y string")
+    one = {r.id: r.split for r in M.hash_split(df, ["id"], stratify="y").collect()}
+    assert one == {r.id: r.split for r in M.hash_split(df.repartition(7), ["id"], stratify="y").collect()}
+    for cls in ("rare", "common", None):
+        ids = [i for i, y in rows if y == cls]
+        assert sum(one[i] == "test" for i in ids) == round(0.2 * len(ids))
+
+
+def test_features_come_from_the_training_rows(spark):
+    train = spark.createDataFrame([(1.0, "a"), (3.0, "a"), (None, "b")], "x double, c string")
+    model = M.fit_features(train, ["x"], ["c"])
+    assert model.median["x"] == 2.0 and model.mean["x"] == 2.0 and model.categories["c"] == ["a", "b"]
+    other = spark.createDataFrame([(1000.0, "z"), (None, None)], "x double, c string")
+    rows = [r.features.toArray().tolist() for r in model.transform(other).collect()]
+    assert rows[0][1:] == [0.0, 0.0] and rows[1] == [0.0, 1.0, 0.0]
+
+
+def test_rare_categories_share_a_slot(spark):
+    df = spark.createDataFrame([("a",)] * 3 + [("b",)] * 2 + [("c",), ("d",)], "c string")
+    model = M.fit_features(df, [], ["c"], max_categories=3)
+    got = {r.c: r.features.toArray().tolist() for r in model.transform(df, ["c"]).collect()}
+    assert got == {"a": [1, 0, 0], "b": [0, 1, 0], "c": [0, 0, 1], "d": [0, 0, 1]}
+
+
+def test_forest_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(3000, 2)))]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    a, b = ({r.id: r.anomaly_score for r in A.isolation_forest_scores(
+        df.repartition(n), ["x", "y"], ["id"], n_trees=10, max_samples=64).collect()} for n in (2, 7))
+    assert max(abs(a[i] - b[i]) for i in a) < 1e-9
+
+
+def test_task_functions_need_no_package_on_workers(spark):
+    """Functions that run in tasks are pickled whole, not by module name."""
+    import pickletools
+
+    from pyspark import cloudpickle
+
+    data = cloudpickle.dumps(A._grow)
+    names = [arg for op, arg, _ in pickletools.genops(data) if op.name in ("SHORT_BINUNICODE", "BINUNICODE")]
+    assert "_grow" in names and not any(op.name == "STACK_GLOBAL" and "tablesight" in str(arg)
+                                        for op, arg, _ in pickletools.genops(data))
+
+
+def test_tasks_prepare_and_report(spark):
+    from tablesight.plans.tasks import Tunables, run_tasks
+    rng = np.random.default_rng(0)
+    rows = [(i, f"2024-01-{1 + i % 28:02d}", float(x), "u" if x > 0 else "v", 7, 1700000000 + i, f"lorem ipsum {i}. " * 5)
+            for i, x in enumerate(rng.normal(size=120))]
+    df = spark.createDataFrame(rows, "`Row id` long, `Order date` string, `the x` double, grp string, k int, stamp long, body string")
+    res = run_tasks(df, ["Row id"], "grp", "the x", "body", knobs=Tunables(
+        rf_trees=5, anomaly_trees=20, kmeans_k=2, kmeans_restarts=1, regression_model="ridge"))
+    assert {r.task: r.status for r in res["status"].collect()} == {t: "ok" for t in (
+        "descriptive", "anomaly", "clustering", "classification", "regression", "text")}
+    text = res["plain_english"].first()[0].split("\n")
+    assert len(text) == 5 and text[0] == "- The dataset has **120 rows** and **6 columns**."
+    assert res["anomaly_top"].columns[:2] == ["row_index", "Row_id"]
