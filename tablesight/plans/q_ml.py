@@ -155,7 +155,7 @@ def m7(spark, d):
     """The metrics of a price rule, so that they can be checked without a model."""
     p = S.table(spark, d, "part")
     pred = p.filter("p_partkey % 5 = 0").select(F.col("p_retailprice").alias("label"),
-                                                F.lit(903.21) + F.col("p_size") * 9.73.alias("prediction"))
+                                                (F.lit(903.21) + F.col("p_size") * 9.73).alias("prediction"))
     return rounded(M.regression_metrics(pred, p.agg(F.count("p_retailprice")), "rule"), {"mae": 6, "rmse": 6, "r2": 6})
 
 
