@@ -180,6 +180,16 @@ def trend_label(first, last) -> Column:
     return F.when(last < first, "decreasing").when(last > first, "increasing").otherwise("stable")
 
 
+def literal_replace(c, old: str, new: str) -> Column:
+    """every occurrence of a piece of text replaced by another."""
+    return F.replace(col_(c), F.lit(old), F.lit(new))
+
+
+def strip_left(c, characters: str) -> Column:
+    """the given leading characters removed."""
+    return F.ltrim(col_(c), F.lit(characters))
+
+
 def word_count(c) -> Column:
     """Number of ``\\w+`` runs as Python counts them: letters, digits of any
     kind (Java's ``(?U)\\w`` misses e.g. superscripts) and underscore."""

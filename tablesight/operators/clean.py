@@ -209,6 +209,12 @@ def drop_high_cardinality(df: DataFrame, columns: list[str] | None = None,
     return df.drop(*drop) if drop else df
 
 
+def apply_mapping(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """The mapped columns under their canonical keys, in the mapping's
+    order; entries without a column, or with one the table lacks, are left out."""
+    return df.select(*[F.col(_q(c)).alias(key) for key, c in mapping.items() if c in df.columns])
+
+
 def drop_nulls(df: DataFrame, subset: list[str]) -> DataFrame:
     """Rows with a NULL (or NaN) in any of ``subset`` removed."""
     return df.dropna(subset=subset)

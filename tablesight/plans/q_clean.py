@@ -186,6 +186,18 @@ def p12(spark, d):
     return C.drop_high_cardinality(S.table(spark, d, "customer"), limit=200)
 
 
+@query("p13_apply_mapping", f"""
+SELECT datetime, symbol, qty, side, realized_pnl, fees FROM ({S.TRADES_SQL}) t""")
+def p13(spark, d):
+    """Trades with display-style names, brought to their canonical keys."""
+    t = S.trade_log(spark, d).withColumnsRenamed({
+        "datetime": "Trade Time", "symbol": "Ticker", "qty": "Size (units)", "side": "Direction",
+        "realized_pnl": "Net PnL", "fees": "Commission"})
+    roles = I.infer_roles(t.columns)
+    keys = ["datetime", "symbol", "qty", "side", "realized_pnl", "fees", "equity"]
+    return C.apply_mapping(t, {k: roles.get(k) for k in keys})
+
+
 @query("p14_drop_nulls", f"""
 SELECT {GEN_ALL} FROM {GEN} g WHERE l_discount IS NOT NULL AND l_returnflag IS NOT NULL""")
 def p14(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablesight.functions.scalars import currency, drawdown_label
+from tablesight.functions.scalars import currency, drawdown_label, literal_replace, strip_left
 from tablesight.plans import packs as K
 from tablesight.plans import standins as S
 from tablesight.plans.q_packs import _CONST_SQL
@@ -40,6 +40,14 @@ def f19(spark, d):
         "doctor", currency("r").alias("revenue_text"))
 
 
+@query("f3_replace_and_strip", """
+SELECT p_partkey, replace(p_type, ' ', '_') AS type_key, ltrim(p_brand, 'Brand#') AS brand_number FROM part""")
+def f3(spark, d):
+    return S.table(spark, d, "part").select(
+        "p_partkey", literal_replace("p_type", " ", "_").alias("type_key"),
+        strip_left("p_brand", "Brand#").alias("brand_number"))
+
+
 @query("f22_json_and_dates", """
 SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts_text,
        lower(trim(event_type)) AS kind, CAST(user_id AS VARCHAR) AS user_text

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablesight.operators import topk as T
 from tablesight.plans import runs as R
 from tablesight.plans import standins as S
 from tablesight.plans.registry import query
@@ -161,6 +162,21 @@ def s9(spark, d):
     return RD.open_source(spark, path)
 
 
+@query("s9_open_source_by_extension", " UNION ALL ".join(
+    f"SELECT '{k}' AS kind, c_custkey, c_name, c_acctbal FROM customer" for k in ("csv", "jsonl", "parquet")))
+def s9b(spark, d):
+    """One table in three formats, told apart by the files' extensions."""
+    base = scratch(spark, "formats")
+    c = S.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    c.write.options(**SK.CSV).csv(f"{base}/csv")
+    c.write.json(f"{base}/jsonl")
+    c.write.parquet(f"{base}/parquet")
+    kinds = {"csv": ("csv/*.csv", None), "jsonl": ("jsonl/*.json", "jsonl"), "parquet": ("parquet/*.parquet", None)}
+    parts = [RD.open_source(spark, f"{base}/{glob}", override).select(F.lit(k).alias("kind"), "c_custkey", "c_name", "c_acctbal")
+             for k, (glob, override) in kinds.items()]
+    return T.union_all(*parts)
+
+
 @query("s10_cap_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 150")
 def s10(spark, d):
     o = S.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
