@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tablesight.llm import byte_bpe, byte_gru, decontaminate, markov_secrets, simhash_pivots
 from tablesight.llm import queries as Q
-from tablesight.llm.common import scratch_table, table
+from tablesight.llm.common import packed, table
+from tablesight.session import scratch_table
 
 #: Least document probability of the predicted language.  Far below what even a
 #: few words of one language get, it rejects text that looks like none of them.
@@ -24,9 +25,9 @@ MIN_LANGUAGE_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language (``und``) or without a likely one."""
     model = byte_gru.train(byte_gru.training_windows(docs))
-    labelled = byte_gru.with_language(docs, model)
+    labelled = byte_gru.with_language(packed(docs, "text"), model, keep=["__doc"])
     kept = (F.col("lang_pred") != byte_gru.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return labelled.filter(kept).select(*docs.columns)
+    return labelled.filter(kept).select("__doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

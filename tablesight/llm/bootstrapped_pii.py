@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesight.llm.common import map_texts, passed_columns, scratch_table
+from tablesight.llm.common import map_texts, packed, passed_columns
+from tablesight.session import scratch_table
 
 # The base kinds in order, their patterns and their limits.  An
 # email is searched from its ``@`` outward and an ip from the start of a run of
@@ -188,9 +189,10 @@ def with_personal_data(df: DataFrame, text_col: str = "text", keep: list[str] |
     Null text counts as empty and has no spans.  Rows pass through, repeated or
     not; without seeds there are no patterns and no context spans.
     """
-    kept = passed_columns(df.select(*(df.columns if keep is None else keep)), ["base_spans", "spans", "instances"])
+    kept = passed_columns(df.select(*(df.columns if keep is None else keep)), ["base_spans", "spans"])
     row = "__row"
-    found = with_instances(df, text_col, kept).withColumn(row, F.monotonically_increasing_id())
+    rows = packed(df.select(*dict.fromkeys([*kept, text_col])), text_col)
+    found = with_instances(rows, text_col, ["__doc"]).withColumn(row, F.monotonically_increasing_id())
     found = scratch_table(found, "instances")  # fixes the row numbers
     seen = found.select(row, F.explode("instances").alias("o")).select(row, "o.*")
     patterns, scores = pattern_scores(seen)
@@ -203,7 +205,7 @@ def with_personal_data(df: DataFrame, text_col: str = "text", keep: list[str] |
                "start", F.lit(len(KINDS) - 1).alias("kind"), "end")).alias("__new")))
     none = F.array().cast(T.ArrayType(SPAN))
     return found.join(new, row, "left").select(
-        *kept, "base_spans", F.array_sort(F.concat("base_spans", F.coalesce("__new", none))).alias("spans"))
+        *[F.col("__doc").getField(c).alias(c) for c in kept], "base_spans", F.array_sort(F.concat("base_spans", F.coalesce("__new", none))).alias("spans"))
 
 
 def written(spans_col: str) -> F.Column:

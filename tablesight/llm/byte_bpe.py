@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tablesight.llm.common import map_texts
+from tablesight.llm.common import map_texts, unused
 
 #: Distinct pieces whose ids a task remembers, and the longest piece it keeps.
 CACHE_PIECES, CACHE_CHARS = 1 << 18, 64
@@ -199,7 +199,7 @@ def decode_documents(df: DataFrame, vocabulary: str, ids_col: str = "ids",
 
     table = token_bytes(read_ranks(vocabulary))
     keep = [c for c in df.columns if c.lower() != out.lower()]
-    held = "__ids"
+    held = unused([*keep, out], "__ids")
     source = df.select(*[df[c] for c in keep], df[ids_col].alias(held))
     schema = T.StructType([source.schema[c] for c in keep] + [T.StructField(out, T.StringType())])
 

@@ -8,15 +8,13 @@ replaced by that output; every other column is kept as it came.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesight.session import checkpoint_dir
-
 #: Text bytes handled at once inside one Python task, whatever the batch size:
 #: a worker's arrays are a small multiple of this.
 SLICE_BYTES = 512 << 10
@@ -26,14 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, so that
-    later passes neither recompute it nor depend on any one executor."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """Whole rows as one struct column ``__doc`` beside the columns an operator
+    reads, so that no name of the operator's own can meet one of the rows'.
+    ``select("__doc.*")`` gives the rows back."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("__doc"), *[df[c] for c in columns])
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def passed_columns(df: DataFrame, outputs: list[str]) -> list[str]:
@@ -68,7 +71,7 @@ def map_texts(df: DataFrame, text_col: str, outputs: T.StructType,
     """
     names = [f.name for f in outputs]
     keep = [c for c in keep if c in passed_columns(df, names)]
-    held = text_col if text_col in keep else "__text_of_row"
+    held = text_col if text_col in keep else unused([*keep, *names], "__text_of_row")
     source = df.select(*[df[c] for c in keep],
                        *([] if held == text_col else [df[text_col].alias(held)]))
     schema = T.StructType([source.schema[c] for c in keep] + list(outputs))

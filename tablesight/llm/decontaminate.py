@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesight.llm.common import map_texts, passed_columns
+from tablesight.llm.common import map_texts, passed_columns, unused
 
 Q, SEGMENT, EDIT_SHARE = 8, 96, 12
 BAND = 16  # over the largest edit budget, SEGMENT // EDIT_SHARE
@@ -225,15 +225,16 @@ def with_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", id_c
     (or an empty benchmark) gives no leaks.
     """
     kept = passed_columns(df.select(*keep) if keep is not None else df, [out])
+    more = unused([*df.columns, out], "__more")
     result = df.select(*dict.fromkeys([*kept, text_col])).withColumn(out, F.array().cast(T.ArrayType(HIT)))
     for block in blocks(benchmark, id_col, item_text_col):
         def make(block=block):
             index = SegmentIndex(block)
             return lambda texts: [index.find(texts)]
 
-        field = T.StructType([T.StructField("__more", T.ArrayType(HIT))])
+        field = T.StructType([T.StructField(more, T.ArrayType(HIT))])
         result = map_texts(result, text_col, field, make, result.columns)
-        result = result.withColumn(out, F.concat(out, "__more")).drop("__more")
+        result = result.withColumn(out, F.concat(out, more)).drop(more)
     return result.select(*kept, out)
 
 
@@ -246,5 +247,6 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with their columns as they came."""
-    leaks = with_leaks(docs, benchmark, out="__leaks")
-    return leaks.filter(F.size("__leaks") == 0).drop("__leaks")
+    out = unused(docs.columns, "__leaks")
+    leaks = with_leaks(docs, benchmark, out=out)
+    return leaks.filter(F.size(out) == 0).select(*docs.columns)

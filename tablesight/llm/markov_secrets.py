@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesight.llm.common import passed_columns
+from tablesight.llm.common import packed, passed_columns
 
 # The base patterns, their kinds in order, and their least lengths.
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -181,14 +181,20 @@ def with_secrets(df: DataFrame, model: list[float], text_col: str = "text") -> D
     """Add ``base_spans`` and ``spans`` (base and random), arrays of (start,
     kind, end, text) in order of start, then kind; ends are exclusive.
 
-    Null text counts as empty and has no spans.  Rows pass through.
+    Null text counts as empty and has no spans.  Rows pass through; input
+    columns of these two names are replaced.
     """
     kept = passed_columns(df, ["base_spans", "spans"])
-    held = df.select(*[df[c] for c in kept], F.coalesce(df[text_col], F.lit("")).alias("__t"))
+    found = _spans_of(packed(df, text_col), model, text_col)
+    return found.select(*[F.col("__doc").getField(c).alias(c) for c in kept], "base_spans", "spans")
+
+
+def _spans_of(rows: DataFrame, model: list[float], text_col: str) -> DataFrame:
+    held = rows.select("__doc", F.coalesce(rows[text_col], F.lit("")).alias("__t"))
     found = with_spans(held, F.col("__t"))
     random = F.filter("__runs", lambda r: likelihood_ratio(r["text"], model) >= F.greatest(
         F.lit(THRESHOLD), F.length(r["text"]) * PER_CHARACTER))
-    return found.select(*kept, F.array_sort("__base").alias("base_spans"),
+    return found.select("__doc", F.array_sort("__base").alias("base_spans"),
                         F.array_sort(F.concat(F.col("__base"), random)).alias("spans"))
 
 
@@ -217,7 +223,7 @@ def train_on(docs: DataFrame) -> list[float]:
 def redacted(df: DataFrame, model: list[float], text_col: str = "text", mark: str = "<SECRET>") -> DataFrame:
     """The rows with every stretch of secret spans in the text replaced by
     ``mark`` (overlapping spans by one mark); other texts stay as they are."""
-    text = F.col(text_col)
+    text = F.col("__doc").getField(text_col)
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
 
     def step(a: Column, s: Column) -> Column:
@@ -228,6 +234,6 @@ def redacted(df: DataFrame, model: list[float], text_col: str = "text", mark: st
 
     rest = lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(
         text, (a["at"] + 1).cast("int"), F.length(text)))
-    found = with_secrets(df, model, text_col)
+    found = _spans_of(packed(df, text_col), model, text_col)
     clean = F.when(F.size("spans") == 0, text).otherwise(F.aggregate("spans", start, step, rest))
-    return found.withColumn(text_col, clean).select(*df.columns)
+    return found.select(*[clean.alias(c) if c == text_col else F.col("__doc").getField(c).alias(c) for c in df.columns])

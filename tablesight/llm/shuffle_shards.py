@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesight.llm.common import passed_columns, scratch_table
+from tablesight.llm.common import passed_columns, unused
+from tablesight.session import scratch_table
 
 ROUNDS = 6
 PRIME = 2_147_483_647  # squares of residues stay below 2^62
@@ -106,7 +107,7 @@ def number_rows(df: DataFrame, order: list[str], out: str = "row_number") -> tup
     their count.  Rows equal in all of ``order`` are told apart by where they
     stand in the input, so one value may hold any share of the rows."""
     kept = passed_columns(df, [out])
-    place_col, tie = "__at", "__tie"
+    place_col, tie, part_col, start_col = (unused([*kept, out], n) for n in ("__at", "__tie", "__part", "__start"))
     dealt = (df.select(*[df[c] for c in kept], F.monotonically_increasing_id().alias(tie))
              .repartitionByRange(*[F.col(c) for c in order], F.col(tie))
              .sortWithinPartitions(*order, tie)
@@ -120,10 +121,10 @@ def number_rows(df: DataFrame, order: list[str], out: str = "row_number") -> tup
         starts[r["p"]] = total
         total += r["count"]
     offsets = df.sparkSession.createDataFrame(
-        [(int(p), int(n)) for p, n in starts.items()], "__part long, __start long")
-    numbered = (dealt.withColumn("__part", part)
-                .join(F.broadcast(offsets), "__part")  # one row per range partition
-                .withColumn(out, F.col("__start") + F.col(place_col).bitwiseAND((1 << 33) - 1)))
+        [(int(p), int(n)) for p, n in starts.items()], f"{part_col} long, {start_col} long")
+    numbered = (dealt.withColumn(part_col, part)
+                .join(F.broadcast(offsets), part_col)  # one row per range partition
+                .withColumn(out, F.col(start_col) + F.col(place_col).bitwiseAND((1 << 33) - 1)))
     return numbered.select(*kept, out), total
 
 
@@ -136,7 +137,7 @@ def assign_shards(df: DataFrame, order: list[str], shards: int = 8, seed: int =
     """
     numbered, total = number_rows(
         df.select(*passed_columns(df, ["row_number", "law", "shard", "slot", "grown_shard"])), order)
-    at = "__permuted"
+    at = unused(numbered.columns, "__permuted")
     return (numbered.withColumn(at, permuted(F.col("row_number"), max(total, 1), seed))
             .withColumn("law", F.lit("rows"))
             .withColumn("shard", (F.col(at) % shards).cast("int"))

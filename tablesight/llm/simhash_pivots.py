@@ -29,8 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesight.llm.common import map_texts, scratch_table
+from tablesight.llm.common import map_texts, packed
 from tablesight.llm.components import components
+from tablesight.session import scratch_table
 
 SHINGLE, BITS, SEED = 3, 3, 42
 CUTS = (0, 11, 22, 33, 44, 54, 64)
@@ -264,8 +265,9 @@ def one_per_class(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     best = (by_fp.join(classes(slim), "fp").groupBy("root")
             .agg(F.min("w").alias("w")).select("w.__id", "w.__row", "w.__n"))
     best = scratch_table(best.withColumnsRenamed({"__id": "__best", "__row": "__best_row"}), "kept")
-    both = docs.withColumn("__row", row).join(
-        best, F.col("__row").eqNullSafe(F.col("__best_row")) & docs[id_col].eqNullSafe(F.col("__best")))
+    whole = packed(docs).withColumns({"__id": F.col("__doc").getField(id_col), "__row": F.xxhash64(
+        *[F.col("__doc").getField(c) for c in docs.columns])})
+    both = whole.join(best, F.col("__row").eqNullSafe(F.col("__best_row")) & F.col("__id").eqNullSafe(F.col("__best")))
     single = both.filter("__n = 1")
     repeated = both.filter("__n > 1").dropDuplicates(["__best", "__best_row"])
-    return single.union(repeated).select(*docs.columns)
+    return single.union(repeated).select("__doc.*")

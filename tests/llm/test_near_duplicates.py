@@ -49,6 +49,7 @@ def test_edge_rows(edge_docs, no_docs):
 
 def test_one_of_each_class_stays(edge_docs):
     kept = S.one_per_class(edge_docs.withColumn("__row", F.lit("clash")).withColumn("fp", F.lit(0)))
+    assert {(r["__row"], r.fp) for r in kept.collect()} == {("clash", 0)}
     ids = sorted(str(r.doc_id) for r in kept.collect())
     want = {str(r.component_id) for r in S.near_duplicates(edge_docs).collect()}
     assert ids == sorted(want) and kept.columns[-2:] == ["__row", "fp"]

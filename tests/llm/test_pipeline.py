@@ -5,6 +5,7 @@ import re
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tablesight.llm import simhash_pivots as S
 from tablesight.llm import byte_gru as G
 from tablesight.llm import decontaminate as D
@@ -68,3 +69,19 @@ def test_no_secret_is_left(spark, sf_small, small_docs):
     for r in M.scan(clean).collect():
         assert r.n_assign == r.n_access == r.n_hex == 0
     assert clean.filter("n_chars <> length(text)").count() == 0
+
+
+def test_clashing_names_pass_through(spark, sf_small, edge_docs):
+    """Extra columns named like the operators' outputs and helpers keep their values."""
+    extra = ["lang_pred", "score", "fp", "__row", "__doc", "__id", "__best", "spans", "base_spans", "__t", "__leaks", "__more",
+             "leaks", "Fingerprint", "__text_of_row"]
+    docs = edge_docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")))
+                                  for c in extra})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_small)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows
+        for r in rows:
+            assert all(r[c] == f"{c}-{'?' if r.doc_id is None else r.doc_id}" for c in extra), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_small).count() == docs.count()
