@@ -484,3 +484,27 @@ def j2(spark, d):
     mb = R.metrics_long(rounded(b, {"total_revenue_collected": 2, "no_show_rate": 12}), "run_b", "clinic")
     out = R.compare_runs(ma.unionByName(mb), "run_a", "run_b", "clinic")
     return out.withColumn("pos", F.col("pos").cast("int"))
+
+
+@query("j2_compare_runs_default", f"""
+SELECT 'rows' AS metric, 0 AS pos, CAST((SELECT count(*) FROM orders) AS DOUBLE) AS run_a,
+       CAST((SELECT count(*) FROM customer) AS DOUBLE) AS run_b
+UNION ALL SELECT 'cols', 1, 6.0, 5.0""")
+def j2b(spark, d):
+    """Two universal runs, compared by the default metrics."""
+    runs = [R.metrics_long(K.run_pack(S.table(spark, d, t), None)["kpis"], f"run_{r}", "universal")
+            for r, t in (("a", "orders"), ("b", "customer"))]
+    return R.compare_runs(runs[0].unionByName(runs[1]), "run_a", "run_b", "universal")
+
+
+@query("j2_compare_runs_trading", f"""
+WITH p AS (SELECT realized_pnl AS p FROM ({S.TRADES_SQL}) t),
+k AS (SELECT round(sum(p), 4) AS total, round(count_if(p > 0) / greatest(1, count(*)), 12) AS win FROM p)
+SELECT 'total_pnl' AS metric, 0 AS pos, total AS run_a, total AS run_b FROM k
+UNION ALL SELECT 'win_rate', 1, win, win FROM k UNION ALL SELECT 'max_drawdown', 2, NULL, NULL""")
+def j2c(spark, d):
+    """Two trading runs of one log; the pack has no drawdown, so it stays empty."""
+    t = S.trade_log(spark, d)
+    k = rounded(K.trading_trades(t, _map(t), order=S.TRADE_ORDER)["kpis"], {"total_pnl": 4, "win_rate": 12})
+    runs = [R.metrics_long(k, r, "trading") for r in ("run_a", "run_b")]
+    return R.compare_runs(runs[0].unionByName(runs[1]), "run_a", "run_b", "trading")
