@@ -28,7 +28,8 @@ from tablesight.llm.common import packed, passed_columns
 # The base patterns, their kinds in order, and their least lengths.
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
 ASSIGN_TAIL = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]+"
+ACCESS = "AKIA[A-Z0-9]+"
+HEX = "[0-9a-f]{16,}"  # shorter runs would be dropped
 KINDS = ("assign", "access", "hex", "random")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
@@ -94,7 +95,7 @@ def with_spans(df: DataFrame, text: Column) -> DataFrame:
     df = df.withColumns({
         "__a": matched(text, ASSIGN, text.rlike(ASSIGN), 2),
         "__k": matched(text, ACCESS, text.contains("AKIA")),
-        "__h": matched(text, "[0-9a-f]{16,}", text.rlike("[0-9a-f]{16}")),
+        "__h": matched(text, HEX, text.rlike(HEX)),
         "__r": matched(text, RUN, text.rlike(RUN))})
     df = df.withColumns({
         "__base": F.concat(spans(F.col("__a"), 0, LEAST["assign"], "value"), spans(F.col("__k"), 1, LEAST["access"]),
