@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesight.llm.common import map_texts, packed, passed_columns
+from tablesight.llm.common import map_texts, passed_columns
 from tablesight.session import scratch_table
 
 # The base kinds in order, their patterns and their limits.  An
@@ -191,7 +191,8 @@ def with_personal_data(df: DataFrame, text_col: str = "text", keep: list[str] |
     """
     kept = passed_columns(df.select(*(df.columns if keep is None else keep)), ["base_spans", "spans"])
     row = "__row"
-    rows = packed(df.select(*dict.fromkeys([*kept, text_col])), text_col)
+    whole = F.struct(F.lit(0).alias("__none"), *[df[c] for c in kept]).alias("__doc")  # without the text, unless kept
+    rows = df.select(whole, df[text_col])
     found = with_instances(rows, text_col, ["__doc"]).withColumn(row, F.monotonically_increasing_id())
     found = scratch_table(found, "instances")  # fixes the row numbers
     seen = found.select(row, F.explode("instances").alias("o")).select(row, "o.*")
