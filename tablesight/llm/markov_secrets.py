@@ -5,12 +5,16 @@ other run of 16 or more key-like characters is scored by two character bigram
 models, one of random strings and one of ordinary identifiers, and is a secret
 if the log-likelihood ratio reaches THRESHOLD, and PER_CHARACTER times its length.
 
-Labelled samples: ordinary identifiers are all key-like runs of the corpus that
-no base pattern covers, as they stand and written as camelCase, snake_case and
-CONSTANT_CASE; random strings are the values that base patterns found in the
-corpus and GENERATED digest strings in base64 and in hexadecimal.  Each source
-of a class has the same weight, so that a corpus full of one sort does not hide
-the others.  A model is at most 68 x 67 numbers.
+Labelled samples: random strings are the values that base patterns found in the
+corpus and GENERATED digest strings in base64 and in hexadecimal.  Ordinary
+identifiers are the words of the corpus's prose, which are too short to be part
+of a run, written together, as camelCase, snake_case and CONSTANT_CASE.  A model
+of these alone relabels the key-like runs that no base pattern covers: those it
+finds likelier ordinary than random join the ordinary class, in the same four
+forms, and the models are trained again.  So a key is never a sample of what
+is ordinary, however many there are.  Each source of a class has the same weight,
+so that a corpus full of one sort does not hide the others.  A model is at most
+68 x 67 numbers.
 
 DataFrame functions only.  Positions are code points: a text split at a pattern
 gives the gaps between its matches, and running sums of the lengths give starts.
@@ -24,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesight.llm.common import packed, passed_columns
+from tablesight.session import scratch_table
 
 # The base patterns, their kinds in order, and their least lengths.
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -36,7 +41,10 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]{16,}"
 STATES = len(SYMBOLS) + 1  # the last state is the start
-ORDINARY = ("ordinary", "camel", "snake", "constant")
+#: A word of prose, between characters that are neither letters nor of a run.
+WORD, BETWEEN_WORDS = "^[A-Za-z][a-z]{0,14}$", r"[^\p{L}\p{M}\p{N}+/_=-]+"
+FORMS = ("ordinary", "camel", "snake", "constant")
+ORDINARY = (*FORMS, *(f"words {f}" for f in FORMS))
 THRESHOLD, PER_CHARACTER = 10.0, 1.5
 GENERATED = 4096
 #: Weight of a sample source, in bigrams, and the smoothing added to each bigram.
@@ -113,12 +121,14 @@ def code(character: Column) -> Column:
 
 
 def bigrams(samples: DataFrame) -> DataFrame:
-    """(source, state, next, n) over samples of (source, sample)."""
+    """(source, state, next, n) over samples of (source, sample), which count n
+    times if they have a column n."""
     walk = F.transform(F.split("sample", ""), code)
-    return (samples.filter(F.length("sample") > 0).select("source", walk.alias("c"))
-            .select("source", F.explode(F.transform(F.array(F.col("c")), lambda c: F.transform(c, lambda x, i: F.struct(
+    times = F.col("n") if "n" in samples.columns else F.lit(1)
+    return (samples.filter(F.length("sample") > 0).select("source", times.alias("n"), walk.alias("c"))
+            .select("source", "n", F.explode(F.transform(F.array(F.col("c")), lambda c: F.transform(c, lambda x, i: F.struct(
                 F.coalesce(F.get(c, i - 1), F.lit(STATES - 1)).alias("state"), x.alias("next"))))[0]).alias("b"))
-            .groupBy("source", "b.state", "b.next").agg(F.count(F.lit(1)).alias("n")))
+            .groupBy("source", "b.state", "b.next").agg(F.sum("n").alias("n")))
 
 
 def generated_samples(spark) -> DataFrame:
@@ -129,33 +139,54 @@ def generated_samples(spark) -> DataFrame:
         F.struct(F.lit("digits").alias("source"), digest.alias("sample")))).alias("s")).select("s.*")
 
 
-def corpus_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def in_forms(prefix: str, whole: Column, parts: list[Column]) -> Column:
+    """Samples of an identifier as it stands and written in the other FORMS."""
+    forms = {
+        "ordinary": whole,
+        "camel": F.concat(*[p if i == 0 else F.initcap(p) for i, p in enumerate(parts)]),
+        "snake": F.concat_ws("_", *parts),
+        "constant": F.upper(F.concat_ws("_", *parts))}
+    return F.array(*[F.struct(F.lit(prefix + f).alias("source"), forms[f].alias("sample")) for f in FORMS])
+
+
+def word_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(source, sample, n): each distinct word of the prose, written twice in each form."""
+    words = (docs.select(F.explode(F.split(text_col, BETWEEN_WORDS)).alias("w")).filter(F.col("w").rlike(WORD))
+             .groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    w = F.lower("w")
+    return words.select("n", F.explode(in_forms("words ", F.concat(w, w), [w, w])).alias("s")).select("s.*", "n")
+
+
+def key_like(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(base, text): the values of base spans, and the runs that no base span touches."""
     found = with_spans(docs.select(F.col(text_col).alias("__t")), F.coalesce(F.col("__t"), F.lit("")))
-    def parts(r: Column) -> list[Column]:
-        return [F.substring(r["text"], 1, 5), F.substring(r["text"], 6, 6), F.substring(r["text"], 12, 1 << 30)]
 
-    def labelled(source: str, write) -> Column:
-        return F.transform("__runs", lambda r: F.struct(F.lit(source).alias("source"), write(r).alias("sample")))
+    def of(column: str, base: bool) -> Column:
+        return F.transform(column, lambda r: F.struct(F.lit(base).alias("base"), r["text"].alias("text")))
 
-    written_as = {
-        "ordinary": lambda r: r["text"],
-        "camel": lambda r: F.concat(*[p if i == 0 else F.initcap(p) for i, p in enumerate(parts(r))]),
-        "snake": lambda r: F.concat_ws("_", *parts(r)),
-        "constant": lambda r: F.upper(F.concat_ws("_", *parts(r)))}
-    return found.select(F.explode(F.concat(
-        *[labelled(k, f) for k, f in written_as.items()],
-        F.transform("__base", lambda r: F.struct(F.lit("found").alias("source"), r["text"].alias("sample"))))).alias("s")
-    ).select("s.*")
+    return found.select(F.explode(F.concat(of("__base", True), of("__runs", False))).alias("k")).select("k.*")
 
 
-def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each (state, next), row by row, from labelled
-    samples: the sources in ORDINARY against all others.  Without ordinary samples
-    the ordinary model is uniform."""
-    size = STATES * (STATES - 1)
+def run_samples(runs: DataFrame) -> DataFrame:
+    t = F.col("text")
+    parts = [F.substring(t, 1, 5), F.substring(t, 6, 6), F.substring(t, 12, 1 << 30)]
+    return runs.select(F.explode(in_forms("", t, parts)).alias("s")).select("s.*")
+
+
+def counted(samples: DataFrame) -> dict[str, list[float]]:
+    """Counts of each (state, next), row by row, of every source."""
     counts: dict[str, list[float]] = {}
     for r in bigrams(samples).collect():  # at most STATES * (STATES - 1) rows a source
-        counts.setdefault(r["source"], [0.0] * size)[r["state"] * (STATES - 1) + r["next"]] = float(r["n"])
+        held = counts.setdefault(r["source"], [0.0] * (STATES * (STATES - 1)))
+        held[r["state"] * (STATES - 1) + r["next"]] = float(r["n"])
+    return counts
+
+
+def ratios(counts: dict[str, list[float]]) -> list[float]:
+    """Log-likelihood ratio of each (state, next), row by row: the sources in
+    ORDINARY against all others.  Without ordinary samples the ordinary model is
+    uniform."""
+    size = STATES * (STATES - 1)
 
     def log_model(sources: list[str]) -> list[float]:
         mixed = [SMOOTHING] * size
@@ -170,6 +201,11 @@ def train(samples: DataFrame) -> list[float]:
     return [a - b for a, b in zip(random, ordinary)]
 
 
+def train(samples: DataFrame) -> list[float]:
+    """The ratio table of labelled samples."""
+    return ratios(counted(samples))
+
+
 def likelihood_ratio(sample: Column, model: list[float]) -> Column:
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
     start = F.struct(F.lit(STATES - 1).alias("state"), F.lit(0.0).alias("sum"))
@@ -216,9 +252,14 @@ def scan(docs: DataFrame) -> DataFrame:
         written("spans").alias("spans"), of_kind("spans", 3).alias("n_random"))
 
 
-def train_on(docs: DataFrame) -> list[float]:
-    """The models' ratio table, from the corpus and generated samples."""
-    return train(corpus_samples(docs).union(generated_samples(docs.sparkSession)))
+def train_on(docs: DataFrame, text_col: str = "text") -> list[float]:
+    """The models' ratio table, from the corpus and generated samples, in two passes."""
+    keys = scratch_table(key_like(docs, text_col), "key_like")
+    found = keys.filter("base").select(F.lit("found").alias("source"), F.col("text").alias("sample"))
+    counts = counted(found.union(generated_samples(docs.sparkSession))) | counted(word_samples(docs, text_col))
+    first = ratios(counts)
+    ordinary = keys.filter(~F.col("base") & (likelihood_ratio(F.col("text"), first) < 0))
+    return ratios(counts | counted(run_samples(ordinary)))
 
 
 def redacted(df: DataFrame, model: list[float], text_col: str = "text", mark: str = "<SECRET>") -> DataFrame:

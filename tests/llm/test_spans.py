@@ -121,6 +121,19 @@ def test_random_strings_are_found_and_names_are_not(spark, small_docs):
     assert clean == {**dict(enumerate(texts)), 0: "key <SECRET> end", 1: "<SECRET>"}
 
 
+@pytest.mark.parametrize("planted", [1, 40, 800])
+def test_bare_keys_of_the_scanned_table_are_found(spark, small_docs, planted):
+    """Keys without a keyword, one or many, in the very table the models are trained on."""
+    rng = random.Random(planted)
+    keys = ["".join(rng.choices(M.SYMBOLS[:64], k=40)) for _ in range(planted)]
+    docs = small_docs.select("doc_id", "text").union(spark.createDataFrame(
+        [(10 ** 6 + i, f"please use {k} for now") for i, k in enumerate(keys)], "doc_id long, text string"))
+    random_runs = [r.doc_id for r in M.scan(docs).filter("n_random > 0").select("doc_id").collect()]
+    hexadecimal = {10 ** 6 + i for i, k in enumerate(keys) if secrets(k)}
+    assert set(random_runs) >= {10 ** 6 + i for i in range(planted)} - hexadecimal
+    assert min(random_runs) >= 10 ** 6  # none of the table's own words
+
+
 def test_redaction_merges_overlaps(spark):
     df = spark.createDataFrame([(1, 'é token = "0123456789abcdef0123" \U0001F600 tail')], "doc_id int, text string")
     model = [0.0] * (M.STATES * (M.STATES - 1))
