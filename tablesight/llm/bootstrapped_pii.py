@@ -7,8 +7,11 @@ before, the two words before, the word after.  Spark counts the graph of
 patterns and instances over all documents and scores it in ROUNDS rounds:
 
 * a pattern's confidence is the mean score of its instances (plus SMOOTHING
-  unscored ones), or 0 with fewer than MIN_SEEDS distinct seeds;
-* an instance's score is 1 for a seed, else the mean confidence of its patterns.
+  unscored ones), or 0 with fewer than MIN_SEEDS distinct seeds; an unseen
+  instance's score here is that of the other side (words before, word after), so
+  that no pattern raises itself;
+* an instance's score is 1 for a seed, else the confidence of its best pattern:
+  neither a neighbour that tells nothing nor other contexts take from it.
 
 An occurrence that no base span covers is added as kind ``context`` if one of
 its own patterns is of high confidence and its instance's score reaches ACCEPT.
@@ -165,20 +168,27 @@ def pattern_scores(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = scratch_table(
         occurrences.select("instance", "seed", F.explode("patterns").alias("pattern"))
         .groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
-    seeds = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    scores = scratch_table(seeds, "scores")
+    known = F.max(F.col("seed").cast("double")).alias("known")
+    zero = F.lit(0.0)
+    seeds = scratch_table(edges.groupBy("instance").agg(known), "seeds")
+    scores = seeds.select("instance", "known", zero.alias("before"), zero.alias("after"))
+    is_before = F.col("pattern").endswith(" _")
     for _ in range(ROUNDS):
-        total = F.sum("score") / (F.count(F.lit(1)) + SMOOTHING)
+        other_side = F.when(is_before, F.col("after")).otherwise(F.col("before"))
+        score = F.when(F.col("known") == 1.0, 1.0).otherwise(other_side)
+        total = F.sum(score) / (F.count(F.lit(1)) + SMOOTHING)
         enough = F.count(F.when(F.col("known") == 1.0, 1)) >= MIN_SEEDS
-        held = scores.join(seeds.select("instance", F.col("score").alias("known")), "instance")
         patterns = scratch_table(
-            edges.drop("seed").join(held, "instance").groupBy("pattern")
+            edges.drop("seed").join(scores, "instance").groupBy("pattern")
             .agg(F.when(enough, total).otherwise(0.0).alias("confidence"),
                  F.count(F.when(F.col("known") == 1.0, 1)).alias("seeds")), "patterns")
+        best = lambda side: F.max(F.when(side, F.col("confidence")).otherwise(0.0))
         scores = scratch_table(
-            edges.drop("seed").join(patterns, "pattern").groupBy("instance").agg(F.avg("confidence").alias("mean"))
-            .join(seeds, "instance").select(
-                "instance", F.when(F.col("score") == 1.0, 1.0).otherwise(F.col("mean")).alias("score")), "scores")
+            edges.drop("seed").join(patterns, "pattern").groupBy("instance")
+            .agg(best(is_before).alias("before"), best(~is_before).alias("after"))
+            .join(seeds, "instance").select("instance", "known", "before", "after"), "scores")
+    scores = scores.select("instance", F.when(F.col("known") == 1.0, 1.0).otherwise(
+        F.greatest("before", "after")).alias("score"))
     return patterns, scores
 
 

@@ -172,6 +172,29 @@ def test_unseen_identifiers_in_seed_contexts(spark):
     assert kind == "context" and re.fullmatch(r"\(?\d+\) 555-\d+", text[int(a):int(b)])
 
 
+def test_unseen_identifiers_with_varying_words_after(spark):
+    """One telling pattern is enough, whatever follows and wherever else the identifier occurs."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(400)]
+    number = lambda: f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+    rows = []
+    for i in range(80):
+        n = number()
+        rows.append((i, f"please call {'+1' if i % 8 else ''}{n} {rng.choice(words)} {rng.choice(words)}"))
+        rows.append((1000 + i, f"{rng.choice(words)} order {rng.randrange(10 ** 7, 10 ** 8)} {rng.choice(words)}"))
+        if i % 16 == 0:  # the same identifier in other contexts
+            rows += [(2000 + 10 * i + j, f"{rng.choice(words)} {rng.choice(words)} {n} {rng.choice(words)}") for j in range(9)]
+    got = {r.doc_id: r.n_context for r in P.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if n} == set(range(0, 80, 8))
+
+
+def test_a_weak_pattern_does_not_raise_itself(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(400)]
+    rows = [(i, f"{rng.choice(words)} of {'+1' if i % 2 else ''}(200) 555-{1000 + i} {rng.choice(words)}") for i in range(60)]
+    assert P.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_context > 0").count() == 0
+
+
 def test_long_runs_stay_linear():
     for text in ["a" * 300000 + "1@", "1" * 300000, "@" * 50000, "1." * 50000, "a@" * 50000]:
         P.analyse(text)
