@@ -11,7 +11,10 @@ diagonals (document offset minus segment offset) at most ``edits`` apart.  So:
 3. the other hits are counted in diagonal bands of width 2*BAND, one starting
    every BAND diagonals, so that any such set of diagonals lies in one band;
 4. bands with enough distinct segment offsets are verified by a banded
-   alignment, free to start and end anywhere in the region.
+   alignment, free to start and end anywhere in the region;
+5. where no segment of a longer item is found, the same bound and alignment are
+   put to every window of SEGMENT characters of the item, at any offset, so
+   that a passage between segment starts is found as well.
 
 Texts are compared in lower case with white space runs as one space.  The
 documents are scanned where they lie, with no shuffle.  The benchmark is a
@@ -89,12 +92,13 @@ class SegmentIndex:
             body = points[BAND:len(points) - BAND]
             if len(body) >= MIN_ITEM:
                 by_text.setdefault(body.tobytes(), []).append(item_id)
-        self.ids, self.segments, self.owner, self.count = [], [], [], []
+        self.ids, self.segments, self.owner, self.count, self.bodies = [], [], [], [], []
         for body, ids in by_text.items():
             points = np.frombuffer(body, np.uint32)
             last = max(0, len(points) - SEGMENT)
             starts = sorted({*range(0, last + 1, SEGMENT // 2), last})
             self.ids.append(ids)
+            self.bodies.append(points)
             self.count.append(len(starts))
             for s in starts:
                 self.segments.append(points[s:s + SEGMENT])
@@ -111,13 +115,20 @@ class SegmentIndex:
         self.first = np.append(first, len(hashes))
         self.segment_of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
         self.offset_of = np.concatenate([np.arange(len(g)) for g in grams])[order]
+        # the q-grams of longer items at their offsets in the item; segments cover an item, so keys hold them all
+        longer = [i for i, body in enumerate(self.bodies) if len(body) > SEGMENT]
+        grams = [qgram_hashes(self.bodies[i]) for i in longer]
+        slots = np.searchsorted(self.keys, np.concatenate(grams)) if grams else np.zeros(0, np.int64)
+        order = np.argsort(slots, kind="stable")
+        self.item_first = np.searchsorted(slots[order], np.arange(len(self.keys) + 1))
+        self.item_of = np.repeat(np.array(longer, np.int64), [len(g) for g in grams])[order]
+        self.item_offset_of = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, np.int64)])[order]
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[filter_slot(self.keys)] = True
 
-    def candidates(self, points: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(segment, first diagonal of the band, first and last hit) of each
-        band that reaches its segment's bound."""
-        none = (np.zeros(0, np.int64),) * 4
+    def hits(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, index in keys) of the q-grams that lie in dense stretches."""
+        none = (np.zeros(0, np.int64),) * 2
         hashes = qgram_hashes(points)
         at = np.flatnonzero(self.seen[filter_slot(hashes)])
         if not len(at):
@@ -135,20 +146,31 @@ class SegmentIndex:
         np.add.at(edge, np.flatnonzero(tight), 1)
         np.add.at(edge, np.flatnonzero(tight) + least, -1)
         dense = np.cumsum(edge[:-1]) > 0
-        at, slot = at[dense], slot[dense]
-        if not len(at):
-            return none
-        copies = self.first[slot + 1] - self.first[slot]
+        return at[dense], slot[dense]
+
+    @staticmethod
+    def banded(at: np.ndarray, slot: np.ndarray, first: np.ndarray, of: np.ndarray, offset_of: np.ndarray) -> tuple:
+        """The hits' postings in both their bands, by owner, band, offset and
+        position, with marks where a band and where an offset begins."""
+        copies = first[slot + 1] - first[slot]
         where = np.repeat(at, copies)
-        entry = np.repeat(self.first[slot], copies) + np.arange(len(where)) - np.repeat(np.cumsum(copies) - copies, copies)
-        segment, offset = self.segment_of[entry], self.offset_of[entry]
+        entry = np.repeat(first[slot], copies) + np.arange(len(where)) - np.repeat(np.cumsum(copies) - copies, copies)
+        owner, offset = of[entry], offset_of[entry]
         band = (where - offset) // BAND
-        segment, offset, where = np.tile(segment, 2), np.tile(offset, 2), np.tile(where, 2)
+        owner, offset, where = np.tile(owner, 2), np.tile(offset, 2), np.tile(where, 2)
         band = np.concatenate([band, band - 1])
-        order = np.lexsort((where, offset, band, segment))
-        segment, offset, where, band = segment[order], offset[order], where[order], band[order]
-        new_band = np.append(True, (segment[1:] != segment[:-1]) | (band[1:] != band[:-1]))
+        order = np.lexsort((where, offset, band, owner))
+        owner, offset, where, band = owner[order], offset[order], where[order], band[order]
+        new_band = np.append(True, (owner[1:] != owner[:-1]) | (band[1:] != band[:-1]))
         new_offset = new_band | np.append(True, offset[1:] != offset[:-1])
+        return owner, offset, where, band, new_band, new_offset
+
+    def candidates(self, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(segment, first diagonal of the band, first and last hit) of each
+        band that reaches its segment's bound."""
+        if not len(at):
+            return (np.zeros(0, np.int64),) * 4
+        segment, offset, where, band, new_band, new_offset = self.banded(at, slot, self.first, self.segment_of, self.offset_of)
         start = np.flatnonzero(new_band)
         shared = np.add.reduceat(new_offset.astype(np.int64), start)
         lo, hi = np.minimum.reduceat(where, start), np.maximum.reduceat(where, start) + Q
@@ -156,18 +178,56 @@ class SegmentIndex:
         start = start[enough]
         return segment[start], band[start] * BAND, lo[enough], hi[enough]
 
+    def windows(self, at: np.ndarray, slot: np.ndarray, known) -> tuple[np.ndarray, ...]:
+        """(item, offset in the item, first diagonal of the band, first and last
+        hit) of each window of SEGMENT characters whose hits in a band reach the
+        bound; ``known(position, item)`` tells bands to leave out."""
+        none = (np.zeros(0, np.int64),) * 5
+        some = self.item_first[slot + 1] > self.item_first[slot]
+        at, slot = at[some], slot[some]
+        if not len(at):
+            return none
+        item, offset, where, band, new_band, new_offset = self.banded(at, slot, self.item_first, self.item_of, self.item_offset_of)
+        needed = SEGMENT - Q + 1 - Q * (SEGMENT // EDIT_SHARE)
+        group = np.cumsum(new_band) - 1
+        first = np.flatnonzero(new_offset)  # one row per distinct offset of a band
+        if len(first) < needed:
+            return none
+        item, offset, band, group_of = item[first], offset[first], band[first], group[first]
+        last = np.append(first[1:], len(where)) - 1
+        i = np.arange(len(first) - needed + 1)
+        j = i + needed - 1
+        i = i[(group_of[i] == group_of[j]) & (offset[j] - offset[i] <= SEGMENT - Q)]
+        i = i[~known(where[first[i]], item[i])]
+        if not len(i):
+            return none
+        size = np.array([len(b) for b in self.bodies], np.int64)[item[i]]
+        low = np.maximum(offset[i + needed - 1] - (SEGMENT - Q), 0)
+        high = np.minimum(offset[i], size - SEGMENT)
+        low = np.minimum(low, high)
+        ranges = high - low + 1
+        row = np.repeat(i, ranges)
+        begin = np.repeat(low, ranges) + np.arange(len(row)) - np.repeat(np.cumsum(ranges) - ranges, ranges)
+        _, keep = np.unique(group_of[row] * (1 + int(size.max())) + begin, return_index=True)
+        row, begin = row[keep], begin[keep]
+        return item[row], begin, band[row] * BAND, where[first[row]], where[last[row + needed - 1]] + Q
+
     def edits(self, points: np.ndarray, segment: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
         """Edit distance of each segment to the nearest region in its band."""
+        return self.distances(points, self.length[segment], lambda rows: np.stack([self.segments[s] for s in segment[rows]]), diagonal)
+
+    @staticmethod
+    def distances(points: np.ndarray, lengths: np.ndarray, patterns, diagonal: np.ndarray) -> np.ndarray:
         slack = BAND
         width = 2 * BAND + 2 * slack
         padded = np.concatenate([np.zeros(width, points.dtype), points, np.zeros(width + SEGMENT, points.dtype)])
-        out = np.empty(len(segment), np.int64)
+        out = np.empty(len(lengths), np.int64)
         columns = np.arange(width)
-        for length in np.unique(self.length[segment]):
-            rows = np.flatnonzero(self.length[segment] == length)
+        for length in np.unique(lengths):
+            rows = np.flatnonzero(lengths == length)
             for i in range(0, len(rows), 4096):
                 part = rows[i:i + 4096]
-                pattern = np.stack([self.segments[s] for s in segment[part]])
+                pattern = patterns(part)
                 first = diagonal[part] - slack + width  # document position under column 0, row 0
                 cost = np.zeros((len(part), width), np.int32)
                 for r in range(length):
@@ -184,21 +244,34 @@ class SegmentIndex:
         if not self.segments:
             return result
         points, at, starts = normalized([t or "" for t in texts])
-        segment, diagonal, lo, hi = self.candidates(points)
-        if not len(segment):
-            return result
+        near = self.hits(points)
+        segment, diagonal, lo, hi = self.candidates(*near)
         edits = self.edits(points, segment, diagonal)
         good = np.flatnonzero(edits <= self.budget[segment])
-        text = np.searchsorted(starts, at[lo], "right") - 1
+
+        def text_of(position: np.ndarray) -> np.ndarray:
+            return np.searchsorted(starts, at[position], "right") - 1
+
+        text = text_of(lo)
         found: dict[tuple, list] = {}
         for g in good.tolist():
-            found.setdefault((int(text[g]), self.owner[segment[g]]), []).append(g)
-        for (t, item), hits in sorted(found.items()):
-            begin = int(at[lo[hits].min()] - starts[t])
-            end = int(at[hi[hits].max() - 1] - starts[t]) + 1
-            for item_id in self.ids[item]:
-                result[t].append((item_id, len({int(segment[h]) for h in hits}), self.count[item],
-                                  int(edits[hits].min()), begin, end))
+            found.setdefault((int(text[g]), self.owner[segment[g]]), []).append(
+                (int(segment[g]), int(edits[g]), int(lo[g]), int(hi[g])))
+        pairs = np.array(sorted(t * len(self.ids) + i for t, i in found), np.int64)
+        item, begin, diagonal, lo, hi = self.windows(*near, lambda position, i: np.isin(
+            text_of(position) * len(self.ids) + i, pairs))
+        if len(item):
+            edits = self.distances(points, np.full(len(item), SEGMENT), lambda rows: np.stack(
+                [self.bodies[i][b:b + SEGMENT] for i, b in zip(item[rows], begin[rows])]), diagonal + begin)
+            text = text_of(lo)
+            for g in np.flatnonzero(edits <= SEGMENT // EDIT_SHARE).tolist():
+                found.setdefault((int(text[g]), int(item[g])), []).append((None, int(edits[g]), int(lo[g]), int(hi[g])))
+        for (t, i), leaks in sorted(found.items()):
+            begins = int(at[min(x[2] for x in leaks)] - starts[t])
+            ends = int(at[max(x[3] for x in leaks) - 1] - starts[t]) + 1
+            matched = len({x[0] for x in leaks} - {None})
+            for item_id in self.ids[i]:
+                result[t].append((item_id, matched, self.count[i], min(x[1] for x in leaks), begins, ends))
         return result
 
 
@@ -240,7 +313,8 @@ def with_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", id_c
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item it leaks: the item's matched and total
-    segments, the fewest edits, and the region as code points of the text."""
+    segments (0 matched: a passage between segment starts), the fewest edits, and
+    the region as code points of the text."""
     leaks = with_leaks(docs.select("doc_id", "text"), benchmark, keep=["doc_id"])
     return leaks.select("doc_id", F.inline("leaks"))
 

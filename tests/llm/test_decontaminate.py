@@ -76,6 +76,25 @@ def test_edits_up_to_the_budget_are_found():
     assert got == brute(docs, items)
 
 
+def test_passages_cut_at_every_offset_are_found():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    item = " ".join(word() for _ in range(60))[:300].strip()
+    index = D.SegmentIndex([(7, item), (8, "another item of no more than one segment")])
+    for edits in (0, 4):
+        texts = []
+        for at in range(len(item) - D.SEGMENT + 1):
+            body = list(item[at:at + D.SEGMENT])
+            for _ in range(edits):
+                body[rng.randrange(1, len(body) - 1)] = "Q"
+            texts.append(f"{word()} before {''.join(body).strip()} and {word()}")
+        found = index.find(texts)
+        assert all(len(h) == 1 and h[0][0] == 7 and h[0][3] <= 8 for h in found)
+        for t, ((_, _, _, _, start, end),) in zip(texts, found):
+            assert 0 <= start < end <= len(t) and (edits or folded(t[start:end]) in item)
+        assert [index.find([t])[0] for t in texts[::20]] == found[::20]
+
+
 def test_edge_rows(spark, edge_docs, no_docs):
     bench = spark.createDataFrame([(1, EN), (2, EN), (3, None), (4, ""), (5, "short"), (None, EN.upper())], "item_id long, text string")
     rows = D.benchmark_leaks(edge_docs, bench).collect()
