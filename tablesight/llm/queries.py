@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesight.llm import (bootstrapped_pii, byte_bpe, byte_gru, classifier_chain, decontaminate,
-                            length_histogram, markov_secrets, ngram_perplexity, shuffle_shards, simhash_pivots)
+from tablesight.llm import (bootstrapped_pii, byte_bpe, byte_gru, classifier_chain, decontaminate, filter_audit,
+                            length_histogram, markov_secrets, ngram_perplexity, shuffle_shards, simhash_pivots,
+                            va_file, warc_zip)
+from tablesight.llm import sql as SQL
 from tablesight.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -64,10 +66,24 @@ def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_va_file_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.cluster_vectors(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.page_archives(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_classifier_chain, op2_byte_gru, op3_feistel_shards, op4_markov_secrets, op5_byte_bpe,
     op6_ngram_perplexity, op7_length_histogram, op8_simhash_pivots, op9_bootstrapped_pii,
-    op10_qgram_decontamination)}
+    op10_qgram_decontamination, op11_filter_interactions, op12_va_file_clusters, op13_warc_packages)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -76,4 +92,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_filter_interactions": SQL.filter_interactions(), "op12_va_file_clusters": SQL.centroid_clusters(),
+            "op13_warc_packages": SQL.page_records()}
