@@ -109,6 +109,23 @@ def nearest(cells: np.ndarray, fetch, tables, centroids: np.ndarray) -> tuple[np
     return cluster, candidates
 
 
+def assignments(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, tables, dims: int, bits: int):
+    """(batch slice, clusters, candidates, function fetching vectors) of the rows
+    of a vector file."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            column = part.column("__vector")
+            values = np.asarray(column.values)
+            first = np.asarray(column.offsets)[:-1]
+
+            def fetch(rows, values=values, first=first):
+                return values[first[rows][:, None] + np.arange(dims)].astype(np.int64)
+
+            cluster, candidates = nearest(unpack(part.column("__cells"), dims, bits), fetch, tables, centroids)
+            yield part, cluster, candidates, fetch
+
+
 class VectorFile:
     """The approximation file of one table: ``rows`` (the kept columns, ``__cells``
     packed, ``__vector`` integers), and the marks of the cells."""
@@ -166,38 +183,15 @@ class VectorFile:
         kept = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
         return source.mapInArrow(run, f"{kept}, __cells binary, __vector array<int>")
 
-    def _assigned(self, batches: Iterator[pa.RecordBatch], centroids: np.ndarray, tables):
-        """(batch slice, clusters, candidates, function fetching vectors)."""
-        dims, bits = self.dims, self.bits
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                column = part.column("__vector")
-                values = np.asarray(column.values)
-                first = np.asarray(column.offsets)[:-1]
-
-                def fetch(rows, values=values, first=first):
-                    return values[first[rows][:, None] + np.arange(dims)].astype(np.int64)
-
-                cluster, candidates = nearest(unpack(part.column("__cells"), dims, bits), fetch, tables, centroids)
-                yield part, cluster, candidates, fetch
-
-    def _worker(self, centroids: np.ndarray):
-        """Tasks carry the marks' tables and the numbers of the file, no session."""
-        bare = object.__new__(VectorFile)
-        bare.dims, bare.bits = self.dims, self.bits
-        return bare, interval_tables(self.marks, centroids)
-
     def means(self, centroids: np.ndarray) -> np.ndarray:
         """Centroids after one round: exact floor of sum / count of the members,
         componentwise; a centroid without members stays."""
-        bare, tables = self._worker(centroids)
-        dims = self.dims
+        dims, bits, tables = self.dims, self.bits, interval_tables(self.marks, centroids)
 
         def run(batches):
             sums = np.zeros((len(centroids), dims), np.int64)
             counts = np.zeros(len(centroids), np.int64)
-            for part, cluster, _, fetch in bare._assigned(batches, centroids, tables):
+            for part, cluster, _, fetch in assignments(batches, centroids, tables, dims, bits):
                 member = (cluster == np.arange(len(centroids))[:, None]).astype(np.int64)
                 sums += member @ fetch(np.arange(part.num_rows))
                 counts += member.sum(axis=1)
@@ -216,11 +210,11 @@ class VectorFile:
     def assigned(self, centroids: np.ndarray, keep: list[str]) -> DataFrame:
         """The kept columns, ``cluster``, squared ``distance``, and how many
         centroids the intervals left (``candidates``)."""
-        bare, tables = self._worker(centroids)
+        dims, bits, tables = self.dims, self.bits, interval_tables(self.marks, centroids)
         source = self.rows.select(*keep, "__cells", "__vector")
 
         def run(batches):
-            for part, cluster, candidates, fetch in bare._assigned(batches, centroids, tables):
+            for part, cluster, candidates, fetch in assignments(batches, centroids, tables, dims, bits):
                 distance = ((fetch(np.arange(part.num_rows)) - centroids[cluster]) ** 2).sum(axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in keep], pa.array(cluster, pa.int32()), pa.array(distance),
