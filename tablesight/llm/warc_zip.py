@@ -45,6 +45,8 @@ MIN_SHARED = 1000
 PACKAGE_BYTES = 256 << 20
 #: Bytes of neighbouring records that are read at once.
 RANGE_BYTES = 2 << 20
+#: Bytes that a task of the second stage reads, about.
+TASK_BYTES = 16 << 20
 WINDOW = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 STORED = 0
@@ -473,7 +475,10 @@ def read_packages(packages: DataFrame, uri_col: str = "uri", payload: bool = Tru
     found = (packages.select(F.col(uri_col).alias("uri")).filter("uri is not null").repartition("uri")
              .mapInArrow(locate, "uri string, member string, start long, length long, "
                                  "offsets array<long>, lengths array<long>"))
-    out = found.repartition("uri", "start").mapInArrow(read, RECORD_SCHEMA)
+    # the rows that name ranges are small, the ranges are not: as many tasks as the bytes ask for
+    found = scratch_table(found, "ranges")
+    total = found.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    out = found.repartition(max(1, -(-total // TASK_BYTES)), "uri", "start").mapInArrow(read, RECORD_SCHEMA)
     return out if payload else out.drop("payload")
 
 
@@ -501,7 +506,8 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, le
         ":", F.sha1("payload"), F.xxhash64("payload"), F.octet_length("payload"))))
     groups = (keyed.filter("key is not null").groupBy("key")
               .agg(F.max("id").alias("largest"), F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1"))
-    joined = hot_split_join(keyed, groups, ["key"], "n_rows", "left")
+    # written first: where few payloads are shared, the planner sees it and moves no page
+    joined = hot_split_join(keyed, scratch_table(groups, "shared"), ["key"], "n_rows", "left")
     other = F.col("largest").isNotNull() & ~F.col("id").eqNullSafe(F.col("largest"))
     name = F.concat(F.lit(PREFIX), F.coalesce(F.col("id").cast("string"), F.lit("null")))
     return joined.select(name.alias("record_id"), "url", "payload", F.when(
