@@ -7,6 +7,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,10 +65,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Paths of the scratch tables of the open scopes, the innermost last.
+_OPEN_SCOPES: list[list[str]] = []
+
+
+def own_scratch(path: str) -> None:
+    """Let the innermost open scope drop ``path`` at its end."""
+    if _OPEN_SCOPES:
+        _OPEN_SCOPES[-1].append(path)
+
+
 def scratch_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that
-    later passes neither recompute it nor depend on any one executor."""
+    later passes neither recompute it nor depend on any one executor.  Inside a
+    :func:`scratch_scope` the table lasts until the scope ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    own_scratch(path)   # before the write: a failed one leaves files too
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Own the scratch tables written inside, and drop them at the end, failed or
+    not.  Results have to be written or collected before the scope ends; frames
+    that read its tables are of no use after it.  Scopes nest; they belong to the
+    process, so runs of several threads should share one."""
+    owned: list[str] = []
+    _OPEN_SCOPES.append(owned)
+    try:
+        yield
+    finally:
+        _OPEN_SCOPES.remove(owned)
+        hadoop = spark._jsc.hadoopConfiguration()
+        for path in owned:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(hadoop).delete(at, True)

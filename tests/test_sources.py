@@ -120,3 +120,102 @@ def test_no_scratch_folder_of_one_machine_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Spark())
+
+
+def _in_small_ranges(spark, size, run):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        return run()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_inside_quotes():
+    from tablesight.sources.records import inside_quotes
+    assert inside_quotes('a,"b', ",", False) and not inside_quotes('a,"b"', ",", False)
+    assert not inside_quotes('5" pipe,x', ",", False) and inside_quotes('x,"say ""hi""', ",", False)
+    assert inside_quotes("no quote", ",", True) and not inside_quotes('end",b', ",", True)
+    assert inside_quotes('end","b', ",", True) and not inside_quotes('"",""', ",", False)
+
+
+def test_one_file_with_breaks_is_read_by_many_tasks(spark):
+    import csv
+    import io
+    import random
+
+    from tablesight.sources import records
+    rnd = random.Random(4)
+    pieces = ["plain", 'a "quoted" word', "two\nlines", '"', "x,y", "\n\n", "5\" pipe, \"", "", "é\n\"\"\n"]
+    rows = [(str(i), "".join(rnd.choices(pieces, k=rnd.randrange(4))), "z" * rnd.randrange(30)) for i in range(400)]
+    rows[200] = ("200", "long\n" * 2000, "")   # longer than several ranges
+    out = io.StringIO()
+    w = csv.writer(out, lineterminator="\n")
+    w.writerow(["id", "na\nme", "z"])
+    w.writerows(rows)
+    out.write('400,5" pipe,q\n')
+    _, p = _tmp("big.csv", out.getvalue())
+    want = sorted([(i, n or None, z or None) for i, n, z in rows] + [("400", '5" pipe', "q")])
+    for size in (700, 5000, 10 ** 8):
+        def read():
+            tasks = records.ranges(spark, [p], "\n").rdd.getNumPartitions()
+            df = R.read_delimited(spark, p, sep=",", infer_types=False)
+            return tasks, df.columns, sorted(tuple(r) for r in df.collect())
+        tasks, columns, got = _in_small_ranges(spark, size, read)
+        assert columns == ["id", "na me", "z"] and got == want
+        assert tasks > 1 or size > 5000
+
+
+def test_types_of_a_file_with_breaks(spark):
+    _, p = _tmp("t.csv", 'a,b,c,d,e,t\n1,3000000000,1.5,2024-01-02,true,"x\ny"\n2,4,,2024-01-03,FALSE,2024-01-01 10:00:00\n')
+    df = R.read_delimited(spark, p)
+    assert [f.dataType.simpleString() for f in df.schema] == ["int", "bigint", "double", "date", "boolean", "string"]
+
+
+def test_json_folder_of_mixed_documents(spark):
+    d, _ = _tmp("a.json", json.dumps({"meta": {"data": [9]}, "data": [{"a": 1, "s": "}] {\"data\": ["}, {"a": 2}], "z": [[{}]]}))
+    for name, text in (("b.json", '{"a": 7}'), ("c.json", ' [ {"a": 8, "n": {"x": "}"}} ,\n{"a": 9} ]\n'), ("d.json", "[]"),
+                       ("e.json", '{"data": []}'), ("f.json", '{"data": {"a": 1}, "a": 10}\n')):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    rows = R.read_json_table(spark, d)
+    assert sorted(r["a"] for r in rows.collect()) == [1, 2, 7, 8, 9, 10]
+    assert {r["s"] for r in rows.collect()} == {None, '}] {"data": ['}
+
+
+def test_one_large_document_is_read_by_many_tasks(spark):
+    import random
+
+    from tablesight.sources import records
+    rnd = random.Random(2)
+    texts = ["}", "{", "]", "[", '"', "\\", "data", ": [", "\n", "é", "plain words", ""]
+    items = [{"k": i, "t": "".join(rnd.choices(texts, k=6)), "n": {"l": [1, {"m": rnd.choice(texts)}]}} for i in range(300)]
+    items[100]["t"] = "}{" * 3000
+    for doc in (items, {"before": {"x": "}"}, "data": items, "after": [{"y": [1]}]}):
+        for indent in (None, 1):
+            _, p = _tmp("big.json", json.dumps(doc, indent=indent))
+            for size in (900, 10 ** 8):
+                def read():
+                    tasks = records.ranges(spark, [p], "}").rdd.getNumPartitions()
+                    return tasks, {r["k"]: r["t"] for r in R.read_json_table(spark, p).select("k", "t").collect()}
+                tasks, got = _in_small_ranges(spark, size, read)
+                assert got == {x["k"]: x["t"] for x in items} and (tasks > 1) == (size == 900)
+
+
+def test_json_that_is_no_table_is_an_error(spark):
+    import pytest
+    for text in ("[1, 2]", '[{"a": 1}, 2]', '[{"a": 1}, null]', '{"data": [{"a": 1}, 5]}', '{"a": 1', '[{"a": 1}', '[[{"a": 1}]]',
+                 '{"a": 1}]', '{"a": }'):
+        _, p = _tmp("bad.json", text)
+        with pytest.raises(Exception):
+            R.read_json_table(spark, p).collect()
+
+
+def test_undecodable_bytes_and_unknown_kinds(spark):
+    d = tempfile.mkdtemp(prefix="tablesight-src-")
+    with open(os.path.join(d, "a.txt"), "wb") as f:
+        f.write(b"caf\xe9 \xef\xbf\xbd ok\xff")
+    assert [r.text for r in R.read_documents(spark, d).collect()] == ["caf � ok"]
+    _, table = _tmp("t.dat", "a;b\n1;2\n3;4\n")
+    assert R.open_source(spark, table).columns == ["a", "b"]
+    _, prose = _tmp("t.note", "some words\nand more\n")
+    assert R.open_source(spark, prose).columns == ["path", "text"]
