@@ -12,18 +12,22 @@ from pyspark.sql import types as T
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 # The shapes of date text and how each is read.  ISO text goes
-# through Spark's own cast; a row is parsed once, by the format of its shape.
+# through Spark's own cast; a row is parsed once, by the way of its shape.
 ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?)?$"
 ZONED_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)? ?(Z|[+-]\d{2}(:?\d{2})?)$"
-DATETIME_SHAPES = [
-    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy/M/d H:mm:ss"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
-    (r"^\d{8}$", "yyyyMMdd"),
-]
+COMPACT_SHAPE = r"^(\d{4})(\d{2})(\d{2})$"
+CLOCK = r"(?:(?:,? |T)(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?) ?([AaPp][Mm])?)?"
+WEEKDAY = r"(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? )?"
+MONTH = (r"(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?"
+         r"|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\.?")
+DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
+YEAR_FIRST = rf"^(\d{{4}})([/.])(\d{{1,2}})\2(\d{{1,2}}){CLOCK}$"
+YEAR_LAST = rf"^(\d{{1,2}})([/.-])(\d{{1,2}})\2(\d{{4}}|\d{{2}}){CLOCK}$"
+MONTH_DAY = rf"(?i)^{WEEKDAY}{MONTH} {DAY},? (\d{{4}}){CLOCK}$"
+DAY_MONTH = rf"(?i)^{WEEKDAY}{DAY}[ -]{MONTH}[ -](\d{{4}}|\d{{2}}){CLOCK}$"
+MONTH_STARTS = "janfebmaraprmayjunjulaugsepoctnovdec"
+#: Two-digit years from this one on are of the last century (POSIX).
+LAST_CENTURY = 69
 
 # Spellings of infinity in number text.
 INFINITY = ("inf", "+inf", "infinity", "+infinity")
@@ -77,9 +81,50 @@ def ratio_max1(num, den) -> Column:
     return col_(num) / F.greatest(F.lit(1), col_(den))
 
 
-def parse_ts(c, dtype: T.DataType | None = None) -> Column:
+def _clock(s: Column, shape: str, hour: int) -> tuple[Column, Column]:
+    """(clock text or empty, hours to add for AM or PM) from the groups of a shape."""
+    text = F.regexp_extract(s, shape, hour)
+    half = F.lower(F.regexp_extract(s, shape, hour + 1))
+    at = F.regexp_extract(text, r"^\d+", 0).try_cast("int")
+    shift = F.when((half == "pm") & (at < 12), 12).when((half == "am") & (at == 12), -12).otherwise(0)
+    # a twelve-hour clock has no hours beyond 12
+    return F.when((half != "") & ((at > 12) | (at == 0)), F.lit("bad")).otherwise(text), shift
+
+
+def _stamp(year: Column, month: Column, day: Column, clock: Column, shift: Column) -> Column:
+    text = F.concat(year, F.lit("-"), month, F.lit("-"), day, F.when(clock != "", F.concat(F.lit(" "), clock)).otherwise(""))
+    return F.timestamp_add("HOUR", shift, text.try_cast("timestamp_ntz"))
+
+
+def _full_year(text: Column) -> Column:
+    century = F.when(text.try_cast("int") >= LAST_CENTURY, "19").otherwise("20")
+    return F.when(F.length(text) == 2, F.concat(century, text)).otherwise(text)
+
+
+def _month_number(name: Column) -> Column:
+    start = F.lower(F.substring(name, 1, 3))
+    return ((F.instr(F.lit(MONTH_STARTS), start) + 2) / 3).cast("int").cast("string")
+
+
+def day_month_votes(c) -> tuple[Column, Column]:
+    """For a vote over a column's numeric dates: whether a text can only be
+    day-first (its first number is no month), and only month-first."""
+    s = F.trim(col_(c).cast("string"))
+    first, second = (F.regexp_extract(s, YEAR_LAST, g).try_cast("int") for g in (1, 3))
+    numeric = s.rlike(YEAR_LAST) & (F.regexp_extract(s, YEAR_LAST, 2) != ".")
+    return numeric & (first > 12) & (second <= 12), numeric & (second > 12) & (first <= 12)
+
+
+def parse_ts(c, dtype: T.DataType | None = None, day_first: bool = False) -> Column:
     """Parse text to a timestamp (F10); bad values become NULL.  Timestamp and
-    date input pass through."""
+    date input pass through.
+
+    Read are ISO text (a zone is brought to UTC), ``2024/1/2``, ``1/2/2024`` and
+    ``1-2-24`` (the month first, unless ``day_first`` or no month can be), always
+    day-first ``2.1.2024``, ``20240102``, and month names as in ``Jan 5, 2024`` and
+    ``5 January 2024``; all but the compact form with an optional clock, with AM or
+    PM.
+    """
     c = col_(c)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return c
@@ -89,10 +134,25 @@ def parse_ts(c, dtype: T.DataType | None = None) -> Column:
     # wall-clock timestamps without zone, like the driver tables; text with a
     # zone is brought to UTC
     utc = F.timestamp_add("MICROSECOND", F.unix_micros(s.try_cast("timestamp")), epoch_ntz())
-    parsed = F.when(s.rlike(ISO_SHAPE), s.try_cast("timestamp_ntz")).when(s.rlike(ZONED_SHAPE), utc)
-    for shape, fmt in DATETIME_SHAPES:
-        parsed = parsed.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz"))
-    return parsed
+
+    def group(shape, i):
+        return F.regexp_extract(s, shape, i)
+
+    one, other, year = group(YEAR_LAST, 1), group(YEAR_LAST, 3), _full_year(group(YEAR_LAST, 4))
+    clock = _clock(s, YEAR_LAST, 5)
+    by_month, by_day = _stamp(year, one, other, *clock), _stamp(year, other, one, *clock)
+    dotted = group(YEAR_LAST, 2) == "."
+    numeric = F.when(dotted, by_day).otherwise(F.coalesce(by_day, by_month) if day_first else F.coalesce(by_month, by_day))
+    return (F.when(s.rlike(ISO_SHAPE), s.try_cast("timestamp_ntz"))
+            .when(s.rlike(ZONED_SHAPE), utc)
+            .when(s.rlike(YEAR_LAST), numeric)
+            .when(s.rlike(YEAR_FIRST), _stamp(group(YEAR_FIRST, 1), group(YEAR_FIRST, 3), group(YEAR_FIRST, 4),
+                                              *_clock(s, YEAR_FIRST, 5)))
+            .when(s.rlike(MONTH_DAY), _stamp(group(MONTH_DAY, 3), _month_number(group(MONTH_DAY, 1)), group(MONTH_DAY, 2),
+                                             *_clock(s, MONTH_DAY, 4)))
+            .when(s.rlike(DAY_MONTH), _stamp(_full_year(group(DAY_MONTH, 3)), _month_number(group(DAY_MONTH, 2)),
+                                             group(DAY_MONTH, 1), *_clock(s, DAY_MONTH, 4)))
+            .when(s.rlike(COMPACT_SHAPE), F.regexp_replace(s, COMPACT_SHAPE, "$1-$2-$3").try_cast("timestamp_ntz")))
 
 
 def epoch_in_range(c, unit: str) -> Column:

@@ -9,8 +9,10 @@ MLlib has no isolation forest, so the work is split the Spark way:
    tree group holds a bounded number of rows (~1.2 * max_samples), whatever the
    data size;
 3. ``groupBy(tree).applyInPandas`` grows the trees in parallel;
-4. the forest (at most ``n_trees * (2 * max_samples - 1)`` nodes) is collected
-   and broadcast, and ``mapInPandas`` scores every row in Arrow batches;
+4. the forest (at most ``n_trees * (2 * max_samples - 1)`` nodes) is collected,
+   laid out as complete binary trees of one depth (the children of node i are
+   2i + 1 and 2i + 2, leaves are repeated downwards) and broadcast; Arrow batches
+   walk each level of a tree with three look-ups for all rows;
 5. the threshold is the exact ``1 - contamination`` quantile of the scores.
 """
 
@@ -20,16 +22,19 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablesight.frames import Frames, shared
 from tablesight.functions.scalars import number_of
 from tablesight.operators.profile import _q
 from tablesight.operators.quantiles import exact_quantiles
 from tablesight.session import scratch_table
 
 EULER = 0.5772156649015329
+ROWS_AT_ONCE = 4096
 
 
 def avg_path(n: float) -> float:
@@ -41,16 +46,6 @@ def avg_path(n: float) -> float:
     return 2.0 * (math.log(n - 1) + EULER) - 2.0 * (n - 1) / n
 
 
-def _avg_path_vec(n: np.ndarray) -> np.ndarray:
-    out = np.zeros_like(n, dtype=float)
-    two = n == 2
-    big = n > 2
-    out[two] = 1.0
-    nb = n[big]
-    out[big] = 2.0 * (np.log(nb - 1) + EULER) - 2.0 * (nb - 1) / nb
-    return out
-
-
 def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
     """One isolation tree as flat arrays: feature, split, left, right, size
     (leaf when feature = -1)."""
@@ -114,7 +109,8 @@ def isolation_forest_scores(df: DataFrame, columns: list[str], key: list[str],
     """Every row of ``df`` with ``anomaly_score`` = s(x) in (0, 1]: larger is
     more anomalous."""
     spark = df.sparkSession
-    prep = _prepare(df, columns, clip)
+    # counted, sampled and scored: written once
+    prep = scratch_table(_prepare(df, columns, clip), "prepared")
     xs = [f"__x{i}" for i in range(len(columns))]
     n = prep.count()
     psi = int(min(max_samples, n))
@@ -151,43 +147,63 @@ def isolation_forest_scores(df: DataFrame, columns: list[str], key: list[str],
 
     nodes = pool.groupBy("tree").applyInPandas(build, node_schema).toPandas()
     # forest size is bounded by n_trees * (2 * psi - 1) nodes, not by the data
-    forest = []
-    for t, g in nodes.groupby("tree"):
-        g = g.sort_values("node")
-        forest.append((g["feature"].to_numpy(), g["split"].to_numpy(), g["left"].to_numpy(),
-                       g["right"].to_numpy(), g["size"].to_numpy().astype(float)))
+    forest = [complete_tree(*(g.sort_values("node")[c].to_numpy() for c in ("feature", "split", "left", "right", "size")),
+                            max_depth) for _, g in nodes.groupby("tree")]
     bc = spark.sparkContext.broadcast(forest)
     c_psi = avg_path(psi)
-    n_forest = len(forest)
 
     out_fields = [f for f in prep.schema.fields if f.name not in xs]
-    out_schema = T.StructType(out_fields + [T.StructField("anomaly_score", T.DoubleType())])
     keep = [f.name for f in out_fields]
+    out_schema = T.StructType(out_fields + [T.StructField("anomaly_score", T.DoubleType())])
 
     def score(batches):
-        trees = bc.value
-        for pdf in batches:
-            x = pdf[xs].to_numpy(dtype=float)
-            total = np.zeros(len(pdf))
-            for feat, split, left, right, size in trees:
-                cur = np.zeros(len(pdf), dtype=np.int64)
-                depth = np.zeros(len(pdf))
-                active = feat[cur] >= 0
-                while active.any():
-                    idx = np.flatnonzero(active)
-                    f = feat[cur[idx]]
-                    go_left = x[idx, f] < split[cur[idx]]
-                    cur[idx] = np.where(go_left, left[cur[idx]], right[cur[idx]])
-                    depth[idx] += 1
-                    active = feat[cur] >= 0
-                total += depth + _avg_path_vec(size[cur])
-            mean_path = total / max(1, n_forest)
-            s = np.power(2.0, -mean_path / c_psi) if c_psi > 0 else np.ones(len(pdf))
-            res = pdf[keep].copy()
-            res["anomaly_score"] = s
-            yield res
-
-    return prep.mapInPandas(score, out_schema)
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in xs])
+            mean_path = path_lengths(x, bc.value, max_depth) / max(1, len(bc.value))
+            s = np.power(2.0, -mean_path / c_psi) if c_psi > 0 else np.ones(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(s)], names=[*keep, "anomaly_score"])
+
+    return prep.select(*[F.col(_q(c)) for c in keep], *xs).mapInArrow(score, out_schema)
+
+
+def complete_tree(feature, split, left, right, size, depth: int):
+    """(features, splits, path lengths of the lowest level) of a tree made
+    complete: a leaf's place is taken by a test that always goes left, down to the
+    lowest level, where the leaf's own path length stands."""
+    n = 2 ** (depth + 1) - 1
+    features, splits, lengths = np.zeros(n, np.intp), np.full(n, np.inf), np.zeros(n)
+    todo = [(0, 0, 0)]
+    while todo:
+        node, at, level = todo.pop()
+        if feature[node] >= 0:
+            features[at], splits[at] = feature[node], split[node]
+            todo += [(left[node], 2 * at + 1, level + 1), (right[node], 2 * at + 2, level + 1)]
+            continue
+        length = level + avg_path(float(size[node]))
+        for _ in range(level, depth):
+            at = 2 * at + 1
+        lengths[at] = length
+    return features, splits, lengths
+
+
+def path_lengths(x: np.ndarray, forest: list, depth: int) -> np.ndarray:
+    """Sum of each row's path lengths over the trees.  All rows of a slice that
+    stays in the processor's cache go down a tree together."""
+    total = np.zeros(len(x))
+    width = x.shape[1]
+    for start in range(0, len(x), ROWS_AT_ONCE):
+        part = np.ascontiguousarray(x[start:start + ROWS_AT_ONCE])
+        flat, row = part.ravel(), np.arange(len(part)) * width
+        sums = total[start:start + ROWS_AT_ONCE]
+        for features, splits, lengths in forest:
+            at = np.zeros(len(part), np.intp)
+            for _ in range(depth):
+                right = flat.take(row + features.take(at)) >= splits.take(at)
+                at += at
+                at += 1
+                at += right
+            sums += lengths.take(at)
+    return total
 
 
 # Column names that identify a row in a report.
@@ -199,36 +215,69 @@ def report_keys(columns: list[str]) -> list[str]:
     return [c for c in columns if c.lower() in REPORT_KEYS] or columns[:3]
 
 
+def positions(df: DataFrame, key: list[str], found: list) -> list[int]:
+    """How many rows of ``df`` come before each of the few ``found`` rows in
+    key order.  Every row is put between two of the sorted found keys, in one
+    pass; the driver gets one count per gap."""
+    if not found:
+        return []
+    types = {c: df.schema[c].dataType for c in key}
+    form = F.struct(*[F.col(_q(c)).alias(c) for c in key])
+    ranks = df.sparkSession.createDataFrame(
+        [(i, *[r[c] for c in key]) for i, r in enumerate(found)],
+        T.StructType([T.StructField("i", T.IntegerType()), *[T.StructField(c, types[c]) for c in key]]))
+    marks = ranks.agg(F.sort_array(F.collect_list(F.struct(form.alias("k"), "i"))).alias("marks"))   # one row
+    upto = F.size(F.filter(F.transform("marks", lambda m: m["k"]), lambda k: k <= F.col("at")))
+    gaps = (df.select(form.alias("at")).crossJoin(F.broadcast(marks)).groupBy(upto.alias("gap"))
+            .agg(F.count(F.lit(1)).alias("n")).collect())
+    counts = {r["gap"]: r["n"] for r in gaps}
+    order = [m["i"] for m in marks.first()["marks"]]
+    out = [0] * len(found)
+    for place, i in enumerate(order):
+        # rows in the gaps up to this mark are before it; equal keys lie at or after it
+        out[i] = sum(counts.get(g, 0) for g in range(place + 1))
+    return out
+
+
 def anomaly(df: DataFrame, columns: list[str], key: list[str], contamination: float = 0.02,
             top: int = 50, n_trees: int = 200, max_samples: int = 256, seed: int = 42,
-            min_rows: int = 50, clip: tuple[float, float] | None = (0.01, 0.99)) -> dict[str, DataFrame]:
+            min_rows: int = 50, clip: tuple[float, float] | None = (0.01, 0.99)) -> Frames:
     """``summary`` (anomaly_fraction, anomaly_count, threshold) and
     ``top`` (T2: the ``top`` highest-scoring anomalies with their position in
     key order, their key and identifying columns, and their score relative to
-    the threshold, as the reference reports it)."""
+    the threshold, as the reference reports it), and all ``scores``.  The rows are
+    scored when the first frame is asked for."""
     spark = df.sparkSession
     n = df.count()
     if not columns or n < min_rows:
-        return {"summary": spark.createDataFrame(
-            [("skipped", "Need >=1 numeric cols and >=50 rows")], "status string, reason string")}
+        return Frames({"summary": lambda: spark.createDataFrame(
+            [("skipped", "Need >=1 numeric cols and >=50 rows")], "status string, reason string")})
     shown = [c for c in report_keys(df.columns) if c not in key]
     held = list(dict.fromkeys([*key, *columns, *shown]))
     # the scores feed the threshold, the count and the top list: score once
-    scored = scratch_table(isolation_forest_scores(
-        df.select(*held), columns, key, n_trees, max_samples, seed, clip), "anomaly")
-    thr = exact_quantiles(scored.select("anomaly_score"), ["anomaly_score"], [1 - contamination])
-    t = thr[("anomaly_score", 1 - contamination)]
-    flagged = scored.filter(F.col("anomaly_score") > F.lit(t))
-    summary = flagged.agg(F.count(F.lit(1)).alias("anomaly_count")).select(
-        (F.col("anomaly_count") / F.lit(n)).alias("anomaly_fraction"), "anomaly_count",
-        F.lit(t).alias("threshold"))
-    top_rows = (flagged.select(*key, *shown, (F.col("anomaly_score") - F.lit(t)).alias("anomaly_score"))
-                       .orderBy(F.desc("anomaly_score"), *key).limit(top))
-    # position in key order: rows before it, counted for the few rows shown
-    found = top_rows.collect()
-    at = F.struct(*[F.col(_q(c)) for c in key])
-    before = df.agg(*[F.count_if(at < F.struct(*[F.lit(r[c]).cast(df.schema[c].dataType).alias(c) for c in key]))
-                      .alias(f"b{i}") for i, r in enumerate(found)]).first() if found else ()
-    schema = T.StructType([T.StructField("row_index", T.LongType()), *top_rows.schema.fields])
-    top_rows = spark.createDataFrame([(b, *r) for b, r in zip(before, found)], schema)
-    return {"summary": summary, "top": top_rows, "scores": scored}
+    scores = shared(lambda: scratch_table(isolation_forest_scores(
+        df.select(*held), columns, key, n_trees, max_samples, seed, clip), "anomaly"))
+    limit: list[float] = []
+
+    def threshold() -> float:
+        if not limit:
+            limit.append(exact_quantiles(scores().select("anomaly_score"), ["anomaly_score"], [1 - contamination])[
+                ("anomaly_score", 1 - contamination)])
+        return limit[0]
+
+    def flagged() -> DataFrame:
+        return scores().filter(F.col("anomaly_score") > F.lit(threshold()))
+
+    def summary() -> DataFrame:
+        return flagged().agg(F.count(F.lit(1)).alias("anomaly_count")).select(
+            (F.col("anomaly_count") / F.lit(n)).alias("anomaly_fraction"), "anomaly_count",
+            F.lit(threshold()).alias("threshold"))
+
+    def top_rows() -> DataFrame:
+        best = (flagged().select(*key, *shown, (F.col("anomaly_score") - F.lit(threshold())).alias("anomaly_score"))
+                .orderBy(F.desc("anomaly_score"), *key).limit(top))
+        found = best.collect()   # at most ``top`` rows
+        schema = T.StructType([T.StructField("row_index", T.LongType()), *best.schema.fields])
+        return spark.createDataFrame([(b, *r) for b, r in zip(positions(df, key, found), found)], schema)
+
+    return Frames({"summary": summary, "top": top_rows, "scores": scores})

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesight.functions.naming import NORMALIZED, SANITIZED, clean_names
-from tablesight.functions.scalars import (EPOCH_NANOS, LAST_NANOSECOND, epoch_to_ts, nan_to_null,
-                                          number_of, parse_ts)
-from tablesight.operators.profile import (NUMERIC, TS_NAME_RE, _q, columns_of_type, constant_columns)
+from tablesight.functions.scalars import (EPOCH_NANOS, LAST_NANOSECOND, day_month_votes, epoch_to_ts,
+                                          nan_to_null, number_of, parse_ts)
+from tablesight.operators.profile import (NUMERIC, TS_NAME_RE, _q, capped_distinct, columns_of_type,
+                                          constant_columns)
 from tablesight.operators.quantiles import exact_quantiles
 
 
@@ -23,11 +24,6 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*clean_names(df.columns, NORMALIZED))
 
 
-def rename_log(df: DataFrame) -> list[str]:
-    new = clean_names(df.columns, NORMALIZED)
-    return [f"{o} -> {n}" for o, n in zip(df.columns, new)]
-
-
 def sanitize_columns(df: DataFrame) -> DataFrame:
     """Sanitised, de-duplicated names."""
     return df.toDF(*clean_names(df.columns, SANITIZED))
@@ -119,14 +115,21 @@ def model_frame(df: DataFrame, types: dict[str, list[str]], max_missing: float =
 
 def parse_datetimes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """String columns whose name looks like time and that parse at least
-    once become timestamps (bad values NULL)."""
+    once become timestamps (bad values NULL).  One aggregate decides for all
+    columns, and takes a vote in each on whether its numeric dates are day-first:
+    they are where more values can only be read so than can only be read
+    month-first.  A value that the vote makes impossible is read the other way."""
     strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     cand = columns if columns is not None else [c for c in strs if TS_NAME_RE.search(c)]
     if not cand:
         return df
-    r = df.agg(*[F.count(parse_ts(_q(c))).alias(f"p{i}") for i, c in enumerate(cand)]).first()
-    conv = {c for i, c in enumerate(cand) if r[f"p{i}"] > 0}
-    return df.select(*[parse_ts(_q(c)).alias(c) if c in conv else F.col(_q(c)) for c in df.columns])
+    aggs = []
+    for i, c in enumerate(cand):
+        day, month = day_month_votes(_q(c))
+        aggs += [F.count(parse_ts(_q(c))).alias(f"p{i}"), F.count_if(day).alias(f"d{i}"), F.count_if(month).alias(f"m{i}")]
+    r = df.agg(*aggs).first()
+    conv = {c: r[f"d{i}"] > r[f"m{i}"] for i, c in enumerate(cand) if r[f"p{i}"] > 0}
+    return df.select(*[parse_ts(_q(c), day_first=conv[c]).alias(c) if c in conv else F.col(_q(c)) for c in df.columns])
 
 
 def epoch_unit(vmin: float | None, vmax: float | None, fine: bool = False) -> str | None:
@@ -189,23 +192,14 @@ def clip_quantiles(df: DataFrame, columns: list[str] | None = None,
 
 def drop_high_cardinality(df: DataFrame, columns: list[str] | None = None,
                           limit: int = 200) -> DataFrame:
-    """Drop categorical columns with more than ``limit`` distinct values.
-    ``approx_count_distinct`` screens (relative error 5 %); exact distinct
-    runs only for columns near the threshold."""
+    """Drop categorical columns with more than ``limit`` distinct values
+    (NULL not counted), from one pass that stops collecting a column's values at
+    the limit (``profile.capped_distinct``)."""
     cols = columns if columns is not None else columns_of_type(df, "categorical")
     if not cols:
         return df
-    r = df.agg(*[F.approx_count_distinct(_q(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    drop, near = [], []
-    for i, c in enumerate(cols):
-        d = r[f"d{i}"]
-        if d > limit * 1.2:
-            drop.append(c)
-        elif d > limit * 0.8:
-            near.append(c)
-    if near:
-        e = df.agg(*[F.countDistinct(_q(c)).alias(f"e{i}") for i, c in enumerate(near)]).first()
-        drop += [c for i, c in enumerate(near) if e[f"e{i}"] > limit]
+    found = capped_distinct(df, cols, limit)
+    drop = [c for c in cols if found[c] > limit]
     return df.drop(*drop) if drop else df
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -18,7 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablesight.functions.scalars import number_of
+from tablesight.operators import kmeans
 from tablesight.operators.profile import _q
+from tablesight.operators.ordered import row_position
 from tablesight.operators.quantiles import exact_quantiles
 from tablesight.operators.topk import key_hash
 from tablesight.session import scratch_table
@@ -143,7 +144,7 @@ def classify(df: DataFrame, target: str, numeric: list[str], categorical: list[s
     train, test = (split.filter(F.col("split") == part) for part in ("train", "test"))
     # class numbers come from a table of the classes, joined to the rows
     names = split.select(F.col(_q(target)).cast("string").alias("label")).distinct()
-    classes = scratch_table(names.withColumn("__y", (F.row_number().over(W.orderBy("label")) - 1).cast("double")), "classes")
+    classes = scratch_table(row_position(names, ["label"], "__y").withColumn("__y", F.col("__y").cast("double")), "classes")
     feats = fit_features(train, numeric, categorical, max_categories)
 
     def labelled(part: DataFrame) -> DataFrame:
@@ -254,16 +255,12 @@ def regression_metrics(pred: DataFrame, n_rows: DataFrame | None = None, model:
 
 def cluster(feats: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42,
             features: str = "features") -> tuple[DataFrame, float]:
-    """M8: k-means (k-means||) restarted ``n_init`` times with different
-    seeds, keeping the lowest cost.  Returns rows with ``cluster`` and the
-    cost."""
-    best, best_cost = None, None
-    for i in range(n_init):
-        m = KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="cluster").fit(feats)
-        cost = m.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = m, cost
-    return best.transform(feats), best_cost
+    """M8: k-means (k-means||) with ``n_init`` starts, keeping the one of lowest
+    cost.  All starts share every pass over the rows (see ``kmeans``).  Returns
+    rows with ``cluster`` and the cost."""
+    rows = feats.withColumn("__v", vector_to_array(features))
+    centers, cost = kmeans.fit(rows.select("__v"), "__v", k, n_init, seed)
+    return rows.withColumn("cluster", kmeans.nearest(centers)("__v")).drop("__v"), cost
 
 
 def cluster_sizes(assigned: DataFrame) -> DataFrame:

@@ -8,14 +8,17 @@ the one-row result.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesight.functions.scalars import nan_to_null
+from tablesight.operators.gram import block_correlations
 from tablesight.operators.quantiles import exact_quantiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -205,19 +208,13 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None,
     cols = columns if columns is not None else df.columns
     fields = {f.name: f.dataType for f in df.schema.fields}
 
-    def text(c):
-        x = F.col(_q(c))
-        if isinstance(fields[c], T.BinaryType):
-            return F.hex(x)
-        return F.to_json(x) if isinstance(fields[c], (T.ArrayType, T.MapType, T.StructType)) else x.cast("string")
-
     if approx:
         one = df.agg(*[x for i, c in enumerate(cols) for x in (
             F.approx_count_distinct(_q(c)).alias(f"d{i}"), F.max(F.col(_q(c)).isNull().cast("int")).alias(f"z{i}"))])
         return _long(one, [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").cast("long").alias("distinct"),
                                     (F.col(f"d{i}") + F.coalesce(F.col(f"z{i}"), F.lit(0))).cast("long")
                                     .alias("distinct_with_null")) for i, c in enumerate(cols)])
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), text(c).alias("v"))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _as_text(F.col(_q(c)), fields[c]).alias("v"))
                                          for i, c in enumerate(cols)])).alias("x")).select("x.i", "x.v")
     per = (long.groupBy("i", "v").agg(F.lit(1).alias("one"))
            .groupBy("i").agg(F.count("v").alias("distinct"), F.sum("one").alias("distinct_with_null")))
@@ -228,6 +225,39 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None,
         F.coalesce("distinct_with_null", none).alias("distinct_with_null")))
 
 
+def capped_distinct(df: DataFrame, columns: list[str], limit: int) -> dict[str, int]:
+    """Distinct non-NULL values per column, exact up to ``limit`` and
+    ``limit + 1`` for any more.
+
+    A task keeps a set per column that stops growing beyond the limit, so no more
+    than ``limit + 1`` values of a column leave a task, whatever the column holds;
+    the sets are united by one grouped count."""
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    source = df.select(*[_as_text(F.col(_q(c)), fields[c]).alias(f"v{i}") for i, c in enumerate(columns)])
+
+    def run(batches):
+        seen: list[set] = [set() for _ in columns]
+        for batch in batches:
+            for i, held in enumerate(seen):
+                if len(held) <= limit:
+                    held.update(pa.compute.unique(batch.column(i)).drop_null().to_pylist())
+        for i, held in enumerate(seen):
+            kept = list(itertools.islice(held, limit + 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i] * len(kept), pa.int32()), pa.array(kept, pa.string())], names=["i", "v"])
+
+    values = source.mapInArrow(run, "i int, v string").distinct()
+    counts = dict(values.groupBy("i").count().collect())   # one row a column
+    return {c: min(counts.get(i, 0), limit + 1) for i, c in enumerate(columns)}
+
+
+def _as_text(x, dtype: T.DataType):
+    """A value as text that tells values apart."""
+    if isinstance(dtype, T.BinaryType):
+        return F.hex(x)
+    return F.to_json(x) if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)) else x.cast("string")
+
+
 def _comparable(f: T.StructField):
     """A column as something min and max can order."""
     c = F.col(_q(f.name))
@@ -272,8 +302,8 @@ def constant_columns_df(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(n,) for n in names], "column string")
 
 
-#: Pairs whose moments are columns of one aggregate; wider tables add a record
-#: per pair to a grouped aggregate instead.  Both read the table once.
+#: Pairs whose moments are columns of one aggregate; wider tables add up blocks of
+#: all pairs' moments in Arrow batches (``gram``).  Both scan the table once.
 WIDE_PAIRS = 512
 
 
@@ -299,14 +329,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
         one = num.agg(*[correlation(F.col(f"v{a}"), F.col(f"v{b}")).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
         return _long(one, [F.struct(F.lit(cols[a]).alias("col_a"), F.lit(cols[b]).alias("col_b"),
                                     F.col(f"c{k}").alias("corr")) for k, (a, b) in enumerate(pairs)])
-    n = len(cols)
-    firsts = F.sequence(F.lit(0), F.lit(n - 1 if with_self else n - 2))
-    rows = (df.select(F.array(*numbers).alias("v")).select("v", F.explode(firsts).alias("a"))
-            .select("v", "a", F.explode(F.sequence(F.col("a") + int(not with_self), F.lit(n - 1))).alias("b"))
-            .select("a", "b", F.get("v", F.col("a")).alias("x"), F.get("v", F.col("b")).alias("y")))
-    names = F.array(*[F.lit(c) for c in cols])
-    return (rows.groupBy("a", "b").agg(correlation(F.col("x"), F.col("y")))
-            .select(F.get(names, F.col("a")).alias("col_a"), F.get(names, F.col("b")).alias("col_b"), "corr"))
+    return block_correlations(numbers, df, cols, with_self)
 
 
 def top_correlations(df: DataFrame, k: int = 5, columns: list[str] | None = None) -> DataFrame:

@@ -19,12 +19,12 @@ from pyspark.sql import types as T
 
 from tablesight.functions.scalars import line_count
 from tablesight.functions.stop_words import ENGLISH
+from tablesight.operators.skew import hot_split_join
+from tablesight.session import scratch_table
 
-# A token is a run of two or more word characters (letters,
-# digits, underscore), lower-cased first.
-TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 WORD_RE = r"[\p{L}\p{N}_]+"
-#: The same token for Python, whose word characters are these.
+# Fixed value: a token is a run of two or more word characters (letters, digits,
+# underscore), lower-cased first.
 PY_TOKEN = r"\w{2,}"
 
 
@@ -37,21 +37,46 @@ def text_stats(df: DataFrame, text: str = "text", keys: list[str] | None = None)
                      line_count(t).alias("lines"))
 
 
-def _tokens(col):
-    return F.regexp_extract_all(F.lower(col), F.lit(TOKEN_RE), 0)
-
-
 def _idf(n: int, df: int) -> float:
     return math.log((1 + n) / (1 + df)) + 1
 
 
-def _terms(df: DataFrame, text: str) -> DataFrame:
-    """(row, term, tf) of non-stop-word terms; rows with empty text left out."""
-    stop = list(ENGLISH)
-    docs = df.select(F.col(text).alias("_t")).filter(F.length("_t") > 0).select(
-        F.monotonically_increasing_id().alias("row"), _tokens(F.col("_t")).alias("toks"))
-    return (docs.select("row", F.explode("toks").alias("term")).filter(~F.col("term").isin(stop))
-            .groupBy("row", "term").agg(F.count(F.lit(1)).alias("tf")))
+#: Characters of text whose terms are handed on at once.
+SLICE_CHARS = 1 << 20
+
+
+def term_counts(df: DataFrame, text: str) -> DataFrame:
+    """(row, term, tf) of the non-stop-word terms of every row.  A row's tokens
+    are counted where the row lies, so nothing is shuffled."""
+    stop = frozenset(ENGLISH)
+    docs = df.select(F.monotonically_increasing_id().alias("row"), F.lower(F.col(text)).alias("t"))
+
+    def run(batches):
+        find = re.compile(PY_TOKEN).findall
+
+        def block(rows, terms, tfs):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(rows, pa.int64()), pa.array(terms, pa.string()), pa.array(tfs, pa.int32())],
+                names=["row", "term", "tf"])
+
+        for batch in batches:
+            rows, terms, tfs, held = [], [], [], 0
+            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not t:
+                    continue
+                counts = Counter(find(t))
+                for w in stop & counts.keys():
+                    del counts[w]
+                rows += [row] * len(counts)
+                terms += counts
+                tfs += counts.values()
+                held += len(t)
+                if held > SLICE_CHARS:
+                    yield block(rows, terms, tfs)
+                    rows, terms, tfs, held = [], [], [], 0
+            yield block(rows, terms, tfs)
+
+    return docs.mapInArrow(run, "row long, term string, tf int")
 
 
 def top_keywords(df: DataFrame, text: str = "text", max_features: int | None = None, k: int = 25) -> DataFrame:
@@ -59,16 +84,20 @@ def top_keywords(df: DataFrame, text: str = "text", max_features: int | None = N
 
     Weight: raw count x (ln((1+N)/(1+df)) + 1), each row L2 normalised; summed
     per term.  Stop words and rows with empty text do not count.  By default
-    every term is scored: (row, term) counts meet the terms' document counts in
-    one exchange and their rows' norms in another.  With ``max_features`` the
-    vocabulary is that many terms of largest total count (ties by term): only
-    term totals are shuffled, and rows are weighed where they lie.
+    every term is scored: (row, term) counts are written once, the rows of each
+    term are counted by partial sums, and the counts come back to the terms by a
+    split join, in which the terms of most rows (nearly all occurrences of a
+    natural text) never leave their task and no term, however frequent, is one
+    task's.  With ``max_features`` the vocabulary is that many terms of largest
+    total count (ties by term): only term totals are shuffled, and rows are
+    weighed where they lie.
     """
     if max_features is not None:
         return _bounded_keywords(df, text, max_features, k)
     n_docs = df.filter(F.length(text) > 0).agg(F.count(F.lit(1)).alias("n"))
-    tf = _terms(df, text)
-    counted = tf.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("term")))
+    tf = scratch_table(term_counts(df, text), "terms")
+    terms = scratch_table(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
+    counted = hot_split_join(tf, terms, ["term"], "df")
     # the number of documents is one row
     w = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
     weighed = counted.crossJoin(F.broadcast(n_docs)).select("row", "term", w.alias("w"))
@@ -79,7 +108,7 @@ def top_keywords(df: DataFrame, text: str = "text", max_features: int | None = N
 
 
 def _bounded_keywords(df: DataFrame, text: str, max_features: int, k: int) -> DataFrame:
-    totals = _terms(df, text).groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    totals = term_counts(df, text).groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     vocab = totals.orderBy(F.desc("total"), "term").limit(max_features).collect()
     n = df.filter(F.length(text) > 0).count()
     weight = {r["term"]: _idf(n, r["df"]) for r in vocab}

@@ -108,18 +108,29 @@ FROM orders"""
 
 
 @query("p8_parse_datetimes", """
-SELECT o_orderkey, CASE o_orderkey % 7 WHEN 2 THEN day + INTERVAL '3 hours 4 minutes 5 seconds'
-         WHEN 3 THEN day + INTERVAL '25 hours 30 minutes' WHEN 5 THEN day + INTERVAL '1 hours 2 minutes 3 seconds'
-         WHEN 6 THEN NULL ELSE day END AS order_date
+SELECT o_orderkey,
+  CASE o_orderkey % 13 WHEN 2 THEN day + INTERVAL '3 hours 4 minutes 5 seconds'
+    WHEN 3 THEN day + INTERVAL '25 hours 30 minutes' WHEN 5 THEN day + INTERVAL '1 hours 2 minutes 3 seconds'
+    WHEN 6 THEN NULL WHEN 9 THEN day + INTERVAL '10 hours 11 minutes' WHEN 10 THEN day + INTERVAL '13 hours 5 minutes'
+    ELSE day END AS order_date,
+  day AS ship_date, CASE WHEN date_part('day', day) <= 12 OR o_orderkey % 2 = 0 THEN day END AS due_date
 FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS day FROM orders)""")
 def p8(spark, d):
+    """A column of many spellings, one of day-first dates (of which those after
+    the 12th show it), and one of month-first dates with every second date after
+    the 12th left out."""
     o = S.table(spark, d, "orders")
     forms = ["M/d/yyyy", "yyyy-MM-dd", "yyyy-MM-dd'T03:04:05Z'", "yyyy-MM-dd' 23:30:00-02:00'", "dd.MM.yyyy",
-             "yyyy/MM/dd' 01:02:03'"]
+             "yyyy/MM/dd' 01:02:03'", None, "MMM d, yyyy", "d MMMM yyyy", "yyyy/MM/dd' 10:11'", "M/d/yyyy' 1:05 PM'",
+             "M/d/yy", "MMMM dd yyyy"]
     text = F.lit("unknown")
     for i, form in enumerate(forms):
-        text = F.when(F.col("o_orderkey") % 7 == i, F.date_format("o_orderdate", form)).otherwise(text)
-    return C.parse_datetimes(o.select("o_orderkey", text.alias("order_date")))
+        if form:
+            text = F.when(F.col("o_orderkey") % 13 == i, F.date_format("o_orderdate", form)).otherwise(text)
+    early = (F.dayofmonth("o_orderdate") <= 12) | (F.col("o_orderkey") % 2 == 0)
+    return C.parse_datetimes(o.select(
+        "o_orderkey", text.alias("order_date"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("ship_date"),
+        F.when(early, F.date_format("o_orderdate", "MM-dd-yyyy")).alias("due_date")))
 
 
 @query("p9_parse_epoch", """

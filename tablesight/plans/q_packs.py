@@ -71,9 +71,21 @@ def q3(spark, d):
     return K.clinic_vitals(v, _map(v), order=["datetime", "event_id"])["series"]
 
 
-@query("q3_clinic_vitals_kpis", f"SELECT 1 AS vitals_columns_detected, '{K.VITALS_SENTENCE}' AS summary")
+# A vitals table with several measures, one of them under a name that is none.
+MONITOR_SQL = f"""SELECT datetime, event_id, heart_rate, heart_rate * 1.6 AS Systolic_mmHg, heart_rate AS bp_diastolic,
+  97.0 AS SpO2, heart_rate AS pulse_text FROM ({S.VITALS_GAPS_SQL}) v"""
+
+
+@query("q3_clinic_vitals_kpis", f"""
+SELECT CAST(count(*) AS INTEGER) AS vitals_columns_detected, '{K.VITALS_SENTENCE}' AS summary
+FROM (DESCRIBE {MONITOR_SQL}) c
+WHERE regexp_matches(lower(column_name), 'bp|blood_pressure|systolic|diastolic|hr|heart_rate|spo2|weight')""")
 def q3b(spark, d):
-    return K.run_pack(S.vitals_gaps(spark, d), "clinic")["kpis"]
+    v = S.vitals_gaps(spark, d)
+    hr = F.col("heart_rate")
+    monitor = v.select("datetime", "event_id", hr, (hr * 1.6).alias("Systolic_mmHg"), hr.alias("bp_diastolic"),
+                       F.lit(97.0).alias("SpO2"), hr.alias("pulse_text"))
+    return K.run_pack(monitor, "clinic")["kpis"]
 
 
 @query("q3_clinic_vitals_trends", _describe_sql(f"({S.VITALS_GAPS_SQL})", ["heart_rate"]))
