@@ -16,7 +16,8 @@ NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?)?$"
 ZONED_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)? ?(Z|[+-]\d{2}(:?\d{2})?)$"
 COMPACT_SHAPE = r"^(\d{4})(\d{2})(\d{2})$"
-CLOCK = r"(?:(?:,? |T)(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?) ?([AaPp][Mm])?)?"
+CLOCK = r"(?:(?:,? |T)(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?))?"
+HALF_DAY = r"(?i)\d ?[ap]m$"
 WEEKDAY = r"(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? )?"
 MONTH = (r"(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?"
          r"|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\.?")
@@ -25,9 +26,12 @@ YEAR_FIRST = rf"^(\d{{4}})([/.])(\d{{1,2}})\2(\d{{1,2}}){CLOCK}$"
 YEAR_LAST = rf"^(\d{{1,2}})([/.-])(\d{{1,2}})\2(\d{{4}}|\d{{2}}){CLOCK}$"
 MONTH_DAY = rf"(?i)^{WEEKDAY}{MONTH} {DAY},? (\d{{4}}){CLOCK}$"
 DAY_MONTH = rf"(?i)^{WEEKDAY}{DAY}[ -]{MONTH}[ -](\d{{4}}|\d{{2}}){CLOCK}$"
+# First or second number that is no month, and a year of two digits (those from 69
+# on are of the last century, as in POSIX).
+FIRST_NO_MONTH = r"^(?:1[3-9]|[2-9]\d)[/.-]"
+SECOND_NO_MONTH = r"^\d{1,2}[/.-](?:1[3-9]|[2-9]\d)[/.-]"
+LAST_CENTURY, THIS_CENTURY = r"^(69|[7-9]\d)-", r"^(\d\d)-"
 MONTH_STARTS = "janfebmaraprmayjunjulaugsepoctnovdec"
-#: Two-digit years from this one on are of the last century (POSIX).
-LAST_CENTURY = 69
 
 # Spellings of infinity in number text.
 INFINITY = ("inf", "+inf", "infinity", "+infinity")
@@ -81,38 +85,44 @@ def ratio_max1(num, den) -> Column:
     return col_(num) / F.greatest(F.lit(1), col_(den))
 
 
-def _clock(s: Column, shape: str, hour: int) -> tuple[Column, Column]:
-    """(clock text or empty, hours to add for AM or PM) from the groups of a shape."""
-    text = F.regexp_extract(s, shape, hour)
-    half = F.lower(F.regexp_extract(s, shape, hour + 1))
-    at = F.regexp_extract(text, r"^\d+", 0).try_cast("int")
-    shift = F.when((half == "pm") & (at < 12), 12).when((half == "am") & (at == 12), -12).otherwise(0)
-    # a twelve-hour clock has no hours beyond 12
-    return F.when((half != "") & ((at > 12) | (at == 0)), F.lit("bad")).otherwise(text), shift
+def _bound(value: Column, of) -> Column:
+    """``of(value)`` with the value computed once, however often ``of`` uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
-def _stamp(year: Column, month: Column, day: Column, clock: Column, shift: Column) -> Column:
-    text = F.concat(year, F.lit("-"), month, F.lit("-"), day, F.when(clock != "", F.concat(F.lit(" "), clock)).otherwise(""))
-    return F.timestamp_add("HOUR", shift, text.try_cast("timestamp_ntz"))
+def day_month_votes(c) -> tuple[Column, Column]:
+    """For a vote over a column's numeric dates: whether a text can only be
+    day-first (its first number is no month), and only month-first."""
+    s = F.trim(col_(c).cast("string"))
+    numeric = s.rlike(YEAR_LAST) & ~s.contains(".")
+    first, second = s.rlike(FIRST_NO_MONTH), s.rlike(SECOND_NO_MONTH)
+    return numeric & first & ~second, numeric & second & ~first
 
 
-def _full_year(text: Column) -> Column:
-    century = F.when(text.try_cast("int") >= LAST_CENTURY, "19").otherwise("20")
-    return F.when(F.length(text) == 2, F.concat(century, text)).otherwise(text)
+def _iso_text(s: Column, day_first: bool) -> Column:
+    """Date text of the known shapes as ``year-month-day clock``; others NULL."""
+    def named(shape: str, name: int, year: int, day: int, clock: int) -> Column:
+        start = F.lower(F.substring(F.regexp_extract(s, shape, name), 1, 3))
+        month = ((F.instr(F.lit(MONTH_STARTS), start) + 2) / 3).cast("int").cast("string")
+        return F.concat(F.regexp_replace(s, shape, f"${year}-"), month, F.regexp_replace(s, shape, f"-${day} ${clock}"))
 
+    by_day, by_month = (F.regexp_replace(s, YEAR_LAST, order) for order in ("$4-$3-$1 $5", "$4-$1-$3 $5"))
+    dotted, first_no_month = s.contains("."), s.rlike(FIRST_NO_MONTH)
+    as_day = (dotted | first_no_month | ~s.rlike(SECOND_NO_MONTH)) if day_first else (s.rlike(r"^\d{1,2}\.") | first_no_month)
+    text = (F.when(s.rlike(ISO_SHAPE), s)
+            .when(s.rlike(YEAR_LAST), F.when(as_day, by_day).otherwise(by_month))
+            .when(s.rlike(YEAR_FIRST), F.regexp_replace(s, YEAR_FIRST, "$1-$3-$4 $5"))
+            .when(s.rlike(MONTH_DAY), named(MONTH_DAY, 1, 3, 2, 4))
+            .when(s.rlike(DAY_MONTH), named(DAY_MONTH, 2, 3, 1, 4))
+            .when(s.rlike(COMPACT_SHAPE), F.regexp_replace(s, COMPACT_SHAPE, "$1-$2-$3")))
+    return F.regexp_replace(F.regexp_replace(text, LAST_CENTURY, "19$1-"), THIS_CENTURY, "20$1-")
 
-def _month_number(name: Column) -> Column:
-    start = F.lower(F.substring(name, 1, 3))
-    return ((F.instr(F.lit(MONTH_STARTS), start) + 2) / 3).cast("int").cast("string")
 
-
-def day_month_votes(c) -> tuple[Column, Column]:
-    """For a vote over a column's numeric dates: whether a text can only be
-    day-first (its first number is no month), and only month-first."""
-    s = F.trim(col_(c).cast("string"))
-    first, second = (F.regexp_extract(s, YEAR_LAST, g).try_cast("int") for g in (1, 3))
-    numeric = s.rlike(YEAR_LAST) & (F.regexp_extract(s, YEAR_LAST, 2) != ".")
-    return numeric & (first > 12) & (second <= 12), numeric & (second > 12) & (first <= 12)
+def _half_day(text: Column, half: Column) -> Column:
+    """A clock with AM or PM; none is beyond 12, nor 0."""
+    hour = F.regexp_extract(text, r" (\d{1,2}):", 1).try_cast("int")
+    shift = F.when((half == "pm") & (hour < 12), 12).when((half == "am") & (hour == 12), -12).otherwise(0)
+    return F.when(hour.between(1, 12), F.timestamp_add("HOUR", shift, text.try_cast("timestamp_ntz")))
 
 
 def parse_ts(c, dtype: T.DataType | None = None, day_first: bool = False) -> Column:
@@ -130,29 +140,18 @@ def parse_ts(c, dtype: T.DataType | None = None, day_first: bool = False) -> Col
         return c
     if isinstance(dtype, T.DateType):
         return c.cast("timestamp_ntz")
-    s = F.trim(c.cast("string"))
+
     # wall-clock timestamps without zone, like the driver tables; text with a
     # zone is brought to UTC
-    utc = F.timestamp_add("MICROSECOND", F.unix_micros(s.try_cast("timestamp")), epoch_ntz())
-
-    def group(shape, i):
-        return F.regexp_extract(s, shape, i)
-
-    one, other, year = group(YEAR_LAST, 1), group(YEAR_LAST, 3), _full_year(group(YEAR_LAST, 4))
-    clock = _clock(s, YEAR_LAST, 5)
-    by_month, by_day = _stamp(year, one, other, *clock), _stamp(year, other, one, *clock)
-    dotted = group(YEAR_LAST, 2) == "."
-    numeric = F.when(dotted, by_day).otherwise(F.coalesce(by_day, by_month) if day_first else F.coalesce(by_month, by_day))
-    return (F.when(s.rlike(ISO_SHAPE), s.try_cast("timestamp_ntz"))
-            .when(s.rlike(ZONED_SHAPE), utc)
-            .when(s.rlike(YEAR_LAST), numeric)
-            .when(s.rlike(YEAR_FIRST), _stamp(group(YEAR_FIRST, 1), group(YEAR_FIRST, 3), group(YEAR_FIRST, 4),
-                                              *_clock(s, YEAR_FIRST, 5)))
-            .when(s.rlike(MONTH_DAY), _stamp(group(MONTH_DAY, 3), _month_number(group(MONTH_DAY, 1)), group(MONTH_DAY, 2),
-                                             *_clock(s, MONTH_DAY, 4)))
-            .when(s.rlike(DAY_MONTH), _stamp(_full_year(group(DAY_MONTH, 3)), _month_number(group(DAY_MONTH, 2)),
-                                             group(DAY_MONTH, 1), *_clock(s, DAY_MONTH, 4)))
-            .when(s.rlike(COMPACT_SHAPE), F.regexp_replace(s, COMPACT_SHAPE, "$1-$2-$3").try_cast("timestamp_ntz")))
+    def parsed(s: Column) -> Column:
+        utc = F.timestamp_add("MICROSECOND", F.unix_micros(s.try_cast("timestamp")), epoch_ntz())
+        bare = F.rtrim(F.substring(s, F.lit(1), F.length(s) - 2))
+        half = F.lower(F.right(s, F.lit(2)))
+        return (F.when(s.rlike(ZONED_SHAPE), utc)
+                .when(s.rlike(HALF_DAY), _bound(_iso_text(bare, day_first), lambda t: _half_day(t, half)))
+                .otherwise(_iso_text(s, day_first).try_cast("timestamp_ntz")))
+
+    return _bound(F.trim(c.cast("string")), parsed)
 
 
 def epoch_in_range(c, unit: str) -> Column:
