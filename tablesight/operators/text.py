@@ -11,9 +11,10 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,42 +42,137 @@ def _idf(n: int, df: int) -> float:
     return math.log((1 + n) / (1 + df)) + 1
 
 
-#: Characters of text whose terms are handed on at once.
-SLICE_CHARS = 1 << 20
-
-
-def term_counts(df: DataFrame, text: str) -> DataFrame:
-    """(row, term, tf) of the non-stop-word terms of every row.  A row's tokens
-    are counted where the row lies, so nothing is shuffled."""
-    stop = frozenset(ENGLISH)
-    docs = df.select(F.monotonically_increasing_id().alias("row"), F.lower(F.col(text)).alias("t"))
-
+#: Characters of text that a task takes apart at once.
+SLICE_CHARS = 8 << 20
+#: Terms whose weights every task is given, and their greatest length: some twenty
+#: megabytes, and never more than a hundred.
+KNOWN_TERMS, KNOWN_CHARS = 1 << 20, 64
+# Fixed value: what separates tokens.
+SEPARATOR_RE = r"[^\p{L}\p{N}_]+"
+
+
+def _slices(batches):
+    """Record batches cut to about SLICE_CHARS of their last column (one row at least)."""
+    for batch in batches:
+        upto = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(-1)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            limit = (upto[start - 1] if start else 0) + SLICE_CHARS
+            stop = max(start + 1, int(np.searchsorted(upto, limit, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def _terms_of(texts: pa.Array, stop: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct terms, and for each row and term of it: row, term number, count)
+    of lower-case texts, stop words and single characters left out."""
+    tokens = pa.compute.split_pattern_regex(pa.compute.fill_null(texts, ""), SEPARATOR_RE)
+    coded = pa.compute.list_flatten(tokens).dictionary_encode()
+    terms = coded.dictionary
+    wanted = pa.compute.and_(pa.compute.greater(pa.compute.utf8_length(terms), 1),
+                             pa.compute.invert(pa.compute.is_in(terms, stop))).to_numpy(zero_copy_only=False)
+    code = coded.indices.to_numpy().astype(np.int64)
+    row = pa.compute.list_parent_indices(tokens).to_numpy().astype(np.int64)
+    kept = wanted[code]
+    at, count = np.unique(row[kept] * max(1, len(terms)) + code[kept], return_counts=True)
+    return terms, at // max(1, len(terms)), at % max(1, len(terms)), count
+
+
+def vocabulary(df: DataFrame, text: str) -> DataFrame:
+    """(term, total, df): occurrences and rows of every non-stop-word term, and a
+    row with a null term: how many rows have text.  Tasks count slices of rows; what
+    is shuffled is a record per slice and term."""
     def run(batches):
-        find = re.compile(PY_TOKEN).findall
-
-        def block(rows, terms, tfs):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(terms, pa.string()), pa.array(tfs, pa.int32())],
-                names=["row", "term", "tf"])
+        stop = pa.array(ENGLISH)
+        for part in _slices(batches):
+            terms, _, code, count = _terms_of(part.column(0), stop)
+            rows = np.bincount(code, minlength=len(terms))
+            total = np.bincount(code, weights=count, minlength=len(terms)).astype(np.int64)
+            there = rows > 0
+            texts = pa.compute.sum(pa.compute.greater(pa.compute.binary_length(part.column(0)), 0)).as_py() or 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([terms.filter(pa.array(there)), pa.nulls(1, pa.string())]),
+                 pa.array(np.append(total[there], 0)), pa.array(np.append(rows[there], texts))], names=["term", "total", "df"])
+
+    parts = df.select(F.lower(F.col(text)).alias("t")).mapInArrow(run, "term string, total long, df long")
+    return parts.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+
+
+class Weights:
+    """Terms with their weights, found by hash and then compared."""
+
+    def __init__(self, terms: pa.Array, weight: np.ndarray):
+        hashes = hash_array(terms.to_numpy(zero_copy_only=False), categorize=False)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.terms, self.weight = hashes[order], terms.take(pa.array(order)), weight[order]
+
+    def of(self, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, number of the term), NaN and -1 for those without one."""
+        if not len(self.hashes) or not len(terms):
+            return np.full(len(terms), np.nan), np.full(len(terms), -1)
+        hashes = hash_array(terms.to_numpy(zero_copy_only=False), categorize=False)
+        at = np.searchsorted(self.hashes, hashes)
+        number = np.full(len(terms), -1)
+        while True:   # terms of one hash lie side by side
+            at = np.minimum(at, len(self.hashes) - 1)
+            same = pa.compute.equal(self.terms.take(pa.array(at)), terms).to_numpy(zero_copy_only=False)
+            number = np.where(same & (number < 0), at, number)
+            again = (number < 0) & (self.hashes[at] == hashes) & (at + 1 < len(self.hashes))
+            if not again.any():
+                return np.where(number < 0, np.nan, self.weight[number]), number
+            at = at + again
+
+
+def _weighed(df: DataFrame, text: str, weights: Weights, others: bool) -> DataFrame:
+    """Rows weighed where they lie, as three kinds of records:
+
+    * (term, value): the scores' parts of rows whose terms all have a weight,
+      added up by slice;
+    * (row, numbers, values, square): the weighed terms of each other row, by their
+      numbers, and the sum of their squares;
+    * (row, term, tf): that row's terms without a weight.
+
+    With ``others`` false, terms without a weight do not count, and all rows are of
+    the first kind."""
+    known = df.sparkSession.sparkContext.broadcast(weights)   # bounded by KNOWN_TERMS, or by what was asked for
+    source = df.select(F.monotonically_increasing_id().alias("row"), F.lower(F.col(text)).alias("t"))
+    form = pa.schema([("row", pa.int64()), ("term", pa.string()), ("tf", pa.int64()), ("value", pa.float64()),
+                      ("numbers", pa.list_(pa.int64())), ("values", pa.list_(pa.float64()))])
+
+    def record(n, **columns):
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in form], schema=form)
 
-        for batch in batches:
-            rows, terms, tfs, held = [], [], [], 0
-            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not t:
-                    continue
-                counts = Counter(find(t))
-                for w in stop & counts.keys():
-                    del counts[w]
-                rows += [row] * len(counts)
-                terms += counts
-                tfs += counts.values()
-                held += len(t)
-                if held > SLICE_CHARS:
-                    yield block(rows, terms, tfs)
-                    rows, terms, tfs, held = [], [], [], 0
-            yield block(rows, terms, tfs)
-
-    return docs.mapInArrow(run, "row long, term string, tf int")
+    def run(batches):
+        stop = pa.array(ENGLISH)
+        for part in _slices(batches):
+            terms, row, code, count = _terms_of(part.column(1), stop)
+            each, number = known.value.of(terms)
+            w = each[code] * count
+            new = np.isnan(w)
+            if not others:
+                row, code, count, w, new = (x[~new] for x in (row, code, count, w, new))
+            square = np.bincount(row, weights=np.where(new, 0.0, w) ** 2, minlength=part.num_rows)
+            still = (np.bincount(row, weights=new, minlength=part.num_rows) > 0)[row]
+            done = ~still
+            there = np.bincount(code[done], minlength=len(terms)) > 0
+            score = np.bincount(code[done], weights=w[done] / np.sqrt(square[row[done]]), minlength=len(terms))
+            yield record(int(there.sum()), term=terms.filter(pa.array(there)), value=pa.array(score[there]))
+            if still.any():
+                ids = part.column(0)
+                rare, held = still & new, still & ~new
+                yield record(int(rare.sum()), row=ids.take(pa.array(row[rare])), term=terms.take(pa.array(code[rare])),
+                             tf=pa.array(count[rare]))
+                rows = np.unique(row[still])
+                ends = np.concatenate([[0], np.searchsorted(row[held], rows, side="right")]).astype(np.int32)
+                yield record(len(rows), row=ids.take(pa.array(rows)), value=pa.array(square[rows]),
+                             numbers=pa.ListArray.from_arrays(ends, pa.array(number[code[held]])),
+                             values=pa.ListArray.from_arrays(ends, pa.array(w[held])))
+
+    return source.mapInArrow(run, "row long, term string, tf long, value double, numbers array<long>, values array<double>")
+
+
+def _best(parts: DataFrame, k: int) -> DataFrame:
+    return parts.groupBy("term").agg(F.sum("value").alias("score")).orderBy(F.desc("score"), "term").limit(k)
 
 
 def top_keywords(df: DataFrame, text: str = "text", max_features: int | None = None, k: int = 25) -> DataFrame:
@@ -84,49 +180,43 @@ def top_keywords(df: DataFrame, text: str = "text", max_features: int | None = N
 
     Weight: raw count x (ln((1+N)/(1+df)) + 1), each row L2 normalised; summed
     per term.  Stop words and rows with empty text do not count.  By default
-    every term is scored: (row, term) counts are written once, the rows of each
-    term are counted by partial sums, and the counts come back to the terms by a
-    split join, in which the terms of most rows (nearly all occurrences of a
-    natural text) never leave their task and no term, however frequent, is one
-    task's.  With ``max_features`` the vocabulary is that many terms of largest
-    total count (ties by term): only term totals are shuffled, and rows are
-    weighed where they lie.
+    every term is scored.  The terms' row counts are partial sums.  The weights of
+    the KNOWN_TERMS most frequent terms go to every task, which finishes the rows
+    that have no others.  Of the remaining rows only the rarer terms travel one by
+    one, to meet their row counts in a split join and their rows' squares: a term
+    in every row moves nothing, and no term is one task's.  With ``max_features``
+    the vocabulary is that many terms of largest total count (ties by term), and
+    all rows are finished where they lie.
     """
+    counted = scratch_table(vocabulary(df, text), "vocabulary")
+    texts = counted.filter("term is null").select("df").first()
+    n = texts[0] if texts else 0
+    counted = counted.filter("term is not null")
     if max_features is not None:
-        return _bounded_keywords(df, text, max_features, k)
-    n_docs = df.filter(F.length(text) > 0).agg(F.count(F.lit(1)).alias("n"))
-    tf = scratch_table(term_counts(df, text), "terms")
-    terms = scratch_table(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
-    counted = hot_split_join(tf, terms, ["term"], "df")
-    # the number of documents is one row
-    w = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    weighed = counted.crossJoin(F.broadcast(n_docs)).select("row", "term", w.alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("row")))
-    scored = (weighed.select("term", (F.col("w") / norm).alias("wn"))
-              .groupBy("term").agg(F.sum("wn").alias("score")))
-    return scored.orderBy(F.desc("score"), "term").limit(k)
-
-
-def _bounded_keywords(df: DataFrame, text: str, max_features: int, k: int) -> DataFrame:
-    totals = term_counts(df, text).groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    vocab = totals.orderBy(F.desc("total"), "term").limit(max_features).collect()
-    n = df.filter(F.length(text) > 0).count()
-    weight = {r["term"]: _idf(n, r["df"]) for r in vocab}
-
-    def run(batches):
-        find = re.compile(PY_TOKEN).findall
-        for batch in batches:
-            sums: Counter = Counter()
-            for t in batch.column(0).to_pylist():
-                w = {term: c * weight[term] for term, c in Counter(find((t or "").lower())).items() if term in weight}
-                norm = math.sqrt(sum(x * x for x in w.values()))
-                for term, x in w.items():
-                    sums[term] += x / norm
-            yield pa.RecordBatch.from_pydict({"term": pa.array(list(sums), pa.string()),
-                                              "wn": pa.array(list(sums.values()), pa.float64())})
-
-    parts = df.select(F.col(text)).mapInArrow(run, "term string, wn double")
-    return parts.groupBy("term").agg(F.sum("wn").alias("score")).orderBy(F.desc("score"), "term").limit(k)
+        known = counted.orderBy(F.desc("total"), "term").limit(max_features)
+    else:
+        known = counted.filter(F.length("term") <= KNOWN_CHARS).orderBy(F.desc("df"), "term").limit(KNOWN_TERMS)
+    found = known.select("term", "df").toArrow().combine_chunks()
+    rows = found.column("df").to_numpy()
+    weights = Weights(pa.array(found.column("term").to_pylist(), pa.string()), np.log((1.0 + n) / (1 + rows)) + 1)
+    if max_features is not None or len(rows) == counted.count():   # no row has an unknown term that counts
+        return _best(_weighed(df, text, weights, others=False).select("term", "value"), k)
+    parts = scratch_table(_weighed(df, text, weights, others=True), "weighed")
+    done = parts.filter("row is null").select("term", "value")
+    rare = hot_split_join(parts.filter("tf is not null").select("row", "term", "tf"), counted.select("term", "df"), ["term"], "df")
+    rare = rare.select("row", "term", (F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)).alias("w"))
+    open_rows = parts.filter("numbers is not null").select("row", F.col("value").alias("square"), "numbers", "values")
+    norms = (rare.groupBy("row").agg(F.sum(F.col("w") * F.col("w")).alias("more")).join(open_rows, "row")
+             .select("row", F.sqrt(F.col("square") + F.col("more")).alias("norm"), "numbers", "values"))
+    norms = scratch_table(norms, "norms")
+    late = rare.join(norms.select("row", "norm"), "row").select("term", (F.col("w") / F.col("norm")).alias("value"))
+    names = df.sparkSession.createDataFrame(pa.table({"number": np.arange(len(weights.terms)), "term": weights.terms})
+                                            if len(weights.terms) else pa.table({"number": pa.array([], pa.int64()),
+                                                                                 "term": pa.array([], pa.string())}))
+    held = (norms.select("norm", F.explode(F.arrays_zip("numbers", "values")).alias("x"))
+            .groupBy(F.col("x.numbers").alias("number")).agg(F.sum(F.col("x.values") / F.col("norm")).alias("value"))
+            .join(names, "number").select("term", "value"))
+    return _best(done.unionByName(late).unionByName(held), k)
 
 
 def split_sentences(text: str) -> list[str]:

@@ -95,13 +95,28 @@ def test_hot_split_join(spark, monkeypatch):
         skew.hot_split_join(rows, few, ["k"], "n", "outer")
 
 
-def test_keywords_have_no_window_over_terms(spark):
-    df = spark.range(300).select(F.concat_ws(" ", F.lit("everywhere everywhere"), F.concat(F.lit("w"), F.col("id") % 40)).alias("text"))
-    out = X.top_keywords(df.repartition(4), k=3)
-    plan = _plan(out)
-    windows = [line for line in plan.splitlines() if "Window" in line]
-    assert windows and not [w for w in windows if "term" in w.split("windowspecdefinition")[1].split(",")[0]]
-    assert out.first()["term"] == "everywhere"
+@pytest.mark.parametrize("known", [0, 5, 10 ** 6])
+def test_keywords_however_many_terms_are_known(spark, monkeypatch, known):
+    monkeypatch.setattr(X, "KNOWN_TERMS", known)
+    monkeypatch.setattr(X, "SLICE_CHARS", 200)
+    df = spark.range(300).select(F.concat_ws(" ", F.lit("everywhere Everywhere"), F.concat(F.lit("w"), F.col("id") % 40),
+                                             F.when(F.col("id") % 50 == 0, F.repeat(F.lit("long"), 40))).alias("text"))
+    out = X.top_keywords(df.repartition(4), k=6)
+    assert "Window" not in _plan(out)
+    rows = [r.text.lower().split() for r in df.collect()]
+    n, counts = len(rows), {}
+    for words in rows:
+        for w in set(words):
+            counts[w] = counts.get(w, 0) + 1
+    want = {}
+    for words in rows:
+        w = {t: words.count(t) * (math.log((1 + n) / (1 + counts[t])) + 1) for t in set(words)}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        for t, v in w.items():
+            want[t] = want.get(t, 0) + v / norm
+    best = sorted(want.items(), key=lambda x: (-round(x[1], 9), x[0]))[:6]
+    got = [(r.term, r.score) for r in out.collect()]
+    assert [t for t, _ in got] == [t for t, _ in best] and np.allclose([v for _, v in got], [v for _, v in best])
 
 
 def test_complete_trees_give_the_trees_path_lengths():
