@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablesight.session import checkpoint_dir
+
 #: Text bytes handled at once inside one Python task, whatever the batch size:
 #: a worker's arrays are a small multiple of this.
 SLICE_BYTES = 512 << 10
@@ -24,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_uri(spark: SparkSession) -> str:
+    """The shared checkpoint folder as a URI, for readers other than Spark."""
+    base = checkpoint_dir(spark).rstrip("/")
+    return base if "://" in base else f"file://{base.removeprefix('file:')}"
+
+
 def packed(df: DataFrame, *columns: str) -> DataFrame:
     """Whole rows as one struct column ``__doc`` beside the columns an operator
     reads, so that no name of the operator's own can meet one of the rows'.

@@ -35,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesight.llm.common import slices
+from tablesight.llm.common import shared_uri, slices
 from tablesight.operators.skew import hot_split_join
-from tablesight.session import checkpoint_dir, scratch_table
+from tablesight.session import own_scratch, scratch_table
 
 #: Payloads from this size on are stored once.
 MIN_SHARED = 1000
@@ -527,8 +527,8 @@ def page_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     row.  Other columns are not read; an empty table gives no rows.
     """
     spark: SparkSession = pages.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    folder = f"{base if '://' in base else f'file://{base.removeprefix('file:')}'}/packages-{uuid.uuid4().hex}"
+    folder = f"{shared_uri(spark)}/packages-{uuid.uuid4().hex}"
+    own_scratch(folder)
     written = write_packages(with_revisits(pages, id_col, url_col, html_col), folder)
 
     def page(column: str):

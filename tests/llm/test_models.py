@@ -90,26 +90,25 @@ def test_training_ignores_the_layout_and_the_held_out_fold(small_docs):
 
 
 def plain_kneser_ney(texts):
-    """Modified Kneser-Ney by dictionaries: P(last symbol | up to three before)."""
-    table = N.symbols()
+    """Modified Kneser-Ney by dictionaries: P(last byte | up to four before)."""
     grams = Counter()
     for t in texts:
-        s = (0, 0, 0) + tuple(int(x) for x in table[np.frombuffer(t.encode(), np.uint8)])
-        grams.update(s[i - 3:i + 1] for i in range(3, len(s)))
-    counts = {4: grams}
-    for n in (3, 2, 1):
+        s = (32,) * 4 + tuple(t.encode())
+        grams.update(s[i - 4:i + 1] for i in range(4, len(s)))
+    counts = {5: grams}
+    for n in (4, 3, 2, 1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
 
     def p(gram):
         n = len(gram)
         if n == 0:
-            return 1 / 64
+            return 1 / 256
         c = counts[n]
         of = Counter(c.values())
         if of[1] and of[2]:
             y = of[1] / (of[1] + 2 * of[2])
             d = [0, 1 - 2 * y * of[2] / of[1], 2 - 3 * y * of[3] / of[2], 3 - 4 * y * of[4] / of[3] if of[3] else 1.5]
-            d = [min(max(x, 0), k) for k, x in enumerate(d)]
+            d = [0, *[min(max(x, 0.1), k) for k, x in enumerate(d) if k]]
         else:
             d = [0, 0.5, 0.75, 1.0]
         after = [v for g, v in c.items() if g[:-1] == gram[:-1]]
@@ -121,17 +120,27 @@ def plain_kneser_ney(texts):
     return p
 
 
-def test_kneser_ney_against_dictionaries(spark):
-    texts = ["the cat sat on the mat, the end.", "a cat and a hat", "thé café 12 cats"]
+@pytest.mark.parametrize("part_keys", [5, N.PART_KEYS])
+def test_kneser_ney_against_dictionaries(spark, part_keys):
+    texts = ["The cat sat on the mat, the end.", "a cat and a hat", "thé café 12 cats"]
     docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
-    keys, n = N.build_models(N.count_ngrams(docs))["en"]
-    model, p = N.KneserNey(keys, n), plain_kneser_ney(texts)
-    asked = [*N.keys_of([b"the cafe hat 9 zq!"], N.symbols())[0].tolist(), *keys.tolist()]
-    for key, got in zip(asked, model.probability(np.array(asked, np.int64))):
-        gram = tuple(key >> 6 * i & 63 for i in (3, 2, 1, 0))
-        assert got == pytest.approx(p(gram))
-    every = (int(keys[0]) >> 6 << 6) + np.arange(64)
-    assert model.probability(every).sum() == pytest.approx(1)
+    counts = N.count_ngrams(docs)
+    models, p = N.build_models(counts, part_keys), plain_kneser_ney(texts)
+    assert (models.parts > 1) == (part_keys == 5)
+    asked = np.array([*N.keys_of(["The cafe Hat 9 zq!é".encode()])[0].tolist(), *[r.key for r in counts.collect()]])
+    for key, part in zip(asked, N.part_of(asked, models.parts)):
+        model = models.part("en", int(part))
+        gram = tuple(int(key) >> 8 * i & 255 for i in range(N.ORDER - 1, -1, -1))
+        assert model.probability(np.array([key]))[0] == pytest.approx(p(gram))
+    whole = models.part("en", int(N.part_of(asked[-1:], models.parts)[0]))
+    every = (int(asked[-1]) >> 8 << 8) + np.arange(256)
+    assert whole.probability(every).sum() == pytest.approx(1)
+    lengths = np.array([len(t.encode()) for t in texts])
+    bits = models.bits("en", N.keys_of([t.encode() for t in texts])[0], lengths)
+    for t, b in zip(texts, bits):
+        grams = N.keys_of([t.encode()])[0]
+        mine = [p(tuple(int(k) >> 8 * i & 255 for i in range(N.ORDER - 1, -1, -1))) for k in grams]
+        assert b == pytest.approx(-np.log2(mine).mean())
 
 
 def plain_base(text):
@@ -161,14 +170,93 @@ def test_perplexity_query(spark, sf_small, small_docs):
         assert got.base_failed == failed
         inside = got.low_perplexity <= got.perplexity <= got.high_perplexity
         assert got.kept == (not failed and inside)
-    keys, n = N.build_models(N.count_ngrams(small_docs))["de"]
-    model = N.KneserNey(keys, n)
-    one = next(r for r in docs if r.lang == "de")
-    bits = -np.log2(model.probability(N.keys_of([one.text.encode()], N.symbols())[0].astype(np.int64))).mean()
-    assert rows[one.doc_id].perplexity == pytest.approx(2 ** bits, rel=1e-5)
     assert sum(r.kept for r in rows.values()) > 0.7 * len(rows)
 
 
+def plain_bands(values, width):
+    """(lang, class) -> (low, high) of (lang, words, bits) rows."""
+    classes = {}
+    for lang, words, bits in set(values):
+        classes.setdefault((lang, N.length_class(words)), set()).add(bits)
+    out = {}
+    for lang, c in classes:
+        mine = sorted(k for lg, k in classes if lg == lang)
+        full = [k for k in mine if len(classes[lang, k]) >= N.MIN_CLASS]
+
+        def home(k):
+            return max([x for x in full if x <= k], default=min([x for x in full if x >= k], default=-1))
+
+        held = sorted(b for k in mine if home(k) == home(c) for b in classes[lang, k])
+        mid = held[(len(held) + 1) // 2 - 1]
+        far = sorted(abs(b - mid) for b in held)
+        mad = far[(len(far) + 1) // 2 - 1]
+        half = width * 1.4826 * mad if mad else N.LEAST_WIDTH
+        out[lang, c] = (mid - half, mid + half)
+    return out
+
+
+def test_perplexity_and_bands_by_hand(spark, monkeypatch):
+    """Both models, the trimming and the bands again, in plain Python."""
+    monkeypatch.setattr(N, "MIN_CLASS", 4)
+    rng = np.random.default_rng(2)
+    words = "the cat and dog were in a house".split()
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(3, 40)))), "en") for i in range(24)]
+    rows += [(24, "ZZ&& QQ$$ " * 3, "en"), (25, rows[0][1], "en"), (26, "le chat", None), (27, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in N.quality(docs).collect()}
+    asked = [(i, t, lg or "") for i, t, lg in rows if t]
+
+    def bits_of(kept):
+        out = {}
+        for lang in {lg for *_, lg in asked}:
+            p = plain_kneser_ney([t for i, t, lg in asked if lg == lang and i in kept])
+            for i, t, lg in asked:
+                if lg == lang:
+                    grams = N.keys_of([t.encode()])[0]
+                    out[i] = float(-np.log2([p(tuple(int(k) >> 8 * j & 255 for j in range(N.ORDER - 1, -1, -1))) for k in grams]).mean())
+        return out
+
+    def limits(bits, width):
+        # equal texts have equal values up to rounding
+        b = plain_bands([(lg, len(t.split()), round(bits[i], 9)) for i, t, lg in asked], width)
+        return {i: b[lg, N.length_class(len(t.split()))] for i, t, lg in asked}
+
+    first = bits_of({i for i, *_ in asked})
+    plain = {}
+    for i, t, lg in asked:
+        n = Counter(b"".join(x.encode() for _, x, y in asked if y == lg))
+        total = sum(n.values()) + 256
+        plain[i] = float(np.mean([-np.log2((n[b] + 1) / total) for b in t.encode()]))
+    kept = set(first)
+    for values in (first, plain):
+        band = limits(values, N.TRIM)
+        kept &= {i for i in first if band[i][0] - 1e-9 <= values[i] <= band[i][1] + 1e-9}
+    second = bits_of(kept)
+    band = limits(second, N.WIDTH)
+    for i, b in second.items():
+        assert got[i].perplexity == pytest.approx(2 ** b, rel=1e-6), i
+        assert (got[i].low_perplexity, got[i].high_perplexity) == pytest.approx([2 ** x for x in band[i]], rel=1e-6)
+    assert got[27].perplexity is None and not got[27].kept and got[24].perplexity > got[24].high_perplexity
+
+
+def test_junk_that_passes_the_base_rules(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    base = [r.text for r in docs.join(labels, "doc_id").filter("quality = 1 and lang = 'en' and text is not null").orderBy("doc_id")
+            .limit(400).collect() if 100 < len(r.text.split()) < 400][:50]
+    planted = [(-1 - i, t.upper()) for i, t in enumerate(base)]
+    planted += [(-101 - i, " ".join(w + "&&&" if j % 2 else w + "$$$" for j, w in enumerate(t.split()))) for i, t in enumerate(base)]
+    rows = docs.select("doc_id", "text", "lang").unionByName(
+        spark.createDataFrame([(i, t, "en") for i, t in planted], "doc_id long, text string, lang string"))
+    out = N.quality(rows).join(labels, "doc_id", "left").filter("not base_failed").select("doc_id", "kept", "quality").collect()
+    junk = [r.kept for r in out if r.quality == 0]
+    clean = [r.kept for r in out if r.quality == 1]
+    assert junk.count(False) >= 0.5 * len(junk) and clean.count(False) <= 0.01 * len(clean)
+    for low, high in ((-100, -1), (-200, -101)):
+        mine = [r.kept for r in out if low <= r.doc_id <= high]
+        assert len(mine) == 50 and mine.count(False) >= 45
+
+
 def test_perplexity_edge_rows(edge_docs, no_docs):
     rows = N.quality(edge_docs).collect()
     assert len(rows) == edge_docs.count()
