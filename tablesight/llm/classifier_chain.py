@@ -11,10 +11,15 @@ ids hash lowest.  Spark extracts their features, counts each feature against
 each category and keeps the FEATURES that tell most (chi-square); the driver
 gets index lists of that vocabulary.  Every document is then scored whole, where
 it lies, without a shuffle.
+
+A category is learned from the documents whose own label is known: one with a
+null label for an earlier category still has that category's out-of-fold
+log-odds, and teaches the later ones.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -25,6 +30,8 @@ from pyspark.sql import types as T
 from tablesight.llm.common import map_texts
 from tablesight.session import scratch_table
 
+#: Labelled documents learned from; features kept of those in MIN_DOCS of them
+#: (None: all).
 SAMPLE, FEATURES, MIN_DOCS = 8192, 4096, 4
 PREFIXES = (4, 5, 6)
 FOLDS, STEPS, PENALTY = 4, 200, 2e-4
@@ -105,19 +112,20 @@ def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_chain(rows: list[np.ndarray], size: int, labels: np.ndarray, fold: np.ndarray) -> list[dict]:
-    """One model per column of ``labels``, in order; each reads the out-of-fold
-    log-odds of the ones before.  Its threshold comes from its own."""
+    """One model per column of ``labels`` (NaN: not known), in order; each reads the
+    out-of-fold log-odds of the ones before.  Its threshold comes from its own."""
     x = Sparse(rows, size)
     earlier = np.zeros((len(rows), 0))
     chain = []
     for c in range(labels.shape[1]):
-        y = labels[:, c].astype(float)
-        chain.append(fit(x, earlier, y, np.ones(len(rows))))
+        known = ~np.isnan(labels[:, c].astype(float))
+        y = np.where(known, labels[:, c], 0).astype(float)
+        chain.append(fit(x, earlier, y, known.astype(float)))
         unseen = np.zeros(len(rows))
         for k in range(FOLDS):
-            model = fit(x, earlier, y, (fold != k).astype(float))
+            model = fit(x, earlier, y, ((fold != k) & known).astype(float))
             unseen = np.where(fold == k, log_odds(model, x, earlier), unseen)
-        chain[-1]["threshold"] = best_threshold(unseen, y)
+        chain[-1]["threshold"] = best_threshold(unseen[known], y[known])
         earlier = np.column_stack([earlier, unseen])
     return chain
 
@@ -133,11 +141,11 @@ def predict_chain(chain: list[dict], rows: list[np.ndarray], size: int) -> np.nd
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fold, text, one 0/1 column per category) of at most SAMPLE documents.
-    Several label rows of one document count as their maximum; rows with a null
-    label or id are left out."""
+    """(id, fold, text, one 0/1 column per category, null where not known) of at
+    most SAMPLE documents.  Several label rows of one document count as their
+    maximum; rows with a null id, or without any label, are left out."""
     rows = labels.select(F.col(id_col).alias("id"), *[c.cast("int").alias(k) for k, c in categories.items()])
-    rows = rows.dropna().groupBy("id").agg(*[F.max(k).alias(k) for k in categories])
+    rows = rows.dropna(subset=["id"]).dropna(how="all", subset=list(categories)).groupBy("id").agg(*[F.max(k).alias(k) for k in categories])
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     return (texts.join(F.broadcast(picked), "id").dropDuplicates(["id"])  # at most SAMPLE ids
@@ -151,17 +159,19 @@ def telling_features(sample: DataFrame, categories: list[str]) -> list[str]:
 
     field = T.StructType([T.StructField("features", T.ArrayType(T.StringType()))])
     seen = map_texts(sample, "text", field, make, categories).select(*categories, F.explode("features").alias("feature"))
-    totals = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
-    counted = seen.groupBy("feature").agg(F.count(F.lit(1)).alias("df"), *[F.sum(c).alias(c) for c in categories])
-    n = float(totals["n"] or 0)
+    sums = [x for i, c in enumerate(categories) for x in (F.count(c).alias(f"n{i}"), F.sum(c).alias(f"s{i}"))]
+    totals = sample.agg(*sums).first()
+    counted = seen.groupBy("feature").agg(F.count(F.lit(1)).alias("df"), *sums)
     gains = [F.lit(0.0)]
-    for c in categories:
-        positive = float(totals[c] or 0)
+    for i in range(len(categories)):
+        n, positive = float(totals[f"n{i}"]), float(totals[f"s{i}"] or 0)
         if 0 < positive < n:
-            gap = F.col(c) * n - F.col("df") * positive
-            gains.append(gap * gap * n / (F.col("df") * (n - F.col("df") + 1.0) * positive * (n - positive)))
-    best = counted.filter(F.col("df") >= MIN_DOCS).withColumn("gain", F.greatest(*gains, F.lit(0.0)))
-    return [r["feature"] for r in best.orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()]
+            df, hits = F.col(f"n{i}"), F.coalesce(F.col(f"s{i}"), F.lit(0))
+            gap = hits * n - df * positive
+            gains.append(F.when(df > 0, gap * gap * n / (df * (n - df + 1.0) * positive * (n - positive))).otherwise(0.0))
+    best = counted.filter(F.col("df") >= (MIN_DOCS or 1)).withColumn("gain", F.greatest(*gains, F.lit(0.0)))
+    best = best.orderBy(F.desc("gain"), "feature")
+    return [r["feature"] for r in (best if FEATURES is None else best.limit(FEATURES)).collect()]
 
 
 def vocabulary_rows(vocabulary: dict[str, int]):
@@ -202,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]) ->
     found = map_texts(sample, "text", field, make, ["id", "fold", *names]).collect()  # at most SAMPLE rows
     found.sort(key=lambda r: r["id"])
     chain = fit_chain([np.array(r["at"], np.int64) for r in found], len(vocabulary),
-                      np.array([[r[c] for c in names] for r in found]).reshape(len(found), len(names)),
+                      np.array([[math.nan if r[c] is None else r[c] for c in names] for r in found]).reshape(len(found), len(names)),
                       np.array([r["fold"] for r in found]))
     return {"categories": names, "vocabulary": vocabulary, "chain": chain}
 
@@ -229,7 +239,13 @@ def with_categories(df: DataFrame, model: dict, text_col: str = "text", keep: li
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document the probabilities of the chain junk -> toxic, and ``toxic``:
-    whether the latter is over the threshold learned with it."""
+    whether the latter is over the threshold learned with it.
+
+    Null and empty texts have no features; texts of any length are read whole, for
+    their distinct words.  Repeated rows come back repeated; equal gains and
+    thresholds are settled by name and by the lower one.  Without labels every
+    probability is the prior's; an empty table gives no rows.
+    """
     categories = {"junk": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     model = train(docs, labels, categories)
     limit = float(probability(np.array(model["chain"][-1]["threshold"])))

@@ -309,6 +309,38 @@ def test_chain_edge_rows(spark, edge_docs, no_docs):
     assert C.toxicity(no_docs, labels).count() == 0
 
 
+def test_a_null_label_does_not_hide_the_others(spark):
+    """Documents with a null quality teach the toxic model, and no others do."""
+    words = "plain words about nothing much here today".split()
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(words, 12)) + (" vileword" if i % 5 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None if i % 5 == 0 else 1, int(i % 5 == 0)) for i in range(200)],
+                                   "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in C.toxicity(docs, labels).collect()}
+    assert all(got[i].toxic == (i % 5 == 0) for i in range(300))
+    some = labels.withColumn("toxic", F.when(F.col("doc_id") % 2 == 0, F.col("toxic")))
+    assert {r.doc_id for r in C.toxicity(docs, some).collect() if r.toxic} == {i for i in range(0, 300, 5)}
+
+
+def test_chain_scores_by_hand(spark, sf_small, small_docs, monkeypatch):
+    """Every document's probabilities from the model's weights, one by one."""
+    labels = spark.read.parquet(f"{sf_small}/labels.parquet")
+    categories = {"junk": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    model = C.train(small_docs, labels, categories)
+    rows = {r.doc_id: r for r in C.with_categories(small_docs, model, keep=["doc_id"]).collect()}
+    for d in small_docs.collect():
+        at = [model["vocabulary"][f] for f in C.features_of(d.text) if f in model["vocabulary"]]
+        odds = []
+        for link in model["chain"]:
+            z = sum(link["w"][i] for i in at) + sum(v * o for v, o in zip(link["v"], odds)) + link["bias"]
+            odds.append(min(max(z, -30), 30))
+        want = [1 / (1 + math.exp(-z)) for z in odds]
+        assert [rows[d.doc_id].p_junk, rows[d.doc_id].p_toxic] == pytest.approx(want, abs=1e-9)
+    monkeypatch.setattr(C, "FEATURES", None)
+    assert len(C.train(small_docs, labels, categories)["vocabulary"]) >= len(model["vocabulary"])
+
+
 def test_threshold():
     assert C.best_threshold(np.array([3.0, 1.0, -1.0, -2.0]), np.array([1.0, 1.0, 0.0, 0.0])) == 0.0
     assert C.best_threshold(np.array([1.0, 2.0]), np.zeros(2)) == 0.0
