@@ -263,6 +263,7 @@ def written(df: DataFrame, label: str) -> str:
 def build_models(counts: DataFrame, part_keys: int = PART_KEYS) -> Models:
     """Models from (lang, key, n).  A part takes a task; its n-grams, and 65,792 of
     the two lowest orders at most, are its rows."""
+    counts = scratch_table(counts, "counts")   # each lower order comes from the one above: count once
     grams = scratch_table(ngrams_of_all_orders(counts), "ngrams")
     most = (grams.filter(F.col("length") == ORDER).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
             .agg(F.max("n")).first()[0])
