@@ -4,17 +4,22 @@ Seeds are the entities that the base patterns find (email, ip, card, phone).
 Every identifier-like run of a text (an ``@``, or MIN_DIGITS digits), seed or
 not, is an instance; the words around it are its lexical patterns: the word
 before, the two words before, the word after.  Spark counts the graph of
-patterns and instances over all documents and scores it in ROUNDS rounds:
-
-* a pattern's confidence is the mean score of its instances (plus SMOOTHING
-  unscored ones), or 0 with fewer than MIN_SEEDS distinct seeds; an unseen
-  instance's score here is that of the other side (words before, word after), so
-  that no pattern raises itself;
-* an instance's score is 1 for a seed, else the confidence of its best pattern:
-  neither a neighbour that tells nothing nor other contexts take from it.
-
-An occurrence that no base span covers is added as kind ``context`` if one of
-its own patterns is of high confidence and its instance's score reaches ACCEPT.
+patterns and instances over all documents and scores it in ROUNDS rounds, for
+each kind by itself:
+
+* a pattern's share of a kind is the summed score of its distinct instances over
+  their number plus SMOOTHING.  Its confidence is what the share has over the
+  kind's base rate (the kind's part of all distinct instances), as a part of what
+  it could have, times its support: the logarithm of its seeds of that kind, 1
+  from FULL_SUPPORT seeds on, 0 below MIN_SEEDS.  So a word that stands before
+  anything tells nothing, however many seeds it has;
+* an instance's score is 1 for a seed of the kind, 0 for a seed of other kinds,
+  else the confidence of its best pattern on the other side (words before, word
+  after), so that no pattern raises itself.
+
+An occurrence that no base span covers is added as ``context_<kind>`` where its
+own best pattern on either side, as independent evidence (1 - (1 - b)(1 - a)),
+reaches ACCEPT; of several kinds the surest, then the first listed.
 
 The texts are read once; the graph has one row per distinct (pattern, instance).
 """
@@ -35,7 +40,8 @@ from tablesight.session import scratch_table
 # The base kinds in order, their patterns and their limits.  An
 # email is searched from its ``@`` outward and an ip from the start of a run of
 # digits, so that long runs cost no more than their length.
-KINDS = ("email", "ip", "card", "phone", "context")
+KINDS = ("email", "ip", "card", "phone")
+NAMES = (*KINDS, *(f"context_{k}" for k in KINDS))
 LOCAL, DOMAIN = frozenset(string.ascii_letters + string.digits + "._%+-"), re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 CARD = r"[0-9]([\x20-]?[0-9])+"
@@ -45,15 +51,16 @@ CARD_DIGITS, PHONE_DIGITS = (14, 19), (10, 15)
 #: Identifier-like runs: key-like characters with digits, and digit groups after them.
 RUN = r"(?<![A-Za-z0-9._%+()@-])[A-Za-z._%+()-]*+[0-9@][A-Za-z0-9._%+()@-]*+(?:\x20[(0-9][0-9().-]*+)*+"
 MIN_DIGITS = 6
-#: Characters on either side in which context words are looked for.
+#: Characters on either side in which context words are looked for; a word that
+#: reaches beyond them is no pattern.
 CONTEXT = 64
-ROUNDS, SMOOTHING, MIN_SEEDS = 3, 2.0, 5
-HIGH, ACCEPT = 0.8, 0.8
+ROUNDS, SMOOTHING, MIN_SEEDS, FULL_SUPPORT = 3, 2.0, 5, 32
+ACCEPT = 0.6
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()),
                      T.StructField("end", T.LongType())])
 INSTANCE = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
-                         T.StructField("instance", T.LongType()), T.StructField("seed", T.BooleanType()),
+                         T.StructField("instance", T.LongType()), T.StructField("kinds", T.IntegerType()),
                          T.StructField("patterns", T.ArrayType(T.StringType()))])
 
 
@@ -108,15 +115,20 @@ def plain(word: str) -> str:
 
 
 def patterns_of(text: str, start: int, end: int) -> list[str]:
-    before = [plain(w) for w in text[max(0, start - CONTEXT):start].split()[-2:]]
-    after = [plain(w) for w in text[end:end + CONTEXT].split()[:1]]
+    first, last = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
+    before, after = text[first:start].split(), text[end:last].split()
+    if before and first and not (text[first - 1].isspace() or text[first].isspace()):
+        before = before[1:]  # its beginning lies outside
+    if len(after) == 1 and last < len(text) and not (text[last - 1].isspace() or text[last].isspace()):
+        after = []
+    before = [plain(w) for w in before[-2:]]
     out = []
     if before:
         out.append(f"{before[-1]} _")
     if len(before) == 2:
         out.append(f"{before[0]} {before[1]} _")
     if after:
-        out.append(f"_ {after[0]}")
+        out.append(f"_ {plain(after[0])}")
     return out
 
 
@@ -125,11 +137,12 @@ def instance_key(s: str) -> int:
 
 
 def analyse(text: str | None) -> tuple[list, list]:
-    """The base spans of a text, and all its instances with their patterns."""
+    """The base spans of a text, and all its instances (start, end, key, bit of
+    the seed's kind, patterns)."""
     if not text or not re.search("[0-9@]", text):
         return [], []
     base = base_spans(text)
-    found = [(a, b, True) for a, _, b in base]
+    found = [(a, b, 1 << k) for a, k, b in base]
     covered = 0
     ends = sorted((a, b) for a, _, b in base)
     for m in re.finditer(RUN, text):
@@ -145,8 +158,8 @@ def analyse(text: str | None) -> tuple[list, list]:
             covered += 1
         if any(x < b and y > a for x, y in ends[covered:covered + 8]):
             continue
-        found.append((a, b, False))
-    return base, [(a, b, instance_key(text[a:b]), seed, patterns_of(text, a, b)) for a, b, seed in found]
+        found.append((a, b, 0))
+    return base, [(a, b, instance_key(text[a:b]), kinds, patterns_of(text, a, b)) for a, b, kinds in found]
 
 
 def with_instances(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -154,7 +167,7 @@ def with_instances(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
         def work(texts):
             rows = [analyse(t) for t in texts]
             return [[[dict(zip(("start", "kind", "end"), s)) for s in base] for base, _ in rows],
-                    [[dict(zip(("start", "end", "instance", "seed", "patterns"), o)) for o in found] for _, found in rows]]
+                    [[dict(zip(("start", "end", "instance", "kinds", "patterns"), o)) for o in found] for _, found in rows]]
         return work
 
     fields = T.StructType([T.StructField("base_spans", T.ArrayType(SPAN)),
@@ -162,34 +175,57 @@ def with_instances(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return map_texts(df, text_col, fields, make, keep)
 
 
-def pattern_scores(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pattern, confidence, seeds) and (instance, score) from occurrences with
-    columns instance, seed and patterns."""
+def each_kind(make) -> list[F.Column]:
+    return [make(k) for k in range(len(KINDS))]
+
+
+def sides() -> list[F.Column]:
+    """A group's best confidence of each kind among patterns before (b) and after (a)."""
+    before = F.col("pattern").endswith(" _")
+    best = lambda side, k: F.max(F.when(side, F.col(f"c{k}")).otherwise(0.0))
+    return each_kind(lambda k: best(before, k).alias(f"b{k}")) + each_kind(lambda k: best(~before, k).alias(f"a{k}"))
+
+
+def pattern_scores(occurrences: DataFrame) -> DataFrame:
+    """(pattern, c0, c1, ...): each pattern's confidence of each kind, from
+    occurrences with columns instance, kinds (bits; 0 for no seed) and patterns."""
     edges = scratch_table(
-        occurrences.select("instance", "seed", F.explode("patterns").alias("pattern"))
-        .groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
-    known = F.max(F.col("seed").cast("double")).alias("known")
-    zero = F.lit(0.0)
-    seeds = scratch_table(edges.groupBy("instance").agg(known), "seeds")
-    scores = seeds.select("instance", "known", zero.alias("before"), zero.alias("after"))
-    is_before = F.col("pattern").endswith(" _")
-    for _ in range(ROUNDS):
-        other_side = F.when(is_before, F.col("after")).otherwise(F.col("before"))
-        score = F.when(F.col("known") == 1.0, 1.0).otherwise(other_side)
-        total = F.sum(score) / (F.count(F.lit(1)) + SMOOTHING)
-        enough = F.count(F.when(F.col("known") == 1.0, 1)) >= MIN_SEEDS
-        patterns = scratch_table(
-            edges.drop("seed").join(scores, "instance").groupBy("pattern")
-            .agg(F.when(enough, total).otherwise(0.0).alias("confidence"),
-                 F.count(F.when(F.col("known") == 1.0, 1)).alias("seeds")), "patterns")
-        best = lambda side: F.max(F.when(side, F.col("confidence")).otherwise(0.0))
-        scores = scratch_table(
-            edges.drop("seed").join(patterns, "pattern").groupBy("instance")
-            .agg(best(is_before).alias("before"), best(~is_before).alias("after"))
-            .join(seeds, "instance").select("instance", "known", "before", "after"), "scores")
-    scores = scores.select("instance", F.when(F.col("known") == 1.0, 1.0).otherwise(
-        F.greatest("before", "after")).alias("score"))
-    return patterns, scores
+        occurrences.select("instance", "kinds", F.explode("patterns").alias("pattern"))
+        .groupBy("pattern", "instance").agg(F.bit_or("kinds").alias("kinds")), "graph")
+    instances = scratch_table(edges.groupBy("instance").agg(F.bit_or("kinds").alias("kinds")), "seeds")
+    edges = edges.drop("kinds")
+    is_kind = lambda k: F.col("kinds").bitwiseAND(1 << k) != 0
+    counts = instances.agg(F.count(F.lit(1)).alias("n"), *each_kind(lambda k: F.count_if(is_kind(k)).alias(f"n{k}"))).first()
+    base = [counts[f"n{k}"] / max(1, counts["n"]) for k in range(len(KINDS))]
+    scores = instances.select("*", *[F.lit(0.0).alias(f"{side}{k}") for side in "ba" for k in range(len(KINDS))])
+
+    def confidence(k):
+        other_side = F.when(F.col("pattern").endswith(" _"), F.col(f"a{k}")).otherwise(F.col(f"b{k}"))
+        score = F.when(is_kind(k), 1.0).when(F.col("kinds") != 0, 0.0).otherwise(other_side)
+        share = F.sum(score) / (F.count(F.lit(1)) + SMOOTHING)
+        lift = (share - base[k]) / max(1 - base[k], 1e-9)
+        seeds = F.count_if(is_kind(k))
+        support = F.least(F.lit(1.0), F.log2(seeds + F.lit(1.0)) / F.log2(F.lit(FULL_SUPPORT + 1.0)))
+        return F.when(seeds >= MIN_SEEDS, F.greatest(F.lit(0.0), lift) * support).otherwise(0.0).alias(f"c{k}")
+
+    for i in range(ROUNDS):
+        patterns = scratch_table(edges.join(scores, "instance").groupBy("pattern").agg(*each_kind(confidence)), "patterns")
+        if i < ROUNDS - 1:
+            scores = scratch_table(
+                edges.join(patterns, "pattern").groupBy("instance").agg(*sides()).join(instances, "instance"), "scores")
+    return patterns
+
+
+def discovered(seen: DataFrame, patterns: DataFrame, row: str) -> DataFrame:
+    """(row, start, end, kind): the unseen occurrences whose patterns show a kind."""
+    telling = patterns.filter(F.greatest(*each_kind(lambda k: F.col(f"c{k}"))) > 0)
+    evidence = lambda k: 1 - (1 - F.col(f"b{k}")) * (1 - F.col(f"a{k}"))
+    found = (seen.filter("kinds = 0").select(row, "start", "end", F.explode("patterns").alias("pattern"))
+             .join(telling, "pattern").groupBy(row, "start", "end").agg(*sides())
+             .select(row, "start", "end", F.array(*each_kind(evidence)).alias("evidence"))
+             .withColumn("best", F.array_max("evidence")))
+    return found.filter(F.col("best") >= ACCEPT).select(
+        row, "start", "end", (F.array_position("evidence", F.col("best")) - 1 + len(KINDS)).cast("int").alias("kind"))
 
 
 def with_personal_data(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -206,14 +242,8 @@ def with_personal_data(df: DataFrame, text_col: str = "text", keep: list[str] |
     found = with_instances(rows, text_col, ["__doc"]).withColumn(row, F.monotonically_increasing_id())
     found = scratch_table(found, "instances")  # fixes the row numbers
     seen = found.select(row, F.explode("instances").alias("o")).select(row, "o.*")
-    patterns, scores = pattern_scores(seen)
-    high = patterns.filter(F.col("confidence") >= HIGH).select("pattern")
-    accepted = scores.filter(F.col("score") >= ACCEPT).select("instance")
-    new = (seen.filter("not seed").join(accepted, "instance", "left_semi")
-           .select(row, "start", "end", F.explode("patterns").alias("pattern"))
-           .join(high, "pattern", "left_semi").select(row, "start", "end").distinct()
-           .groupBy(row).agg(F.collect_list(F.struct(  # at most the runs of one text
-               "start", F.lit(len(KINDS) - 1).alias("kind"), "end")).alias("__new")))
+    new = (discovered(seen, pattern_scores(seen), row)
+           .groupBy(row).agg(F.collect_list(F.struct("start", "kind", "end")).alias("__new")))  # at most the runs of one text
     none = F.array().cast(T.ArrayType(SPAN))
     return found.join(new, row, "left").select(
         *[F.col("__doc").getField(c).alias(c) for c in kept], "base_spans", F.array_sort(F.concat("base_spans", F.coalesce("__new", none))).alias("spans"))
@@ -221,7 +251,7 @@ def with_personal_data(df: DataFrame, text_col: str = "text", keep: list[str] |
 
 def written(spans_col: str) -> F.Column:
     """kind:start:end of each span, joined by commas."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in NAMES])
     return F.array_join(F.transform(spans_col, lambda s: F.concat_ws(
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -231,6 +261,7 @@ def scan(docs: DataFrame) -> DataFrame:
     found = with_personal_data(docs.select("doc_id", "text"), keep=["doc_id"])
     of_kind = lambda c, k: F.size(F.filter(c, lambda s: s["kind"] == k)).cast("long")
     return found.select(
-        "doc_id", *[of_kind("base_spans", i).alias(f"n_{k}") for i, k in enumerate(KINDS[:-1])],
+        "doc_id", *[of_kind("base_spans", i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.sha2(written("base_spans").cast("binary"), 256).alias("base_sha256"),
-        written("spans").alias("spans"), of_kind("spans", len(KINDS) - 1).alias("n_context"))
+        written("spans").alias("spans"),
+        F.size(F.filter("spans", lambda s: s["kind"] >= len(KINDS))).cast("long").alias("n_context"))
