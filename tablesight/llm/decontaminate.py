@@ -14,7 +14,13 @@ diagonals (document offset minus segment offset) at most ``edits`` apart.  So:
    alignment, free to start and end anywhere in the region;
 5. where no segment of a longer item is found, the same bound and alignment are
    put to every window of SEGMENT characters of the item, at any offset, so
-   that a passage between segment starts is found as well.
+   that a passage between segment starts is found as well;
+6. a passage too short for that counts if PASSAGE characters of it are verbatim:
+   the bound of no edits, all their q-grams in a row on one diagonal.
+
+Items under MIN_ITEM characters have an index of their own, as their bounds are
+low: the edits of such an item are as above where its bound is positive, else
+none.  An item of fewer than Q characters leaks only where it is the whole text.
 
 Texts are compared in lower case with white space runs as one space.  The
 documents are scanned where they lie, with no shuffle.  The benchmark is a
@@ -33,7 +39,9 @@ from tablesight.llm.common import map_texts, passed_columns, unused
 
 Q, SEGMENT, EDIT_SHARE = 8, 96, 12
 BAND = 16  # over the largest edit budget, SEGMENT // EDIT_SHARE
-#: Items shorter than this (after normalising) are too short to call a leak.
+#: Least verbatim passage of a longer item that is a leak, in normalised characters.
+PASSAGE = 40
+#: Items shorter than this (after normalising) are searched by an index of their own.
 MIN_ITEM = 32
 BLOCK_CHARS = 1 << 20
 FILTER_BITS = 22
@@ -90,11 +98,15 @@ class SegmentIndex:
         for item_id, text in items:
             points, _, _ = normalized([text.strip()])
             body = points[BAND:len(points) - BAND]
-            if len(body) >= MIN_ITEM:
+            if len(body):
                 by_text.setdefault(body.tobytes(), []).append(item_id)
         self.ids, self.segments, self.owner, self.count, self.bodies = [], [], [], [], []
+        self.whole: dict[bytes, list] = {}  # items without a q-gram
         for body, ids in by_text.items():
             points = np.frombuffer(body, np.uint32)
+            if len(points) < Q:
+                self.whole[body] = ids
+                continue
             last = max(0, len(points) - SEGMENT)
             starts = sorted({*range(0, last + 1, SEGMENT // 2), last})
             self.ids.append(ids)
@@ -105,6 +117,7 @@ class SegmentIndex:
                 self.owner.append(len(self.ids) - 1)
         self.length = np.array([len(s) for s in self.segments], np.int64)
         self.budget = self.length // EDIT_SHARE
+        self.budget[self.length - Q + 1 <= Q * self.budget] = 0
         self.needed = self.length - Q + 1 - Q * self.budget
         grams = [qgram_hashes(s) for s in self.segments]
         if not grams:
@@ -116,7 +129,7 @@ class SegmentIndex:
         self.segment_of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
         self.offset_of = np.concatenate([np.arange(len(g)) for g in grams])[order]
         # the q-grams of longer items at their offsets in the item; segments cover an item, so keys hold them all
-        longer = [i for i, body in enumerate(self.bodies) if len(body) > SEGMENT]
+        longer = [i for i, body in enumerate(self.bodies) if len(body) > PASSAGE]
         grams = [qgram_hashes(self.bodies[i]) for i in longer]
         slots = np.searchsorted(self.keys, np.concatenate(grams)) if grams else np.zeros(0, np.int64)
         order = np.argsort(slots, kind="stable")
@@ -149,13 +162,18 @@ class SegmentIndex:
         return at[dense], slot[dense]
 
     @staticmethod
-    def banded(at: np.ndarray, slot: np.ndarray, first: np.ndarray, of: np.ndarray, offset_of: np.ndarray) -> tuple:
-        """The hits' postings in both their bands, by owner, band, offset and
-        position, with marks where a band and where an offset begins."""
+    def postings(at: np.ndarray, slot: np.ndarray, first: np.ndarray, of: np.ndarray, offset_of: np.ndarray) -> tuple:
+        """(owner, offset in the owner, position) of every pair of a hit and an equal q-gram."""
         copies = first[slot + 1] - first[slot]
         where = np.repeat(at, copies)
         entry = np.repeat(first[slot], copies) + np.arange(len(where)) - np.repeat(np.cumsum(copies) - copies, copies)
-        owner, offset = of[entry], offset_of[entry]
+        return of[entry], offset_of[entry], where
+
+    @classmethod
+    def banded(cls, *hits: np.ndarray) -> tuple:
+        """The hits' postings in both their bands, by owner, band, offset and
+        position, with marks where a band and where an offset begins."""
+        owner, offset, where = cls.postings(*hits)
         band = (where - offset) // BAND
         owner, offset, where = np.tile(owner, 2), np.tile(offset, 2), np.tile(where, 2)
         band = np.concatenate([band, band - 1])
@@ -198,10 +216,12 @@ class SegmentIndex:
         i = np.arange(len(first) - needed + 1)
         j = i + needed - 1
         i = i[(group_of[i] == group_of[j]) & (offset[j] - offset[i] <= SEGMENT - Q)]
+        size = np.array([len(b) for b in self.bodies], np.int64)
+        i = i[size[item[i]] > SEGMENT]
         i = i[~known(where[first[i]], item[i])]
         if not len(i):
             return none
-        size = np.array([len(b) for b in self.bodies], np.int64)[item[i]]
+        size = size[item[i]]
         low = np.maximum(offset[i + needed - 1] - (SEGMENT - Q), 0)
         high = np.minimum(offset[i], size - SEGMENT)
         low = np.minimum(low, high)
@@ -212,6 +232,20 @@ class SegmentIndex:
         row, begin = row[keep], begin[keep]
         return item[row], begin, band[row] * BAND, where[first[row]], where[last[row + needed - 1]] + Q
 
+    def verbatim(self, points: np.ndarray, at: np.ndarray, slot: np.ndarray):
+        """(item, first and last position) of each stretch of PASSAGE characters
+        or more that equals a part of a longer item."""
+        item, offset, where = self.postings(at, slot, self.item_first, self.item_of, self.item_offset_of)
+        if not len(where):
+            return
+        order = np.lexsort((where, where - offset, item))
+        item, offset, where = item[order], offset[order], where[order]
+        begins = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (np.diff(where) != 1) | (np.diff(offset) != 1)))
+        size = np.diff(np.append(begins, len(where))) + Q - 1
+        for b, n in zip(begins[size >= PASSAGE].tolist(), size[size >= PASSAGE].tolist()):
+            if np.array_equal(points[where[b]:where[b] + n], self.bodies[item[b]][offset[b]:offset[b] + n]):
+                yield int(item[b]), int(where[b]), int(where[b]) + n
+
     def edits(self, points: np.ndarray, segment: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
         """Edit distance of each segment to the nearest region in its band."""
         return self.distances(points, self.length[segment], lambda rows: np.stack([self.segments[s] for s in segment[rows]]), diagonal)
@@ -241,6 +275,12 @@ class SegmentIndex:
     def find(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text its leaks: one tuple (fields of HIT) per item."""
         result: list[list[tuple]] = [[] for _ in texts]
+        if self.whole:
+            for found, t in zip(result, texts):
+                points, at, _ = normalized([(t or "").strip()])
+                for item_id in self.whole.get(points[BAND:len(points) - BAND].tobytes(), []):
+                    begin = len(t) - len(t.lstrip())
+                    found.append((item_id, 1, 1, 0, begin, begin + len(t.strip())))
         if not self.segments:
             return result
         points, at, starts = normalized([t or "" for t in texts])
@@ -266,6 +306,11 @@ class SegmentIndex:
             text = text_of(lo)
             for g in np.flatnonzero(edits <= SEGMENT // EDIT_SHARE).tolist():
                 found.setdefault((int(text[g]), int(item[g])), []).append((None, int(edits[g]), int(lo[g]), int(hi[g])))
+        known = {divmod(p, len(self.ids)) for p in pairs.tolist()}
+        for i, lo, hi in self.verbatim(points, *near):
+            t = int(text_of(np.array(lo)))
+            if (t, i) not in known:
+                found.setdefault((t, i), []).append((None, 0, lo, hi))
         for (t, i), leaks in sorted(found.items()):
             begins = int(at[min(x[2] for x in leaks)] - starts[t])
             ends = int(at[max(x[3] for x in leaks) - 1] - starts[t]) + 1
@@ -275,6 +320,15 @@ class SegmentIndex:
         return result
 
 
+def searcher(items: list[tuple[int | None, str]]):
+    """``find`` over short and other items, each with their own index."""
+    parts: tuple[list, list] = [], []
+    for item_id, text in items:
+        parts[len(" ".join(text.split())) < MIN_ITEM].append((item_id, text))
+    indexes = [SegmentIndex(part) for part in parts if part]
+    return lambda texts: [sum(hits, []) for hits in zip(*(index.find(texts) for index in indexes))]
+
+
 def blocks(benchmark: DataFrame, id_col: str, text_col: str):
     """The items of the query set, a block at a time."""
     rows = benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).filter(F.col(text_col).isNotNull())
@@ -302,8 +356,8 @@ def with_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", id_c
     result = df.select(*dict.fromkeys([*kept, text_col])).withColumn(out, F.array().cast(T.ArrayType(HIT)))
     for block in blocks(benchmark, id_col, item_text_col):
         def make(block=block):
-            index = SegmentIndex(block)
-            return lambda texts: [index.find(texts)]
+            find = searcher(block)
+            return lambda texts: [find(texts)]
 
         field = T.StructType([T.StructField(more, T.ArrayType(HIT))])
         result = map_texts(result, text_col, field, make, result.columns)
@@ -313,7 +367,7 @@ def with_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", id_c
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item it leaks: the item's matched and total
-    segments (0 matched: a passage between segment starts), the fewest edits, and
+    segments (0 matched: a passage between segment starts or shorter than one), the fewest edits, and
     the region as code points of the text."""
     leaks = with_leaks(docs.select("doc_id", "text"), benchmark, keep=["doc_id"])
     return leaks.select("doc_id", F.inline("leaks"))

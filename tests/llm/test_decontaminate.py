@@ -28,20 +28,30 @@ def nearest(pattern, text):
 
 def segments(item):
     body = folded(item)
-    if len(body) < D.MIN_ITEM:
+    if len(body) < D.Q:
         return []
     last = max(0, len(body) - D.SEGMENT)
     return [body[s:s + D.SEGMENT] for s in sorted({*range(0, last + 1, D.SEGMENT // 2), last})]
 
 
+def budget(segment):
+    edits = len(segment) // D.EDIT_SHARE
+    return edits if len(segment) - D.Q + 1 > D.Q * edits else 0
+
+
 def brute(docs, items):
     out = {}
     for d, text in docs:
         t = folded(text)
         for i, item in items:
             edits = [nearest(s, t) if t else 99 for s in segments(item)]
-            if any(e <= len(s) // D.EDIT_SHARE for e, s in zip(edits, segments(item))):
+            body = folded(item)
+            if any(e <= budget(s) for e, s in zip(edits, segments(item))):
                 out[d, i] = min(edits)
+            elif len(body) < D.Q and t == body:
+                out[d, i] = 0
+            elif len(body) > D.PASSAGE and any(body[s:s + D.PASSAGE] in t for s in range(len(body) - D.PASSAGE + 1)):
+                out[d, i] = 0
     return out
 
 
@@ -95,6 +105,35 @@ def test_passages_cut_at_every_offset_are_found():
         assert [index.find([t])[0] for t in texts[::20]] == found[::20]
 
 
+@pytest.mark.parametrize("length", [40, 45, 50, 60, 70, 80, 90])
+def test_short_passages_cut_at_every_offset_are_found(length):
+    """Recall 1 over verbatim passages from PASSAGE characters on; none just below it."""
+    rng = random.Random(length)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    item = " ".join(word() for _ in range(60))[:300].strip()
+    index = D.SegmentIndex([(7, item), (8, " ".join(word() for _ in range(12))[:95])])
+    for n in (length, D.PASSAGE - 4):
+        texts = [f"QQ {item[at:at + n].upper().strip()}  ZZ" for at in range(len(item) - n + 1)]
+        found = index.find(texts)
+        if n < D.PASSAGE:
+            assert not any(found)
+            continue
+        for t, hits in zip(texts, found):
+            (item_id, _, _, edits, start, end), = hits
+            assert item_id == 7 and edits <= 8 and 0 <= start < end <= len(t)
+
+
+def test_short_items_are_found():
+    items = [(1, "what is 2+2? answer: 4"), (2, "name the capital"), (3, "yes"), (4, "a longer item of about forty characters"),
+             (5, "twelve chars"), (6, ""), (None, "  YES ")]
+    texts = ["so WHAT is 2+2?  Answer: 4, he said", "what is 2+3? answer: 4", "name tha capital", "twelve chars!", "twelve-chars",
+             " Yes\n", "yes and no", "", None, "nothing of the kind", "a longer item of abaut forty characters"]
+    got = {(k, h[0]): h[3] for k, hits in enumerate(D.searcher(items)(texts)) for h in hits}
+    want = brute(list(enumerate(texts)), [(i, t) for i, t in items if t])
+    assert got == {k: e for k, e in want.items()}
+    assert {(0, 1), (1, 1), (2, 2), (3, 5), (5, 3), (5, None), (10, 4)} == set(got)
+
+
 def test_edge_rows(spark, edge_docs, no_docs):
     bench = spark.createDataFrame([(1, EN), (2, EN), (3, None), (4, ""), (5, "short"), (None, EN.upper())], "item_id long, text string")
     rows = D.benchmark_leaks(edge_docs, bench).collect()
