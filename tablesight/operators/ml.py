@@ -8,6 +8,7 @@ grouped aggregates over the prediction frame.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import PCA, StandardScaler
@@ -17,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablesight.functions.scalars import number_of
-from tablesight.operators import kmeans
+from tablesight.operators import forest, kmeans
 from tablesight.operators.profile import _q
 from tablesight.operators.ordered import row_position
 from tablesight.operators.quantiles import exact_quantiles
@@ -37,9 +38,9 @@ class FeatureModel:
     mode: dict[str, str | None]
     max_categories: int
 
-    def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-        """``keep`` columns and the ``features`` vector."""
-        keep = keep or []
+    def coded(self, df: DataFrame, keep: list[str]) -> tuple[DataFrame, list[str], list[tuple[str, int]]]:
+        """``keep`` columns, the scaled numbers ``num_i`` and the slots ``cat_i`` (-1:
+        none), with the numbers' names and each category's name and slots."""
         parts = [((F.coalesce(number_of(df, c), F.lit(self.median[c]).cast("double")) - F.lit(self.mean[c]))
                   / F.lit(self.std[c])).alias(f"num_{i}") for i, c in enumerate(self.numeric)]
         hot = []
@@ -50,9 +51,15 @@ class FeatureModel:
             at = F.array_position(F.array(*[F.lit(x) for x in values]), v) - 1 if values else F.lit(-1)
             hot.append((F.when(at >= 0, at).otherwise(F.lit(rest)).alias(f"cat_{i}"), len(values) + (rest >= 0)))
         d = df.select(*[F.col(_q(k)) for k in keep], *parts, *[c for c, _ in hot])
+        return d, [f"num_{i}" for i in range(len(parts))], [(f"cat_{i}", size) for i, (_, size) in enumerate(hot)]
+
+    def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """``keep`` columns and the ``features`` vector."""
+        keep = keep or []
+        d, numbers, slots = self.coded(df, keep)
         # rarer values share one slot; values unknown to a short list have none
-        vectors = [_one_hot(F.col(f"cat_{i}"), size) for i, (_, size) in enumerate(hot) if size]
-        flat = F.concat(F.array(*[F.col(f"num_{i}") for i in range(len(parts))]).cast("array<double>"), *vectors)
+        vectors = [_one_hot(F.col(c), size) for c, size in slots if size]
+        flat = F.concat(F.array(*[F.col(c) for c in numbers]).cast("array<double>"), *vectors)
         return d.select(*[F.col(_q(k)) for k in keep], array_to_vector(flat).alias("features"))
 
 
@@ -217,12 +224,19 @@ def regress(df: DataFrame, target: str, numeric: list[str], categorical: list[st
             max_categories: int = 50) -> DataFrame:
     """M6: split, fit features on the train part, drop rows without a numeric
     target, fit a random forest or ridge (alpha as in ``||y - Xw||^2 + alpha
-    ||w||^2``), predict the test part.  Returns keys, ``label``, ``prediction``."""
+    ||w||^2``), predict the test part.  Returns keys, ``label``, ``prediction``.
+
+    The forest is grown from cells of equal bins (see ``forest``) where the columns
+    make no more than ``forest.CELLS`` of them, else by MLlib."""
     from pyspark.ml.regression import LinearRegression, RandomForestRegressor
     base = df.withColumn("__y", number_of(df, target))
     split = scratch_table(hash_split(base, key, test_fraction, seed), "split")
     train, test = (split.filter(F.col("split") == part) for part in ("train", "test"))
     feats = fit_features(train, numeric, categorical, max_categories)
+    if model != "ridge":
+        pred = _forest_of_cells(feats, train, test, key, n_trees, max_depth, seed)
+        if pred is not None:
+            return pred
     rows, asked = (feats.transform(part, [*key, "__y"]).filter(F.col("__y").isNotNull()) for part in (train, test))
     rows = scratch_table(rows, "train")
     if model == "ridge":
@@ -237,6 +251,25 @@ def regress(df: DataFrame, target: str, numeric: list[str], categorical: list[st
     return pred.select(*key, F.col("__y").alias("label"), F.col("prediction").cast("double"))
 
 
+def _forest_of_cells(feats: FeatureModel, train: DataFrame, test: DataFrame, key: list[str],
+                     n_trees: int, max_depth: int, seed: int) -> DataFrame | None:
+    """The test rows' keys, labels and predictions, or None for too many cells."""
+    (rows, numbers, slots), (asked, _, _) = (feats.coded(part.filter(F.col("__y").isNotNull()), [*key, "__y"])
+                                             for part in (train, test))
+    cuts = forest.thresholds(rows, numbers)
+    cell, radices = forest.cell_of(numbers, cuts, slots)
+    if math.prod(radices) >= 1 << 62:
+        return None
+    asked = asked.select(*[F.col(_q(k)) for k in key], F.col("__y").alias("label"), cell.alias("__cell"))
+    groups = forest.cell_groups(rows.select(cell.alias("cell"), F.col("__y").alias("y")), asked.select(F.col("__cell").alias("cell")))
+    if groups.select("cell").distinct().count() > forest.CELLS:
+        return None
+    found = forest.predictions(groups, radices, len(numbers), n_trees, max_depth, seed)
+    # at most CELLS rows
+    found = F.broadcast(scratch_table(found, "forest").withColumnRenamed("cell", "__cell"))
+    return asked.join(found, "__cell").select(*[F.col(_q(k)) for k in key], "label", "prediction")
+
+
 def regression_metrics(pred: DataFrame, n_rows: DataFrame | None = None, model: str | None = None) -> DataFrame:
     """M7: MAE, RMSE, R^2, the test row count and the sentence that says them;
     ``n_rows`` (one row, one column: rows with a target) adds n_train."""
