@@ -47,6 +47,9 @@ SLICE_CHARS = 8 << 20
 #: Terms whose weights every task is given, and their greatest length: some twenty
 #: megabytes, and never more than a hundred.
 KNOWN_TERMS, KNOWN_CHARS = 1 << 20, 64
+#: Counts in one packed word: a term number times COUNTS, plus a count below it; a
+#: larger count takes several words.  KNOWN_TERMS numbers fill 31 bits.
+COUNTS = 1 << 11
 # Fixed value: what separates tokens.
 SEPARATOR_RE = r"[^\p{L}\p{N}_]+"
 
@@ -98,6 +101,16 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
 
 
+def _packed(number: np.ndarray, count: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, their rows) of term numbers and counts."""
+    words = -(-count // (COUNTS - 1))
+    each = np.repeat(np.arange(len(count)), words)
+    last = np.cumsum(words) - 1
+    part = np.full(len(each), COUNTS - 1)
+    part[last] = count - (words - 1) * (COUNTS - 1)
+    return (number[each] * COUNTS + part).astype(np.int32), row[each]
+
+
 class Weights:
     """Terms with their weights, found by hash and then compared."""
 
@@ -123,21 +136,20 @@ class Weights:
             at = at + again
 
 
-def _weighed(df: DataFrame, text: str, weights: Weights, others: bool) -> DataFrame:
+def _weighed(df: DataFrame, text: str, known, others: bool) -> DataFrame:
     """Rows weighed where they lie, as three kinds of records:
 
     * (term, value): the scores' parts of rows whose terms all have a weight,
       added up by slice;
-    * (row, numbers, values, square): the weighed terms of each other row, by their
-      numbers, and the sum of their squares;
+    * (row, value, words): the counts of each other row's terms with a weight, four
+      bytes each (see ``_packed``), and the sum of their weights' squares;
     * (row, term, tf): that row's terms without a weight.
 
-    With ``others`` false, terms without a weight do not count, and all rows are of
-    the first kind."""
-    known = df.sparkSession.sparkContext.broadcast(weights)   # bounded by KNOWN_TERMS, or by what was asked for
+    ``known`` is a broadcast of the Weights.  With ``others`` false, terms without a
+    weight do not count, and all rows are of the first kind."""
     source = df.select(F.monotonically_increasing_id().alias("row"), F.lower(F.col(text)).alias("t"))
     form = pa.schema([("row", pa.int64()), ("term", pa.string()), ("tf", pa.int64()), ("value", pa.float64()),
-                      ("numbers", pa.list_(pa.int64())), ("values", pa.list_(pa.float64()))])
+                      ("words", pa.list_(pa.int32()))])
 
     def record(n, **columns):
         return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in form], schema=form)
@@ -163,12 +175,34 @@ def _weighed(df: DataFrame, text: str, weights: Weights, others: bool) -> DataFr
                 yield record(int(rare.sum()), row=ids.take(pa.array(row[rare])), term=terms.take(pa.array(code[rare])),
                              tf=pa.array(count[rare]))
                 rows = np.unique(row[still])
-                ends = np.concatenate([[0], np.searchsorted(row[held], rows, side="right")]).astype(np.int32)
+                words, of = _packed(number[code[held]], count[held], row[held])
+                ends = np.concatenate([[0], np.searchsorted(of, rows, side="right")]).astype(np.int32)
                 yield record(len(rows), row=ids.take(pa.array(rows)), value=pa.array(square[rows]),
-                             numbers=pa.ListArray.from_arrays(ends, pa.array(number[code[held]])),
-                             values=pa.ListArray.from_arrays(ends, pa.array(w[held])))
+                             words=pa.ListArray.from_arrays(ends, pa.array(words)))
 
-    return source.mapInArrow(run, "row long, term string, tf long, value double, numbers array<long>, values array<double>")
+    return source.mapInArrow(run, "row long, term string, tf long, value double, words array<int>")
+
+
+def _finished(rows: DataFrame, known) -> DataFrame:
+    """(term, value): the scores' parts of rows with ``square`` and ``words`` (see
+    ``_weighed``), and ``rare``: terms that are not ``known``, with their weights."""
+    def run(batches):
+        weight = known.value.weight
+        total = np.zeros(len(weight))   # bounded as the weights are
+        for batch in batches:
+            rare, words = batch.column("rare"), batch.column("words")
+            row, pairs = pa.compute.list_parent_indices(rare).to_numpy(), pa.compute.list_flatten(rare)
+            term, w = pairs.field("term"), pairs.field("w").to_numpy()
+            square = batch.column("square").to_numpy() + np.bincount(row, w * w, batch.num_rows)
+            norm = np.sqrt(square)
+            yield pa.RecordBatch.from_arrays([term, pa.array(w / norm[row])], names=["term", "value"])
+            of, word = pa.compute.list_parent_indices(words).to_numpy(), pa.compute.list_flatten(words).to_numpy()
+            number = word // COUNTS
+            total += np.bincount(number, weight[number] * (word % COUNTS) / norm[of], len(weight))
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([known.value.terms.take(pa.array(there)), pa.array(total[there])], names=["term", "value"])
+
+    return rows.select("square", "words", "rare").mapInArrow(run, "term string, value double")
 
 
 def _best(parts: DataFrame, k: int) -> DataFrame:
@@ -182,41 +216,34 @@ def top_keywords(df: DataFrame, text: str = "text", max_features: int | None = N
     per term.  Stop words and rows with empty text do not count.  By default
     every term is scored.  The terms' row counts are partial sums.  The weights of
     the KNOWN_TERMS most frequent terms go to every task, which finishes the rows
-    that have no others.  Of the remaining rows only the rarer terms travel one by
-    one, to meet their row counts in a split join and their rows' squares: a term
-    in every row moves nothing, and no term is one task's.  With ``max_features``
-    the vocabulary is that many terms of largest total count (ties by term), and
-    all rows are finished where they lie.
+    that have no others.  Of the remaining rows the rarer terms travel one by one, to
+    meet their row counts in a split join, and back to their rows; the others of a
+    row travel once, packed to four bytes a term, to be added up where the row's norm
+    is known.  No term is one task's.  With ``max_features`` the vocabulary is that
+    many terms of largest total count (ties by term), and all rows are finished where
+    they lie.
     """
     counted = scratch_table(vocabulary(df, text), "vocabulary")
     texts = counted.filter("term is null").select("df").first()
     n = texts[0] if texts else 0
     counted = counted.filter("term is not null")
     if max_features is not None:
-        known = counted.orderBy(F.desc("total"), "term").limit(max_features)
+        most = counted.orderBy(F.desc("total"), "term").limit(max_features)
     else:
-        known = counted.filter(F.length("term") <= KNOWN_CHARS).orderBy(F.desc("df"), "term").limit(KNOWN_TERMS)
-    found = known.select("term", "df").toArrow().combine_chunks()
+        most = counted.filter(F.length("term") <= KNOWN_CHARS).orderBy(F.desc("df"), "term").limit(KNOWN_TERMS)
+    found = most.select("term", "df").toArrow().combine_chunks()
     rows = found.column("df").to_numpy()
     weights = Weights(pa.array(found.column("term").to_pylist(), pa.string()), np.log((1.0 + n) / (1 + rows)) + 1)
+    known = df.sparkSession.sparkContext.broadcast(weights)   # bounded by KNOWN_TERMS, or by what was asked for
     if max_features is not None or len(rows) == counted.count():   # no row has an unknown term that counts
-        return _best(_weighed(df, text, weights, others=False).select("term", "value"), k)
-    parts = scratch_table(_weighed(df, text, weights, others=True), "weighed")
+        return _best(_weighed(df, text, known, others=False).select("term", "value"), k)
+    parts = scratch_table(_weighed(df, text, known, others=True), "weighed")
     done = parts.filter("row is null").select("term", "value")
     rare = hot_split_join(parts.filter("tf is not null").select("row", "term", "tf"), counted.select("term", "df"), ["term"], "df")
-    rare = rare.select("row", "term", (F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)).alias("w"))
-    open_rows = parts.filter("numbers is not null").select("row", F.col("value").alias("square"), "numbers", "values")
-    norms = (rare.groupBy("row").agg(F.sum(F.col("w") * F.col("w")).alias("more")).join(open_rows, "row")
-             .select("row", F.sqrt(F.col("square") + F.col("more")).alias("norm"), "numbers", "values"))
-    norms = scratch_table(norms, "norms")
-    late = rare.join(norms.select("row", "norm"), "row").select("term", (F.col("w") / F.col("norm")).alias("value"))
-    names = df.sparkSession.createDataFrame(pa.table({"number": np.arange(len(weights.terms)), "term": weights.terms})
-                                            if len(weights.terms) else pa.table({"number": pa.array([], pa.int64()),
-                                                                                 "term": pa.array([], pa.string())}))
-    held = (norms.select("norm", F.explode(F.arrays_zip("numbers", "values")).alias("x"))
-            .groupBy(F.col("x.numbers").alias("number")).agg(F.sum(F.col("x.values") / F.col("norm")).alias("value"))
-            .join(names, "number").select("term", "value"))
-    return _best(done.unionByName(late).unionByName(held), k)
+    weight = F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
+    rare = rare.groupBy("row").agg(F.collect_list(F.struct("term", weight.alias("w"))).alias("rare"))   # a row's own terms
+    opened = parts.filter("words is not null").select("row", F.col("value").alias("square"), "words").join(rare, "row")
+    return _best(done.unionByName(_finished(opened, known)), k)
 
 
 def split_sentences(text: str) -> list[str]:

@@ -51,6 +51,32 @@ def test_keywords_match_brute_force(spark, limit):
         assert abs(a - b) < 1e-9
 
 
+def test_keywords_beyond_the_known_ones(spark, monkeypatch):
+    """Rows with rarer terms, long terms and counts beyond one packed word; the terms of
+    a row are written once between the passes, at four bytes each."""
+    rng = np.random.default_rng(4)
+    docs = [" ".join([*(f"word{i}" for i in rng.zipf(1.3, 300) % 3000), f"rare{d}", *["both"] * (d % 2)]) for d in range(400)]
+    docs += ["many " * 5000 + "seldom", "x" * 70 + " word1", "x" * 70 + " many", "", "word1 word2"]
+    docs += docs[:20]
+    want = _brute_keywords(docs, None, 40)
+    lists = []
+
+    def kept(df, label):
+        lists.extend(t for _, t in df.dtypes if t.startswith("array"))
+        return scratch(df, label)
+
+    scratch = X.scratch_table
+    monkeypatch.setattr(X, "scratch_table", kept)
+    for known in (2000, 1):
+        monkeypatch.setattr(X, "KNOWN_TERMS", known)
+        lists.clear()
+        got = [(r.term, r.score) for r in X.top_keywords(
+            spark.createDataFrame([(d,) for d in docs], "text string").repartition(3), k=40).collect()]
+        assert [t for t, _ in got] == [t for t, _ in want]
+        assert max(abs(a - b) for (_, a), (_, b) in zip(got, want)) < 1e-9
+        assert lists == ["array<int>"]
+
+
 def test_short_documents_keep_their_text(spark):
     df = spark.createDataFrame([(1, "One. Two. Three."), (2, "x" * 900), (3, None), (3, "")], "doc_id long, text string")
     got = [(r.doc_id, r.summary) for r in X.extractive_summary(df, keys=["doc_id"]).collect()]
